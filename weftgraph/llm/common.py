@@ -1,16 +1,5 @@
 """What the operators share."""
 
-from __future__ import annotations
+from weftgraph.plans.iterate import materialise
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that
-    spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+__all__ = ["materialise"]
