@@ -183,16 +183,18 @@ def word_starts(cps: np.ndarray, separators: np.ndarray) -> np.ndarray:
 class BpeEncoder:
     """Encoder and decoder for one rank file.
 
-    ``cache_words`` bounds the word cache of one Python worker."""
+    ``cache_words`` bounds the word cache of one Python worker; ``vocabulary``
+    keeps the first so many ranks only."""
 
-    def __init__(self, ranks_path: str, cache_words: int = 1_000_000):
+    def __init__(self, ranks_path: str, cache_words: int = 1_000_000, vocabulary: int | None = None):
         self.tokens: list[bytes] = []
         ranks: dict[bytes, int] = {}
         with open(ranks_path, "rb") as f:
             for line in f:
                 if line.strip():
                     word, rank = line.split()
-                    ranks[base64.b64decode(word)] = int(rank)
+                    if vocabulary is None or int(rank) < vocabulary:
+                        ranks[base64.b64decode(word)] = int(rank)
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for word, rank in ranks.items():
