@@ -1,4 +1,530 @@
-"""Named graph queries and their SQL twins (filled in by the operator modules)."""
+"""Named graph queries over the tables of a folder, and their SQL twins.
 
-QUERIES: dict = {}
+The supplier graph with one follower each (G2a) or two (G2b), the catalogue of
+foreign keys, the trade of nations, daily snapshots of events, pages and their
+links, and embeddings as positions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.functions import text as fx
+from weftgraph.operators import communities, components, cores, doctor, history, naming, relational, rules, scc, traverse
+from weftgraph.schema import PropertyGraph
+from weftgraph.sinks import diagrams
+from weftgraph.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+FOCUS = "supplier/1"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+# -- projections for both engines ------------------------------------------------
+def G1(s: SparkSession, d: str) -> PropertyGraph:
+    return tables.graph(s, d, "catalogue")
+
+
+def G2(s: SparkSession, d: str, k: int = 2) -> PropertyGraph:
+    return tables.graph(s, d, "suppliers", k)
+
+
+def _with(name: str, k: int = 2, more: str = "", recursive: bool = False) -> str:
+    nodes, edges = (tables.for_sql(x, k) for x in tables.PROJECTIONS[name])
+    return f"WITH {'RECURSIVE ' * recursive}nodes AS MATERIALIZED ({nodes}), edges AS MATERIALIZED ({edges}){', ' + more if more else ''} "
+
+
+W1, W2, W2A = _with("catalogue"), _with("suppliers"), _with("suppliers", 1)
+_BOTH = "both_ways AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst))"
+_TRAFFIC = """traffic AS MATERIALIZED (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id
+ HAVING count(*) >= greatest(20, floor((SELECT count(*) FROM nodes) * 0.03 + 0.5)))"""
+_REACH = "walk(a, b) AS (SELECT src, dst FROM edges UNION SELECT w.a, e.dst FROM walk w JOIN edges e ON w.b = e.src)"
+_SCC = _REACH + """, scc AS MATERIALIZED (SELECT id, min(other) AS scc FROM (SELECT x.a AS id, x.b AS other FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a) GROUP BY id
+ HAVING count(DISTINCT other) > 1)"""
+
+
+# -- degrees, roll-ups, filters ----------------------------------------------------
+_DEGREE = """SELECT n.id, coalesce(o.c, 0) AS imports, coalesce(i.c, 0) AS used_by, coalesce(b.c, 0) AS neighbours FROM nodes n
+ LEFT JOIN (SELECT src, count(*) AS c FROM edges GROUP BY src) o ON o.src = n.id LEFT JOIN (SELECT dst, count(*) AS c FROM edges GROUP BY dst) i ON i.dst = n.id
+ LEFT JOIN (SELECT a, count(*) AS c FROM both_ways GROUP BY a) b ON b.a = n.id"""
+
+
+@query("degree", _with("catalogue", more=_BOTH) + _DEGREE)
+def degree(s, d):
+    return relational.degrees(G1(s, d))
+
+
+@query("edge_filter", W2 + "SELECT id, src, dst FROM edges WHERE type = 'component'")
+def edge_filter(s, d):
+    return relational.filter_edges(G2(s, d), "component").select("id", "src", "dst")
+
+
+_ROLLUP = "SELECT a.cluster AS src_cluster, b.cluster AS dst_cluster, count(*) AS weight FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.cluster <> b.cluster{} GROUP BY 1, 2"
+
+
+@query("folder_rollup", W1 + _ROLLUP.format(""))
+def folder_rollup(s, d):
+    return relational.folder_rollup(G1(s, d))
+
+
+@query("folder_rollup_filtered", W2 + _ROLLUP.format(" AND edges.type IN ('import', 'context')"))
+def folder_rollup_filtered(s, d):
+    return relational.folder_rollup(G2(s, d), "import", "context")
+
+
+_COLOUR_SQL = "[" + ", ".join(f"'{c}'" for c in relational.CLUSTER_COLOURS) + "]"
+
+
+@query("cluster_sizes", W2 + f"SELECT cluster, size, {_COLOUR_SQL}[1 + (row_number() OVER (ORDER BY size DESC, cluster) - 1) % 8] AS colour FROM (SELECT cluster, count(*) AS size FROM nodes GROUP BY cluster)")
+def cluster_sizes(s, d):
+    return relational.clusters(G2(s, d))
+
+
+@query("type_counts", W1 + "SELECT type, count(*) AS n FROM nodes GROUP BY type")
+def type_counts(s, d):
+    return relational.type_counts(G1(s, d))
+
+
+@query("orphans", W1 + "SELECT id FROM nodes n WHERE type NOT IN ('page', 'api', 'query-key') AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id)")
+def orphans(s, d):
+    return relational.orphans(G1(s, d))
+
+
+@query("traffic", _with("catalogue", more=_TRAFFIC) + "SELECT id, degree FROM traffic")
+def traffic(s, d):
+    return relational.traffic(G1(s, d))
+
+
+@query("lit_set", _with("suppliers", more=_BOTH) + f"SELECT id FROM nodes WHERE id = '{FOCUS}' UNION SELECT b FROM both_ways WHERE a = '{FOCUS}'")
+def lit_set(s, d):
+    return relational.lit_set(G2(s, d), FOCUS)
+
+
+@query("induced_subgraph", W2 + "SELECT e.id, e.src, e.dst FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.type IN ('module', 'store', 'page') AND b.type IN ('module', 'store', 'page')")
+def induced_subgraph(s, d):
+    g = G2(s, d)
+    return relational.induced(g, g.nodes.filter(F.col("type").isin("module", "store", "page"))).edges.select("id", "src", "dst")
+
+
+@query("node_size", _with("suppliers", more=_BOTH) + "SELECT id, round(least(0.65 + 0.22 * sqrt(neighbours), 1.7), 9) AS size FROM (" + _DEGREE + ")")
+def node_size(s, d):
+    return relational.node_sizes(G2(s, d))
+
+
+@query("tour", _with("suppliers", more=_BOTH) + "SELECT id FROM (" + _DEGREE + ") WHERE neighbours >= 3")
+def tour(s, d):
+    return relational.tour(G2(s, d))
+
+
+@query("search", W1 + "SELECT id, label FROM nodes WHERE contains(lower(label || ' ' || id), 'supplier/1')")
+def search(s, d):
+    return relational.search(G1(s, d), "supplier/1")
+
+
+_INSPECT = """SELECT x.*, n.label, n.type, n.cluster, x.used_by = 0 AND n.type NOT IN ('page', 'api', 'query-key') AS orphan FROM (""" + _DEGREE + ") x JOIN nodes n ON n.id = x.id"
+
+
+@query("inspector", _with("suppliers", more=_BOTH) + _INSPECT)
+def inspector(s, d):
+    g = G2(s, d)
+    lonely = relational.orphans(g).withColumn("orphan", F.lit(True))
+    found = relational.degrees(g).join(g.nodes.select("id", "label", "type", "cluster"), "id").join(lonely, "id", "left")
+    return found.withColumn("orphan", F.coalesce("orphan", F.lit(False)))
+
+
+# -- rules --------------------------------------------------------------------------
+@query("unique_caller", W2 + "SELECT 'unique-caller' AS rule, 'one caller only (' || n.label || ': ' || count(*) || ' callers)' AS message, dst AS target, count(*) AS callers FROM edges JOIN nodes n ON n.id = dst GROUP BY dst, n.label HAVING count(*) > 1")
+def unique_caller(s, d):
+    found = rules.unique_caller(G2(s, d), rules.Rule("unique-caller", "one caller only"))
+    return found.select("rule", "message", F.col("node_ids")[0].alias("target"), F.size("edge_ids").cast("long").alias("callers"))
+
+
+@query("no_direct_import", W2 + "SELECT 'no-direct-import' AS rule, 'pages keep off stores (' || a.label || ' → ' || b.label || ')' AS message, edges.id AS edge FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.type = 'page' AND b.type = 'store'")
+def no_direct_import(s, d):
+    rule = rules.Rule("no-direct-import", "pages keep off stores", rules.Match(source_type="page", target_type="store"))
+    return rules.no_direct_import(G2(s, d), rule).select("rule", "message", F.col("edge_ids")[0].alias("edge"))
+
+
+@query("no_cycles", _with("suppliers", 1, _SCC, True) + """SELECT 'no-cycles' AS rule, 'no loops (' || string_agg(n.label, ' → ' ORDER BY n.id) || ' → ' || first(n.label ORDER BY n.id) || ')' AS message, scc AS first, count(*) AS size
+ FROM scc JOIN nodes n ON n.id = scc.id GROUP BY scc""")
+def no_cycles(s, d):
+    found = rules.no_cycles(G2(s, d, 1), rules.Rule("no-cycles", "no loops"))
+    return found.select("rule", "message", F.col("node_ids")[0].alias("first"), F.size("node_ids").cast("long").alias("size"))
+
+
+# -- reachability ---------------------------------------------------------------------
+@query("impact", _with("suppliers", 2, f"reach(id, depth) AS (SELECT '{FOCUS}', 0 UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edges e ON e.dst = r.id WHERE r.depth < 40)", True) + "SELECT id, min(depth) AS depth FROM reach GROUP BY id")
+def impact(s, d):
+    return traverse.impact(G2(s, d), FOCUS)
+
+
+@query("impact_counts", _with("suppliers", 1, _REACH, True) + "SELECT n.id, count(DISTINCT w.a) AS reached FROM nodes n LEFT JOIN walk w ON w.b = n.id AND w.a <> n.id GROUP BY n.id")
+def impact_counts(s, d):
+    return traverse.impact_counts(G2(s, d, 1))
+
+
+@query("impact_edges", _with("suppliers", 1, _REACH, True) + f"SELECT id FROM edges WHERE (src = '{FOCUS}' OR src IN (SELECT a FROM walk WHERE b = '{FOCUS}')) AND (dst = '{FOCUS}' OR dst IN (SELECT a FROM walk WHERE b = '{FOCUS}'))")
+def impact_edges(s, d):
+    g = G2(s, d, 1)
+    return relational.edges_within(g.edges, traverse.impact(g, FOCUS)).select("id")
+
+
+_HOPS = f"""h0 AS (SELECT '{FOCUS}' AS id, 0 AS depth), h1 AS (SELECT b AS id, 1 AS depth FROM both_ways WHERE a = '{FOCUS}'),
+ h2 AS (SELECT b AS id, 2 AS depth FROM both_ways JOIN h1 ON a = h1.id WHERE a NOT IN (SELECT id FROM traffic)),
+ h3 AS (SELECT b AS id, 3 AS depth FROM both_ways JOIN h2 ON a = h2.id WHERE a NOT IN (SELECT id FROM traffic)),
+ hops AS (SELECT id, min(depth) AS depth FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY id)"""
+_WHOPS = _with("suppliers", 2, ", ".join((_BOTH, _TRAFFIC, _HOPS)))
+
+for _h in (1, 2, 3):
+
+    @query(f"neighbourhood_{_h}", _WHOPS + f"SELECT id, depth FROM hops WHERE depth <= {_h}")
+    def neighbourhood(s, d, hops=_h):
+        g = G2(s, d)
+        return traverse.neighbourhood(g, FOCUS, hops, relational.traffic(g).select("id"))
+
+
+@query("fitting_neighbourhood", _WHOPS + "SELECT id, depth FROM hops WHERE depth <= (SELECT max(h) FROM (SELECT 1 AS h UNION ALL SELECT d FROM (SELECT d, count(*) AS n FROM hops, (VALUES (2), (3)) t(d) WHERE depth <= d GROUP BY d) WHERE n <= 30))")
+def fitting_neighbourhood(s, d):
+    return traverse.fitting_neighbourhood(G2(s, d), FOCUS, 30)
+
+
+_UNDIRECTED = _with("suppliers", 2, _BOTH + f", reach(id, depth) AS (SELECT '{FOCUS}', 0 UNION SELECT b, r.depth + 1 FROM reach r JOIN both_ways ON a = r.id WHERE r.depth < 25), dist AS MATERIALIZED (SELECT id, min(depth) AS depth FROM reach GROUP BY id)", True)
+TARGET = "supplier/9"
+
+
+@query("shortest_path", _UNDIRECTED[:-1] + f""", chain(hop, id) AS (SELECT depth, id FROM dist WHERE id = '{TARGET}'
+ UNION ALL SELECT c.hop - 1, (SELECT min(b) FROM both_ways JOIN dist ON dist.id = b WHERE a = c.id AND dist.depth = c.hop - 1) FROM chain c WHERE c.hop > 0) SELECT hop, id FROM chain""")
+def shortest_path(s, d):
+    return traverse.shortest_path(G2(s, d), FOCUS, TARGET)
+
+
+@query("farthest", _UNDIRECTED + "SELECT id, depth FROM dist ORDER BY depth DESC, id LIMIT 1")
+def farthest(s, d):
+    return traverse.farthest(G2(s, d), FOCUS)
+
+
+@query("subject", _with("suppliers", 1, _BOTH + ", " + _REACH, True) + """SELECT id, score FROM (SELECT n.id, round(-3 * abs((SELECT count(*) FROM both_ways WHERE a = n.id) / t.n - 0.3) + (SELECT count(DISTINCT w.a) FROM walk w WHERE w.b = n.id AND w.a <> n.id) / t.n, 9) AS score
+ FROM nodes n, (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes) t) ORDER BY score DESC, id LIMIT 1""")
+def subject(s, d):
+    return traverse.subject(G2(s, d, 1))
+
+
+# -- components and cycles -------------------------------------------------------------
+@query("components", _with("suppliers", 1, _BOTH + ", tree(a, b) AS (SELECT a, b FROM both_ways UNION SELECT t.a, w.b FROM tree t JOIN both_ways w ON t.b = w.a)", True) + "SELECT a AS id, min(b) AS component FROM tree GROUP BY a")
+def connected(s, d):
+    return components.connected_components(G2(s, d, 1).edges)
+
+
+@query("scc", _with("suppliers", 1, _SCC, True) + "SELECT id, scc FROM scc")
+def strongly(s, d):
+    return scc.strongly_connected(G2(s, d, 1).edges)
+
+
+@query("tangled", _with("suppliers", 1, _SCC, True) + "SELECT count(*) AS tangled FROM scc")
+def tangled(s, d):
+    return scc.tangled(G2(s, d, 1).edges)
+
+
+@query("scc_trade", _with("trade", 2, _SCC, True) + "SELECT id, scc FROM scc")
+def scc_trade(s, d):
+    return scc.strongly_connected(tables.graph(s, d, "trade", 2).edges)
+
+
+_CUTS = _with("suppliers", 1, _SCC + """, inside AS MATERIALIZED (SELECT x.scc, e.src, e.dst FROM edges e JOIN scc x ON x.id = e.src JOIN scc y ON y.id = e.dst WHERE x.scc = y.scc),
+ few AS (SELECT scc FROM inside GROUP BY scc HAVING count(*) <= 400),
+ cut(cs, cd, a, b) AS (SELECT c.src, c.dst, i.src, i.dst FROM inside c JOIN few USING (scc) JOIN inside i ON i.scc = c.scc AND NOT (i.src = c.src AND i.dst = c.dst)
+  UNION SELECT u.cs, u.cd, u.a, i.dst FROM cut u JOIN inside i ON i.src = u.b AND NOT (i.src = u.cs AND i.dst = u.cd)),
+ remain AS (SELECT cs, cd, count(DISTINCT x.a) AS n FROM cut x JOIN cut y USING (cs, cd) WHERE x.a = y.b AND x.b = y.a AND x.a <> x.b GROUP BY cs, cd),
+ freed AS (SELECT i.scc, z.size, i.src, i.dst, z.size - coalesce(r.n, 0) AS frees FROM inside i JOIN few USING (scc) JOIN (SELECT scc, count(*) AS size FROM scc GROUP BY scc) z USING (scc) LEFT JOIN remain r ON r.cs = i.src AND r.cd = i.dst)""", True)
+
+
+@query("best_cut", _CUTS + "SELECT scc, size, src, dst, frees FROM (SELECT *, row_number() OVER (PARTITION BY scc ORDER BY frees DESC, src, dst) AS r FROM freed WHERE frees > 0) WHERE r = 1")
+def best_cut(s, d):
+    return scc.best_cuts(G2(s, d, 1).edges)
+
+
+_WHAT = "supplier/7"
+_WHAT_SQL = _with("suppliers", 1, _SCC + f""", walk2(a, b) AS (SELECT src, dst FROM edges WHERE '{_WHAT}' NOT IN (src, dst) UNION SELECT w.a, e.dst FROM walk2 w JOIN edges e ON w.b = e.src WHERE e.dst <> '{_WHAT}'),
+ after AS (SELECT min(x.b) AS scc FROM walk2 x JOIN walk2 y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1)""", True)
+
+
+@query("what_if", _WHAT_SQL + f"""SELECT '{_WHAT}' AS id,
+ (SELECT count(*) FROM nodes n WHERE n.id <> '{_WHAT}' AND n.type NOT IN ('page', 'api', 'query-key') AND EXISTS (SELECT 1 FROM edges WHERE dst = n.id) AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id AND src <> '{_WHAT}')) AS orphaned,
+ (SELECT count(DISTINCT src) FROM edges WHERE dst = '{_WHAT}') AS broken,
+ greatest((SELECT count(DISTINCT scc) FROM scc) - (SELECT count(DISTINCT scc) FROM after), 0) AS cycles_resolved,
+ (SELECT count(*) FROM (SELECT dst FROM edges GROUP BY dst HAVING count(*) > 1)) AS violations_before,
+ (SELECT count(*) FROM (SELECT dst FROM edges WHERE '{_WHAT}' NOT IN (src, dst) GROUP BY dst HAVING count(*) > 1)) AS violations_after""")
+def what_if(s, d):
+    return doctor.simulate_delete(G2(s, d, 1), _WHAT, [rules.Rule("unique-caller", "one caller only")])
+
+
+@query("dead_weight", _with("catalogue", 1, """below(root, id) AS (SELECT n.id, n.id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id) UNION SELECT b.root, e.dst FROM below b JOIN edges e ON e.src = b.id)""", True)
+       + "SELECT min(root) AS orphan, id FROM below GROUP BY id HAVING count(DISTINCT root) = 1 AND min(root) <> id AND min(root) IN (SELECT id FROM nodes WHERE type NOT IN ('page', 'api', 'query-key'))")
+def dead_weight(s, d):
+    g = G1(s, d)
+    return doctor.dead_weight(g, relational.orphans(g))
+
+
+@query("doctor")
+def diagnose(s, d):
+    g = G2(s, d, 1)
+    return doctor.diagnose(g, rules.evaluate(g, [rules.Rule("unique-caller", "one caller only"), rules.Rule("no-cycles", "no loops")]))
+
+
+@query("health", _with("suppliers", 1, _SCC, True) + "SELECT NOT EXISTS (SELECT 1 FROM scc) AND NOT EXISTS (SELECT 1 FROM nodes n WHERE type NOT IN ('page', 'api', 'query-key') AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id)) AS healthy")
+def health(s, d):
+    g = G2(s, d, 1)
+    return doctor.health(g, rules.evaluate(g, []))
+
+
+# -- cores and communities ---------------------------------------------------------------
+_CORE = "h(k, id, core) AS (SELECT 0, a, count(*) FROM both_ways GROUP BY a UNION ALL SELECT k + 1, a, max(least(core, r)) FROM (SELECT h.k, w.a, h.core, row_number() OVER (PARTITION BY h.k, w.a ORDER BY h.core DESC) AS r FROM h JOIN both_ways w ON w.b = h.id WHERE h.k < 30) GROUP BY k, a)"
+
+
+@query("coreness", _with("suppliers", 2, _BOTH + ", " + _CORE, True) + "SELECT n.id, coalesce(h.core, 0) AS core FROM nodes n LEFT JOIN h ON h.id = n.id AND h.k = 30")
+def coreness(s, d):
+    return cores.coreness(G2(s, d))
+
+
+@query("skeleton")
+def skeleton(s, d):
+    return cores.skeleton(G2(s, d), 40)
+
+
+_MODULARITY = """, total AS (SELECT count(*) AS m FROM edges WHERE src <> dst),
+ ends AS (SELECT x.community AS cs, y.community AS cd FROM edges JOIN member x ON x.id = src JOIN member y ON y.id = dst WHERE src <> dst),
+ sums AS (SELECT community, sum(t) AS t, sum(i) AS i FROM (SELECT cs AS community, 1 AS t, CASE WHEN cs = cd THEN 1 ELSE 0 END AS i FROM ends UNION ALL SELECT cd, 1, 0 FROM ends) GROUP BY community)
+ SELECT round(CAST(sum(i) / (sum(t) / 2) - sum(t * t) / (CAST(sum(t) AS DOUBLE) * sum(t)) AS DOUBLE), 9) AS quality FROM sums"""
+
+
+@query("folder_modularity", _with("suppliers", 1, "member AS (SELECT id, cluster AS community FROM nodes WHERE type NOT IN ('api', 'query-key'))" + _MODULARITY.replace("SELECT round", "SELECT round", 1)))
+def folder_modularity(s, d):
+    g = G2(s, d, 1)
+    return relational.modularity(g, relational.folders_as_membership(g))
+
+
+_SCC_MEMBERS = ", member AS (SELECT n.id, coalesce(scc.scc, n.id) AS community FROM nodes n LEFT JOIN scc ON scc.id = n.id)"
+
+
+@query("community_modularity", _with("suppliers", 1, _SCC + _SCC_MEMBERS + _MODULARITY, True))
+def community_modularity(s, d):
+    g = G2(s, d, 1)
+    member = g.nodes.select("id").join(scc.strongly_connected(g.edges), "id", "left").select("id", F.coalesce("scc", "id").alias("community"))
+    return relational.modularity(g, member)
+
+
+@query("louvain")
+def louvain(s, d):
+    return communities.louvain(G2(s, d))
+
+
+@query("coarsen")
+def coarsen(s, d):
+    return communities.coarsen(G2(s, d))
+
+
+_PARTS = "counts AS (SELECT cluster, type AS community, count(*) AS files FROM nodes GROUP BY cluster, type), whole AS (SELECT cluster, sum(files) AS whole FROM counts GROUP BY cluster)"
+
+
+@query("split_folders", _with("catalogue", 1, "member AS (SELECT id, CAST(length(label) AS VARCHAR) AS community FROM nodes), counts AS (SELECT cluster, community, count(*) AS files FROM nodes JOIN member USING (id) GROUP BY ALL), parts AS (SELECT c.* FROM counts c JOIN (SELECT cluster, sum(files) AS whole FROM counts GROUP BY cluster) w USING (cluster) WHERE files >= 3 AND files * 100 >= whole * 15)")
+       + "SELECT cluster AS folder, community, files FROM parts WHERE cluster IN (SELECT cluster FROM parts GROUP BY cluster HAVING count(*) > 1)")
+def split_folders(s, d):
+    g = G1(s, d)
+    return relational.disagreements(g, g.nodes.select("id", F.char_length("label").cast("string").alias("community")))[0]
+
+
+@query("merged_folders", _with("suppliers", 1, "counts AS (SELECT cluster, type AS community, count(*) AS files FROM nodes GROUP BY ALL), firm AS (SELECT * FROM counts WHERE files > 1)")
+       + "SELECT community, cluster AS folder, files FROM firm WHERE community IN (SELECT community FROM firm GROUP BY community HAVING count(*) > 1)")
+def merged_folders(s, d):
+    g = G2(s, d, 1)
+    return relational.disagreements(g, g.nodes.select("id", F.col("type").alias("community")))[1]
+
+
+# -- history -----------------------------------------------------------------------------
+_SNAP = "snap AS MATERIALIZED (" + tables.for_sql(tables.SNAPSHOTS) + ")"
+_DAY = "SELECT 'x' AS label, 'module' AS type, 'x' AS file, 1 AS line, 'x' AS cluster"
+
+
+def _day(s: SparkSession, d: str, ord_: int) -> PropertyGraph:
+    edges = tables.snapshots(s, d).filter(F.col("ord") == ord_)
+    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    kind = F.element_at(F.split("id", "/"), 1)
+    return PropertyGraph(nodes.select("id", kind.alias("cluster")), edges.select(F.concat_ws("->", "src", "dst").alias("id"), "src", "dst"))
+
+
+def _diff_sql(part: str) -> str:
+    one = "SELECT DISTINCT src AS id FROM snap WHERE ord = {0} UNION SELECT dst FROM snap WHERE ord = {0}" if part == "nodes" else "SELECT src || '->' || dst AS id FROM snap WHERE ord = {0}"
+    return f"SELECT coalesce(h.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN h.id IS NULL THEN 'removed' ELSE 'same' END AS diff FROM ({one.format(3)}) b FULL JOIN ({one.format(9)}) h ON b.id = h.id"
+
+
+@query("diff_nodes", f"WITH {_SNAP} " + _diff_sql("nodes"))
+def diff_nodes(s, d):
+    return history.diff_graphs(_day(s, d, 3), _day(s, d, 9)).nodes.select("id", "diff")
+
+
+@query("diff_edges", f"WITH {_SNAP} " + _diff_sql("edges"))
+def diff_edges(s, d):
+    return history.diff_graphs(_day(s, d, 3), _day(s, d, 9)).edges.select("id", "diff")
+
+
+@query("diff_counts", f"WITH {_SNAP}, n AS ({_diff_sql('nodes')}), e AS ({_diff_sql('edges')}) " + "SELECT (SELECT count(*) FROM n WHERE diff = 'added') AS added_nodes, (SELECT count(*) FROM n WHERE diff = 'removed') AS removed_nodes, (SELECT count(*) FROM e WHERE diff = 'added') AS added_edges, (SELECT count(*) FROM e WHERE diff = 'removed') AS removed_edges")
+def diff_counts(s, d):
+    return history.diff_counts(history.diff_graphs(_day(s, d, 3), _day(s, d, 9)))
+
+
+@query("changed_scope", f"WITH {_SNAP}, n AS ({_diff_sql('nodes')}), c AS (SELECT id FROM n WHERE diff <> 'same'), e AS (SELECT src, dst FROM snap WHERE ord IN (3, 9)) " + "SELECT id FROM c UNION SELECT dst FROM e WHERE src IN (FROM c) UNION SELECT src FROM e WHERE dst IN (FROM c)")
+def changed_scope(s, d):
+    return relational.changed_scope(history.diff_graphs(_day(s, d, 3), _day(s, d, 9)))
+
+
+_DELTA = """ranks AS (SELECT ord, row_number() OVER (ORDER BY ord) AS f FROM (SELECT DISTINCT ord FROM snap)), r AS (SELECT ranks.ord, f, src, dst FROM snap JOIN ranks USING (ord)),
+ delta AS (SELECT n.ord, 'added' AS change, n.src, n.dst FROM r n WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.f = n.f - 1 AND o.src = n.src AND o.dst = n.dst)
+ UNION ALL SELECT k.ord, 'removed', o.src, o.dst FROM r o JOIN ranks k ON k.f = o.f + 1 WHERE NOT EXISTS (SELECT 1 FROM r n WHERE n.f = k.f AND o.src = n.src AND o.dst = n.dst))"""
+
+
+@query("frame_deltas", f"WITH {_SNAP}, {_DELTA} SELECT * FROM delta")
+def frame_deltas(s, d):
+    return history.deltas(tables.snapshots(s, d), ["src", "dst"])
+
+
+@query("frame_at", f"WITH {_SNAP} SELECT src, dst FROM snap WHERE ord = 12")
+def frame_at(s, d):
+    return history.frame_at(history.deltas(tables.snapshots(s, d), ["src", "dst"]), 12, ["src", "dst"])
+
+
+@query("frames", f"""WITH {_SNAP}, n AS (SELECT DISTINCT ord, id FROM (SELECT ord, src AS id FROM snap UNION ALL SELECT ord, dst FROM snap)), o AS (SELECT ord, lag(ord) OVER (ORDER BY ord) AS p, lead(ord) OVER (ORDER BY ord) AS q FROM (SELECT DISTINCT ord FROM snap))
+ SELECT o.ord, (SELECT count(*) FROM n WHERE n.ord = o.ord) AS nodes, (SELECT count(*) FROM snap WHERE snap.ord = o.ord) AS edges,
+ CASE WHEN p IS NULL THEN 0 ELSE (SELECT count(*) FROM n WHERE n.ord = o.ord AND id NOT IN (SELECT id FROM n x WHERE x.ord = o.p)) END AS added,
+ CASE WHEN p IS NULL THEN 0 ELSE (SELECT count(*) FROM n WHERE n.ord = o.p AND id NOT IN (SELECT id FROM n x WHERE x.ord = o.ord)) END AS removed FROM o""")
+def frames(s, d):
+    return history.frames(tables.snapshots(s, d))
+
+
+@query("sample_even", f"WITH {_SNAP}, c AS (SELECT DISTINCT ord FROM snap), n AS (SELECT count(*) AS n FROM c) SELECT ord FROM c WHERE ord IN (SELECT CAST(floor(i * (n - 1) / 6.0 + 0.5) AS BIGINT) FROM n, range(7) t(i))")
+def sample_even(s, d):
+    return history.sample_even(tables.snapshots(s, d).select("ord").distinct(), 7)
+
+
+@query("first_where", f"WITH {_SNAP}, k AS (SELECT DISTINCT ord FROM snap), f AS (SELECT u.src, k.ord, s.src IS NOT NULL AS holds FROM (SELECT DISTINCT src FROM snap) u CROSS JOIN k LEFT JOIN (SELECT DISTINCT src, ord FROM snap) s ON s.src = u.src AND s.ord <= k.ord) SELECT src, CASE WHEN min(ord) FILTER (WHERE holds) > min(ord) THEN min(ord) FILTER (WHERE holds) END AS first_ord FROM f GROUP BY src")
+def first_where(s, d):
+    snap = tables.snapshots(s, d)
+    seen = snap.groupBy("src").agg(F.min("ord").alias("at"))  # lasting fact: has been seen
+    facts = seen.join(F.broadcast(snap.select("ord").distinct())).withColumn("holds", F.col("ord") >= F.col("at"))  # one row a day
+    return history.first_ord(facts, ["src"])
+
+
+@query("blame")
+def blame(s, d):
+    today = tables.graph(s, d, "trade", 2).edges.select("src", "dst")
+    return history.blame_cycles(today, lambda k: today if k >= 2 else today.filter(F.pmod(F.xxhash64("src"), F.lit(3)) <= k), 4)
+
+
+# -- text --------------------------------------------------------------------------------
+_PATH = "regexp_replace(url, '^https?://', '')"
+_BASE = f"regexp_replace(list_last(string_split({_PATH}, '/')), '\\.[jt]sx?$', '')"
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return tables.table(s, d, "pages").withColumn("path", F.regexp_replace("url", r"\Ahttps?://", ""))
+
+
+@query("classify", f"""SELECT page_id, CASE WHEN regexp_matches(html, 'createContext\\s*[<(]') THEN 'context' WHEN regexp_matches(html, '\\bconfigureStore\\s*\\(') THEN 'store'
+ WHEN regexp_matches({_BASE}, '^use[A-Z]') THEN 'hook' WHEN regexp_matches({_BASE}, 'Page$') THEN 'page' WHEN regexp_matches({_PATH}, '/(pages|routes)/') THEN 'page'
+ WHEN regexp_matches({_PATH}, '/app/') AND {_BASE} IN ('page', 'layout') THEN 'page' WHEN {_PATH} LIKE '%.tsx' THEN 'component' WHEN regexp_matches(html, '\\b(fetch|axios|ky)\\s*[.(]') THEN 'api'
+ WHEN regexp_matches({_BASE}, '(?i)^(api|client|http)') OR regexp_matches({_BASE}, '(Api|Client)$') THEN 'api' ELSE 'module' END AS type FROM pages""")
+def classify(s, d):
+    return _pages(s, d).select("page_id", fx.classify(F.col("path"), F.col("html")).alias("type"))
+
+
+@query("label_for", f"SELECT page_id, CASE WHEN {_BASE} = 'index' THEN string_split({_PATH}, '/')[-2] WHEN {_BASE} IN ('page', 'layout') THEN string_split({_PATH}, '/')[-2] || '/' || {_BASE} ELSE {_BASE} END AS label FROM pages")
+def label_for(s, d):
+    return _pages(s, d).select("page_id", fx.label_for(F.col("path")).alias("label"))
+
+
+@query("cluster_for", f"SELECT page_id, CASE WHEN len(p) > 1 THEN p[1] ELSE 'src' END AS cluster FROM (SELECT page_id, string_split({_PATH}, '/') AS p FROM pages)")
+def cluster_for(s, d):
+    return _pages(s, d).select("page_id", fx.cluster_for(F.col("path")).alias("cluster"))
+
+
+@query("endpoint_extract", """SELECT DISTINCT page_id, 'api:GET ' || trim(regexp_replace(h, '\\$\\{[^}]*\\}', ':param', 'g')) AS endpoint FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)""")
+def endpoint_extract(s, d):
+    found = _pages(s, d).select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+    return found.select("page_id", F.concat(F.lit("api:GET "), fx.normalise_endpoint(F.col("h"))).alias("endpoint")).distinct()
+
+
+@query("query_key_extract", r"""SELECT event_type, trim(regexp_replace(k, '\s+', ' ', 'g')) AS query_key, count(*) AS n FROM (SELECT event_type, unnest(regexp_extract_all(props, '"([^"]+)"\s*:', 1)) AS k FROM events) GROUP BY ALL""")
+def query_key_extract(s, d):
+    keys = tables.table(s, d, "events").select("event_type", F.explode(F.regexp_extract_all("props", F.lit(r'"([^"]+)"\s*:'), F.lit(1))).alias("k"))
+    return keys.groupBy("event_type", fx.collapsed(F.col("k")).alias("query_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_DEEP = f"""WITH n AS (SELECT {_PATH} AS id, {_BASE} AS label, string_split(regexp_replace({_PATH}, '\\.[jt]sx?$', ''), '/') AS p FROM (SELECT DISTINCT url FROM pages)), clash AS (SELECT label, count(*) AS b, max(len(p)) AS m FROM n GROUP BY label HAVING count(*) > 1),
+ named AS (SELECT id, n.label, b, d, array_to_string(p[greatest(len(p) - d + 1, 1):], '/') AS name FROM n JOIN clash USING (label), range(1, 40) t(d) WHERE d <= m),
+ best AS (SELECT label, min(d) AS d FROM (SELECT label, d FROM named GROUP BY label, d, b HAVING count(DISTINCT name) = b) GROUP BY label)
+ SELECT n.id, coalesce(x.name, CASE WHEN c.label IS NULL THEN n.label ELSE array_to_string(p, '/') END) AS name FROM n LEFT JOIN clash c ON c.label = n.label LEFT JOIN best USING (label) LEFT JOIN named x ON x.id = n.id AND x.d = best.d"""
+
+
+@query("disambiguate", _DEEP)
+def disambiguate(s, d):
+    pages = _pages(s, d).select(F.col("path").alias("id")).distinct()
+    return naming.disambiguate(PropertyGraph(pages.withColumn("label", relational.base_name(F.col("id"))), pages))
+
+
+@query("nearest_cohesion", """WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+ q AS (SELECT * FROM p WHERE i % greatest(n // 40, 1) = 0), d AS (SELECT q.vec_id, q.label, arg_min(p.label, (list_sum(list_transform(list_zip(q.e, p.e), x -> (x[1] - x[2]) * (x[1] - x[2]))), p.vec_id)) AS near FROM q JOIN p ON p.vec_id <> q.vec_id GROUP BY q.vec_id, q.label)
+ SELECT label AS folder, count(*) AS sampled, round(avg(CASE WHEN near = label THEN 1.0 ELSE 0.0 END), 9) AS share FROM d GROUP BY label""")
+def nearest_cohesion(s, d):
+    points = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("folder"), F.col("embedding").cast("array<double>").alias("position"))
+    return naming.cohesion(points)
+
+
+# -- sinks ---------------------------------------------------------------------------------
+def _case(column: str, values: dict[str, str]) -> str:
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    return f"CASE {column} " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in values.items()) + " END"
+
+
+_SAFE = "nm AS (SELECT *, regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') AS safe FROM nodes), em AS (SELECT a.safe AS a, b.safe AS b, e.type FROM edges e JOIN nm a ON a.id = src JOIN nm b ON b.id = dst)"
+_MERMAID = _with("suppliers", 1, _SAFE) + " UNION ALL ".join((
+    "SELECT 'flowchart LR' AS line",
+    "SELECT DISTINCT '  subgraph folder_' || regexp_replace(cluster, '[^A-Za-z0-9_]', '_', 'g') || '[\"' || cluster || '/\"]' FROM nm",
+    f"SELECT '    ' || safe || {_case('type', {k: v[0] for k, v in diagrams.MERMAID_SHAPES.items()})} || '\"' || label || '\"' || {_case('type', {k: v[1] for k, v in diagrams.MERMAID_SHAPES.items()})} FROM nm",
+    "SELECT '  end' FROM (SELECT DISTINCT cluster FROM nm)",
+    f"SELECT '  ' || a || ' ' || {_case('type', diagrams.MERMAID_ARROWS)} || ' ' || b FROM em",
+    f"SELECT '  classDef ' || replace(type, '-', '_') || ' fill:' || c || ',stroke:' || c || ',color:#11111b' FROM (SELECT DISTINCT type, {_case('type', diagrams.COLOURS)} AS c FROM nm)",
+    "SELECT '  class ' || string_agg(safe, ',' ORDER BY safe) || ' ' || replace(type, '-', '_') FROM nm GROUP BY type",
+))
+
+
+@query("mermaid_lines", _MERMAID)
+def mermaid_lines(s, d):
+    return diagrams.mermaid(G2(s, d, 1)).select("line")
+
+
+_DOT = _with("suppliers", 1, _SAFE) + " UNION ALL ".join((
+    """SELECT unnest(['digraph "suppliers" {', '  rankdir=LR;', '  bgcolor="#1e1e2e";', '  node [style="filled", fontname="SF Mono, monospace", fontsize=11, fontcolor="#11111b"];', '  edge [fontname="SF Mono, monospace", fontsize=9, color="#6c7086"];', '}']) AS line""",
+    "SELECT DISTINCT '  subgraph cluster_folder_' || regexp_replace(cluster, '[^A-Za-z0-9_]', '_', 'g') || ' {' FROM nm",
+    "SELECT DISTINCT '    label=\"' || cluster || '/\";' FROM nm",
+    "SELECT l FROM (SELECT DISTINCT cluster, unnest(['    color=\"#45475a\"; fontcolor=\"#a6adc8\";', '  }']) AS l FROM nm)",
+    f"SELECT '    ' || safe || ' [label=\"' || label || '\", shape=' || {_case('type', diagrams.DOT_SHAPES)} || ', fillcolor=\"' || {_case('type', diagrams.COLOURS)} || '\"];' FROM nm",
+    f"SELECT '  ' || a || ' -> ' || b || ' [style=' || {_case('type', diagrams.DOT_STYLES)} || ', color=\"' || {_case('type', diagrams.EDGE_COLOURS)} || '\"];' FROM em",
+))
+
+
+@query("dot_lines", _DOT)
+def dot_lines(s, d):
+    return diagrams.dot(G2(s, d, 1)).select("line")
