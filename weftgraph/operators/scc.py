@@ -19,20 +19,23 @@ from pyspark.sql import functions as F
 from weftgraph.operators.traverse import reachable
 from weftgraph.plans.iterate import fingerprint, materialise
 
-_TRIMS = 3
 
-
-def _trim(edges: DataFrame, rounds: int = _TRIMS) -> DataFrame:
+def _trim(edges: DataFrame, rounds: int = 1) -> DataFrame:
     """Leaves out edges that cannot lie on a cycle, for a bounded number of rounds."""
     for _ in range(rounds):
-        before = edges.count()
         into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
         edges = materialise(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
-        if edges.count() == before:
-            break
     return edges
 
 
+def _jump(pointers: DataFrame) -> DataFrame:
+    """Every pointer to a chain node moves on to where that node points."""
+    step = pointers.select(F.col("id").alias("end"), F.col("end").alias("e2"), F.col("last").alias("l2"), F.col("least").alias("m2"))
+    return pointers.join(step, "end", "left").select(
+        "id", F.coalesce("e2", "end").alias("end"), F.coalesce("l2", "last").alias("last"), F.least("least", F.coalesce("m2", "least")).alias("least"), F.col("e2").isNotNull().alias("moved")
+    )
+
+
 def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges without chain nodes, chains (id, last, start, end), rings (id, scc))."""
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"), F.min("dst").alias("next"))
@@ -40,17 +43,10 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     inner = materialise(out.join(into, "id").filter("out = 1 and into = 1").select("id", "next"))
     pointers = inner.select("id", F.col("next").alias("end"), F.col("id").alias("last"), F.col("id").alias("least"))
     for _ in range(max(1, inner.count()).bit_length() + 1):
-        step = pointers.select(F.col("id").alias("end"), F.col("end").alias("e2"), F.col("last").alias("l2"), F.col("least").alias("m2"))
-        jumped = pointers.join(step, "end", "left")
-        pointers = materialise(
-            jumped.select(
-                "id", F.coalesce("e2", "end").alias("end"), F.coalesce("l2", "last").alias("last"), F.least("least", F.coalesce("m2", "least")).alias("least"), F.col("e2").isNotNull().alias("moved")
-            )
-        )
-        if pointers.filter("moved").isEmpty():
+        jumped = materialise(_jump(pointers))
+        pointers = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
             break
-        pointers = pointers.drop("moved")
-    pointers = pointers.select("id", "end", "last", "least")
     closed = pointers.join(inner.select(F.col("id").alias("end")), "end", "left_semi")
     rings = closed.select("id", F.col("least").alias("scc"))
     opened = pointers.join(closed.select("id"), "id", "left_anti")
@@ -64,8 +60,7 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _colour(edges: DataFrame) -> DataFrame:
     """(id, colour): greatest id that reaches each node."""
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    labels = materialise(ids.withColumn("colour", F.col("id")))
-    before = None
+    labels, before = ids.withColumn("colour", F.col("id")), None
     while True:
         sent = edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "colour")
         jumped = labels.join(labels.select(F.col("id").alias("colour"), F.col("colour").alias("beyond")), "colour").select("id", F.col("beyond").alias("colour"))
@@ -79,7 +74,7 @@ def _colour(edges: DataFrame) -> DataFrame:
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(id, scc) of every node in a component of two nodes or more; edges (src, dst)."""
     edges = materialise(edges.select("src", "dst").filter("src <> dst").distinct())
-    edges = _trim(edges)
+    edges = _trim(edges, 2)
     rest, chains, rings = _chains(edges)
     found = rest.select(F.col("src").alias("id"), F.col("src").alias("scc")).limit(0)
     while True:

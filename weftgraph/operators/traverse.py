@@ -30,7 +30,9 @@ def reachable(steps: DataFrame, starts: DataFrame, most: int | None = None, stop
         frontier = materialise(grown.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)).select("root", "id", "depth"))
         if frontier.isEmpty():
             break
-        seen = materialise(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # of materialised rounds; cut again now and then
+        if depth % 16 == 0:
+            seen = materialise(seen)
         if until is not None and not frontier.filter(F.col("id") == until).isEmpty():
             break
     return seen

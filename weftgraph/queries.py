@@ -337,9 +337,6 @@ def coarsen(s, d):
     return communities.coarsen(G2(s, d))
 
 
-_PARTS = "counts AS (SELECT cluster, type AS community, count(*) AS files FROM nodes GROUP BY cluster, type), whole AS (SELECT cluster, sum(files) AS whole FROM counts GROUP BY cluster)"
-
-
 @query("split_folders", _with("catalogue", 1, "member AS (SELECT id, CAST(length(label) AS VARCHAR) AS community FROM nodes), counts AS (SELECT cluster, community, count(*) AS files FROM nodes JOIN member USING (id) GROUP BY ALL), parts AS (SELECT c.* FROM counts c JOIN (SELECT cluster, sum(files) AS whole FROM counts GROUP BY cluster) w USING (cluster) WHERE files >= 3 AND files * 100 >= whole * 15)")
        + "SELECT cluster AS folder, community, files FROM parts WHERE cluster IN (SELECT cluster FROM parts GROUP BY cluster HAVING count(*) > 1)")
 def split_folders(s, d):
@@ -356,7 +353,6 @@ def merged_folders(s, d):
 
 # -- history -----------------------------------------------------------------------------
 _SNAP = "snap AS MATERIALIZED (" + tables.for_sql(tables.SNAPSHOTS) + ")"
-_DAY = "SELECT 'x' AS label, 'module' AS type, 'x' AS file, 1 AS line, 'x' AS cluster"
 
 
 def _day(s: SparkSession, d: str, ord_: int) -> PropertyGraph:
@@ -475,7 +471,7 @@ def query_key_extract(s, d):
 _DEEP = f"""WITH n AS (SELECT {_PATH} AS id, {_BASE} AS label, string_split(regexp_replace({_PATH}, '\\.[jt]sx?$', ''), '/') AS p FROM (SELECT DISTINCT url FROM pages)), clash AS (SELECT label, count(*) AS b, max(len(p)) AS m FROM n GROUP BY label HAVING count(*) > 1),
  named AS (SELECT id, n.label, b, d, array_to_string(p[greatest(len(p) - d + 1, 1):], '/') AS name FROM n JOIN clash USING (label), range(1, 40) t(d) WHERE d <= m),
  best AS (SELECT label, min(d) AS d FROM (SELECT label, d FROM named GROUP BY label, d, b HAVING count(DISTINCT name) = b) GROUP BY label)
- SELECT n.id, coalesce(x.name, CASE WHEN c.label IS NULL THEN n.label ELSE array_to_string(p, '/') END) AS name FROM n LEFT JOIN clash c ON c.label = n.label LEFT JOIN best USING (label) LEFT JOIN named x ON x.id = n.id AND x.d = best.d"""
+ SELECT n.id, coalesce(x.name, CASE WHEN c.label IS NULL THEN n.label ELSE array_to_string(p, '/') END) AS name FROM n LEFT JOIN clash c ON c.label = n.label LEFT JOIN best ON best.label = n.label LEFT JOIN named x ON x.id = n.id AND x.d = best.d"""
 
 
 @query("disambiguate", _DEEP)
@@ -485,7 +481,7 @@ def disambiguate(s, d):
 
 
 @query("nearest_cohesion", """WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
- q AS (SELECT * FROM p WHERE i % greatest(n // 40, 1) = 0), d AS (SELECT q.vec_id, q.label, arg_min(p.label, (list_sum(list_transform(list_zip(q.e, p.e), x -> (x[1] - x[2]) * (x[1] - x[2]))), p.vec_id)) AS near FROM q JOIN p ON p.vec_id <> q.vec_id GROUP BY q.vec_id, q.label)
+ q AS (SELECT * FROM p WHERE i % greatest(n // 40, 1) = 0), d AS (SELECT q.vec_id, q.label, arg_min(p.label, (list_sum(list_transform(list_zip(q.e, p.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), p.vec_id)) AS near FROM q JOIN p ON p.vec_id <> q.vec_id GROUP BY q.vec_id, q.label)
  SELECT label AS folder, count(*) AS sampled, round(avg(CASE WHEN near = label THEN 1.0 ELSE 0.0 END), 9) AS share FROM d GROUP BY label""")
 def nearest_cohesion(s, d):
     points = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("folder"), F.col("embedding").cast("array<double>").alias("position"))
