@@ -1,5 +1,23 @@
 """What the operators share."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from weftgraph.plans.iterate import materialise
 
-__all__ = ["materialise"]
+__all__ = ["materialise", "told_apart", "without"]
+
+
+def told_apart(docs: DataFrame, nulls_first: bool) -> DataFrame:
+    """(doc_id, text) in which the id also holds a hash of the text, so that rows with a null or
+    repeated id are told apart; null ids are least or greatest."""
+    known = F.col("doc_id").isNotNull() if nulls_first else F.col("doc_id").isNull()
+    text = docs["text"].cast("string")
+    return docs.select(F.struct(known.alias("known"), F.col("doc_id").alias("own"), F.xxhash64(text).alias("hash")).alias("doc_id"), text.alias("text"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``dropped`` (doc_id as made by ``told_apart``)."""
+    gone = dropped.select(F.col("doc_id.own").alias("_own"), F.col("doc_id.hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_own"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")

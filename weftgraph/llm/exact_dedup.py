@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise
+from weftgraph.llm.common import materialise, told_apart, without
 
 REMAINDERS_PER_CUT = 1 << 16
 
@@ -180,5 +180,4 @@ def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT)
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = exact_groups(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    return without(docs, exact_groups(told_apart(docs, nulls_first=True)).filter("not kept"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import shingles as sh
 from weftgraph.llm.bpe import slices
-from weftgraph.llm.common import materialise
+from weftgraph.llm.common import materialise, told_apart, without
 from weftgraph.operators.components import connected_components
 
 BLOCK_MEMBERS = 256
@@ -195,5 +195,5 @@ def jaccard_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
 
 def dedup(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents of which one of each class stays (its least doc_id), with all their columns."""
-    dropped = jaccard_classes(docs, size, threshold).filter("class_size > 1 and not (doc_id <=> class_id)").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    found = jaccard_classes(told_apart(docs, nulls_first=False), size, threshold)
+    return without(docs, found.filter("class_size > 1 and not (doc_id <=> class_id)"))

@@ -238,7 +238,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mark`` (overlapping spans: once)."""
-    found = spans(docs, rules)
+    whole = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))  # other columns may bear any name
+    found = spans(whole, rules)
     # pieces of text between spans; ``at`` is the end of what has been written so far
     text = F.col("text").cast("string")
 
@@ -252,7 +253,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
         "secret_spans", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.char_length(text)))), mark)
     )
     clean = F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))
-    return found.withColumn("text", clean).drop("secret_spans").select(*docs.columns)
+    return found.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
