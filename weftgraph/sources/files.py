@@ -51,6 +51,10 @@ def source_files(spark: SparkSession, folders: list[str], root: str, exclude: tu
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{ts,tsx}").load(folders)
     full = F.regexp_replace("path", r"\Afile:/*", "/")
     kept = files.select(full.alias("full"), F.decode("content", "UTF-8").alias("text"))
+    # Spark's file sources pass over files of no length; they are files all the same
+    hollow = [(os.path.join(d, n), "") for d in folders for n in sorted(os.listdir(d)) if n.endswith((".ts", ".tsx")) and os.path.getsize(os.path.join(d, n)) == 0]
+    if hollow:
+        kept = kept.unionByName(spark.createDataFrame(hollow, "full string, text string"))
     for part in exclude:
         kept = kept.filter(~F.contains(F.substr("full", F.lit(len(root.rstrip("/")) + 1)), F.lit(part)))
     kept = kept.filter(~F.col("full").endswith(".d.ts"))
