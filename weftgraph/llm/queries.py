@@ -72,4 +72,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _secret_sql() -> str:
+    """Spans of every rule by splitting at its matches; the rules' texts are RE2 as they stand."""
+    parts = []
+    for order, rule in enumerate(secret_scan.RULES):
+        pattern = secret_scan.java_pattern(rule).replace("'", "''")
+        parts.append(
+            f"""SELECT rowid, {order} AS kind, '{rule.kind}' AS name, gap_chars + match_chars AS start, gap_chars + match_chars + length(m[i]) AS stop FROM (
+ SELECT rowid, m, g, i, list_sum(list_transform(gap[1:i], lambda x: length(x))) AS gap_chars, coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS match_chars
+ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rowid, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS gap FROM docs)))
+ WHERE length(g[i]) >= {rule.least}"""
+        )
+    base = len(secret_scan.BASE_KINDS)
+    joined = "string_agg(name || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{kind}" for k, kind in enumerate(secret_scan.BASE_KINDS))
+    return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rowid, doc_id, coalesce(text, '') AS t FROM documents), spans AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {counts}, sha256(coalesce({joined} FILTER (WHERE kind < {base}), '')) AS base_sha256, coalesce({joined}, '') AS spans FROM docs LEFT JOIN spans USING (rowid) GROUP BY rowid, doc_id"""
+
+
+_NEAR_SQL = r"""WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+') AS w FROM documents),
+ grams AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
+ sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+ pairs AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE c * 10 >= 8 * (p.n + q.n - c)),
+ tree(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT t.a, p.b FROM tree t JOIN pairs p ON p.a = t.b),
+ named AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM tree GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM pairs WHERE a = doc_id) AS n_links, class_size FROM named"""
+
+_EXACT_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": _secret_sql(),
+    "op6_ngram_join": _NEAR_SQL,
+    "op7_exact_dedup": _EXACT_SQL,
+}
