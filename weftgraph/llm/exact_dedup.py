@@ -7,8 +7,8 @@ Filters are cut by leading quotient bits, and equal cuts merge losslessly by
 their sorted remainders, adding counts; the number of cuts follows the number
 of rows, so that a merge holds a bounded share.  A hot text is one counted
 entry of each filter.  Fingerprints with a merged count above one route their
-rows to byte verification: grouping by the whole text, which Spark combines
-before its shuffle.  Rows of all other fingerprints are unique as they are.
+rows to byte verification: grouping by the whole text, equal texts combined
+before they are shuffled.  Rows of all other fingerprints are unique as they are.
 
 Defined results: null text counts as empty; the row with the largest doc_id of
 equal texts stays (null ids are least); rows that repeat both doc_id and text
@@ -138,16 +138,35 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, fp long, text_sha256 string")
 
 
+def _order(key) -> tuple:
+    """Order of ids in Python as Spark orders them: nulls first, structs by their fields."""
+    return tuple(map(_order, key.values())) if isinstance(key, dict) else (key is not None, key)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, data, copies): equal texts of a batch as one row, with the largest id, so
+    that a hot text is a row for each batch when it meets its copies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [normalised(t) for t in batch.column(1).to_pylist()]
+            held: dict[bytes, list] = {}
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = held.setdefault(normalised(text), [key, 0])
+                found[1] += 1
+                if _order(key) > _order(found[0]):
+                    found[0] = key
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _signed([fingerprint(x) for x in data]), pa.array(data, pa.binary())], names=["doc_id", "fp", "data"]
+                [
+                    pa.array([key for key, _ in held.values()], batch.column(0).type),
+                    _signed([fingerprint(x) for x in held]),
+                    pa.array(list(held), pa.binary()),
+                    pa.array([n for _, n in held.values()], pa.int64()),
+                ],
+                names=["doc_id", "fp", "data", "copies"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, fp long, data binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, fp long, data binary, copies long")
 
 
 def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT) -> DataFrame:
@@ -163,7 +182,7 @@ def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT)
         _texts(docs)
         .join(repeats.select("fp"), "fp", "left_semi")
         .groupBy("data")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
         .filter("group_size > 1")
         .select(F.sha2("data", 256).alias("text_sha256"), "keep_id", "group_size")
     )
