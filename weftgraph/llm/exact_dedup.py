@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import materialise, told_apart, without
 
 REMAINDERS_PER_CUT = 1 << 16
+WORD_BITS = 20
 
 
 def normalised(text: str | None) -> bytes:
@@ -169,6 +170,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, fp long, data binary, copies long")
 
 
+def _routed(texts: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose fingerprint is one of ``repeats``.
+
+    A bitmap over the leading bits of the repeated fingerprints goes first: 2**WORD_BITS rows
+    of 64 bits at most, whatever the input, so it is broadcast, and most unique texts are
+    dropped where they are read.  The exact join then shuffles what passed."""
+    word = F.shiftrightunsigned("fp", 64 - WORD_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {58 - WORD_BITS}) & 63 as int))")
+    bitmap = repeats.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    passed = texts.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return passed.drop("word", "bits").join(repeats.select("fp"), "fp", "left_semi")
+
+
 def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each input row."""
     docs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
@@ -179,8 +193,7 @@ def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT)
     repeats = materialise(merged_repeats(filters(rows, quotient_bits, cut_bits), quotient_bits))
     # byte verification of the routed rows: the grouping key is the whole text
     verified = (
-        _texts(docs)
-        .join(repeats.select("fp"), "fp", "left_semi")
+        _routed(_texts(docs), repeats)
         .groupBy("data")
         .agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
         .filter("group_size > 1")
