@@ -180,7 +180,7 @@ def _routed(texts: DataFrame, repeats: DataFrame) -> DataFrame:
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {58 - WORD_BITS}) & 63 as int))")
     bitmap = repeats.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     passed = texts.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
-    return passed.drop("word", "bits").join(repeats.select("fp"), "fp", "left_semi")
+    return passed.drop("word", "bits").join(repeats.select("fp"), "fp")  # an inner join, as a semi-join would be moved below the bitmap
 
 
 def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT) -> DataFrame:
