@@ -430,7 +430,7 @@ def encoder(ranks_path: str, cache_words: int = 1_000_000) -> BpeEncoder:
     return _ENCODERS[key]
 
 
-def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about ``chars`` code points each."""
     first = total = 0
     for i, t in enumerate(texts):
