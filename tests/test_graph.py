@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import lexer
 from weftgraph.functions import text as fx
-from weftgraph.operators import communities, components, cores, doctor, history, naming, relational, rules, scc, traverse
+from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, rules, scc, traverse
 from weftgraph.plans.build import build_graph
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
@@ -309,3 +309,43 @@ def test_scalar_functions(spark):
     ).first()
     assert (row["e"], row["l"], row["s"], row["q"]) == ("/u/:param/b", 3, "a%20b%2Fc", "x" * 27 + "…")
     assert row["h"] == (97 * 31 + 98) % 24
+
+
+def test_opening_stands_on_the_weightiest_cycle(spark):
+    g = make(spark, "a>b b>c c>a a>x x>a p>q q>p lone>p")
+    assert [tuple(r) for r in lens.opening(g, 40).collect()] == [("a", "a")]
+    assert lens.opening(make(spark, "a>b b>c"), 40).collect() == []
+
+
+def test_states_and_messages(spark):
+    g = make(spark, "a>t b>t t>z", ["lone"])
+    found = rules.unique_caller(g, rules.Rule("unique-caller", "one"))
+    assert {r["id"]: r["messages"] for r in lens.messages(found).collect()} == {i: ["one (t: 2 callers)"] for i in "abt"}
+    got = lens.states(g, {"violated": lens.messages(found), "lit": relational.lit_set(g, "z"), "impact": traverse.impact(g, "t")})
+    assert {r["id"]: r["state"] for r in got.collect()} == {"a": "impact", "b": "impact", "t": "impact", "z": "lit", "lone": "rest"}
+    with pytest.raises(ValueError):
+        lens.states(g, {"unheard": g.nodes})
+    assert lens.impact_status(g, traverse.impact(g, "t")).first()[0] == "impact · 2 of 5 files would break"
+    assert lens.path_status(g, traverse.shortest_path(g, "a", "z")).first()[0] == "path · a → t → z"
+    assert lens.path_status(g, traverse.shortest_path(g, "a", "lone")).first()[0] is None
+    assert tuple(lens.screen(g, relational.lit_set(g, "z")).first()) == (2, 1)
+
+
+def test_views_and_places(spark):
+    views = [("src/a b+c.ts", None, "impact"), ("é", "y&=z", "path"), (None, None, "none"), ("n", "", "replay")]
+    rows = spark.createDataFrame(views, "node string, to string, lens string").withColumn("h", fx.view_hash(F.col("node"), F.col("to"), F.col("lens")))
+    got = [(r["h"], tuple(r["v"])) for r in rows.withColumn("v", fx.view_parts(F.col("h"))).collect()]
+    assert [v for _, v in got] == [("src/a b+c.ts", None, "impact"), ("é", "y&=z", "path"), (None, None, None), ("n", None, None)]
+    assert got[2][0] == "" and got[0][0] == "#node=src%2Fa%20b%2Bc.ts&lens=impact"
+    places = [("a.ts", "/r/", "/r/a.ts"), ("/x/a.ts", None, "/x/a.ts"), ("C:\\a.ts", "/r", "C:\\a.ts"), ("a.ts", None, None), (None, "/r", None), ("", "/r", None)]
+    rows = spark.createDataFrame(places, "f string, r string, want string").withColumn("got", fx.locate(F.col("f"), F.col("r"))).collect()
+    assert [r["got"] for r in rows] == [p[2] for p in places]
+
+
+def test_the_median_is_the_upper_one(spark):
+    for values, want in (([1.0, 2.0, 3.0, 9.0], 3.0), ([5.0, 1.0, 2.0], 2.0), ([7.0], 7.0)):
+        assert spark.createDataFrame([(v,) for v in values], "v double").agg(naming.upper_median(F.col("v"))).first()[0] == want
+    empty = spark.createDataFrame([], "x double, y double, z double")
+    assert naming.reach(empty).first()["spread"] == 60.0
+    far = spark.createDataFrame([(float(x), 0.0, 0.0) for x in (0, 0, 0, 1000)], "x double, y double, z double")
+    assert naming.reach(far).first()["spread"] == 625.0

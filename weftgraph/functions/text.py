@@ -10,6 +10,7 @@ from weftgraph.operators.relational import base_name
 # fixed values
 HTTP_CLIENTS = ("axios", "ky")
 HTTP_METHODS = ("get", "post", "put", "patch", "delete", "head")
+SHARED_LENSES = ("impact", "path", "whatif")
 QUERY_HOOKS = ("useQuery", "useSuspenseQuery", "useInfiniteQuery", "useMutation", "queryOptions", "infiniteQueryOptions")
 
 
@@ -77,3 +78,28 @@ def arrival_slot(identifier: Column, slots: int = 24) -> Column:
     """Hash of the code points with multiplier 31 in 32 bits, modulo the number of slots."""
     codes = F.transform(F.filter(F.split(identifier, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit((1 << 32) - 1)), lambda h: F.pmod(h, F.lit(slots)))
+
+
+def view_hash(node: Column, to: Column, lens: Column) -> Column:
+    """Fragment that names a view; parts that are null or empty are left out."""
+    part = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}="), share_piece(c)))
+    parts = F.concat_ws("&", part("node", node), part("to", to), F.when(lens != "none", part("lens", lens)))
+    return F.when(parts != "", F.concat(F.lit("#"), parts)).otherwise("")
+
+
+def view_parts(fragment: Column) -> Column:
+    """struct(node, to, lens) of a fragment; the last of repeated parts counts, unknown lenses are null."""
+
+    def part(name: str) -> Column:
+        found = F.regexp_extract_all(F.regexp_replace(fragment, r"\A#", ""), F.lit(rf"(?:\A|&){name}=([^&=]+)"), F.lit(1))
+        return F.try_url_decode(F.replace(F.try_element_at(found, F.lit(-1)), F.lit("+"), F.lit("%2B")))
+
+    lens = part("lens")
+    return F.struct(part("node").alias("node"), part("to").alias("to"), F.when(lens.isin(*SHARED_LENSES), lens).alias("lens"))
+
+
+def locate(file: Column, root: Column) -> Column:
+    """Absolute place of a file; null when nothing tells."""
+    absolute = file.startswith("/") | file.rlike(r"\A[A-Za-z]:[\\/]")
+    known = F.when(file == "", None).when(absolute, file)
+    return known.when(root != "", F.concat(F.regexp_replace(root, r"[/\\]\z", ""), F.lit("/"), file))

@@ -55,10 +55,10 @@ def cohesion(points: DataFrame, sample: int = 40) -> DataFrame:
     return found.groupBy("folder").agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg((F.col("folder") == F.col("of")).cast("double")), 9).alias("share"))
 
 
-def upper_median(values: Column) -> Column:
-    """Order statistic at index floor(n / 2)."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
+def upper_median(values: Column, accuracy: int = 10_000) -> Column:
+    """Order statistic at index floor(n / 2), in bounded memory: the lower median of the
+    negated values; off by a rank of n / ``accuracy`` at most."""
+    return -F.percentile_approx(-values, 0.5, accuracy)
 
 
 def folder_anchors(points: DataFrame, least_share: float = 0.5, lift: float = 3.5) -> DataFrame:
@@ -69,19 +69,19 @@ def folder_anchors(points: DataFrame, least_share: float = 0.5, lift: float = 3.
     d = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"))
     gaps = points.join(means.filter("n > 1"), "folder").withColumn("d", d)
     firm = cohesion(points.select("id", "folder", F.array(*"xyz").alias("position"))).filter(F.col("share") >= least_share).select("folder")
-    found = gaps.groupBy("folder").agg(F.min(F.struct("d", "id")).alias("a"), F.percentile(F.col("d"), F.lit(0.5)).alias("median"))
+    found = gaps.groupBy("folder").agg(F.min(F.struct("d", "id")).alias("a"), upper_median(F.col("d")).alias("median"))
     return found.join(firm, "folder", "left_semi").select("folder", F.col("a.id").alias("anchor"), F.round(F.col("median") + lift, 9).alias("height"))
 
 
 def reach(points: DataFrame) -> DataFrame:
     """(x, y, z, spread): centre of points (x, y, z), and max(40, min(furthest, 2.5 * median)) of
-    the distances from it; 60 without points."""
+    the distances from it; the origin and 60 without points."""
     centre = points.agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     d = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"))
     gaps = points.crossJoin(F.broadcast(centre)).select(d.alias("d"))  # the centre is one row
-    spread = gaps.agg(F.max("d").alias("far"), F.percentile_approx("d", 0.5, 1_000_000).alias("mid"))
-    size = F.coalesce(F.greatest(F.lit(40.0), F.least("far", F.col("mid") * 2.5)), F.lit(60.0))
-    return centre.crossJoin(F.broadcast(spread)).select(F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"), size.alias("spread"))
+    spread = gaps.agg(F.max("d").alias("far"), upper_median(F.col("d"), 1_000_000).alias("mid"))
+    size = F.when(F.col("far").isNull(), 60.0).otherwise(F.greatest(F.lit(40.0), F.least("far", F.col("mid") * 2.5)))
+    return centre.crossJoin(F.broadcast(spread)).select(*(F.coalesce(f"m{c}", F.lit(0.0)).alias(c) for c in "xyz"), size.alias("spread"))
 
 
 def label_box(text: Column, font: Column) -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as fx
-from weftgraph.operators import communities, components, cores, doctor, history, naming, relational, rules, scc, traverse
+from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, rules, scc, traverse
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import tables
@@ -212,6 +212,14 @@ def shortest_path(s, d):
     return traverse.shortest_path(G2(s, d), FOCUS, TARGET)
 
 
+@query("path_edges", _UNDIRECTED[:-1] + f""", chain(hop, id) AS (SELECT depth, id FROM dist WHERE id = '{TARGET}'
+ UNION ALL SELECT c.hop - 1, (SELECT min(b) FROM both_ways JOIN dist ON dist.id = b WHERE a = c.id AND dist.depth = c.hop - 1) FROM chain c WHERE c.hop > 0)
+ SELECT p.hop, min(e.id) AS edge FROM chain p JOIN chain q ON q.hop = p.hop + 1 JOIN edges e ON (e.src = p.id AND e.dst = q.id) OR (e.src = q.id AND e.dst = p.id) GROUP BY p.hop""")
+def path_edges(s, d):
+    g = G2(s, d)
+    return traverse.path_edges(g, traverse.shortest_path(g, FOCUS, TARGET))
+
+
 @query("farthest", _UNDIRECTED + "SELECT id, depth FROM dist ORDER BY depth DESC, id LIMIT 1")
 def farthest(s, d):
     return traverse.farthest(G2(s, d), FOCUS)
@@ -300,11 +308,82 @@ def coreness(s, d):
     return cores.coreness(G2(s, d))
 
 
-@query("skeleton")
+_SKELETON = ", ".join((
+    _TRAFFIC, "calm AS (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM traffic))",
+    "both_ways AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst) WHERE a IN (FROM calm) AND b IN (FROM calm))",
+    _CORE, "shells AS MATERIALIZED (SELECT calm.id, coalesce(h.core, 0) AS core FROM calm LEFT JOIN h ON h.id = calm.id AND h.k = 30)",
+    "fits AS (SELECT k FROM range(1, 100) t(k) WHERE k <= (SELECT max(core) FROM shells) AND (SELECT count(*) FROM shells WHERE core >= k) <= 40)",
+))
+
+
+@query("skeleton", _with("suppliers", 2, _SKELETON, True) + "SELECT id FROM nodes WHERE (SELECT count(*) FROM nodes) <= 40 OR id IN (SELECT id FROM shells WHERE core >= coalesce((SELECT min(k) FROM fits), (SELECT max(core) FROM shells)))")
 def skeleton(s, d):
     return cores.skeleton(G2(s, d), 40)
 
 
+# -- views -------------------------------------------------------------------------------
+_UNIQUE = """callers AS MATERIALIZED (SELECT dst, 'one caller only (' || n.label || ': ' || count(*) || ' callers)' AS message FROM edges JOIN nodes n ON n.id = dst GROUP BY dst, n.label HAVING count(*) > 1),
+ marked AS (SELECT dst AS id, message FROM callers UNION SELECT e.src, message FROM callers JOIN edges e USING (dst))"""
+
+
+def _callers(g: PropertyGraph) -> DataFrame:
+    return rules.unique_caller(g, rules.Rule("unique-caller", "one caller only"))
+
+
+@query("violation_messages", _with("suppliers", 1, _UNIQUE) + "SELECT id, string_agg(message, ' | ' ORDER BY message) AS messages FROM marked GROUP BY id")
+def violation_messages(s, d):
+    return lens.messages(_callers(G2(s, d, 1))).select("id", F.array_join("messages", " | ").alias("messages"))
+
+
+@query("edge_messages", _with("suppliers", 1, _UNIQUE) + "SELECT e.id, message FROM edges e JOIN callers USING (dst)")
+def edge_messages(s, d):
+    return lens.messages(_callers(G2(s, d, 1)), "edge_ids").select("id", F.array_join("messages", " | ").alias("message"))
+
+
+_IMPACTED = f"SELECT a FROM walk WHERE b = '{FOCUS}' UNION SELECT '{FOCUS}'"
+
+
+@query("lens_states", _with("suppliers", 1, ", ".join((_BOTH, _UNIQUE, _REACH)), True) + f"SELECT id, CASE WHEN id IN ({_IMPACTED}) THEN 'impact' WHEN id IN (SELECT id FROM marked) THEN 'violated' WHEN id IN (SELECT b FROM both_ways WHERE a = '{FOCUS}') THEN 'lit' ELSE 'rest' END AS state FROM nodes")
+def lens_states(s, d):
+    g = G2(s, d, 1)
+    return lens.states(g, {"impact": traverse.impact(g, FOCUS), "violated": lens.messages(_callers(g)), "lit": relational.lit_set(g, FOCUS)})
+
+
+@query("impact_status", _with("suppliers", 1, _REACH, True) + f"SELECT 'impact · ' || (SELECT count(*) - 1 FROM ({_IMPACTED})) || ' of ' || (SELECT count(*) FROM nodes) || ' files would break' AS status")
+def impact_status(s, d):
+    g = G2(s, d, 1)
+    return lens.impact_status(g, traverse.impact(g, FOCUS))
+
+
+@query("screen_counts", _with("suppliers", more=_BOTH) + f"SELECT count(*) AS files, count(DISTINCT cluster) AS folders FROM nodes WHERE id = '{FOCUS}' OR id IN (SELECT b FROM both_ways WHERE a = '{FOCUS}')")
+def screen_counts(s, d):
+    g = G2(s, d)
+    return lens.screen(g, relational.lit_set(g, FOCUS))
+
+
+@query("opening")
+def opening(s, d):
+    return lens.opening(G2(s, d, 1), 40)
+
+
+@query("district_radius", W1 + "SELECT cluster, round(2.2 + 1.5 * sqrt(count(*)), 9) AS radius FROM nodes GROUP BY cluster")
+def district_radius(s, d):
+    return relational.clusters(G1(s, d)).select("cluster", lens.district_radius(F.col("size")).alias("radius"))
+
+
+@query("link_radius", W1 + "SELECT src_cluster, dst_cluster, round(least(0.12 + 0.14 * log2(weight + 1), 0.85), 9) AS radius FROM (" + _ROLLUP.format("") + ")")
+def link_radius(s, d):
+    return relational.folder_rollup(G1(s, d)).select("src_cluster", "dst_cluster", lens.link_radius(F.col("weight")).alias("radius"))
+
+
+@query("reach", """WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), c AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p),
+ g AS (SELECT list_sort(list(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)))) AS d FROM p, c)
+ SELECT round(cx, 6) AS x, round(cy, 6) AS y, round(cz, 6) AS z, round(greatest(40, least(d[-1], 2.5 * d[len(d) // 2 + 1])), 6) AS spread FROM c, g""")
+def reach(s, d):
+    axes = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")]
+    return naming.reach(tables.table(s, d, "embeddings").select(axes)).select(*(F.round(c, 6).alias(c) for c in ("x", "y", "z", "spread")))
+
+
 _MODULARITY = """, total AS (SELECT count(*) AS m FROM edges WHERE src <> dst),
  ends AS (SELECT x.community AS cs, y.community AS cd FROM edges JOIN member x ON x.id = src JOIN member y ON y.id = dst WHERE src <> dst),
  sums AS (SELECT community, sum(t) AS t, sum(i) AS i FROM (SELECT cs AS community, 1 AS t, CASE WHEN cs = cd THEN 1 ELSE 0 END AS i FROM ends UNION ALL SELECT cd, 1, 0 FROM ends) GROUP BY community)
