@@ -504,3 +504,61 @@ def test_lm_score(spark, docs, empty, reference):
         assert r["target_loss"] == pytest.approx(near(ids), rel=1e-4) and r["background_loss"] == pytest.approx(far(ids), rel=1e-4)
         assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"])
     assert rows_of(lm_score.score(empty, empty, empty, RANKS, v)) == []
+
+
+def test_lm_score_of_the_whole_corpus(spark, docs, empty):
+    target = spark.createDataFrame([("the house of the rabbit",), (None,)], "text string")
+    enc = bpe.encoder(RANKS)
+
+    def tokens(t):
+        return enc.encode_batch([t or ""])[0].tolist()
+
+    def model(texts):
+        n, history = Counter(), Counter()
+        for t in texts:
+            ids = [-1, -1, *tokens(t)]
+            for i in range(2, len(ids)):
+                for order in (1, 2, 3):
+                    n[tuple(ids[i - order + 1 : i + 1])] += 1
+                    history[tuple(ids[i - order + 1 : i])] += 1
+
+        def loss(ids):
+            ids, s = [-1, -1, *ids], 0.0
+            for i in range(2, len(ids)):
+                p = 1 / len(enc.ranks)
+                for order, prior in ((1, len(enc.ranks)), (2, lm_score.PRIOR), (3, lm_score.PRIOR)):
+                    p = (n[tuple(ids[i - order + 1 : i + 1])] + prior * p) / (history[tuple(ids[i - order + 1 : i])] + prior)
+                s -= np.log(p)
+            return s / (len(ids) - 2)
+
+        return loss
+
+    texts = dict(ROWS)
+    background = spark.createDataFrame([(t,) for _, t in ROWS[20:]], "text string")
+    for given, corpus in ((docs, ROWS), (background, ROWS[20:])):
+        near, far = model(["the house of the rabbit"]), model([t for _, t in corpus])
+        out = lm_score.score_corpus(docs, target, given, RANKS, slice_chars=3000).collect()  # many slices and buckets
+        assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in ROWS)
+        for r in (r for r in out if r["doc_id"] is not None):
+            ids = tokens(texts[r["doc_id"]])
+            assert r["n_tokens"] == len(ids)
+            if not ids:
+                assert r["score"] is None
+                continue
+            assert r["target_loss"] == pytest.approx(near(ids)) and r["background_loss"] == pytest.approx(far(ids))
+            assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"])
+    assert rows_of(lm_score.score_corpus(empty, empty, empty, RANKS)) == []
+
+
+def test_lm_score_query_learns_rare_words_and_longer_contexts(spark, tmp_path):
+    """Texts that differ from the target by the order of whole words, and by words past the first 2,048 entries."""
+    from weftgraph.llm.queries import QUERIES
+
+    rng = random.Random(5)
+    words = ["xylophone", "quarterback", "zeppelin", "marmalade", "hypothesis", "labyrinth"]
+    line = lambda pool: " ".join(rng.choice(pool) for _ in range(40))
+    rows = [(i, line(words)) for i in range(40)] + [(100 + i, line(["of the house", "by the river"])) for i in range(20)] + [(200 + i, line(["of the river", "by the house"])) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, line(["of the house", "by the river"])) for i in range(20)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    score = {r["doc_id"]: r["score"] for r in QUERIES["op10_lm_score"](spark, str(tmp_path)).collect()}
+    assert max(score[100 + i] for i in range(20)) < min(score[200 + i] for i in range(20)) < min(score[i] for i in range(40))

@@ -56,7 +56,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, table(spark, sf_dir, "benchmark"), docs, ranks_path())
+    return lm_score.score_corpus(docs, table(spark, sf_dir, "benchmark"), docs, ranks_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
