@@ -242,6 +242,18 @@ def test_sharding_by_given_links(spark):
     assert set(Counter(shard.values()).values()) == {16}
 
 
+@pytest.mark.parametrize("linked", [0.9, 1.0])
+def test_sharding_keeps_groups_where_most_rows_are_linked(spark, linked):
+    n = 1600
+    rows = [(i, f"text {i % 320}" if i < linked * n else f"single {i}") for i in range(n)]
+    out = rows_of(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16))
+    used, text = defaultdict(set), dict(rows)
+    for r in out:
+        used[text[r[0]]].add(r[4])
+    assert sum(len(v) > 1 for v in used.values()) <= 15  # the borders between shards
+    assert set(Counter(r[4] for r in out).values()) == {n // 16}
+
+
 # -- 5: languages ------------------------------------------------------------------------------
 LANGUAGES = {"aa": "the house and the garden of the old king went to sea", "bb": "der alte könig und das haus am großen meer schläft", "cc": "la vieja casa del rey junto al mar azul duerme"}
 

@@ -3,16 +3,16 @@
 Method.  Documents start on shards dealt by hash.  Each round joins links with
 the current labels; a document follows the most frequent shard among its
 leaders (linked documents of higher degree, ties to the smaller id), so labels
-flow one way and settle in as many rounds as the deepest chain.  Moves into a
-shard are admitted up to its capacity for linked documents (an equal share of
-all rows); unlinked documents give way.  A group of copies above that capacity
-is split beforehand into blocks with a leader each.  At the end documents are
-ranked by (shard, place, leader, id), unlinked ones on both ends of a shard,
-and the ranks are cut into equal runs: counts differ by one at most, and each
-of the borders cuts one group at most.
+flow one way and settle in as many rounds as the deepest chain (two for equal
+texts); rounds end when no document moves.  Moves have no quota, which would
+leave followers behind where most rows are linked; balance comes from the last
+step: documents are ranked by (shard, place, leader, id), unlinked ones on both
+ends of a shard, and the ranks are cut into equal runs, so that counts differ
+by one at most and each of the borders cuts one group at most.  A group of
+copies above a quarter of a shard is split beforehand into blocks with a
+leader each.
 
-Only DataFrame functions run; what the driver sees is one row for each pair of
-shards.
+Only DataFrame functions run; what the driver sees is one number a round.
 
 Defined results: null text counts as empty (size 1); equal texts are linked;
 repeated rows and null ids are rows of their own; an empty table gives an
@@ -49,23 +49,20 @@ def _leading(links: DataFrame) -> DataFrame:
     return ends.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("follower"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("leader"))
 
 
-def propagate(rows: DataFrame, links: DataFrame, shards: int, capacity: int, rounds: int = 3) -> DataFrame:
-    """(rid, label, leader) of rows (rid): labels after the rounds; leader is null for unlinked rows."""
+def propagate(rows: DataFrame, links: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
+    """(rid, label, leader) of rows (rid): labels when no row moves, or after ``rounds``; leader is null for unlinked rows."""
     leading = materialise(_leading(links))
     linked = leading.select(F.col("follower").alias("rid")).unionByName(leading.select(F.col("leader").alias("rid"))).distinct()
     labels = materialise(linked.withColumn("label", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")))
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
         votes = leading.join(labels.withColumnRenamed("rid", "leader"), "leader").groupBy("follower", "label").agg(F.count(F.lit(1)).alias("votes"))
         wish = votes.groupBy(F.col("follower").alias("rid")).agg(F.max(F.struct("votes", (-F.col("label")).alias("label"))).alias("best"))
         moves = materialise(labels.join(wish.select("rid", (-F.col("best.label")).alias("target")), "rid", "left").withColumn("target", F.coalesce("target", "label")))
-        flow = {(r["label"], r["target"]): r["n"] for r in moves.groupBy("label", "target").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if all(a == b for a, b in flow):
+        labels = moves.select("rid", F.col("target").alias("label"))
+        done += 1
+        if not moves.filter("label <> target").count():
             break
-        held = [sum(n for (a, _), n in flow.items() if a == s) for s in range(shards)]
-        wanted = [sum(n for (a, b), n in flow.items() if b == s and a != s) for s in range(shards)]
-        share = F.element_at(F.array(*(F.lit(min(1.0, max(0, capacity - held[s]) / max(1, wanted[s]))) for s in range(shards))), F.col("target") + 1)
-        admitted = F.pmod(F.xxhash64("rid", F.lit("admit")), F.lit(1 << 20)) < share * (1 << 20)
-        labels = materialise(moves.select("rid", F.when(admitted, F.col("target")).otherwise(F.col("label")).alias("label")))
     leader = leading.groupBy(F.col("follower").alias("rid")).agg(F.min("leader").alias("leader"))
     found = labels.join(leader, "rid", "left").select("rid", "label", F.coalesce("leader", "rid").alias("leader"))
     return rows.select("rid").join(found, "rid", "left").select("rid", F.coalesce("label", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")).alias("label"), "leader")
@@ -81,7 +78,7 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "place", "before")
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 3, links: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, rounds: int | None = None, links: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard); law ``rows``: counts at most one apart.
 
     ``links`` (src, dst: doc ids) replaces the links of equal texts."""
@@ -106,7 +103,7 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 3, links: DataFrame |
             .filter("a <> b")
             .select(F.col("a").alias("src"), F.col("b").alias("dst"))
         )
-    labels = propagate(rows, edges, shards, capacity, rounds)
+    labels = propagate(rows, edges, shards, rounds)
     side = F.when(F.col("leader").isNotNull(), 1).otherwise(F.pmod(F.xxhash64("rid", F.lit("side")), F.lit(2)) * 2).cast("int")
     order = rows.join(labels, "rid").select("doc_id", "size", "text_crc32", "rid", "label", side.alias("side"), F.coalesce("leader", "rid").alias("leader"))
     out = ranked(order, "label", "side", "leader", "rid")
