@@ -133,6 +133,18 @@ def test_packing(docs, empty):
     assert rows_of(packing.pack(empty, RANKS)) == []
 
 
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    end = "<|endoftext|>"
+    texts = [f"end {end} here", end, end + end, f"{end} a{end}b  {end}", "plain", "", "<|endof", None]
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*hf.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), RANKS).collect()
+    assert Counter(i for i in want for _ in want[i]) == Counter(r["doc_id"] for r in out for _ in range(r["length"]))
+    for r in out:
+        ids = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(want[r["doc_id"]]) and zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) == r["ids_crc32"]
+
+
 def test_packer_follows_the_sum_of_squares_rule():
     rng = random.Random(4)
     packer = packing.SumOfSquaresPacker(32, 10**6)

@@ -9,6 +9,9 @@ the end of a task (or at that bound) the open windows are joined and cut anew
 into whole windows; what is left over is cut at powers of two, which need no
 padding.  Tasks pack on their own and nothing is shuffled.
 
+Ids are those of the public library with its default setting: a text is split at the
+added tokens of the ranks' JSON file, each of which is one id.
+
 Defined results: null text counts as empty (its one token is the end id);
 texts of any length are cut; repeated rows are packed as separate documents;
 a null doc_id is carried along.  An empty table gives an empty result.
@@ -16,6 +19,8 @@ a null doc_id is carried along.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.bpe import encoder, slices
+from weftgraph.llm.bpe import BpeEncoder, encoder, slices
 
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -95,11 +100,34 @@ class SumOfSquaresPacker:
         self.sequence += 1
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Ids of the added tokens, from the JSON file beside the ranks."""
+    with open(ranks_path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encode_with_added(enc: BpeEncoder, texts: list[str], added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode_batch``, but with texts split at the added tokens."""
+    if not any(token in t for token in added for t in texts):
+        return enc.encode_batch(texts)
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [pattern.split(t) for t in texts]  # text, token, text, ... text
+    ids, counts = enc.encode_batch([p for own in parts for p in own[::2]])
+    tokens = np.array([added[p] for own in parts for p in own[1::2]], np.int32)
+    pieces = np.array([len(own[::2]) for own in parts])
+    last = np.cumsum(pieces) - 1
+    inner = np.ones(len(counts), bool)
+    inner[last] = False  # a token follows every piece but the last of a text
+    ends = np.cumsum(counts)
+    return np.insert(ids, ends[inner], tokens), np.add.reduceat(counts + inner, last - pieces + 1)
+
+
 def pack(docs: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0, max_open: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A sequence id is unique in the result: the task's number and a count."""
     kind = docs.schema[id_col].dataType.simpleString()
+    added = added_tokens(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
@@ -119,7 +147,7 @@ def pack(docs: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0,
             keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                ids, counts = enc.encode_batch(texts[a:b])
+                ids, counts = encode_with_added(enc, texts[a:b], added)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
                 at = 0
