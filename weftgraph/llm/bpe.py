@@ -7,9 +7,11 @@ character to the next word) form a finite automaton over those classes; its
 transition functions generate a small monoid, so the state before every
 character is an associative prefix scan, done block-wise in numpy with one
 composition-table gather per character.  No regular expression runs.  The
-slices between boundaries are looked up in a bounded word cache; the words
-that miss are merged together, one vectorised round per merge rank.  Token
-byte lengths tile each text, so offsets and decoding are exact.
+slices between boundaries are looked up by hash in a bounded word cache, and
+every hit is compared with the word it stands for; the words that miss, and
+those whose hash belongs to another word, are merged together, one vectorised
+round per merge rank.  Token byte lengths tile each text, so offsets and
+decoding are exact.
 
 Defined results: null text counts as empty (no ids); an empty text has no ids;
 texts may be arbitrarily long; repeated rows give repeated results.
@@ -27,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftgraph.llm.hashing import run_hashes
+
 # character classes
 LETTER, NUMBER, OTHER, SPACE_LAST, WS_LAST, WS_MID, APOS_1, APOS_2, SEP = range(9)
 # automaton states (what the previous character left behind)
@@ -127,35 +131,6 @@ def _exclusive_scan(elements: np.ndarray, width: int = 64) -> np.ndarray:
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = np.ones(1, np.uint64)
-_BASE = 0x5851F42D4C957F2D
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(base))]), dtype=np.uint64)
-
-
-def word_hashes(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each word, from one prefix sum over all of them."""
-    global _POWERS, _INVERSE
-    n = len(cps)
-    if len(_POWERS) < n:
-        _POWERS, _INVERSE = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-    with np.errstate(over="ignore"):
-        x = cps.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x *= _POWERS[:n]
-        np.cumsum(x, out=x)
-        ends = x[np.append(starts[1:], n) - 1]
-        h = ends.copy()
-        h[1:] -= ends[:-1]
-        return h * _INVERSE[starts]
-
-
 def word_starts(cps: np.ndarray, separators: np.ndarray) -> np.ndarray:
     """Positions (code points) at which words start; every separator position
     is a word of its own and isolates what stands on its two sides."""
@@ -250,13 +225,14 @@ class BpeEncoder:
             todo = todo[~hit & (held != np.uint64(2**64 - 1))]
         return out
 
-    # -- word cache: 64-bit word hashes in an open-addressing table -------------
+    # -- word cache: words and their ids, found by 64-bit hashes in an open-addressing table --
     def _clear(self) -> None:
-        self._count = self._used = 0
-        self._pool = np.zeros(1 << 16, np.int32)
+        self._count = self._used = self._chars_used = 0
+        self._pool = np.zeros(1 << 16, np.int32)  # ids of the words
+        self._chars = np.zeros(1 << 16, np.uint32)  # code points of the words
         self._word_key = np.zeros(1 << 14, np.uint64)
-        self._offset = np.zeros(1 << 14, np.int32)
-        self._length = np.zeros(1 << 14, np.int32)
+        self._offset, self._length = np.zeros((2, 1 << 14), np.int32)
+        self._char_offset, self._char_length = np.zeros((2, 1 << 14), np.int32)
         self._table_bits = int(self.cache_words * 5 // 2).bit_length()
         self._table = np.full(1 << self._table_bits, -1, np.int32)
 
@@ -264,6 +240,7 @@ class BpeEncoder:
         """Past the bound: the older half of the words stays (frequent words come early)."""
         self._count //= 2
         self._used = int(self._offset[self._count - 1] + self._length[self._count - 1])
+        self._chars_used = int(self._char_offset[self._count - 1] + self._char_length[self._count - 1])
         self._table.fill(-1)
         self._insert(np.arange(self._count))
 
@@ -292,23 +269,41 @@ class BpeEncoder:
             todo, at = todo[on], at[on]
         return out
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+    def _add(self, keys: np.ndarray, words: list[str], findable: bool = True) -> np.ndarray:
+        """Entries of new words; those not ``findable`` serve the batch at hand only."""
         ids, lengths = self.merge_words([w.encode("utf-8", "surrogatepass") for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(w) for w in words], np.int64)
         base, end = self._count, self._count + len(words)
         grow = lambda a, n: np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)]) if n > len(a) else a
         self._pool = grow(self._pool, self._used + len(ids))
+        self._chars = grow(self._chars, self._chars_used + len(chars))
         self._word_key, self._offset, self._length = (grow(a, end) for a in (self._word_key, self._offset, self._length))
+        self._char_offset, self._char_length = (grow(a, end) for a in (self._char_offset, self._char_length))
         self._pool[self._used : self._used + len(ids)] = ids
+        self._chars[self._chars_used : self._chars_used + len(chars)] = chars
         self._word_key[base:end] = keys
-        self._length[base:end] = lengths
+        self._length[base:end], self._char_length[base:end] = lengths, sizes
         self._offset[base:end] = self._used + np.cumsum(lengths) - lengths
+        self._char_offset[base:end] = self._chars_used + np.cumsum(sizes) - sizes
         self._used += len(ids)
+        self._chars_used += len(chars)
         self._count = end
-        if end * 2 > len(self._table):  # one batch with more new words than the bound
-            self._table_bits = (end * 4).bit_length()
-            self._table = np.full(1 << self._table_bits, -1, np.int32)
-            base = 0
-        self._insert(np.arange(base, end))
+        added = np.arange(base, end)
+        if findable:
+            if end * 2 > len(self._table):  # one batch with more new words than the bound
+                self._table_bits = (end * 4).bit_length()
+                self._table = np.full(1 << self._table_bits, -1, np.int32)
+                base = 0
+            self._insert(np.arange(base, end))
+        return added
+
+    def _different(self, entry: np.ndarray, cps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """True for words that are not the word of their cache entry."""
+        wrong = self._char_length[entry] != sizes
+        held = self._chars.take(np.repeat(self._char_offset[entry] - starts, sizes) + np.arange(len(cps)), mode="clip")
+        wrong[np.searchsorted(starts, np.flatnonzero(held != cps), "right") - 1] = True
+        return wrong
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, concatenated, and the id count of each."""
@@ -390,19 +385,24 @@ class BpeEncoder:
         text = "\n".join(texts) + "\n"
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = word_starts(cps, ends)
-        keys = word_hashes(cps, starts)
+        stops = np.append(starts[1:], len(cps))
+        keys = run_hashes(cps, stops - starts)
         at = np.searchsorted(starts, ends)
-        is_sep = np.zeros(len(starts), bool)
-        is_sep[at] = True
         entry = self._find(keys)
         entry[at] = 0
         missed = np.flatnonzero(entry < 0)
+        word = lambda own: [text[a:b] for a, b in zip(starts[own].tolist(), stops[own].tolist(), strict=True)]
         if len(missed):
             new, first = np.unique(keys[missed], return_index=True)
-            stop = np.append(starts[1:], len(cps))
-            own = missed[first]
-            self._add(new, [text[a:b] for a, b in zip(starts[own].tolist(), stop[own].tolist(), strict=True)])
+            self._add(new, word(missed[first]))
             entry[missed] = self._find(keys[missed])
+        wrong = self._different(entry, cps, starts, stops - starts)
+        wrong[at] = False
+        other = np.flatnonzero(wrong)
+        if len(other):
+            plain = {w: i for i, w in enumerate(dict.fromkeys(word(other)))}
+            added = self._add(np.zeros(len(plain), np.uint64), list(plain), findable=False)
+            entry[other] = added[[plain[w] for w in word(other)]]
         lengths = self._length[entry]
         lengths[at] = 0
         total = np.cumsum(lengths, dtype=np.int64)
@@ -481,7 +481,8 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
 
 def digests(docs: DataFrame, ranks_path: str, cache_words: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass;
+    token offsets cut the decoded bytes of a slice into those of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, cache_words)
@@ -492,12 +493,12 @@ def digests(docs: DataFrame, ranks_path: str, cache_words: int = 1_000_000) -> D
             text_sha: list[str] = []
             for a, b in slices(texts):
                 ids, counts = enc.encode_batch(texts[a:b])
-                flat, at = ids.tolist(), 0
-                for n in counts.tolist():
-                    own = flat[at : at + n]
-                    at += n
-                    ids_sha.append(hashlib.sha256(" ".join(map(enc.decimal.__getitem__, own)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(enc.decode(own)).hexdigest())
+                flat, at, ends = ids.tolist(), 0, np.cumsum(counts)
+                data, offsets, begin = enc.decode(flat), enc.offsets(ids)[ends].tolist(), 0
+                for end, stop in zip(ends.tolist(), offsets, strict=True):
+                    ids_sha.append(hashlib.sha256(" ".join(map(enc.decimal.__getitem__, flat[at:end])).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(data[begin:stop]).hexdigest())
+                    at, begin = end, stop
                 counts_all.append(counts)
             n_tokens = np.concatenate(counts_all) if counts_all else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
 
+from weftgraph.llm.hashing import mix, run_hashes
+
 _WORD: np.ndarray | None = None
-_BASE = 0x5851F42D4C957F2D
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = np.ones(1, np.uint64)
 
 
 def word_table() -> np.ndarray:
@@ -21,34 +21,32 @@ def word_table() -> np.ndarray:
     return _WORD
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(base))]), dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that scatters."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and the number of words of each text."""
-    global _POWERS, _INVERSE
+def _marked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all texts, which are inside words, word starts, word ends, the end of each text)."""
     low = [t.lower() for t in texts]
-    text = "\n".join(low) + "\n"
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cps = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = word_table()[cps]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last character is no word
-    n = len(cps)
-    if len(_POWERS) < n:
-        _POWERS, _INVERSE = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(cps.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * _POWERS[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _INVERSE[starts])
-    stops = np.cumsum([len(t) + 1 for t in low])
-    return hashes, np.diff(np.searchsorted(starts, stops), prepend=0)
+    return cps, inside, starts, ends, np.cumsum([len(t) + 1 for t in low])
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and the number of words of each text."""
+    cps, inside, starts, ends, stops = _marked(texts)
+    return run_hashes(cps[inside], ends - starts), np.diff(np.searchsorted(starts, stops), prepend=0)
+
+
+def words_and_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, and a 128-bit cryptographic digest of each text's words themselves, as two columns."""
+    cps, inside, starts, ends, stops = _marked(texts)
+    kept = inside.copy()
+    kept[ends] = True  # what follows a word parts it from the next
+    plain = np.where(inside, cps, 0)[kept].tobytes()
+    at = np.concatenate([[0], np.cumsum(kept)[stops - 1] * 4]).tolist()
+    digests = b"".join(hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True))
+    counts = np.diff(np.searchsorted(starts, stops), prepend=0)
+    return run_hashes(cps[inside], ends - starts), counts, np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +67,6 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.
     return (mix(out) if n else out), number
 
 
-def sequence_digest(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """128-bit hash of each text's sequence of words, as two columns."""
-    n = len(hashes)
-    first = np.cumsum(counts) - counts
-    place = (np.arange(n) - np.repeat(first, counts)).astype(np.uint64)
-    out = np.zeros((len(counts), 2), np.uint64)
-    full = np.flatnonzero(counts)
-    for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-        x = mix(hashes ^ mix(place + np.uint64(salt)))
-        if len(full):
-            out[full, k] = np.add.reduceat(x, first[full])
-    return out
-
-
 def multipliers(k: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, k, np.uint64) * np.uint64(2) + np.uint64(1)
 
