@@ -4,10 +4,15 @@ Each task keeps a level array ``counts[h]`` = number of partly filled windows
 holding ``h`` tokens.  A document first yields whole windows; its remainder of
 ``r`` tokens goes to the fill level ``h`` (0 opens a window) for which the sum
 of squared counts after the move is least, ties to the fullest.  A full window
-leaves at once, so only the open windows are held: at most ``max_open``.  At
-the end of a task (or at that bound) the open windows are joined and cut anew
-into whole windows; what is left over is cut at powers of two, which need no
-padding.  Tasks pack on their own and nothing is shuffled.
+leaves at once, so only the open windows are held.  At the end of a task the
+open windows stay as the rule put them, padded, unless they are filled to less
+than ``least_fill``: the tokens of those few are cut anew into whole windows,
+and what is left over at powers of two, which need no padding.  Tasks pack on
+their own and nothing is shuffled; the share of padding falls as tasks grow,
+since what is open at their ends grows more slowly than what they pack.
+
+``max_open`` bounds the memory of a task and thereby changes where documents go:
+past it, the fullest open window leaves as it is.
 
 Ids are those of the public library with its default setting: a text is split at the
 added tokens of the ranks' JSON file, each of which is one id.
@@ -37,11 +42,12 @@ COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
 class SumOfSquaresPacker:
     """Online packer of one task; pieces are (key, start, ids, doc_tokens)."""
 
-    def __init__(self, window: int = 1024, max_open: int = 4096, first_sequence: int = 0):
-        self.window, self.max_open, self.sequence = window, max_open, first_sequence
+    def __init__(self, window: int = 1024, max_open: int = 4096, first_sequence: int = 0, least_fill: float = 0.75):
+        self.window, self.max_open, self.sequence, self.least_fill = window, max_open, first_sequence, least_fill
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.done: list[tuple] = []  # (key, start, length, crc, doc_tokens, sequence, offset)
+        self.by_rule = self.cut_anew = 0  # windows with a remainder, by what filled them
 
     def level(self, size: int) -> int:
         """Fill level for a remainder of ``size`` tokens (0: a new window)."""
@@ -69,16 +75,22 @@ class SumOfSquaresPacker:
             self.counts[h] -= 1
         pieces.append((key, whole, ids[whole:], n))
         if h + size == w:
-            self._emit(pieces)
+            self._leave(pieces)
         else:
             self.open[h + size].append(pieces)
             self.counts[h + size] += 1
             if self.counts.sum() > self.max_open:
-                self.close()
+                fullest = int(np.flatnonzero(self.counts)[-1])
+                self.counts[fullest] -= 1
+                self._leave(self.open[fullest].pop(0))
 
     def close(self) -> None:
-        """Cuts what is open anew: whole windows, then powers of two."""
-        pieces = [p for level in reversed(self.open) for window in level for p in window]
+        """Well-filled windows leave as they are; the rest is cut anew: whole windows, then powers of two."""
+        least = int(np.ceil(self.least_fill * self.window))
+        for level in self.open[least:]:
+            for pieces in level:
+                self._leave(pieces)
+        pieces = [p for level in reversed(self.open[:least]) for window in level for p in window]
         left = sum(len(p[2]) for p in pieces)
         self.open = [[] for _ in range(self.window + 1)]
         self.counts[:] = 0
@@ -90,8 +102,13 @@ class SumOfSquaresPacker:
                 start, ids, room, left = start + len(part), ids[len(part) :], room - len(part), left - len(part)
                 if not room:
                     self._emit(held)
+                    self.cut_anew += 1
                     room, held = min(self.window, 1 << max(left.bit_length() - 1, 0)), []
 
+    def _leave(self, pieces: list[tuple]) -> None:
+        self.by_rule += 1
+        self._emit(pieces)
+
     def _emit(self, pieces: list[tuple]) -> None:
         offset = 0
         for key, start, ids, n in pieces:
@@ -122,7 +139,7 @@ def encode_with_added(enc: BpeEncoder, texts: list[str], added: dict[str, int])
     return np.insert(ids, ends[inner], tokens), np.add.reduceat(counts + inner, last - pieces + 1)
 
 
-def pack(docs: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0, max_open: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0, max_open: int = 4096, least_fill: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A sequence id is unique in the result: the task's number and a count."""
@@ -132,7 +149,7 @@ def pack(docs: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         context = TaskContext.get()
-        packer = SumOfSquaresPacker(window, max_open, (context.partitionId() if context else 0) << 40)
+        packer = SumOfSquaresPacker(window, max_open, (context.partitionId() if context else 0) << 40, least_fill)
         id_type = None
 
         def flush() -> pa.RecordBatch:
