@@ -73,10 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _secret_sql() -> str:
-    """Spans of every rule by splitting at its matches; the rules' texts are RE2 as they stand."""
+    """Spans of every rule by splitting at its matches."""
     parts = []
     for order, rule in enumerate(secret_scan.RULES):
-        pattern = secret_scan.java_pattern(rule).replace("'", "''")
+        pattern = secret_scan.either_case(secret_scan.java_pattern(rule)).replace("'", "''")
         parts.append(
             f"""SELECT rowid, {order} AS kind, '{rule.kind}' AS name, gap_chars + match_chars AS start, gap_chars + match_chars + length(m[i]) AS stop FROM (
  SELECT rowid, m, g, i, list_sum(list_transform(gap[1:i], lambda x: length(x))) AS gap_chars, coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS match_chars

@@ -9,7 +9,12 @@ are verified with the rule's regular expression.  Rules without a mandatory
 trigram scan every text.
 
 Spans are code point offsets, end exclusive: the pieces between matches and the
-matches themselves give every position by a running sum.
+matches themselves give every position by a running sum.  Sums and cuts run in
+chunks, as appending to an array copies it, so that the work on a text of many
+matches stays close to its size.
+
+Letters "in either case" are ASCII letters in either case: no other character
+folds to one of them (the long s and the Kelvin sign do not).
 
 Defined results: null text counts as empty; texts of any length are scanned
 whole; rows repeating a doc_id are each scanned (their trigrams are pooled,
@@ -176,25 +181,55 @@ def _bound(value: Column, body) -> Column:
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+_CHUNK = 100
+
+
+def _in_chunks(n: Column, kind: str, step, advance, prepare=None) -> Column:
+    """The array of ``kind`` gathered by ``step(acc, i, ready)`` over i = 0 .. n - 1, whose accumulator is
+    (at: int, out: array), and last ``at``: struct(at, out).  ``advance(at, first, last)`` is ``at`` after
+    a chunk of steps, so that chunks start on their own; ``prepare(at, first, last)`` is ``ready``,
+    computed once a chunk."""
+    last_of = lambda c: F.least((c + 1) * _CHUNK, n) - 1
+    chunks = F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int"))
+    starts = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(advance(F.element_at(acc, -1), c * _CHUNK, last_of(c)))))
+
+    def gathered(at: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            first, last, begin = c * _CHUNK, last_of(c), F.get(at, c)
+            run = lambda ready: F.aggregate(
+                F.sequence(first, last), F.struct(begin.alias("at"), F.array().cast(kind).alias("out")), lambda acc, i: step(acc, i, ready), lambda acc: acc["out"]
+            )
+            return _bound(prepare(begin, first, last), run) if prepare else run(None)
+
+        return F.struct(F.element_at(at, -1).alias("at"), F.flatten(F.transform(chunks, chunk)).alias("out"))
+
+    return _bound(starts, gathered)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of the rule's matches in one text, in order."""
     pattern = F.lit(java_pattern(rule))
     counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else None
-    found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, java_pattern(rule), -1).alias("gap"), (counted if counted is not None else F.array().cast("array<string>")).alias("g"))
+    sizes = lambda a: F.transform(a, F.char_length)
+    found = F.struct(
+        sizes(F.regexp_extract_all(text, pattern, F.lit(0))).alias("m"),
+        sizes(F.split(text, java_pattern(rule), -1)).alias("gap"),
+        sizes(counted if counted is not None else F.array().cast("array<string>")).alias("g"),
+    )
 
     def positions(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(x["gap"], i))
-            end = start + F.char_length(F.get(x["m"], i))
-            size = F.char_length(F.get(x["g" if rule.group else "m"], i))
+        def advance(at: Column, first: Column, last: Column) -> Column:
+            total = lambda a: F.aggregate(F.slice(a, first + 1, last - first + 1), F.lit(0), lambda t, size: t + size)
+            return at + total(x["gap"]) + total(x["m"])
+
+        def step(acc: Column, i: Column, _) -> Column:
+            start = acc["at"] + F.get(x["gap"], i)
+            end = start + F.get(x["m"], i)
             one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.when(size >= rule.least, one).otherwise(F.array().cast(_SPAN))).alias("out"))
+            wanted = F.get(x["g" if rule.group else "m"], i) >= rule.least
+            return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-        return F.when(
-            F.size(x["m"]) > 0,
-            F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), none, step, lambda acc: acc["out"]),
-        ).otherwise(F.array().cast(_SPAN))
+        return F.when(F.size(x["m"]) > 0, _in_chunks(F.size(x["m"]), _SPAN, step, advance)["out"]).otherwise(F.array().cast(_SPAN))
 
     return _bound(found, positions)
 
@@ -204,6 +239,15 @@ def java_pattern(rule: Rule) -> str:
     return f"[0-9a-f]{{{rule.least},}}" if rule.pattern == "[0-9a-f]+" else rule.pattern
 
 
+def either_case(pattern: str) -> str:
+    """A pattern that begins with (?i) in a form for engines whose (?i) folds more than ASCII:
+    every letter outside of classes and escapes as a class of its two cases."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    pieces = re.findall(r"\\x[0-9a-f]{2}|\\.|\[[^\]]*\]|.", pattern[4:])
+    return "".join(f"[{p.lower()}{p.upper()}]" if p.isascii() and p.isalpha() else p for p in pieces)
+
+
 def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with column ``secret_spans``: array of (start, kind: place in rules, end), in order."""
     found = candidates(docs.select("doc_id", "text"), rules)
@@ -243,15 +287,21 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     # pieces of text between spans; ``at`` is the end of what has been written so far
     text = F.col("text").cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+    def advance(at: Column, first: Column, last: Column) -> Column:
+        return F.greatest(at, F.array_max(F.transform(F.slice("secret_spans", first + 1, last - first + 1), lambda s: s["end"])))
+
+    def part(at: Column, first: Column, last: Column) -> Column:
+        """What a chunk of spans covers: cutting from it costs no search through the whole text."""
+        return F.struct(at.alias("base"), F.substr(text, at + 1, advance(at, first, last) - at).alias("part"))
+
+    def step(acc: Column, i: Column, ready: Column) -> Column:
+        s = F.get("secret_spans", i)
+        gap = F.substr(ready["part"], acc["at"] - ready["base"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         covered = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(
-        "secret_spans", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.char_length(text)))), mark)
-    )
+    pieces = _in_chunks(F.size("secret_spans"), "array<string>", step, advance, part)
+    clean = _bound(pieces, lambda x: F.array_join(F.concat(x["out"], F.array(F.substr(text, x["at"] + 1, F.char_length(text)))), mark))
     clean = F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))
     return found.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
@@ -260,7 +310,7 @@ def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple
     """The same spans by scanning one text with every rule (for tests)."""
     found = []
     for order, rule in enumerate(rules):
-        for m in re.finditer(rule.pattern, text or ""):
+        for m in re.finditer(rule.pattern, text or "", re.ASCII):
             if len(m[rule.group]) >= rule.least:
                 found.append((m.start(), order, m.end()))
     return [(rules[k].kind, a, b) for a, k, b in sorted(found)]
