@@ -16,8 +16,15 @@ def told_apart(docs: DataFrame, nulls_first: bool) -> DataFrame:
     return docs.select(F.struct(known.alias("known"), F.col("doc_id").alias("own"), F.xxhash64(text).alias("hash")).alias("doc_id"), text.alias("text"))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``dropped`` (doc_id as made by ``told_apart``)."""
-    gone = dropped.select(F.col("doc_id.own").alias("_own"), F.col("doc_id.hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["_own"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
-    return docs.join(gone, same, "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``dropped``, and with one row for each of ``repeated`` (both doc_id as
+    made by ``told_apart``): rows that repeat both id and text are one document each time they are kept."""
+    keys = lambda df: df.select(F.col("doc_id.own").alias("_own"), F.col("doc_id.hash").alias("_hash")).distinct()
+    same = lambda gone: docs["doc_id"].eqNullSafe(gone["_own"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
+    if repeated.isEmpty():
+        gone = keys(dropped)
+        return docs.join(gone, same(gone), "left_anti")
+    once = keys(repeated)
+    gone = keys(dropped).unionByName(once).distinct()
+    one = docs.join(once, same(once), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(gone, same(gone), "left_anti").unionByName(one)

@@ -211,5 +211,7 @@ def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    return without(docs, exact_groups(told_apart(docs, nulls_first=True)).filter("not kept"))
+    """The documents that stay, with all their columns: one of each group, also where rows repeat id and text."""
+    found = materialise(exact_groups(told_apart(docs, nulls_first=True)).filter("group_size > 1").select("doc_id", "kept"))
+    repeated = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return without(docs, found.filter("not kept"), repeated)

@@ -6,11 +6,19 @@ as one).  Documents with the same words are one class, whose representative
 goes on.  Signatures are cut into bands; the number of bands and rows follows
 from the wanted recall at the threshold.  Band hashes are shuffled, and each
 bucket links its members to its least member, so a bucket costs as many rows as
-members.  Connected buckets form candidate components.  A component's members
-meet in blocks of bounded size, every block with every other, and a block pair
+members.  Connected buckets form candidate components.  A component of bounded
+size is one block.  A larger one, which may be no more than a chain of buckets, is
+clustered along its links until clusters would fill a block, and clusters are cut
+into blocks; two blocks meet if some bucket has members in both, so every two
+members of a bucket meet, and the ends of a chain do not.  A pair of blocks
 computes all its Jaccard values on the full sets in memory: it returns a count
 of links for each member and a spanning forest of the links, never the pairs.
-Links join up to classes by connected components.
+Links join up to classes by connected components.  Within one class of texts that
+are all alike, every block meets every other: links are counted exactly, so that
+work grows with the square of such a class.
+
+Documents with the same words are told by a cryptographic digest of the words;
+n-grams are 64-bit hashes of hashes of words, in which no pattern cancels.
 
 Defined results: null text counts as empty; a text without words has no
 n-grams and no links; repeated rows and copies are linked to each other; null
@@ -58,9 +66,8 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                hashes, counts = sh.words(texts[a:b])
+                hashes, counts, digest = sh.words_and_digests(texts[a:b])
                 grams, number = sh.shingles(hashes, counts, size)
-                digest = sh.sequence_digest(hashes, counts).view(np.int64)
                 banded = sh.band_hashes(sh.minhash(grams, number, factors), rows).view(np.int64)
                 banded = pa.ListArray.from_arrays(np.arange(0, banded.size + 1, bands, dtype=np.int32), banded.ravel())
                 yield pa.RecordBatch.from_arrays(
@@ -79,9 +86,8 @@ def gram_sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                hashes, counts = sh.words(texts[a:b])
+                hashes, counts, digest = sh.words_and_digests(texts[a:b])
                 grams, number = sh.shingles(hashes, counts, size)
-                digest = sh.sequence_digest(hashes, counts).view(np.int64)
                 ends = np.cumsum(number)
                 sets = [np.unique(grams[e - n : e]).view(np.int64) for e, n in zip(ends.tolist(), number.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -146,6 +152,48 @@ def block_links(table: pa.Table, threshold: float) -> pa.Table:
     )
 
 
+def _clusters(members: DataFrame, near: DataFrame, rounds: int = 6) -> DataFrame:
+    """(rep, cluster) of members (rep, n): clusters below half a block join a neighbour along the links of
+    ``near`` that comes before them in an order drawn anew each round (larger ones first), if it stays itself."""
+    links = materialise(near.join(members.select(F.col("rep").alias("src")), "src").select("src", "dst"))
+    state = materialise(members.select("rep", "n", F.col("rep").alias("cluster")))
+    for k in range(rounds):
+        sizes = state.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
+        small = (F.col("m") * 2 < BLOCK_MEMBERS) & (F.col("grams") * 2 < BLOCK_GRAMS)
+        order = materialise(sizes.select("cluster", F.struct(small.alias("small"), F.xxhash64("cluster", F.lit(k)).alias("draw"), "cluster").alias("place")))
+        ends = [state.select(F.col("rep").alias(c), F.col("cluster").alias(f"c_{c}")) for c in ("src", "dst")]
+        across = links.join(ends[0], "src").join(ends[1], "dst").filter("c_src <> c_dst").select(F.col("c_src").alias("cluster"), F.col("c_dst").alias("to")).distinct()
+        across = across.unionByName(across.select(F.col("to").alias("cluster"), F.col("cluster").alias("to")))
+        least = across.join(order.select(F.col("cluster").alias("to"), F.col("place").alias("best")), "to").groupBy("cluster").agg(F.min("best").alias("best"))
+        wishes = materialise(order.join(least, "cluster").filter("place.small and best < place").select("cluster", F.col("best.cluster").alias("to")))
+        if wishes.isEmpty():
+            break
+        moves = wishes.join(wishes.select(F.col("cluster").alias("to")), "to", "left_anti")
+        state = materialise(state.join(moves, "cluster", "left").select("rep", "n", F.coalesce("to", "cluster").alias("cluster")))
+    return state.select("rep", "cluster")
+
+
+def _blocks(members: DataFrame, near: DataFrame, banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their block, (block, bi, bj): the pairs of blocks that each block takes part in)."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
+    sizes = materialise(sizes.withColumn("large", (F.col("m") > BLOCK_MEMBERS) | (F.col("grams") > BLOCK_GRAMS)))
+    small = materialise(members.join(sizes.filter("not large").select("component"), "component").withColumn("block", F.col("component")))
+    alone = small.select("block").distinct().select("block", F.col("block").alias("bi"), F.col("block").alias("bj"))
+    if sizes.filter("large").isEmpty():
+        return small, alone
+    large = materialise(members.join(sizes.filter("large").select("component"), "component"))
+    clustered = large.join(_clusters(large, near), "rep")
+    parts = clustered.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts"))
+    placed = clustered.join(parts, "cluster").withColumn("block", F.xxhash64("component", "cluster", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    placed = materialise(placed.select(*members.columns, "block"))
+    held = materialise(banded.join(placed.select("rep", "block"), "rep").select("band", "block").distinct())
+    meet = held.join(held.select("band", F.col("block").alias("other")), "band").filter("block < other").select(F.col("block").alias("bi"), F.col("other").alias("bj")).distinct()
+    own = placed.select(F.col("block").alias("bi"), F.col("block").alias("bj")).distinct()
+    meet = materialise(meet.unionByName(own))
+    either = meet.select(F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"), "bi", "bj")
+    return small.unionByName(placed), alone.unionByName(either)
+
+
 def jaccard_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """(doc_id, class_id, n_links, class_size) for every row: the class is the connected
     component of the links with Jaccard similarity ``threshold`` or more, named by its least
@@ -166,22 +214,12 @@ def jaccard_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "hub")
     near = banded.join(buckets, "band").filter("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst")).distinct()
     component = materialise(connected_components(near).select(F.col("id").alias("rep"), "component"))
-    # blocks of each component
     members = component.join(reps.select("rep", "doc_id", "d0", "d1", "n", "weight"), "rep")
-    blocks = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
-    number = F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("grams") / BLOCK_GRAMS))
-    number = F.least(number, F.col("m"))
-    placed = materialise(
-        members.join(blocks.select("component", number.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    )
+    placed, pairs = _blocks(members, near, banded)
     wanted = placed.select("doc_id").distinct()
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     sets = gram_sets(texts, size).dropDuplicates(["d0", "d1"]).select("d0", "d1", "grams")
-    meets = (
-        placed.join(sets, ["d0", "d1"])
-        .withColumn("other_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("component", F.least("block", "other_block").alias("bi"), F.greatest("block", "other_block").alias("bj"), "block", "rep", "weight", "grams")
-    )
+    meets = placed.join(sets, ["d0", "d1"]).join(pairs, "block").select("component", "bi", "bj", "block", "rep", "weight", "grams")
     found = materialise(
         meets.groupBy("component", "bi", "bj").applyInArrow(lambda table: block_links(table, threshold), "rep long, other long, links long")
     )
@@ -194,6 +232,9 @@ def jaccard_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
 
 
 def dedup(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents of which one of each class stays (its least doc_id), with all their columns."""
+    """The documents of which one of each class stays (its least doc_id), with all their columns; where
+    rows repeat id and text, one of them."""
     found = jaccard_classes(told_apart(docs, nulls_first=False), size, threshold)
-    return without(docs, found.filter("class_size > 1 and not (doc_id <=> class_id)"))
+    found = materialise(found.filter("class_size > 1").select("doc_id", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")))
+    repeated = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return without(docs, found.filter("not kept"), repeated)
