@@ -18,7 +18,9 @@ logical stream that names the unpadded length.
 
 Defined results: null text counts as empty (one block of padding); equal texts
 have equal media; texts may be of any length; repeated rows give repeated
-results; extra columns are ignored.
+results; extra columns are ignored.  Media that are null, or that have lost a page
+of their headers or of their data, have null values but for the size and digest of
+what is stored and the number of bad pages.
 """
 
 from __future__ import annotations
@@ -179,14 +181,16 @@ class Sound:
     media: Media
 
 
-def load(data: bytes) -> Sound:
-    """Reads what ``store`` wrote."""
+def load(data: bytes) -> tuple[Sound | None, Media]:
+    """Reads what ``store`` wrote; no sound if a page is bad, a stream is missing or does not end."""
     media = demultiplex(data)
-    sound = next(s for s in media.streams.values() if s.packets and s.packets[0].startswith(b"PCM     "))
-    length = next(s for s in media.streams.values() if s.packets and s.packets[0].startswith(b"length\0\0"))
+    named = {name: s for s in media.streams.values() for name in (b"PCM     ", b"length\0\0") if s.packets and s.packets[0].startswith(name)}
+    sound, length = named.get(b"PCM     "), named.get(b"length\0\0")
+    if media.bad_pages or sound is None or length is None or not (sound.ended and length.ended) or len(length.packets) < 2:
+        return None, media
     rate = _PCM.unpack(sound.packets[0])[4]
     times = packet_times(sound, [0, 0, *(len(p) for p in sound.packets[2:])], rate)
-    return Sound(b"".join(sound.packets[2:]), int(length.packets[1]), rate, times, media)
+    return Sound(b"".join(sound.packets[2:]), int(length.packets[1]), rate, times, media), media
 
 
 def feature(sound: Sound) -> str:
@@ -216,22 +220,28 @@ def write_media(docs: DataFrame) -> DataFrame:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the stored bytes."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, bad_pages)
+    from the stored bytes."""
     kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def row(data: bytes) -> tuple:
-        sound = load(data)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bad_pages"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 8
+        sound, media = load(data)
+        stored = (len(data), hashlib.sha256(data).hexdigest())
+        if sound is None:
+            return (None, None, None, None, *stored, None, media.bad_pages)
         x = sound.samples
-        return sound.n_bytes, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(sound)
+        return sound.n_bytes, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-16:]), *stored, feature(sound), 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*map(row, batch.column(1).to_pylist()), strict=True)) or [[]] * 7
+            rows = list(zip(*map(row, batch.column(1).to_pylist()), strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], names=names)
 
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bad_pages long"
     return media.select("doc_id", "media").mapInArrow(run, schema)
 
 
