@@ -4,15 +4,18 @@ Method.  Each text has a vector of surface statistics.  A small network scores
 it and minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 over trusted positives and unlabelled web text, with the sigmoid loss; where
-the negative part falls below zero, its gradient is reversed.  The class prior
-is estimated from the share of good texts among the learning labels; the
-negative labels serve for nothing else.
+the negative part falls below zero, its gradient is reversed.  The class prior is
+estimated from the same two samples: half of each trains a network, and on the
+other halves the share of unlabelled texts above a threshold, over the share of
+positives above it, bounds the prior from above; the threshold with the least
+confidence bound gives the estimate.  Negative labels serve for nothing.
 
 Bounds: at most about ``sample_rows`` positives and as many unlabelled rows,
-drawn by a hash of doc_id, meet the driver, as vectors of fixed length.
+drawn by a hash of doc_id, meet the driver, as vectors of fixed length.  Unlabelled
+are the documents on the learning side, whether they bear a label or not.
 
 Defined results: null text counts as empty; every text has a score in 0..1; no
-positives: every score is 0.5; repeated rows have equal scores; an empty table
+positives or no documents to learn from: every score is 0.5; repeated rows have equal scores; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import LETTER, NUMBER, WS_MID, _classes, slices
 from weftgraph.llm.langid import fold
-from weftgraph.llm.shingles import mix, words
+from weftgraph.llm.hashing import mix
+from weftgraph.llm.shingles import words
 
 SAMPLE_ROWS = 5_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -101,6 +105,7 @@ class Model:
     w2: np.ndarray
     b2: float
     prior: float
+    turned: int = 0  # steps whose gradient was reversed
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability-like score of label 1."""
@@ -108,6 +113,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(h @ self.w2 + self.b2, -30, 30)))
 
 
+def _forward(p: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.tanh(x @ p[0] + p[1])
+    return h, 1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30)))  # sigmoid loss: 1 - s for label 1, s for label 0
+
+
+def risks(p: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * R_p(+), R_u(-) - prior * R_p(-)): positive and negative part of the risk."""
+    sp, su = _forward(p, xp)[1], _forward(p, xu)[1]
+    return float(prior * (1 - sp).mean()), float(su.mean() - prior * sp.mean())
+
+
+def gradient(p: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[list[np.ndarray], bool]:
+    """(direction that a step goes against, is it reversed): the gradient of the risk while its
+    negative part is not below zero, else that of the negative part, turned round."""
+    x, k = np.concatenate([xp, xu]), len(xp)
+    h, s = _forward(p, x)
+    slope = s * (1 - s)
+    turned = bool(s[k:].mean() - prior * s[:k].mean() < 0)
+    dg = np.empty(len(x))
+    if turned:
+        dg[:k], dg[k:] = prior * slope[:k] / k, -slope[k:] / len(xu)
+    else:
+        dg[:k], dg[k:] = -2 * prior * slope[:k] / k, slope[k:] / len(xu)
+    dh = np.outer(dg, p[2]) * (1 - h * h)
+    return [x.T @ dh, dh.sum(0), h.T @ dg, np.array([dg.sum()])], turned
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 300, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Model | None:
     """Minimises the non-negative unbiased risk by full-batch Adam."""
     if not len(positive) or not len(unlabelled):
@@ -118,28 +150,35 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, both.shape[1] ** -0.5, (both.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    x = np.concatenate([xp, xu])
-    k = len(xp)
+    reversals = 0
     for step in range(1, steps + 1):
-        h = np.tanh(x @ p[0] + p[1])
-        g = h @ p[2] + p[3][0]
-        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # sigmoid loss: 1 - s for label 1, s for label 0
-        slope = s * (1 - s)
-        negative = s[k:].mean() - prior * s[:k].mean()
-        dg = np.zeros(len(x))
-        if negative >= 0:
-            dg[:k] = -2 * prior * slope[:k] / k
-            dg[k:] = slope[k:] / len(xu)
-        else:  # step back from the negative part
-            dg[:k] = prior * slope[:k] / k
-            dg[k:] = -slope[k:] / len(xu)
-        dh = np.outer(dg, p[2]) * (1 - h * h)
-        grads = [x.T @ dh + decay * p[0], dh.sum(0), h.T @ dg + decay * p[2], np.array([dg.sum()])]
+        grads, turned = gradient(p, xp, xu, prior)
+        reversals += turned
+        grads = [d + decay * a if a.ndim == 2 or a is p[2] else d for d, a in zip(grads, p, strict=True)]
         for i, d in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.999 * v[i] + 0.001 * d * d
             p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, p[0], p[1], p[2], float(p[3][0]), prior)
+    return Model(mean, scale, p[0], p[1], p[2], float(p[3][0]), prior, reversals)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.9) -> float:
+    """Share of positives among unlabelled texts, within 0.02 and 0.98.
+
+    Above any threshold there are at most q_u / q_p positives for one unlabelled text; where a
+    network has put positives alone, that is the prior itself."""
+    order = lambda x: x[np.random.default_rng(3).permutation(len(x))]
+    (p1, p2), (u1, u2) = (np.array_split(order(x), 2) for x in (positive, unlabelled))
+    model = fit(p1, u1, 0.5) if len(p2) and len(u2) else None
+    if model is None:
+        return 0.5
+    sp, su = np.sort(model.score(p2.astype(np.float64))), np.sort(model.score(u2.astype(np.float64)))
+    above = lambda s: (len(s) - np.searchsorted(s, sp)) / len(s)
+    qp, qu = above(sp), above(su)
+    slack = lambda n: np.sqrt(np.log(4 / (1 - confidence)) / (2 * n))
+    bound = np.where(qp > slack(len(sp)), (qu + slack(len(su))) / np.maximum(qp - slack(len(sp)), 1e-9), np.inf)
+    best = int(np.argmin(bound))
+    return float(np.clip(qu[best] / qp[best], 0.02, 0.98)) if np.isfinite(bound[best]) else float(np.clip(qu[0] / qp[0], 0.02, 0.98))
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -164,21 +203,19 @@ def _drawn(df: DataFrame, rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits on the labels of learning rows and on documents without any label."""
+    """Fits on the positive labels of learning rows and on the texts of learning rows."""
     known = labels.filter(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n, good = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
-    if not good:
-        return None
-    prior = min(0.98, max(0.02, good / n))
     positive = _drawn(known.filter("quality = 1").select("doc_id"), sample_rows)
-    free = _drawn(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti"), sample_rows)
+    free = _drawn(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id"), sample_rows)
     marked = positive.withColumn("p", F.lit(1)).unionByName(free.withColumn("p", F.lit(0)))  # bounded by the draw
     chosen = docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id", "p").distinct()), "doc_id")
     xs = {1: [], 0: []}
     found = vectors(chosen.select(F.concat_ws(":", "p", F.col("doc_id").cast("string")).alias("doc_id"), "text"))
     for r in found.collect():
-        xs[int(r["doc_id"][0])].append(r["x"])
-    return fit(np.array(xs[1], np.float32).reshape(-1, N_FEATURES), np.array(xs[0], np.float32).reshape(-1, N_FEATURES), prior)
+        xs[int(r["doc_id"][0])].append((r["doc_id"], r["x"]))
+    # rows come in any order; sorted, a model depends on the data alone
+    positives, unlabelled = (np.array([x for _, x in sorted(xs[k])], np.float32).reshape(-1, N_FEATURES) for k in (1, 0))
+    return fit(positives, unlabelled, estimate_prior(positives, unlabelled)) if len(positives) and len(unlabelled) else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
