@@ -1,12 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
-Method.  ``score_corpus`` (the query): texts become tokens of the full byte-level
-BPE (every text can be written in it, so nothing is unknown), and n-grams of
-orders 1 to 3, with marks for the beginning of a text, are counted over all
-background and all target texts.  Both models interpolate the orders with a
-Dirichlet prior each: p(x | h) = (n(h x) + PRIOR * p(x | shorter h)) / (n(h) + PRIOR),
-add-one at order 1.  A document's score is the mean over its tokens of target
-loss minus background loss: the lower, the closer to the target.
+Method.  Texts become tokens of the full byte-level BPE (every text can be written in
+it, so nothing is unknown), and n-grams of orders 1 to 3, with marks for the beginning
+of a text, are counted over all background and all target texts.  Both models share
+vocabulary, orders and smoothing: they interpolate the orders with a Dirichlet prior
+each: p(x | h) = (n(h x) + PRIOR * p(x | shorter h)) / (n(h) + PRIOR), add-one at
+order 1.  A document's score is the mean over its tokens of target loss minus
+background loss: the lower, the closer to the target.
+
+Where the documents scored are the background itself, each is scored by the counts of
+all the others (its own are taken off), as the target's model has not seen it either.
+``background_weight`` scales the background's counts: with the target's share of all
+tokens, both models smooth as if they had been learnt from texts of one size; 1, the
+default, uses all that the background holds.
 
 The table of n-grams is distributed and grows with the input; nothing of it meets
 the driver.  Documents are read in slices of about ``SLICE`` characters; a slice
@@ -16,13 +22,9 @@ asked for; the slice scores its documents with them.  A frequent n-gram is one
 entry a slice, and the number of buckets follows the size of the input, so that
 slices and buckets stay of bounded size.
 
-``score`` is the bounded form for a small ``vocabulary``: bigrams of its first
-entries in a dense table, interpolated with unigrams (Witten-Bell) over add-one
-unigrams; (vocabulary + 1) * vocabulary entries at most, whatever the input.
-
 Defined results: null text counts as empty; a text without tokens has null
 losses and a null score; an empty target or background gives uniform losses;
-repeated rows have equal scores and count each time; an empty table gives an
+repeated rows have equal scores, and of each the others count; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -38,102 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.bpe import BpeEncoder, encoder, slices
+from weftgraph.llm.bpe import encoder, slices
 
-VOCABULARY = 2_048
 ORDER = 3
 PRIOR = 4.0
 SLICE = 1 << 22
 _START = 0xFFFF  # beginning of a text
-_ENCODERS: dict[tuple[str, int], BpeEncoder] = {}
-
-
-def _encoder(ranks_path: str, vocabulary: int) -> BpeEncoder:
-    key = (ranks_path, vocabulary)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = BpeEncoder(ranks_path, vocabulary=vocabulary)
-    return _ENCODERS[key]
-
-
-def _bigrams(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Index of each token's bigram: (token before, or ``vocabulary`` at the beginning) * vocabulary + token."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[(np.cumsum(counts) - counts)[counts > 0]] = vocabulary
-    return before * vocabulary + ids
-
-
-def bigram_counts(texts: DataFrame, ranks_path: str, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(bigram, n) over all rows of column ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks_path, vocabulary)
-        total = np.zeros((vocabulary + 1) * vocabulary, np.int64)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts):
-                ids, counts = enc.encode_batch(texts[a:b])
-                keys, n = np.unique(_bigrams(ids, counts, vocabulary), return_counts=True)
-                total[keys] += n
-        keys = np.flatnonzero(total)
-        for k in range(0, len(keys), 1 << 18):
-            part = keys[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bigram", "n"])
-
-    parts = texts.select(texts["text"].cast("string").alias("text")).mapInArrow(run, "bigram int, n long")
-    return parts.groupBy("bigram").agg(F.sum("n").alias("n"))
-
-
-def losses(keys: np.ndarray, n: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Loss in nats of every bigram, flat, float32."""
-    counts = np.zeros((vocabulary + 1, vocabulary), np.float32)
-    counts.ravel()[keys] = n
-    unigram = counts.sum(0, dtype=np.float64) + 1
-    unigram /= unigram.sum()
-    context = counts.sum(1, dtype=np.float64)
-    kinds = np.count_nonzero(counts, axis=1).astype(np.float64)
-    back = np.where(context > 0, kinds / np.maximum(context + kinds, 1), 1.0)
-    out = np.empty(counts.shape, np.float32)
-    for row in range(vocabulary + 1):
-        out[row] = -np.log(counts[row] / max(context[row], 1) * (1 - back[row]) + back[row] * unigram)
-    return out.ravel()
-
-
-def _table(texts: DataFrame, ranks_path: str, vocabulary: int) -> np.ndarray:
-    """Loss table of one model; its entries, bounded by the vocabulary, come to the driver."""
-    found = bigram_counts(texts, ranks_path, vocabulary).toArrow()
-    return losses(found.column("bigram").to_numpy(), found.column("n").to_numpy(), vocabulary)
-
-
-def score(docs: DataFrame, target: DataFrame, background: DataFrame, ranks_path: str, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of ``docs``."""
-    context = docs.sparkSession.sparkContext
-    tables = context.broadcast((_table(target, ranks_path, vocabulary), _table(background, ranks_path, vocabulary)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks_path, vocabulary)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids, counts = enc.encode_batch(texts[a:b])
-                at = _bigrams(ids, counts, vocabulary)
-                full = np.flatnonzero(counts)
-                first = (np.cumsum(counts) - counts)[full]
-                columns = []
-                for table in tables.value:
-                    mean = np.full(b - a, np.nan)
-                    if len(full):
-                        mean[full] = np.add.reduceat(table[at], first, dtype=np.float64) / counts[full]
-                    columns.append(mean)
-                columns.append(columns[0] - columns[1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), *(pa.array(c, mask=counts == 0) for c in columns)],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
 
 
 class NgramSlice:
@@ -175,15 +87,29 @@ class NgramSlice:
         order = np.argsort(bucket, kind="stable")
         return keys, order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
-    def token_losses(self, events: np.ndarray, histories: np.ndarray, vocabulary: int) -> np.ndarray:
-        """Loss in nats of every token by corpus counts of all keys (as ``sent`` lists them)."""
+    def token_losses(self, events: np.ndarray, histories: np.ndarray, vocabulary: int, without_own: bool = False, weight: float = 1.0) -> np.ndarray:
+        """Loss in nats of every token by corpus counts of all keys (as ``sent`` lists them);
+        ``without_own``: each text's own counts are taken off first."""
         bounds = np.cumsum([0, *(len(k) for k in self.keys)])
-        p = np.full(len(self.keys[-1]), 1 / vocabulary)
+        of = np.repeat(np.arange(len(self.counts)), self.counts)
+        at = [self.position]  # place of every token's n-gram in the keys of each order
+        for lower in self.lower[:-1]:
+            at.append(lower[at[-1]])
+        p = np.full(len(of), 1 / vocabulary)
         for i in range(ORDER - 1, -1, -1):
             prior = vocabulary if i == ORDER - 1 else PRIOR
-            above, history = events[bounds[i] : bounds[i + 1]], histories[bounds[i + 1] : bounds[i + 2]]
-            p = (above + prior * p[self.lower[i]]) / (history[self.context[i]] + prior)
-        return -np.log(p)[self.position]
+            context = self.context[i][at[i]]
+            event, history = events[bounds[i] : bounds[i + 1]][at[i]], histories[bounds[i + 1] : bounds[i + 2]][context]
+            if without_own:
+                event, history = event - _same(of, at[i], len(self.keys[i])), history - _same(of, context, len(self.keys[i + 1]))
+            p = (weight * event + prior * p) / (weight * history + prior)
+        return -np.log(p)
+
+
+def _same(owner: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
+    """How many entries share each entry's owner and key."""
+    _, at, n = np.unique(owner * keys + key, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -217,7 +143,7 @@ def _joined_keys(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np
     return (np.cumsum(first) & 0xFFFFFFFF) << 32 | second << 16 | third
 
 
-def score_corpus(docs: DataFrame, target: DataFrame, background: DataFrame, ranks_path: str, slice_chars: int = SLICE) -> DataFrame:
+def score_corpus(docs: DataFrame, target: DataFrame, background: DataFrame, ranks_path: str, slice_chars: int = SLICE, background_weight: float = 1.0) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of ``docs``, by models of all n-grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     same = background is docs
@@ -323,7 +249,8 @@ def score_corpus(docs: DataFrame, target: DataFrame, background: DataFrame, rank
         for model in (0, 2):
             mean = np.full(len(counts), np.nan)
             if len(full):
-                losses_ = found.token_losses(value[model], value[model + 1], vocabulary)
+                weight = background_weight if model else 1.0
+                losses_ = found.token_losses(value[model], value[model + 1], vocabulary, same and model == 2, weight)
                 mean[full] = np.add.reduceat(losses_, first) / counts[full]
             columns.append(mean)
         columns.append(columns[0] - columns[1])
