@@ -2,11 +2,14 @@
 
 import json
 import random
+import subprocess
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import cli
 from weftgraph.functions import lexer
 from weftgraph.functions import text as fx
 from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, rules, scc, traverse
@@ -72,6 +75,41 @@ def test_cycles_of_a_long_ring_and_of_random_graphs(spark):
     assert all(k == min(v) for k, v in found.items())
 
 
+def jobs_of(spark, work):
+    group = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        result = work()
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_acyclic_graphs_end_in_a_fixed_number_of_jobs(spark):
+    n = 1000
+    name = lambda p, c: F.format_string(f"{p}%04d", c)
+    ids = spark.range(n)
+    rail = lambda p, q: ids.select(name(p, F.col("id")).alias("src"), name(q, F.col("id") + 1).alias("dst"))
+    ladder = rail("a", "a").unionByName(rail("b", "b")).unionByName(rail("a", "b"))
+    caterpillar = rail("a", "a").unionByName(ids.select(name("a", F.col("id")).alias("src"), name("leaf", F.col("id")).alias("dst")))
+    used = set()
+    for edges in (ladder, caterpillar, rail("a", "a")):
+        found, jobs = jobs_of(spark, lambda edges=edges: scc.strongly_connected(edges).count())
+        assert found == 0 and jobs < 20
+        used.add(jobs)
+    assert len(used) == 1
+
+
+@pytest.mark.parametrize("limit", [0, 6, 40])
+def test_cycles_by_joins_where_parts_exceed_the_limit(spark, limit):
+    rng = random.Random(limit)
+    names = [f"v{k:02}" for k in range(26)]
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(45)} | {(f"x{k}", f"x{(k + 1) % 5}") for k in range(5)} | {(f"y{k}", f"y{k + 1}") for k in range(6)})
+    table = spark.createDataFrame(edges, "src string, dst string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(scc.strongly_connected(table, limit)) == rows(scc.strongly_connected(table))
+
+
 def test_orphans(spark):
     paths = (
         "src/main.ts src/index.tsx src/App.tsx lib/lonely.ts app/page.tsx app/route.ts app/not-found.tsx vitest.config.ts playwright/auth.setup.ts env.d.ts "
@@ -116,7 +154,9 @@ def test_best_cut_and_dead_weight(spark):
 def test_doctor_ranks_cycles_first(spark):
     found = doctor.diagnose(make(spark, "a>b b>a w>x x>y y>z")).collect()
     assert [r["kind"] for r in found] == ["cycle", "orphan"]
-    assert found[0]["impact"] == 2 and found[1]["title"] == "nothing here imports w, and 3 more files exist only for it"
+    assert found[0]["impact"] == 2 and (found[1]["subject"], found[1]["nodes"]) == ("w", 4)
+    g = make(spark, "a>b b>a w>x x>y y>z")
+    assert groups(doctor.involved(g), "subject") == {"a": {"a", "b"}, "w": {"w", "x", "y", "z"}}
 
 
 def test_what_if(spark):
@@ -124,6 +164,8 @@ def test_what_if(spark):
     r = doctor.simulate_delete(g, "a", [rules.Rule("unique-caller", "one")]).first()
     assert (r["orphaned"], r["broken"], r["cycles_resolved"], r["violations_before"], r["violations_after"]) == (2, 2, 1, 1, 0)
     assert doctor.simulate_delete(g, "none").isEmpty()
+    assert groups(doctor.deletion_touches(g, "a"), "effect") == {"orphaned": {"b", "leaf"}, "broken": {"c", "d"}}
+    assert "2 broken, 2 orphaned" in lens.deletion_status(doctor.simulate_delete(g, "a")).first()[0]
 
 
 def test_traversal(spark):
@@ -151,6 +193,11 @@ def test_cores_and_skeleton(spark):
     assert core(make(spark, [("hub", f"l{k}") for k in range(50)]))["hub"] == 1
     assert core(make(spark, "a>b b>c", ["alone"]))["alone"] == 0
     k12 = [(f"k{i:02}", f"k{j:02}") for i in range(12) for j in range(i)]
+    long = make(spark, [(f"p{k:04}", f"p{k + 1:04}") for k in range(1000)] + [("p0000", "t1"), ("t1", "t2"), ("t2", "p0000")])
+    assert {v for k, v in core(long).items() if k[0] == "p" and k != "p0000"} == {1} and core(long)["t1"] == 2
+    mixed = make(spark, k12 + [("k00", "x1"), ("x1", "x2"), ("y1", "y2"), ("y2", "y3"), ("y3", "y1")])
+    by_joins = {r["id"]: r["core"] for r in cores.coreness(mixed, 4).collect()}  # one part by joins, one peeled
+    assert by_joins == core(mixed) and (by_joins["k03"], by_joins["x1"], by_joins["y2"]) == (11, 1, 2)
     fringe = [(f"f{i}", f"f{i + 1}") for i in range(60)]
     assert ids(cores.skeleton(make(spark, k12 + fringe + [("f0", "k00")]), 20)) == {f"k{i:02}" for i in range(12)}
     k14 = [(f"k{i:02}", f"k{j:02}") for i in range(14) for j in range(i)]
@@ -170,7 +217,12 @@ def test_communities(spark):
     assert relational.modularity(make(spark, "", ["a"]), spark.createDataFrame([("a", "a")], "id string, community string")).first()[0] == 0
     split = make(spark, clique("a", 3) + clique("b", 3), cluster="utils")
     found = relational.disagreements(split, communities.louvain(split))
-    assert found[0].count() == 2 and found[1].isEmpty()
+    assert found[0].count() == 2 and found[1].isEmpty() and {r["rank"] for r in found[0].collect()} == {1}
+    for g in (two, one, split):
+        assert communities.best_merge(g, communities.louvain(g)).first()[0] <= 1e-9
+    by_joins = communities.louvain(two, limit=0)
+    assert relational.modularity(two, by_joins).first()[0] > 0.3
+    assert communities.coarsen(two).count() == 1 and communities.coarsen(two).first()["w"] == 1
 
 
 def test_history(spark):
@@ -208,10 +260,23 @@ def test_first_where():
 
 
 def test_blame(spark):
-    today = make(spark, "a>b b>a x>y y>x").edges.select("src", "dst")
-    then = make(spark, "a>b b>a x>y").edges.select("src", "dst")
-    out = {r["scc"]: r["first_ord"] for r in history.blame_cycles(today, lambda k: today if k >= 3 else then, 5).collect()}
-    assert out == {"a": None, "x": 3}
+    links = [("a", "b", 0), ("b", "a", 0), ("x", "y", 1), ("y", "x", 3), ("p", "t", 0), ("q", "t", 4), ("r", "z", 0), ("s", "z", 0)]  # since which frame
+    history_ = spark.createDataFrame([(k, a, b) for k in range(6) for a, b, since in links if k >= since], "ord long, src string, dst string")
+    asked = []
+
+    def edges_of(ordinals):
+        asked.append(list(ordinals))
+        return history_.filter(F.col("ord").isin(ordinals))
+
+    out = {(r["what"], r["subject"]): r["first_ord"] for r in history.blame(edges_of([5]), edges_of, 6).collect()}
+    assert out == {("cycle", "a"): None, ("cycle", "x"): 3, ("shared", "t"): 4, ("shared", "z"): None}
+    assert asked[1:3] == [[5], [0]] and len(asked) < 8
+    assert history.blame(edges_of([5]), edges_of, 0).filter("first_ord is not null").isEmpty()
+    commits = spark.createDataFrame([(k, f"{k}" * 40, f"2024-01-0{k + 1}", f"change {k}") for k in range(6)], "ord long, sha string, date string, subject string")
+    frames = {r["ord"]: r for r in history.timeline(history_, commits).collect()}
+    assert [frames[k]["cycles"] for k in range(6)] == [1, 1, 1, 2, 2, 2] and [frames[k]["violations"] for k in range(6)] == [1, 1, 1, 1, 2, 2]
+    assert frames[3]["sha"] == "33333333" and frames[1]["added"] == 2 and frames[0]["added"] == 0
+    assert lens.frame_status(history.frames(history_), 1).first()[0] == "frame 1: 9 nodes, 6 edges, 2 came, 0 went"
 
 
 def test_names(spark):
@@ -276,7 +341,7 @@ def test_build_graph(spark, tmp_path):
         files.read_graph(spark, str(tmp_path / "bad.json"))
     empty = spark.createDataFrame([], "scc string, labels array<string>")
     report = diagrams.markdown(g, rules.evaluate(g, []), empty, relational.orphans(g))
-    assert "8 edges" in report and "`dead.ts`" in report and "✓" in report
+    assert "8 edges" in report and "`dead.ts`" in report and "Rules hold" in report
 
 
 def test_source_tree_and_watch(spark, tmp_path):
@@ -302,6 +367,63 @@ def test_source_tree_and_watch(spark, tmp_path):
     assert version == 1 and nodes.count() == 8
 
 
+def test_watch_follows_a_real_tree(spark, tmp_path):
+    root, out = tmp_path / "tree", str(tmp_path / "out")
+    (root / "node_modules/x").mkdir(parents=True)
+    (root / "node_modules/x/i.ts").write_text("export const i = 1")
+    (root / "a.ts").write_text("import './b'\n")
+    (root / "b.ts").write_text("export const b = 1\n")
+    (root / "t.d.ts").write_text("")
+    build = lambda f: (lambda g: (g.nodes, g.edges))(build_graph(f))
+    look = lambda: watch.tree_step(spark, str(root), out, build)
+    now = lambda: (lambda g: (ids(g[0]), {(r["src"], r["dst"]) for r in g[1].collect()}))(watch.last_good(spark, out))
+    assert look() == 0 and now() == ({"a.ts", "b.ts"}, {("a.ts", "b.ts")})
+    assert look() is None
+    (root / "c.ts").write_text("import { b } from './b'\n")
+    (root / "a.ts").write_text("import './c' // changed\n")
+    assert look() == 1 and now() == ({"a.ts", "b.ts", "c.ts"}, {("a.ts", "c.ts"), ("c.ts", "b.ts")})
+    (root / "b.ts").unlink()
+    (root / "node_modules/x/j.ts").write_text("")
+    assert look() == 2 and now() == ({"a.ts", "c.ts"}, {("a.ts", "c.ts")})
+    assert look() is None
+    (root / "d.ts").write_text("")
+    stream = watch.watch_tree(spark, str(root), out, build, out + "/ticks", interval="1 second")
+    try:
+        for _ in range(60):
+            if watch.last_good(spark, out)[2] == 3:
+                break
+            time.sleep(1)
+    finally:
+        stream.stop()
+    assert now()[0] == {"a.ts", "c.ts", "d.ts"}
+
+
+def test_replay_and_blame_of_a_repository(spark, tmp_path, capsys):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=n", "-c", "user.email=e@example.org", *a], check=True, capture_output=True)
+    (tmp_path / "r").mkdir()
+    git("init", "-q")
+    for text in ("", "import './a'\n"):
+        (tmp_path / "r/a.ts").write_text("import './b'\n")
+        (tmp_path / "r/b.ts").write_text(text)
+        git("add", ".")
+        git("commit", "-q", "-m", f"b is {len(text)} long")
+    args = cli.argparse.Namespace(src=str(tmp_path / "r"), since="1 year ago", max_frames=40, command="replay", out=str(tmp_path / "t.jsonl"))
+    assert cli._history(spark, args) == 0
+    rows = [json.loads(line) for line in open(args.out)]
+    assert [(r["cycles"], r["subject"]) for r in rows] == [(0, "b is 0 long"), (1, "b is 13 long")]
+    args.command = "blame"
+    assert cli._history(spark, args) == 0
+    assert "cycle a.ts 2" in capsys.readouterr().out
+
+
+def test_diagram_ids_of_names_that_clash(spark):
+    g = make(spark, "a-b>a_b a_b__1>a.b", cluster=lambda i: "x-y" if i == "a-b" else "x_y")
+    safe = [r["safe"] for r in diagrams.safe_ids(g.nodes).collect()]
+    assert len(set(safe)) == 4
+    lines = [r["line"] for r in diagrams.mermaid(g).collect()]
+    assert len({x for x in lines if "subgraph" in x}) == 2 and len({x.split("[")[0] for x in lines if "subgraph" in x}) == 2
+
+
 def test_scalar_functions(spark):
     row = spark.range(1).select(
         fx.normalise_endpoint(F.lit("`/u/${a}/b`")).alias("e"), fx.first_export_line(F.lit("a\nb\nexport c")).alias("l"), fx.share_piece(F.lit("a b/c")).alias("s"),
@@ -325,8 +447,8 @@ def test_states_and_messages(spark):
     assert {r["id"]: r["state"] for r in got.collect()} == {"a": "impact", "b": "impact", "t": "impact", "z": "lit", "lone": "rest"}
     with pytest.raises(ValueError):
         lens.states(g, {"unheard": g.nodes})
-    assert lens.impact_status(g, traverse.impact(g, "t")).first()[0] == "impact · 2 of 5 files would break"
-    assert lens.path_status(g, traverse.shortest_path(g, "a", "z")).first()[0] == "path · a → t → z"
+    assert lens.impact_status(g, traverse.impact(g, "t")).first()[0] == "2 of 5 nodes depend on it"
+    assert lens.path_status(g, traverse.shortest_path(g, "a", "z")).first()[0] == "shortest way: a - t - z"
     assert lens.path_status(g, traverse.shortest_path(g, "a", "lone")).first()[0] is None
     assert tuple(lens.screen(g, relational.lit_set(g, "z")).first()) == (2, 1)
 

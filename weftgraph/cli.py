@@ -1,4 +1,4 @@
-"""Command line: parse, check, doctor, modules, diff, watch.
+"""Command line: parse, check, doctor, modules, diff, watch, replay, blame.
 
 python -m weftgraph.cli doctor --src path/to/tree [--config rules.json]
 """
@@ -9,12 +9,14 @@ import argparse
 import sys
 import tempfile
 import time
+from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import communities, doctor, history, relational, rules, scc
 from weftgraph.plans.build import build_graph
+from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import files
@@ -43,23 +45,59 @@ def _rendered(graph: PropertyGraph, form: str, config: list[rules.Rule]) -> str:
     return diagrams.markdown(graph, rules.evaluate(graph, config), walks, relational.orphans(graph))
 
 
+def _history(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Replay: a timeline of frames as JSON lines.  Blame: since when each cycle and shared target is there."""
+    commits = files.list_commits(spark, args.src, args.since)
+    n = commits.count()
+
+    def edges_of(ordinals: list[int]):
+        rows = files.files_at(commits.filter(F.col("ord").isin(ordinals)), args.src)
+        graphs = [(k, build_graph(rows.filter(F.col("ord") == k).select("path", "text"))) for k in ordinals]
+        each = [g.edges.select(F.lit(k).cast("long").alias("ord"), "src", "dst") for k, g in graphs]
+        return reduce(lambda a, b: a.unionByName(b), each)
+
+    if not n:
+        print("no commits", file=sys.stderr)
+        return 0
+    if args.command == "replay":
+        kept = history.pick_evenly(n, max(2, args.max_frames))
+        edges = materialise(edges_of(kept))
+        frames = history.timeline(edges, commits).orderBy("ord")
+        with open(args.out or "timeline.jsonl", "w", encoding="utf-8") as f:
+            for row in frames.toJSON().toLocalIterator():
+                f.write(row + "\n")
+        changes = history.deltas(edges, ["src", "dst"])
+        if args.out:
+            changes.write.mode("overwrite").partitionBy("ord").parquet(args.out + ".changes")
+        return 0
+    shas = {r["ord"]: (r["sha"][:8], r["date"], r["subject"]) for r in commits.collect()}  # a row a commit
+    for r in history.blame(edges_of([n - 1]), edges_of, n).orderBy("what", "subject").collect():
+        print(r["what"], r["subject"], r["size"], *(shas[r["first_ord"]] if r["first_ord"] is not None else ("older than the history read",)))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="weftgraph")
-    parser.add_argument("command", choices=("parse", "check", "doctor", "modules", "diff", "watch"), nargs="?", default="parse")
+    parser.add_argument("command", choices=("parse", "check", "doctor", "modules", "diff", "watch", "replay", "blame"), nargs="?", default="parse")
     parser.add_argument("--src", default=".")
     parser.add_argument("--base", help="a graph file to compare with (diff)")
     parser.add_argument("--config")
     parser.add_argument("--format", choices=FORMATS, default="json")
     parser.add_argument("--out")
+    parser.add_argument("--since", default="1 year ago", help="how far back history is read (replay, blame)")
+    parser.add_argument("--max-frames", type=int, default=40)
     parser.add_argument("--anonymous", action="store_true")
     args = parser.parse_args(argv)
     try:
-        config, exclude = files.read_config(args.config) if args.config else ([], ())
+        place = args.config or files.find_config(args.src)
+        config, exclude = files.read_config(place) if place else ([], ())
     except (OSError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("weftgraph").config("spark.ui.enabled", "false").getOrCreate()
     began = time.time()
+    if args.command in ("replay", "blame"):
+        return _history(spark, args)
     graph = parse(spark, args.src, exclude)
     if args.command == "diff":
         if not args.base:
@@ -84,17 +122,16 @@ def main(argv: list[str] | None = None) -> int:
         for name, m in (("found", member), ("folders", relational.folders_as_membership(graph))):
             print(f"modularity, {name}: {relational.modularity(graph, m).first()[0]}")
         for part, rows in zip(("split", "merged"), relational.disagreements(graph, member), strict=True):
-            for r in rows.orderBy(F.desc("files")).limit(SHOWN).collect():
+            for r in rows.filter(F.col("rank") <= SHOWN).orderBy("rank", F.desc("files")).collect():
                 print(part, *r)
         return 0
     if args.command == "watch":
-        from weftgraph.streaming.watch import watch
+        from weftgraph.streaming.watch import watch_tree
 
         folder = args.out or tempfile.mkdtemp(prefix="graph-")
-        changes = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{ts,tsx}").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(args.src)
-        texts = changes.select(F.regexp_replace("path", r"\Afile:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
-        build = lambda rows: (lambda g: (g.nodes, g.edges))(build_graph(rows))
-        watch(texts, folder, build, f"{folder}/checkpoint").awaitTermination()
+        packages, aliases = files.package_folders(args.src, (*files.EXCLUDED, *exclude)), files.path_aliases(args.src)
+        build = lambda rows: (lambda g: (g.nodes, g.edges))(build_graph(rows, packages, aliases))
+        watch_tree(spark, args.src, folder, build, f"{folder}/checkpoint", (*files.EXCLUDED, *exclude)).awaitTermination()
         return 0
     out = args.out or {"json": "graph.json", "mermaid": "graph.mmd", "dot": "graph.dot", "markdown": "graph.md"}[args.format]
     if args.format == "json":
@@ -102,9 +139,11 @@ def main(argv: list[str] | None = None) -> int:
     else:
         with open(out, "w", encoding="utf-8") as f:
             f.write(_rendered(graph, args.format, config) + "\n")
+    members = scc.strongly_connected(graph.edges)
+    broken, lonely = rules.evaluate(graph, config).count(), relational.orphans(graph).count()
     for r in relational.type_counts(graph).orderBy(F.desc("n"), "type").collect():
         print(f"{r['type']:12}{r['n']}")
-    print(f"{out}: {graph.nodes.count()} nodes, {graph.edges.count()} edges, {time.time() - began:.1f} s")
+    print(f"{out}: {graph.nodes.count()} nodes, {graph.edges.count()} edges, {members.select('scc').distinct().count()} cycles, {lonely} orphans, {broken} violations, {time.time() - began:.1f} s")
     return 0
 
 

@@ -1,17 +1,24 @@
-"""Communities by synchronous Louvain moves on DataFrames.
+"""Communities by Louvain moves.
 
-Every sweep, half of the nodes (drawn by a hash of id and sweep) may move to
+Levels of more than ``plans.bounded.LIMIT`` links move synchronously, by joins; each
+level's communities are the nodes of the next, and once the links between them are
+within the limit, one task finishes with sequential moves in order of id.  A small
+graph is within the limit at once, and its result is that of a sequential visit.
+
+Synchronous moves: every sweep, half of the nodes (drawn by a hash of id and sweep) may move to
 the neighbouring community that gains most modularity; ties go to the least
-community, and no move without gain.  When no node gains, communities become
-the nodes of the next level.  Results do not depend on partitioning.
+community, and no move without gain.  Results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.relational import SYNTHETIC, undirected_weights
+from weftgraph.plans import bounded
 from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 
@@ -51,31 +58,106 @@ def _level(links: DataFrame, sweeps: int) -> DataFrame:
     return state.select("id", "community")
 
 
-def louvain(graph: PropertyGraph, levels: int = 10, sweeps: int = 20) -> DataFrame:
-    """(id, community) of source files; a community is named by one of its ids."""
-    real = graph.nodes.filter(~F.col("type").isin(*SYNTHETIC)).select("id")
-    kept = graph.edges.join(real.withColumnRenamed("id", "src"), "src", "left_semi").join(real.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    pairs = undirected_weights(kept)
-    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).withColumn("w", F.col("w").cast("double"))
-    member = materialise(real.distinct().withColumn("community", F.col("id")))
+def _moves(near: list[dict[int, float]], own: list[float], sweeps: int) -> list[int]:
+    """Community of every node after sequential moves in order; ``near``: weights to other
+    nodes, ``own``: weight of each node's self-link.  Communities bear a node's number."""
+    degree = [sum(x.values()) + 2 * w for x, w in zip(near, own, strict=True)]
+    two_m = sum(degree)
+    community, total = list(range(len(near))), list(degree)
+    for _ in range(sweeps if two_m else 0):
+        moved = False
+        for node, links in enumerate(near):
+            now, k = community[node], degree[node]
+            total[now] -= k
+            into: dict[int, float] = {now: 0.0}
+            for other, w in links.items():
+                into[community[other]] = into.get(community[other], 0.0) + w
+            gain = lambda c: into[c] - total[c] * k / two_m  # noqa: B023, E731
+            best, most = now, gain(now)
+            for c in sorted(into):
+                if gain(c) > most + _LEAST_GAIN * two_m:
+                    best, most = c, gain(c)
+            community[node] = best
+            total[best] += k
+            moved |= best != now
+        if not moved:
+            break
+    return community
+
+
+def _sequential(table: pa.Table, levels: int, sweeps: int) -> pa.Table:
+    """(id, community: its least id) of links (a, b, w), each pair once."""
+    ids, (a, b) = bounded.coded(table, "a", "b")
+    w = table["w"].to_numpy().astype(float)
+    member = np.arange(len(ids))
     for _ in range(levels):
-        level = materialise(_level(links, sweeps))
-        if level.filter("id <> community").isEmpty():
+        n = int(member.max()) + 1
+        near, own = [{} for _ in range(n)], [0.0] * n
+        for x, y, weight in zip(member[a].tolist(), member[b].tolist(), w.tolist(), strict=True):
+            if x == y:
+                own[x] += weight
+            else:
+                near[x][y] = near[x].get(y, 0.0) + weight
+                near[y][x] = near[y].get(x, 0.0) + weight
+        grouped = np.array(_moves(near, own, sweeps))
+        if (grouped == np.arange(n)).all():
             break
-        renamed = level.select(F.col("id").alias("community"), F.col("community").alias("next"))
+        member = np.unique(grouped, return_inverse=True)[1][member]  # communities in order of their numbers
+    least = np.full(int(member.max()) + 1, len(ids))
+    np.minimum.at(least, member, np.arange(len(ids)))
+    kind = table.schema.field("a").type
+    return pa.table({"id": pa.array(ids.tolist(), kind), "community": pa.array(ids[least[member]].tolist(), kind)})
+
+
+def louvain(graph: PropertyGraph, levels: int = 10, sweeps: int = 20, limit: int = bounded.LIMIT) -> DataFrame:
+    """(id, community) of source files; a community is named by its least id."""
+    real = graph.nodes.filter(~F.col("type").isin(*SYNTHETIC)).select("id").distinct()
+    kept = graph.edges.join(real.withColumnRenamed("id", "src"), "src", "left_semi").join(real.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    links = materialise(undirected_weights(kept).withColumn("w", F.col("w").cast("double")))
+    member = materialise(real.withColumn("community", F.col("id")))
+    for level in range(levels):
+        if links.count() <= limit:
+            kind = links.schema["a"].dataType.simpleString()
+            found = bounded.whole(links, lambda table: _sequential(table, levels - level, sweeps), f"id {kind}, community {kind}")  # noqa: B023
+        else:
+            mirrored = links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")
+            found = _level(links.unionByName(mirrored), sweeps)
+        found = materialise(found)
+        renamed = found.select(F.col("id").alias("community"), F.col("community").alias("next"))
         member = materialise(member.join(renamed, "community", "left").select("id", F.coalesce("next", "community").alias("community")))
-        lifted = links.join(level.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(level.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-        # inner links are stored both ways: a self-link counts each pair once
-        half = F.when((F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b")), F.col("w") / 2).otherwise(F.col("w"))
-        links = materialise(lifted.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum(half).alias("w")))
+        if links.count() <= limit or found.filter("id <> community").isEmpty():
+            break
+        links = materialise(_lifted(links, found).groupBy("a", "b").agg(F.sum("w").alias("w")))
     names = member.groupBy("community").agg(F.min("id").alias("name"))
     return member.join(names, "community").select("id", F.col("name").alias("community"))
 
 
-def coarsen(graph: PropertyGraph, sweeps: int = 8) -> DataFrame:
+def _lifted(links: DataFrame, member: DataFrame) -> DataFrame:
+    """(a, b, w): links between the communities of their ends, the lesser first."""
+    ends = links.join(member.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(member.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+    return ends.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w")
+
+
+def coarsen(graph: PropertyGraph, sweeps: int = 8, limit: int = bounded.LIMIT) -> DataFrame:
     """(a, b, w): one level of grouping; links between groups, those within dropped."""
-    pairs = undirected_weights(graph.edges)
-    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).withColumn("w", F.col("w").cast("double"))
-    level = _level(links, sweeps)
-    lifted = pairs.join(level.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(level.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-    return lifted.filter("ca <> cb").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+    pairs = materialise(undirected_weights(graph.edges))
+    links = pairs.withColumn("w", F.col("w").cast("double"))
+    if pairs.count() <= limit:
+        kind = pairs.schema["a"].dataType.simpleString()
+        level = bounded.whole(links, lambda table: _sequential(table, 1, sweeps), f"id {kind}, community {kind}")
+    else:
+        level = _level(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), sweeps)
+    return _lifted(pairs, materialise(level)).filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+def best_merge(graph: PropertyGraph, member: DataFrame) -> DataFrame:
+    """(gain): the most modularity that joining two linked communities would gain (0 without any)."""
+    own = member.select("id", "community")
+    pairs = undirected_weights(graph.edges.join(own.select(F.col("id").alias("src")), "src", "left_semi").join(own.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    links = _lifted(pairs, own).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    ends = links.select(F.col("a").alias("community"), "w").unionByName(links.select(F.col("b").alias("community"), "w"))  # a link within counts twice
+    total = ends.groupBy("community").agg(F.sum("w").cast("double").alias("k"))
+    both = links.filter("a <> b").join(total.select(F.col("community").alias("a"), F.col("k").alias("ka")), "a").join(total.select(F.col("community").alias("b"), F.col("k").alias("kb")), "b")
+    two_m = total.agg(F.sum("k").alias("two_m"))  # one row
+    gain = 2 * F.col("w") / F.col("two_m") - 2 * F.col("ka") * F.col("kb") / (F.col("two_m") * F.col("two_m"))
+    return both.join(F.broadcast(two_m)).agg(F.coalesce(F.max(gain), F.lit(0.0)).alias("gain"))

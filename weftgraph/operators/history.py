@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.scc import strongly_connected
+from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 
 GHOST_COLOUR = "#6c7086"
@@ -111,28 +112,72 @@ def first_where(n: int, fact: Callable[[int], bool]) -> tuple[int | None, int]:
     return high, probes
 
 
-def first_ord(facts: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, first_ord) of facts (*by, ord, holds) when every frame is at hand: the least
-    ordinal at which each holds; null if it holds in the first frame or never."""
-    found = facts.groupBy(*by).agg(F.min(F.when(F.col("holds"), F.col("ord"))).alias("at"), F.min("ord").alias("start"))
+def first_ord(facts: DataFrame, by: list[str], frames: DataFrame) -> DataFrame:
+    """(*by, first_ord) when every frame is at hand: of facts (*by, ord: a frame in which it holds),
+    the least ordinal; null if that is the first of ``frames`` (ord)."""
+    start = frames.agg(F.min("ord").alias("start"))  # one row
+    found = facts.groupBy(*by).agg(F.min("ord").alias("at")).join(F.broadcast(start))
     return found.select(*by, F.when(F.col("at") > F.col("start"), F.col("at")).alias("first_ord"))
 
 
-def blame_cycles(today: DataFrame, graph_at: Callable[[int], DataFrame], n: int) -> DataFrame:
-    """(scc, size, first_ord): for each of today's cycles (edges src, dst), the ordinal of the
-    first of ``n`` graphs in which all of its members lie in one component; null: older.
+def _tagged(edges: DataFrame) -> DataFrame:
+    """Edges (ord, src, dst) of all frames as one graph, whose ids carry the frame."""
+    tag = lambda c: F.concat_ws("\u0001", F.col("ord").cast("string"), c).alias(c)
+    return edges.select(tag("src"), tag("dst"))
 
-    Each ordinal's graph is decomposed once, whatever number of cycles asks for it."""
-    members = strongly_connected(today).persist()
-    sizes = members.groupBy("scc").agg(F.count(F.lit(1)).alias("size")).persist()
-    known: dict[int, DataFrame] = {}
 
-    def holds(scc: str, ord_: int) -> bool:
-        if ord_ not in known:
-            known[ord_] = strongly_connected(graph_at(ord_)).withColumnRenamed("scc", "then").persist()
-        own = members.filter(F.col("scc") == scc).select("id").join(known[ord_], "id", "left")
-        row = own.agg(F.count_distinct("then").alias("n"), F.count_if(F.col("then").isNull()).alias("missing")).first()
-        return row["n"] == 1 and row["missing"] == 0
+def frame_components(edges: DataFrame) -> DataFrame:
+    """(ord, id, scc) of the cycles of every frame (ord, src, dst), all frames at once."""
+    part = lambda c, k: F.split(c, "\u0001", 2)[k]
+    return strongly_connected(_tagged(edges)).select(part("id", 0).cast("long").alias("ord"), part("id", 1).alias("id"), part("scc", 1).alias("scc"))
 
-    rows = [(r["scc"], r["size"], first_where(n, lambda k, scc=r["scc"]: holds(scc, k))[0]) for r in sizes.collect()]  # a row a cycle
-    return today.sparkSession.createDataFrame(rows, "scc string, size long, first_ord long")
+
+def timeline(edges: DataFrame, commits: DataFrame, shared: int = 1) -> DataFrame:
+    """(ord, sha, date, subject, nodes, edges, added, removed, cycles, violations) of every frame (ord, src, dst).
+
+    ``commits`` (ord, sha, date, subject) gives names, shas cut to 8 characters; ``violations`` counts
+    the targets of more than ``shared`` edges."""
+    cycles = frame_components(edges).groupBy("ord").agg(F.count_distinct("scc").alias("cycles"))
+    callers = edges.select("ord", "src", "dst").distinct().groupBy("ord", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared)
+    broken = callers.groupBy("ord").agg(F.count(F.lit(1)).alias("violations"))
+    named = commits.select("ord", F.substr("sha", F.lit(1), F.lit(8)).alias("sha"), "date", "subject")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    found = frames(edges).join(named, "ord", "left").join(cycles, "ord", "left").join(broken, "ord", "left")
+    return found.select("ord", "sha", "date", "subject", "nodes", "edges", "added", "removed", none("cycles"), none("violations"))
+
+
+def blame(today: DataFrame, edges_of: Callable[[list[int]], DataFrame], n: int, shared: int = 1) -> DataFrame:
+    """(what, subject, size, first_ord): of today's cycles, and of today's targets of more than ``shared``
+    edges, the first of frames 0 to n - 1 in which all members lie in one cycle, or the target has as
+    many; null if that is the first frame, or never.
+
+    Bisection, for all findings at once: a round asks for the frames (``edges_of`` ordinals gives ord,
+    src, dst) that any finding needs next, and decomposes them together; rounds grow with log n."""
+    today = today.select("src", "dst").distinct()
+    members = materialise(strongly_connected(today))
+    kind = members.schema["id"].dataType.simpleString()
+    callers = today.groupBy("dst").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > shared)
+    cycles = members.groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
+    found = cycles.select(F.lit("cycle").alias("what"), F.col("scc").alias("subject"), "size").unionByName(callers.select(F.lit("shared").alias("what"), F.col("dst").alias("subject"), "size"))
+    if n == 0:
+        return found.withColumn("first_ord", F.lit(None).cast("long"))
+    # low: last frame known not to hold it (-1: none), high: first known to
+    state = materialise(found.withColumns({"low": F.lit(-1).cast("long"), "high": F.lit(None).cast("long"), "ask": F.lit(n - 1).cast("long")}))
+    while wanted := sorted(r["ask"] for r in state.select("ask").distinct().filter("ask is not null").collect()):  # ordinals: n at most
+        edges = materialise(edges_of(wanted).select("ord", "src", "dst").distinct())
+        seen = frame_components(edges).select("ord", "id", F.col("scc").alias("then"))
+        held = members.join(seen, "id").groupBy("ord", "scc", "then").agg(F.count(F.lit(1)).alias("n")).join(cycles, "scc").filter("n = size")
+        facts = held.select(F.lit("cycle").alias("what"), F.col("scc").alias("subject"), "ord")
+        many = edges.groupBy("ord", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared)
+        facts = facts.unionByName(many.select(F.lit("shared").alias("what"), F.col("dst").alias("subject"), "ord")).withColumn("holds", F.lit(True))
+        asked = state.join(facts.withColumnRenamed("ord", "ask"), ["what", "subject", "ask"], "left").withColumn("holds", F.coalesce("holds", F.lit(False)))
+        moved = asked.select(
+            "what", "subject", "size", "ask",
+            F.when(F.col("ask").isNotNull() & ~F.col("holds"), F.col("ask")).otherwise(F.col("low")).alias("low"),
+            F.when(F.col("ask").isNotNull() & F.col("holds"), F.col("ask")).otherwise(F.col("high")).alias("high"),
+        )
+        # the last frame first, then the first one, then between them
+        following = F.when(F.col("ask").isNull() | F.col("high").isNull() | (F.col("high") == 0) | (F.col("high") - F.col("low") <= 1), None)
+        following = following.when(F.col("low") < 0, F.lit(0)).otherwise(F.floor((F.col("low") + F.col("high")) / 2)).cast("long")
+        state = materialise(moved.withColumn("ask", following))
+    return state.select("what", F.col("subject").cast(kind).alias("subject"), "size", F.when(F.col("high") > 0, F.col("high")).alias("first_ord"))

@@ -36,14 +36,24 @@ def impact_status(graph: PropertyGraph, reached: DataFrame) -> DataFrame:
     """(status): one sentence; the node itself is not something that would break."""
     seen = reached.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("n"))
     total = graph.nodes.agg(F.count(F.lit(1)).alias("total"))
-    return seen.crossJoin(total).select(F.format_string("impact · %d of %d files would break", "n", "total").alias("status"))  # both are one row
+    return seen.crossJoin(total).select(F.format_string("%d of %d nodes depend on it", "n", "total").alias("status"))  # both are one row
 
 
 def path_status(graph: PropertyGraph, path: DataFrame) -> DataFrame:
     """(status): the labels of a path (hop, id); null for less than two nodes."""
     named = path.join(graph.nodes.select("id", "label"), "id", "left").select("hop", F.coalesce("label", "id").alias("label"))
     steps = named.agg(F.array_sort(F.collect_list(F.struct("hop", "label"))).alias("s"))  # a row a hop
-    return steps.select(F.when(F.size("s") > 1, F.concat(F.lit("path · "), F.array_join(F.col("s.label"), " → "))).alias("status"))
+    return steps.select(F.when(F.size("s") > 1, F.concat(F.lit("shortest way: "), F.array_join(F.col("s.label"), " - "))).alias("status"))
+
+
+def deletion_status(report: DataFrame) -> DataFrame:
+    """(status): one sentence on a row of ``doctor.simulate_delete``."""
+    return report.select(F.format_string("without it: %d broken, %d orphaned, %d cycles fewer", "broken", "orphaned", "cycles_resolved").alias("status"))
+
+
+def frame_status(frames: DataFrame, ord_: int) -> DataFrame:
+    """(status): one sentence on a frame of a timeline (ord, nodes, edges, added, removed)."""
+    return frames.filter(F.col("ord") == ord_).select(F.format_string("frame %d: %d nodes, %d edges, %d came, %d went", "ord", "nodes", "edges", "added", "removed").alias("status"))
 
 
 def screen(graph: PropertyGraph, shown: DataFrame) -> DataFrame:
@@ -57,7 +67,7 @@ def opening(graph: PropertyGraph, budget: int = 400) -> DataFrame:
     member of the skeleton with most neighbours (ties: least id).  Empty without such a cycle."""
     members = strongly_connected(graph.edges)
     sizes = members.groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
-    weights = sizes.join(best_cuts(graph.edges).select("scc", "frees"), "scc", "left").select("scc", F.coalesce("frees", "size").alias("impact"))
+    weights = sizes.join(best_cuts(graph.edges, members=members).select("scc", "frees"), "scc", "left").select("scc", F.coalesce("frees", "size").alias("impact"))
     firm = members.join(skeleton(graph, budget), "id").join(weights, "scc").join(degrees(graph).select("id", "neighbours"), "id")
     return firm.orderBy(F.desc("impact"), "scc", F.desc("neighbours"), "id").limit(1).select("id", "scc")
 

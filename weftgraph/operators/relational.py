@@ -153,17 +153,21 @@ def folders_as_membership(graph: PropertyGraph) -> DataFrame:
 
 
 def disagreements(graph: PropertyGraph, membership: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Where folders and communities disagree.
+    """Where folders and communities disagree, worst first by ``rank``.
 
-    split (folder, community, files): parts of 3 files and 15 % of a folder or more, in folders
-    with two such parts at least; merged (community, folder, files): folders of two files or
-    more in communities with two such folders at least."""
+    split (folder, community, files, rank): parts of 3 files and 15 % of a folder or more, in
+    folders with two such parts at least; folders rank by the size of their second part.
+    merged (community, folder, files, rank): folders of two files or more in communities with
+    two such folders at least; communities rank by their number of such files.  Ties go by name."""
     counts = graph.nodes.select("id", "cluster").join(membership, "id").groupBy("cluster", "community").agg(F.count(F.lit(1)).alias("files"))
     whole = counts.groupBy("cluster").agg(F.sum("files").alias("whole"))
     parts = counts.join(whole, "cluster").filter("files >= 3 and files * 100 >= whole * 15")
-    several = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = parts.join(several, "cluster").select(F.col("cluster").alias("folder"), "community", "files")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("files"), "community"))  # six parts of 15 % at most
+    second = parts.withColumn("place", place).filter("place = 2").select("cluster", F.col("files").alias("second"))
+    ranked = second.select("cluster", F.row_number().over(Window.orderBy(F.desc("second"), "cluster")).cast("long").alias("rank"))  # a row a folder
+    split = parts.join(ranked, "cluster").select(F.col("cluster").alias("folder"), "community", "files", "rank")
     firm = counts.filter("files > 1")
-    joined = firm.groupBy("community").agg(F.count(F.lit(1)).alias("folders")).filter("folders > 1")
-    merged = firm.join(joined, "community").select("community", F.col("cluster").alias("folder"), "files")
+    joined = firm.groupBy("community").agg(F.count(F.lit(1)).alias("folders"), F.sum("files").alias("all")).filter("folders > 1")
+    ranked = joined.select("community", F.row_number().over(Window.orderBy(F.desc("all"), "community")).cast("long").alias("rank"))  # a row a community
+    merged = firm.join(ranked, "community").select("community", F.col("cluster").alias("folder"), "files", "rank")
     return split, merged

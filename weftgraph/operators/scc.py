@@ -1,11 +1,14 @@
-"""Strongly connected components, distributed.
-
-Three steps.  Trimming drops edges at nodes without in- or out-edges.  Chains
-of nodes with one in- and one out-edge are contracted by pointer doubling, in
-as many rounds as the logarithm of their length; a ring of nothing else is a
-component as it stands.  What is left is coloured: the greatest id that reaches
-a node (with pointer jumping), then backwards from each colour's root within
-the colour; every pass settles one component a colour.
+"""Strongly connected components.
+
+Graphs within ``plans.bounded.LIMIT`` edges, and in larger graphs all weak components
+within it, are decomposed by one depth-first search each, in one task each.  What is
+left is worked on by joins.  Trimming drops edges at nodes without in- or out-edges.
+Chains of nodes with one in- and one out-edge are contracted by pointer doubling, in
+as many rounds as the logarithm of their length; a ring of nothing else is a component
+as it stands.  Then nodes are coloured: the greatest of the nodes that reach a node, in
+an order drawn by hash (with pointer jumping), then backwards from each colour's root
+within the colour.  Every pass settles one component a colour and drops the edges between
+colours, so that parts soon fall below the limit.
 
 A component is named by its least id; single nodes are not components, with or
 without a self-loop.
@@ -13,13 +16,61 @@ without a self-loop.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.traverse import reachable
+from weftgraph.plans import bounded
 from weftgraph.plans.iterate import fingerprint, materialise
 
 
+def search(following: list[list[int]]) -> list[int]:
+    """Component number of every node, by one depth-first search that keeps its own stack."""
+    n = len(following)
+    index, low, component, place = [0] * n, [0] * n, [-1] * n, [0] * n
+    path: list[int] = []
+    order = count = 0
+    for start in range(n):
+        work = [start] if not index[start] else []
+        while work:
+            node = work[-1]
+            if not index[node]:
+                order += 1
+                index[node] = low[node] = order
+                path.append(node)
+            ends, k = following[node], place[node]
+            while k < len(ends) and index[ends[k]]:
+                if component[ends[k]] < 0:
+                    low[node] = min(low[node], low[ends[k]])
+                k += 1
+            place[node] = k
+            if k < len(ends):
+                work.append(ends[k])
+                continue
+            work.pop()
+            if low[node] == index[node]:
+                while True:
+                    component[path[-1]] = count
+                    if path.pop() == node:
+                        break
+                count += 1
+    return component
+
+
+def _members(table: pa.Table) -> pa.Table:
+    """(id, scc) of the components of two nodes or more of edges (src, dst)."""
+    ids, (src, dst) = bounded.coded(table, "src", "dst")
+    found = np.array(search(bounded.neighbours(len(ids), src, dst)))
+    sizes = np.bincount(found)
+    least = np.full(len(sizes), len(ids))
+    np.minimum.at(least, found, np.arange(len(ids)))
+    own = np.flatnonzero(sizes[found] > 1)
+    kind = table.schema.field("src").type
+    return pa.table({"id": pa.array(ids[own].tolist(), kind), "scc": pa.array(ids[least[found[own]]].tolist(), kind)})
+
+
 def _trim(edges: DataFrame, rounds: int = 1) -> DataFrame:
     """Leaves out edges that cannot lie on a cycle, for a bounded number of rounds."""
     for _ in range(rounds):
@@ -58,29 +109,36 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _colour(edges: DataFrame) -> DataFrame:
-    """(id, colour): greatest id that reaches each node."""
+    """(id, colour): the node that is greatest by hash among those that reach each node."""
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    labels, before = ids.withColumn("colour", F.col("id")), None
+    labels, before = ids.withColumn("best", F.struct(F.xxhash64("id").alias("draw"), F.col("id").alias("colour"))), None
     while True:
-        sent = edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "colour")
-        jumped = labels.join(labels.select(F.col("id").alias("colour"), F.col("colour").alias("beyond")), "colour").select("id", F.col("beyond").alias("colour"))
-        labels = materialise(labels.unionByName(sent).unionByName(jumped).groupBy("id").agg(F.max("colour").alias("colour")))
-        now = fingerprint(labels, "id", "colour")
+        sent = edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "best")
+        jumped = labels.select("id", F.col("best.colour").alias("via")).join(labels.select(F.col("id").alias("via"), "best"), "via").select("id", "best")
+        labels = materialise(labels.unionByName(sent).unionByName(jumped).groupBy("id").agg(F.max("best").alias("best")))
+        now = fingerprint(labels, "id", "best")
         if now == before:
-            return labels
+            return labels.select("id", F.col("best.colour").alias("colour"))
         before = now
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
+def strongly_connected(edges: DataFrame, limit: int = bounded.LIMIT) -> DataFrame:
     """(id, scc) of every node in a component of two nodes or more; edges (src, dst)."""
     edges = materialise(edges.select("src", "dst").filter("src <> dst").distinct())
+    kind = edges.schema["src"].dataType.simpleString()
+    schema = f"id {kind}, scc {kind}"
+    if edges.count() <= limit:
+        return materialise(bounded.whole(edges, _members, schema))
     edges = _trim(edges, 2)
     rest, chains, rings = _chains(edges)
     found = rest.select(F.col("src").alias("id"), F.col("src").alias("scc")).limit(0)
     while True:
         rest = _trim(rest)
-        if rest.isEmpty():
+        settled, rest = bounded.settle(rest, _members, schema, limit)
+        found = materialise(found.unionByName(settled))
+        if rest is None:
             break
+        rest = materialise(rest)
         colours = _colour(rest)
         within = rest.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
         within = materialise(within.filter("cs = cd").select("src", "dst", "cs"))
@@ -110,25 +168,32 @@ def tangled(edges: DataFrame) -> DataFrame:
     return strongly_connected(edges).agg(F.count(F.lit(1)).alias("tangled"))
 
 
-def best_cuts(edges: DataFrame, limit: int = 400) -> DataFrame:
+def _best_cut(table: pa.Table) -> pa.Table:
+    """The edge of one component (scc, src, dst) whose removal frees most nodes, if any frees some."""
+    ids, (src, dst) = bounded.coded(table, "src", "dst")
+    best, most = None, 0
+    for k in np.lexsort((dst, src)).tolist():  # ties: the least edge
+        kept = np.arange(len(src)) != k
+        sizes = np.bincount(search(bounded.neighbours(len(ids), src[kept], dst[kept])))
+        frees = int(len(ids) - sizes[sizes > 1].sum())
+        if frees > most:
+            best, most = k, frees
+    rows = [] if best is None else [(table["scc"][0].as_py(), len(ids), ids[src[best]], ids[dst[best]], most)]
+    kind = table.schema.field("src").type
+    types = (kind, pa.int64(), kind, kind, pa.int64())
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("scc", "size", "src", "dst", "frees"), columns, types, strict=True)})
+
+
+def best_cuts(edges: DataFrame, limit: int = 400, members: DataFrame | None = None) -> DataFrame:
     """(scc, size, src, dst, frees): of each component, the edge whose removal frees most nodes
     (ties: least src, dst).  Components of more than ``limit`` edges, and those that no single
-    edge breaks, have none.
-
-    Every candidate is a copy of its component without one edge; all copies are decomposed
-    at once, as one graph whose ids carry the candidate."""
+    edge breaks, have none.  A component within the limit is one task's group: at most
+    ``limit`` searches of ``limit`` edges.  ``members``: the components, if known."""
     edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    members = strongly_connected(edges)
+    members = strongly_connected(edges) if members is None else members
     inside = edges.join(members.select(F.col("id").alias("src"), "scc"), "src").join(members.select(F.col("id").alias("dst"), F.col("scc").alias("other")), "dst")
     inside = materialise(inside.filter("scc = other").select("scc", "src", "dst"))
-    few = inside.groupBy("scc").agg(F.count(F.lit(1)).alias("edges")).filter(F.col("edges") <= limit)  # so copies are limit * edges at most
-    cuts = inside.join(few, "scc").select("scc", F.col("src").alias("cut_src"), F.col("dst").alias("cut_dst"))
-    copies = cuts.join(inside, "scc").filter("not (src = cut_src and dst = cut_dst)")
-    tag = F.concat_ws("\u0001", "cut_src", "cut_dst", F.lit(""))
-    left = strongly_connected(copies.select(F.concat(tag, "src").alias("src"), F.concat(tag, "dst").alias("dst")))
-    parts = F.split("id", "\u0001")
-    left = left.groupBy(parts[0].alias("cut_src"), parts[1].alias("cut_dst")).agg(F.count(F.lit(1)).alias("left"))
-    sizes = members.groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
-    freed = cuts.join(sizes, "scc").join(left, ["cut_src", "cut_dst"], "left").withColumn("frees", F.col("size") - F.coalesce("left", F.lit(0)))
-    best = freed.filter("frees > 0").groupBy("scc", "size").agg(F.min(F.struct((-F.col("frees")).alias("f"), F.col("cut_src"), F.col("cut_dst"))).alias("b"))
-    return best.select("scc", "size", F.col("b.cut_src").alias("src"), F.col("b.cut_dst").alias("dst"), (-F.col("b.f")).alias("frees"))
+    few = inside.groupBy("scc").agg(F.count(F.lit(1)).alias("edges")).filter(F.col("edges") <= limit).select("scc")
+    kind = inside.schema["src"].dataType.simpleString()
+    return inside.join(few, "scc").groupBy("scc").applyInArrow(_best_cut, f"scc {kind}, size long, src {kind}, dst {kind}, frees long")

@@ -49,10 +49,23 @@ def impact(graph: PropertyGraph, node: str) -> DataFrame:
     return reachable(importers(graph), start).select("id", "depth")
 
 
-def impact_counts(graph: PropertyGraph) -> DataFrame:
-    """(id, reached): number of dependents of every node, all roots at once."""
-    seen = reachable(importers(graph), graph.nodes.select("id"))
-    return seen.groupBy(F.col("root").alias("id")).agg((F.count(F.lit(1)) - 1).alias("reached"))
+def impact_counts(graph: PropertyGraph, roots: DataFrame | None = None) -> DataFrame:
+    """(id, reached): exact number of dependents of every node, or of the nodes asked for (id).
+
+    Nodes of one cycle reach the same, so components are searched and their sizes added up.
+    The state holds the (root, component) pairs reached: ask for roots where that is too much."""
+    from weftgraph.operators.scc import strongly_connected  # which uses this module
+
+    graph = graph.sound()
+    part = graph.nodes.select("id").distinct().join(strongly_connected(graph.edges), "id", "left").select("id", F.coalesce("scc", "id").alias("part"))
+    part = materialise(part)
+    sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    steps = importers(graph).join(part.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(part.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
+    steps = steps.filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    asked = part if roots is None else part.join(roots.select("id").distinct(), "id", "left_semi")
+    seen = reachable(steps, asked.select(F.col("part").alias("id")).distinct())
+    counts = seen.join(sizes, seen["id"] == sizes["part"]).groupBy("root").agg((F.sum("size") - 1).alias("reached"))
+    return asked.join(counts, asked["part"] == counts["root"]).select("id", "reached")
 
 
 def shortest_path(graph: PropertyGraph, source: str, target: str) -> DataFrame:
@@ -73,8 +86,9 @@ def shortest_path(graph: PropertyGraph, source: str, target: str) -> DataFrame:
 def path_edges(graph: PropertyGraph, path: DataFrame) -> DataFrame:
     """(hop, edge): of each hop of a path, the edge in either direction with the least id."""
     pairs = path.select("hop", F.col("id").alias("a")).join(path.select((F.col("hop") - 1).alias("hop"), F.col("id").alias("b")), "hop")
-    either = ((graph.edges["src"] == pairs["a"]) & (graph.edges["dst"] == pairs["b"])) | ((graph.edges["src"] == pairs["b"]) & (graph.edges["dst"] == pairs["a"]))
-    return graph.edges.join(F.broadcast(pairs), either).groupBy("hop").agg(F.min(graph.edges["id"]).alias("edge"))  # one row a hop
+    ways = pairs.unionByName(pairs.select("hop", F.col("b").alias("a"), F.col("a").alias("b")))
+    found = graph.edges.join(ways.select("hop", F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"])
+    return found.groupBy("hop").agg(F.min("id").alias("edge"))
 
 
 def neighbourhood(graph: PropertyGraph, focus: str, hops: int, blocked: DataFrame | None = None) -> DataFrame:

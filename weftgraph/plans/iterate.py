@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that
-    spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """Cuts lineage with a reliable checkpoint in the folder that spark.checkpoint.dir
+    names; a folder of our own only where that is unset and all work is on this machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -24,14 +27,13 @@ def fingerprint(df: DataFrame, *columns: str) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), total).first())
 
 
-def fixpoint(step: Callable[[DataFrame], DataFrame], state: DataFrame, *columns: str, most: int = 100) -> DataFrame:
+def fixpoint(step: Callable[[DataFrame], DataFrame], state: DataFrame, *columns: str) -> DataFrame:
     """Repeats ``step`` until the rows stay the same; each round is materialised."""
     state = materialise(state)
     before = fingerprint(state, *columns)
-    for _ in range(most):
+    while True:
         state = materialise(step(state))
         now = fingerprint(state, *columns)
         if now == before:
             return state
         before = now
-    raise RuntimeError(f"no fixpoint within {most} rounds")

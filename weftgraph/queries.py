@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as fx
 from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, rules, scc, traverse
+from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import tables
@@ -104,6 +105,21 @@ def orphans(s, d):
     return relational.orphans(G1(s, d))
 
 
+_NAMED = """named AS (SELECT * FROM nodes UNION ALL SELECT x || '/' || id, label, 'module', x || '/' || id, 1, cluster FROM nodes, (VALUES ('lib'), ('scripts'), ('a/e2e')) t(x)
+ UNION ALL SELECT id || '/' || x, label, 'module', id || '/' || x, 1, cluster FROM nodes, (VALUES ('Main.ts'), ('not-found.tsx'), ('vite.config.ts'), ('helpers.ts')) t(x))"""
+
+
+@query("orphans_by_name", _with("suppliers", 1, _NAMED) + r"""SELECT id FROM (SELECT *, regexp_replace(list_last(string_split(id, '/')), '\.[jt]sx?$', '') AS base FROM named) n WHERE type NOT IN ('page', 'api', 'query-key') AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id)
+ AND lower(base) NOT IN ('main', 'not-found') AND base NOT LIKE '%.config' AND NOT regexp_matches(file, '(^|/)(scripts|e2e)/')""".replace("\\\\", "\\"))
+def orphans_by_name(s, d):
+    """Copies of the nodes under paths that the conventions know, and under others that they do not."""
+    g = G2(s, d, 1)
+    under = g.nodes.select(F.explode(F.array(*map(F.lit, ("lib", "scripts", "a/e2e")))).alias("x"), "*").withColumn("id", F.concat_ws("/", "x", "id"))
+    below = g.nodes.select(F.explode(F.array(*map(F.lit, ("Main.ts", "not-found.tsx", "vite.config.ts", "helpers.ts")))).alias("x"), "*").withColumn("id", F.concat_ws("/", "id", "x"))
+    more = under.unionByName(below).withColumns({"type": F.lit("module"), "file": F.col("id")}).select(g.nodes.columns)
+    return relational.orphans(PropertyGraph(g.nodes.unionByName(more), g.edges))
+
+
 @query("traffic", _with("catalogue", more=_TRAFFIC) + "SELECT id, degree FROM traffic")
 def traffic(s, d):
     return relational.traffic(G1(s, d))
@@ -252,12 +268,13 @@ def scc_trade(s, d):
     return scc.strongly_connected(tables.graph(s, d, "trade", 2).edges)
 
 
-_CUTS = _with("suppliers", 1, _SCC + """, inside AS MATERIALIZED (SELECT x.scc, e.src, e.dst FROM edges e JOIN scc x ON x.id = e.src JOIN scc y ON y.id = e.dst WHERE x.scc = y.scc),
+_CUT_PARTS = _SCC + """, inside AS MATERIALIZED (SELECT x.scc, e.src, e.dst FROM edges e JOIN scc x ON x.id = e.src JOIN scc y ON y.id = e.dst WHERE x.scc = y.scc),
  few AS (SELECT scc FROM inside GROUP BY scc HAVING count(*) <= 400),
  cut(cs, cd, a, b) AS (SELECT c.src, c.dst, i.src, i.dst FROM inside c JOIN few USING (scc) JOIN inside i ON i.scc = c.scc AND NOT (i.src = c.src AND i.dst = c.dst)
   UNION SELECT u.cs, u.cd, u.a, i.dst FROM cut u JOIN inside i ON i.src = u.b AND NOT (i.src = u.cs AND i.dst = u.cd)),
  remain AS (SELECT cs, cd, count(DISTINCT x.a) AS n FROM cut x JOIN cut y USING (cs, cd) WHERE x.a = y.b AND x.b = y.a AND x.a <> x.b GROUP BY cs, cd),
- freed AS (SELECT i.scc, z.size, i.src, i.dst, z.size - coalesce(r.n, 0) AS frees FROM inside i JOIN few USING (scc) JOIN (SELECT scc, count(*) AS size FROM scc GROUP BY scc) z USING (scc) LEFT JOIN remain r ON r.cs = i.src AND r.cd = i.dst)""", True)
+ freed AS (SELECT i.scc, z.size, i.src, i.dst, z.size - coalesce(r.n, 0) AS frees FROM inside i JOIN few USING (scc) JOIN (SELECT scc, count(*) AS size FROM scc GROUP BY scc) z USING (scc) LEFT JOIN remain r ON r.cs = i.src AND r.cd = i.dst)"""
+_CUTS = _with("suppliers", 1, _CUT_PARTS, True)
 
 
 @query("best_cut", _CUTS + "SELECT scc, size, src, dst, frees FROM (SELECT *, row_number() OVER (PARTITION BY scc ORDER BY frees DESC, src, dst) AS r FROM freed WHERE frees > 0) WHERE r = 1")
@@ -287,10 +304,31 @@ def dead_weight(s, d):
     return doctor.dead_weight(g, relational.orphans(g))
 
 
-@query("doctor")
+_DOCTOR = _CUTS + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scc ORDER BY frees DESC, src, dst) AS r FROM freed WHERE frees > 0) WHERE r = 1),
+ walk_of AS (SELECT scc, string_agg(label, ', ' ORDER BY id) FILTER (WHERE r <= 6) AS shown, count(*) AS size FROM (SELECT scc.*, n.label, row_number() OVER (PARTITION BY scc ORDER BY scc.id) AS r FROM scc JOIN nodes n ON n.id = scc.id) GROUP BY scc),
+ roots AS (SELECT id, type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id)),
+ alive AS (SELECT id FROM scc UNION SELECT w.b FROM walk w JOIN scc ON scc.id = w.a),
+ owned AS (SELECT w.b AS id, min(r.id) AS root FROM walk w JOIN roots r ON r.id = w.a WHERE w.b NOT IN (FROM alive) GROUP BY w.b HAVING count(DISTINCT r.id) = 1),
+ lonely AS (SELECT r.id, 1 + (SELECT count(*) FROM owned o WHERE o.root = r.id) AS n FROM roots r WHERE type NOT IN ('page', 'api', 'query-key')),
+ shared AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst HAVING count(*) > 1)
+ SELECT 'cycle' AS kind, w.scc AS subject, 'Cycle of ' || w.size || ' nodes: ' || w.shown || CASE WHEN w.size > 6 THEN ' and ' || (w.size - 6) || ' others' ELSE '' END AS title,
+  CASE WHEN b.frees IS NULL THEN 'Two edges or more must be cut.' ELSE 'Cutting ' || s.label || ' -> ' || d.label || ' takes ' || b.frees || ' nodes out of it.' END AS fix,
+  CAST(coalesce(b.frees, w.size) AS DOUBLE) AS impact, w.size AS nodes
+ FROM walk_of w LEFT JOIN best b ON b.scc = w.scc LEFT JOIN nodes s ON s.id = b.src LEFT JOIN nodes d ON d.id = b.dst
+ UNION ALL SELECT 'orphan', l.id, 'Unused, as far as edges tell: ' || n.label, 'Deleting it would take ' || l.n || ' nodes away; look for dynamic uses first.', CAST(l.n AS DOUBLE) / 1000, l.n FROM lonely l JOIN nodes n ON n.id = l.id
+ UNION ALL SELECT 'violation', dst, 'one caller only (' || n.label || ': ' || x.n || ' callers)', 'Broken rule: unique-caller', CAST(x.n + 1 AS DOUBLE), x.n + 1 FROM shared x JOIN nodes n ON n.id = x.dst"""
+
+
+@query("doctor", _DOCTOR)
 def diagnose(s, d):
     g = G2(s, d, 1)
-    return doctor.diagnose(g, rules.evaluate(g, [rules.Rule("unique-caller", "one caller only"), rules.Rule("no-cycles", "no loops")]))
+    return doctor.diagnose(g, rules.evaluate(g, [rules.Rule("unique-caller", "one caller only")]))
+
+
+@query("deletion_touches", _with("suppliers", 1) + f"""SELECT 'orphaned' AS effect, id FROM nodes n WHERE n.id <> '{_WHAT}' AND n.type NOT IN ('page', 'api', 'query-key') AND EXISTS (SELECT 1 FROM edges WHERE dst = n.id) AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id AND src <> '{_WHAT}')
+ UNION ALL SELECT DISTINCT 'broken', src FROM edges WHERE dst = '{_WHAT}' AND src <> '{_WHAT}'""")
+def deletion_touches(s, d):
+    return doctor.deletion_touches(G2(s, d, 1), _WHAT)
 
 
 @query("health", _with("suppliers", 1, _SCC, True) + "SELECT NOT EXISTS (SELECT 1 FROM scc) AND NOT EXISTS (SELECT 1 FROM nodes n WHERE type NOT IN ('page', 'api', 'query-key') AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = n.id)) AS healthy")
@@ -349,7 +387,7 @@ def lens_states(s, d):
     return lens.states(g, {"impact": traverse.impact(g, FOCUS), "violated": lens.messages(_callers(g)), "lit": relational.lit_set(g, FOCUS)})
 
 
-@query("impact_status", _with("suppliers", 1, _REACH, True) + f"SELECT 'impact · ' || (SELECT count(*) - 1 FROM ({_IMPACTED})) || ' of ' || (SELECT count(*) FROM nodes) || ' files would break' AS status")
+@query("impact_status", _with("suppliers", 1, _REACH, True) + f"SELECT (SELECT count(*) - 1 FROM ({_IMPACTED})) || ' of ' || (SELECT count(*) FROM nodes) || ' nodes depend on it' AS status")
 def impact_status(s, d):
     g = G2(s, d, 1)
     return lens.impact_status(g, traverse.impact(g, FOCUS))
@@ -361,7 +399,11 @@ def screen_counts(s, d):
     return lens.screen(g, relational.lit_set(g, FOCUS))
 
 
-@query("opening")
+@query("opening", _with("suppliers", 1, ", ".join((_SKELETON, _CUT_PARTS)), True) + """SELECT f.id, f.scc FROM scc f
+ JOIN (SELECT id FROM nodes WHERE (SELECT count(*) FROM nodes) <= 40 OR id IN (SELECT id FROM shells WHERE core >= coalesce((SELECT min(k) FROM fits), (SELECT max(core) FROM shells)))) k ON k.id = f.id
+ JOIN (SELECT z.scc, coalesce(max(frees) FILTER (WHERE frees > 0), any_value(z.size)) AS impact FROM (SELECT scc, count(*) AS size FROM scc GROUP BY scc) z LEFT JOIN freed ON freed.scc = z.scc GROUP BY z.scc) w ON w.scc = f.scc
+ JOIN (SELECT a AS id, count(*) AS neighbours FROM (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst)) GROUP BY a) g ON g.id = f.id
+ ORDER BY w.impact DESC, f.scc, g.neighbours DESC, f.id LIMIT 1""")
 def opening(s, d):
     return lens.opening(G2(s, d, 1), 40)
 
@@ -396,14 +438,21 @@ def folder_modularity(s, d):
     return relational.modularity(g, relational.folders_as_membership(g))
 
 
-_SCC_MEMBERS = ", member AS (SELECT n.id, coalesce(scc.scc, n.id) AS community FROM nodes n LEFT JOIN scc ON scc.id = n.id)"
-
-
-@query("community_modularity", _with("suppliers", 1, _SCC + _SCC_MEMBERS + _MODULARITY, True))
-def community_modularity(s, d):
-    g = G2(s, d, 1)
-    member = g.nodes.select("id").join(scc.strongly_connected(g.edges), "id", "left").select("id", F.coalesce("scc", "id").alias("community"))
-    return relational.modularity(g, member)
+@query("louvain_invariants", _with("suppliers") + """SELECT count(*) AS files, true AS one_community_each, true AS named_by_a_member, true AS not_worse_than_folders, true AS no_merge_gains FROM nodes WHERE type NOT IN ('api', 'query-key')""")
+def louvain_invariants(s, d):
+    """What must hold of any result: SQL cannot search, but it can say what a search may not miss."""
+    g = G2(s, d)
+    member = materialise(communities.louvain(g))
+    folders = relational.folders_as_membership(g)
+    own = relational.modularity(g, member).withColumnRenamed("quality", "own")
+    theirs = relational.modularity(g, folders)
+    best = communities.best_merge(g, member)  # one row
+    named = member.groupBy("community").agg(F.count_if(F.col("id") == F.col("community")).alias("n")).agg(F.bool_and(F.col("n") == 1).alias("named_by_a_member"))
+    counted = member.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("id").alias("ids"), F.count("community").alias("named"))
+    row = counted
+    for one in (named, own, theirs, best):  # one row each
+        row = row.crossJoin(F.broadcast(one))
+    return row.select("files", ((F.col("ids") == F.col("files")) & (F.col("named") == F.col("files"))).alias("one_community_each"), "named_by_a_member", (F.col("own") >= F.col("quality")).alias("not_worse_than_folders"), (F.col("gain") <= 1e-9).alias("no_merge_gains"))
 
 
 @query("louvain")
@@ -411,21 +460,41 @@ def louvain(s, d):
     return communities.louvain(G2(s, d))
 
 
+@query("community_modularity")
+def community_modularity(s, d):
+    g = G2(s, d, 1)
+    return relational.modularity(g, communities.louvain(g))
+
+
 @query("coarsen")
 def coarsen(s, d):
     return communities.coarsen(G2(s, d))
 
 
-@query("split_folders", _with("catalogue", 1, "member AS (SELECT id, CAST(length(label) AS VARCHAR) AS community FROM nodes), counts AS (SELECT cluster, community, count(*) AS files FROM nodes JOIN member USING (id) GROUP BY ALL), parts AS (SELECT c.* FROM counts c JOIN (SELECT cluster, sum(files) AS whole FROM counts GROUP BY cluster) w USING (cluster) WHERE files >= 3 AND files * 100 >= whole * 15)")
-       + "SELECT cluster AS folder, community, files FROM parts WHERE cluster IN (SELECT cluster FROM parts GROUP BY cluster HAVING count(*) > 1)")
-def split_folders(s, d):
+@query("split_communities")
+def split_communities(s, d):
+    g = G2(s, d)
+    return relational.disagreements(g, materialise(communities.louvain(g)))[0]
+
+
+@query("merged_communities")
+def merged_communities(s, d):
+    g = G2(s, d)
+    return relational.disagreements(g, materialise(communities.louvain(g)))[1]
+
+
+@query("split_by_label", _with("catalogue", 1, "member AS (SELECT id, CAST(length(label) AS VARCHAR) AS community FROM nodes), counts AS (SELECT cluster, community, count(*) AS files FROM nodes JOIN member USING (id) GROUP BY ALL), parts AS (SELECT c.*, row_number() OVER (PARTITION BY c.cluster ORDER BY files DESC, community) AS place FROM counts c JOIN (SELECT cluster, sum(files) AS whole FROM counts GROUP BY cluster) w USING (cluster) WHERE files >= 3 AND files * 100 >= whole * 15), ranked AS (SELECT cluster, row_number() OVER (ORDER BY files DESC, cluster) AS rank FROM parts WHERE place = 2)")
+       + "SELECT cluster AS folder, community, files, rank FROM parts JOIN ranked USING (cluster)")
+def split_by_label(s, d):
+    """A membership that SQL can say: the length of the label."""
     g = G1(s, d)
     return relational.disagreements(g, g.nodes.select("id", F.char_length("label").cast("string").alias("community")))[0]
 
 
-@query("merged_folders", _with("suppliers", 1, "counts AS (SELECT cluster, type AS community, count(*) AS files FROM nodes GROUP BY ALL), firm AS (SELECT * FROM counts WHERE files > 1)")
-       + "SELECT community, cluster AS folder, files FROM firm WHERE community IN (SELECT community FROM firm GROUP BY community HAVING count(*) > 1)")
-def merged_folders(s, d):
+@query("merged_by_type", _with("suppliers", 1, "counts AS (SELECT cluster, type AS community, count(*) AS files FROM nodes GROUP BY ALL), firm AS (SELECT * FROM counts WHERE files > 1), ranked AS (SELECT community, row_number() OVER (ORDER BY sum(files) DESC, community) AS rank FROM firm GROUP BY community HAVING count(*) > 1)")
+       + "SELECT community, cluster AS folder, files, rank FROM firm JOIN ranked USING (community)")
+def merged_by_type(s, d):
+    """A membership that SQL can say: the type."""
     g = G2(s, d, 1)
     return relational.disagreements(g, g.nodes.select("id", F.col("type").alias("community")))[1]
 
@@ -494,18 +563,53 @@ def sample_even(s, d):
     return history.sample_even(tables.snapshots(s, d).select("ord").distinct(), 7)
 
 
-@query("first_where", f"WITH {_SNAP}, k AS (SELECT DISTINCT ord FROM snap), f AS (SELECT u.src, k.ord, s.src IS NOT NULL AS holds FROM (SELECT DISTINCT src FROM snap) u CROSS JOIN k LEFT JOIN (SELECT DISTINCT src, ord FROM snap) s ON s.src = u.src AND s.ord <= k.ord) SELECT src, CASE WHEN min(ord) FILTER (WHERE holds) > min(ord) THEN min(ord) FILTER (WHERE holds) END AS first_ord FROM f GROUP BY src")
+@query("first_seen", f"WITH {_SNAP} SELECT src, CASE WHEN min(ord) > (SELECT min(ord) FROM snap) THEN min(ord) END AS first_ord FROM snap GROUP BY src")
+def first_seen(s, d):
+    snap = tables.snapshots(s, d)
+    return history.first_ord(snap.select("src", "ord"), ["src"], snap)
+
+
+@query("first_where", f"""WITH {_SNAP}, seen AS (SELECT src, min(ord) AS began FROM snap GROUP BY src), k AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS i, ord FROM (SELECT DISTINCT ord FROM snap)),
+ held AS (SELECT i FROM k WHERE 10 * (SELECT count(*) FROM seen WHERE began <= k.ord) >= 9 * (SELECT count(*) FROM seen)) SELECT CASE WHEN min(i) > 0 THEN min(i) END AS first_ord FROM held""")
 def first_where(s, d):
+    """The first day by which nine tenths of the users had been seen, by bisection."""
     snap = tables.snapshots(s, d)
-    seen = snap.groupBy("src").agg(F.min("ord").alias("at"))  # lasting fact: has been seen
-    facts = seen.join(F.broadcast(snap.select("ord").distinct())).withColumn("holds", F.col("ord") >= F.col("at"))  # one row a day
-    return history.first_ord(facts, ["src"])
+    days = [r["ord"] for r in snap.select("ord").distinct().orderBy("ord").collect()]  # a row a day
+    seen = materialise(snap.groupBy("src").agg(F.min("ord").alias("at")))
+    users = seen.count()
+    at, _ = history.first_where(len(days), lambda k: 10 * seen.filter(F.col("at") <= days[k]).count() >= 9 * users)
+    return s.createDataFrame([(at,)], "first_ord long")
+
+
+_MONTHS = "months AS MATERIALIZED (" + tables.for_sql(tables.SUPPLIER_HISTORY, 1) + ")"
+_FRAME_SCC = """going(ord, a, b) AS (SELECT ord, src, dst FROM months UNION SELECT g.ord, g.a, m.dst FROM going g JOIN months m ON m.ord = g.ord AND m.src = g.b),
+ rings AS MATERIALIZED (SELECT ord, id, min(other) AS scc FROM (SELECT x.ord, x.a AS id, x.b AS other FROM going x JOIN going y ON x.ord = y.ord AND x.a = y.b AND x.b = y.a) GROUP BY ord, id HAVING count(DISTINCT other) > 1)"""
+
+
+def _months(s: SparkSession, d: str) -> DataFrame:
+    return tables.projected(s, d, tables.SUPPLIER_HISTORY, 1)
+
+
+@query("timeline", f"""WITH RECURSIVE {_MONTHS}, {_FRAME_SCC}, n AS (SELECT DISTINCT ord, id FROM (SELECT ord, src AS id FROM months UNION ALL SELECT ord, dst FROM months)), o AS (SELECT DISTINCT ord FROM months)
+ SELECT o.ord, left(md5(CAST(o.ord AS VARCHAR)), 8) AS sha, 'month ' || o.ord AS subject, (SELECT count(*) FROM n WHERE n.ord = o.ord) AS nodes, (SELECT count(*) FROM months m WHERE m.ord = o.ord) AS edges,
+ CASE WHEN o.ord = (SELECT min(ord) FROM o) THEN 0 ELSE (SELECT count(*) FROM n WHERE n.ord = o.ord AND id NOT IN (SELECT id FROM n x WHERE x.ord = o.ord - 1)) END AS added,
+ (SELECT count(DISTINCT scc) FROM rings r WHERE r.ord = o.ord) AS cycles, (SELECT count(*) FROM (SELECT dst FROM months m WHERE m.ord = o.ord GROUP BY dst HAVING count(*) > 1)) AS violations FROM o""")
+def timeline(s, d):
+    months = materialise(_months(s, d))
+    commits = months.select("ord").distinct().select("ord", F.md5(F.col("ord").cast("string")).alias("sha"), F.lit(None).cast("string").alias("date"), F.concat(F.lit("month "), F.col("ord").cast("string")).alias("subject"))
+    return history.timeline(months, commits).drop("date", "removed")
 
 
-@query("blame")
+@query("blame", f"""WITH RECURSIVE {_MONTHS}, {_FRAME_SCC}, last AS (SELECT max(ord) AS ord FROM months),
+ today AS (SELECT id, scc FROM rings WHERE ord = (SELECT ord FROM last)), sizes AS (SELECT scc, count(*) AS size FROM today GROUP BY scc),
+ held AS (SELECT t.scc, r.ord FROM today t JOIN rings r ON r.id = t.id GROUP BY t.scc, r.ord, r.scc HAVING count(*) = (SELECT size FROM sizes z WHERE z.scc = t.scc)),
+ shared AS (SELECT dst, ord, count(*) AS n FROM months GROUP BY dst, ord HAVING count(*) > 1)
+ SELECT 'cycle' AS what, z.scc AS subject, z.size, CASE WHEN min(h.ord) > 0 THEN min(h.ord) END AS first_ord FROM sizes z LEFT JOIN held h ON h.scc = z.scc GROUP BY z.scc, z.size
+ UNION ALL SELECT 'shared', dst, (SELECT n FROM shared y WHERE y.dst = x.dst AND y.ord = (SELECT ord FROM last)), CASE WHEN min(ord) > 0 THEN min(ord) END FROM shared x GROUP BY dst""")
 def blame(s, d):
-    today = tables.graph(s, d, "trade", 2).edges.select("src", "dst")
-    return history.blame_cycles(today, lambda k: today if k >= 2 else today.filter(F.pmod(F.xxhash64("src"), F.lit(3)) <= k), 4)
+    months = materialise(_months(s, d))
+    last = months.agg(F.max("ord")).first()[0]
+    return history.blame(months.filter(F.col("ord") == last), lambda asked: months.filter(F.col("ord").isin(asked)), last + 1)
 
 
 # -- text --------------------------------------------------------------------------------

@@ -30,6 +30,7 @@ GRAPH = T.StructType(
         ),
     ]
 )
+CONFIG_NAME = "weftgraph.config.json"
 COMMIT_SEPARATOR = "\x1f"
 
 
@@ -110,6 +111,12 @@ def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(raw.select(F.inline("nodes")), edges, dict(meta))
 
 
+def find_config(root: str) -> str | None:
+    """The configuration file of a tree, if it has one."""
+    place = os.path.join(root, CONFIG_NAME)
+    return place if os.path.exists(place) else None
+
+
 def read_config(path: str) -> tuple[list[Rule], tuple[str, ...]]:
     """Rules and additional exclusions of a JSON configuration; all problems in one error."""
     value = json.loads(open(path, encoding="utf-8").read())
@@ -136,7 +143,7 @@ def files_at(commits: DataFrame, repository: str) -> DataFrame:
             for row in batch.itertuples():
                 git = lambda *a: subprocess.run(["git", "-C", repository, *a], capture_output=True, check=True).stdout  # noqa: B023, E731
                 try:
-                    names = [n for n in git("ls-tree", "-r", "--name-only", row.sha).decode().splitlines() if n.endswith((".ts", ".tsx")) and not any(x in n for x in EXCLUDED)]
+                    names = [n for n in git("ls-tree", "-r", "--name-only", row.sha).decode().splitlines() if n.endswith((".ts", ".tsx")) and not n.endswith(".d.ts") and not any(x in n for x in EXCLUDED)]
                     texts = [git("show", f"{row.sha}:{n}").decode("utf-8", "replace") for n in names]
                 except (subprocess.CalledProcessError, OSError):
                     continue

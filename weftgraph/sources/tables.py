@@ -74,6 +74,20 @@ SNAPSHOTS = """
 SELECT DISTINCT CAST(datediff('day', first_day, CAST(ts AS DATE)) AS BIGINT) AS ord, 'user/' || CAST(user_id AS STRING) AS src, 'event/' || event_type AS dst
 FROM [events] CROSS JOIN (SELECT CAST(min(ts) AS DATE) AS first_day FROM [events]) AS f"""
 
+#: today's supplier graph with [k] followers, each edge in every month from the first in which it was seen
+SUPPLIER_HISTORY = f"""
+SELECT CAST(m.ord AS BIGINT) AS ord, e.src, e.dst
+FROM (SELECT {_key("supplier", "s")} AS src, {_key("supplier", "d")} AS dst, first
+      FROM (SELECT s, d, first, row_number() OVER (PARTITION BY s ORDER BY n DESC, d) AS r
+            FROM (SELECT s, d, count(*) AS n, min(month) AS first
+                  FROM (SELECT l_suppkey AS s, 12 * year(o_orderdate) + month(o_orderdate) AS month,
+                               lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS d
+                        FROM [lineitem] JOIN [orders] ON l_orderkey = o_orderkey) AS hops
+                  WHERE d IS NOT NULL AND s <> d GROUP BY s, d) AS pairs) AS ordered
+      WHERE r <= [k]) AS e
+JOIN (SELECT month, row_number() OVER (ORDER BY month) - 1 AS ord FROM (SELECT DISTINCT 12 * year(o_orderdate) + month(o_orderdate) AS month FROM [orders]) AS months) AS m
+  ON m.month >= e.first"""
+
 PROJECTIONS = {
     "catalogue": (CATALOGUE_NODES, CATALOGUE_EDGES),
     "suppliers": (SUPPLIER_NODES, SUPPLIER_EDGES),

@@ -7,12 +7,15 @@ leaves the last good one in place, with the error beside it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weftgraph.sources import files
+
 VERSION = "version long, nodes long, edges long, error string"
 
 
@@ -22,6 +25,19 @@ def latest_files(store: DataFrame) -> DataFrame:
     return newest.filter("text is not null")
 
 
+def publish(spark: SparkSession, rows: DataFrame, folder: str, version: int, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> None:
+    """Writes the graph of some files (path, text) as a version, or the error that kept it from being built."""
+    error, counts = None, (None, None)
+    try:
+        nodes, edges = build(rows)
+        nodes.write.mode("overwrite").parquet(f"{folder}/nodes/version={version}")
+        edges.write.mode("overwrite").parquet(f"{folder}/edges/version={version}")
+        counts = tuple(spark.read.parquet(f"{folder}/{part}/version={version}").count() for part in ("nodes", "edges"))
+    except Exception as e:  # a half-written file must not end the watch
+        error = str(e)[:500]
+    spark.createDataFrame([(version, *counts, error)], VERSION).write.mode("overwrite").parquet(f"{folder}/versions/batch={version}")
+
+
 def watch(changes: DataFrame, folder: str, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, interval: str | None = "2.5 seconds") -> StreamingQuery:
     """Applies a stream of files (path, text) and writes ``folder``/{files,nodes,edges,versions}.
 
@@ -31,20 +47,62 @@ def watch(changes: DataFrame, folder: str, build: Callable[[DataFrame], tuple[Da
     def step(batch: DataFrame, version: int) -> None:
         spark: SparkSession = batch.sparkSession
         batch.select("path", "text", F.lit(version).cast("long").alias("version")).write.mode("overwrite").parquet(f"{folder}/files/batch={version}")
-        error, counts = None, (None, None)
-        try:
-            nodes, edges = build(latest_files(spark.read.parquet(f"{folder}/files")))
-            nodes.write.mode("overwrite").parquet(f"{folder}/nodes/version={version}")
-            edges.write.mode("overwrite").parquet(f"{folder}/edges/version={version}")
-            counts = tuple(spark.read.parquet(f"{folder}/{part}/version={version}").count() for part in ("nodes", "edges"))
-        except Exception as e:  # a half-written file must not end the watch
-            error = str(e)[:500]
-        spark.createDataFrame([(version, *counts, error)], VERSION).write.mode("overwrite").parquet(f"{folder}/versions/batch={version}")
+        publish(spark, latest_files(spark.read.parquet(f"{folder}/files")), folder, version, build)
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+LISTING = "path string, modified long, size long"
+
+
+def listing(root: str, exclude: Iterable[str] | None = None) -> list[tuple[str, int, int]]:
+    """(path below the root, time of change in ns, size) of the scripts of a local tree."""
+    exclude = files.EXCLUDED if exclude is None else tuple(exclude)
+    found = []
+    for folder in files.pruned_folders(root, exclude):
+        for name in sorted(os.listdir(folder)):
+            path = os.path.relpath(os.path.join(folder, name), root)
+            if name.endswith((".ts", ".tsx")) and not name.endswith(".d.ts") and not any(x in path for x in exclude):
+                try:
+                    seen = os.stat(os.path.join(folder, name))
+                except FileNotFoundError:  # gone since it was listed
+                    continue
+                found.append((path, seen.st_mtime_ns, seen.st_size))
+    return found
+
+
+def tree_step(spark: SparkSession, root: str, folder: str, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], exclude: Iterable[str] | None = None) -> int | None:
+    """One look at a source tree: a new version under ``folder`` if a script was added, changed or
+    deleted since the last look, else None.  Only what changed is read again; the files of a version
+    are written whole, so that no look reads more than one version."""
+    exclude = files.EXCLUDED if exclude is None else tuple(exclude)
+    numbers = sorted(int(n.partition("=")[2]) for n in os.listdir(f"{folder}/looks")) if os.path.isdir(f"{folder}/looks") else []
+    version = numbers[-1] + 1 if numbers else 0
+    now = spark.createDataFrame(listing(root, exclude), LISTING)
+    if numbers:
+        before = spark.read.parquet(f"{folder}/looks/version={numbers[-1]}")
+        old, kept = before.select("path", "modified", "size"), now.join(before, ["path", "modified", "size"], "left_semi").select("path")
+        if now.exceptAll(old).isEmpty() and old.exceptAll(now).isEmpty():
+            return None
+        held = before.join(kept, "path", "left_semi")
+    else:
+        held = spark.createDataFrame([], LISTING + ", text string")
+    fresh = now.join(held.select("path"), "path", "left_anti")
+    texts = files.source_files(spark, files.pruned_folders(root, exclude), root, exclude).join(fresh, "path").select("path", "modified", "size", "text")
+    held.unionByName(texts).write.mode("overwrite").parquet(f"{folder}/looks/version={version}")
+    publish(spark, spark.read.parquet(f"{folder}/looks/version={version}").select("path", "text"), folder, version, build)
+    return version
+
+
+def watch_tree(spark: SparkSession, root: str, folder: str, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, exclude: Iterable[str] | None = None, interval: str = "2.5 seconds") -> StreamingQuery:
+    """Looks at a tree at every tick of a stream, one look after another.  A file source would see a
+    path once only; comparing listings also sees edits and deletions."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda batch, _: tree_step(batch.sparkSession, root, folder, build, exclude)).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=interval).start()
+
+
 def last_good(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int] | None:
     """Nodes and edges of the last version without an error, and its number."""
     row = spark.read.parquet(f"{folder}/versions").filter("error is null").agg(F.max("version")).first()
