@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: the classifier's decisions are beyond SQL; the tests compare with a brute-force version
+#: the classifier's decisions are beyond SQL; tests/llm/test_pipeline.py compares with a brute-force version
 ORACLE_SQL = None
 
 
