@@ -154,16 +154,19 @@ def block_links(table: pa.Table, threshold: float) -> pa.Table:
 
 def _clusters(members: DataFrame, near: DataFrame, rounds: int = 6) -> DataFrame:
     """(rep, cluster) of members (rep, n): clusters below half a block join a neighbour along the links of
-    ``near`` that comes before them in an order drawn anew each round (larger ones first), if it stays itself."""
+    ``near`` that comes before them in order, if it stays itself: larger clusters first, then those with more
+    neighbours, so that the hub of a star takes all its leaves at once, then by a draw made anew each round."""
     links = materialise(near.join(members.select(F.col("rep").alias("src")), "src").select("src", "dst"))
     state = materialise(members.select("rep", "n", F.col("rep").alias("cluster")))
     for k in range(rounds):
         sizes = state.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
         small = (F.col("m") * 2 < BLOCK_MEMBERS) & (F.col("grams") * 2 < BLOCK_GRAMS)
-        order = materialise(sizes.select("cluster", F.struct(small.alias("small"), F.xxhash64("cluster", F.lit(k)).alias("draw"), "cluster").alias("place")))
         ends = [state.select(F.col("rep").alias(c), F.col("cluster").alias(f"c_{c}")) for c in ("src", "dst")]
-        across = links.join(ends[0], "src").join(ends[1], "dst").filter("c_src <> c_dst").select(F.col("c_src").alias("cluster"), F.col("c_dst").alias("to")).distinct()
-        across = across.unionByName(across.select(F.col("to").alias("cluster"), F.col("cluster").alias("to")))
+        across = links.join(ends[0], "src").join(ends[1], "dst").filter("c_src <> c_dst").select(F.col("c_src").alias("cluster"), F.col("c_dst").alias("to"))
+        across = materialise(across.unionByName(across.select(F.col("to").alias("cluster"), F.col("cluster").alias("to"))).distinct())
+        degrees = across.groupBy("cluster").agg((-F.count(F.lit(1))).alias("fewer"))
+        place = F.struct(small.alias("small"), F.coalesce("fewer", F.lit(0)).alias("fewer"), F.xxhash64("cluster", F.lit(k)).alias("draw"), "cluster").alias("place")
+        order = materialise(sizes.join(degrees, "cluster", "left").select("cluster", place))
         least = across.join(order.select(F.col("cluster").alias("to"), F.col("place").alias("best")), "to").groupBy("cluster").agg(F.min("best").alias("best"))
         wishes = materialise(order.join(least, "cluster").filter("place.small and best < place").select("cluster", F.col("best.cluster").alias("to")))
         if wishes.isEmpty():
