@@ -27,10 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise, told_apart, without
+from weftgraph.llm.common import materialise, sifted, told_apart, without
 
 REMAINDERS_PER_CUT = 1 << 16
-WORD_BITS = 20
 
 
 def normalised(text: str | None) -> bytes:
@@ -171,16 +170,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _routed(texts: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose fingerprint is one of ``repeats``.
-
-    A bitmap over the leading bits of the repeated fingerprints goes first: 2**WORD_BITS rows
-    of 64 bits at most, whatever the input, so it is broadcast, and most unique texts are
-    dropped where they are read.  The exact join then shuffles what passed."""
-    word = F.shiftrightunsigned("fp", 64 - WORD_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {58 - WORD_BITS}) & 63 as int))")
-    bitmap = repeats.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    passed = texts.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
-    return passed.drop("word", "bits").join(repeats.select("fp"), "fp")  # an inner join, as a semi-join would be moved below the bitmap
+    """Rows of ``texts`` whose fingerprint is one of ``repeats``: most unique texts are dropped where
+    they are read, and the exact join then shuffles what passed."""
+    return sifted(texts, repeats).join(repeats.select("fp"), "fp")
 
 
 def exact_groups(docs: DataFrame, remainders_per_cut: int = REMAINDERS_PER_CUT) -> DataFrame:

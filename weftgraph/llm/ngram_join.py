@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import shingles as sh
 from weftgraph.llm.bpe import slices
-from weftgraph.llm.common import materialise, told_apart, without
+from weftgraph.llm.common import materialise, sifted, told_apart, without
 from weftgraph.operators.components import connected_components
 
 BLOCK_MEMBERS = 256
@@ -220,7 +220,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     members = component.join(reps.select("rep", "doc_id", "d0", "d1", "n", "weight"), "rep")
     placed, pairs = _blocks(members, near, banded)
     wanted = placed.select("doc_id").distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    texts = sifted(docs.withColumn("fp", F.xxhash64("doc_id")), wanted.select(F.xxhash64("doc_id").alias("fp")))
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["doc_id"], "text")
     sets = gram_sets(texts, size).dropDuplicates(["d0", "d1"]).select("d0", "d1", "grams")
     meets = placed.join(sets, ["d0", "d1"]).join(pairs, "block").select("component", "bi", "bj", "block", "rep", "weight", "grams")
     found = materialise(
