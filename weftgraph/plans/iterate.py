@@ -3,24 +3,53 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that spark.checkpoint.dir
-    names; a folder of our own only where that is unset and all work is on this machine."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for lineage cuts within the one that spark.checkpoint.dir names; a folder of our
+    own only where that is unset and all work is on this machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Versions:
+    """Versions of one table, as Parquet in the shared folder: where a round rewrites wide rows, which
+    Parquet compresses.  Writing a version removes the one before it, from which it was made."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        if self.count:
+            drop_folder(self.spark, f"{self.folder}/{self.count - 1}")
+        self.count += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ours from the store that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fingerprint(df: DataFrame, *columns: str) -> tuple:
     """Row count and order-free hash sum: equal for equal multisets of rows."""
     total = F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))
