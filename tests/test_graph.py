@@ -4,15 +4,16 @@ import json
 import random
 import subprocess
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import cli
 from weftgraph.functions import lexer
 from weftgraph.functions import text as fx
-from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, rules, scc, traverse
+from weftgraph.operators import communities, components, cores, cuts, doctor, history, lens, naming, relational, rules, scc, traverse
 from weftgraph.plans.build import build_graph
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
@@ -151,6 +152,49 @@ def test_best_cut_and_dead_weight(spark):
     assert weight("widow>a a>b b>a", "widow") == set()
 
 
+def frees_by_search(n, edges):
+    """Of every edge: nodes on no cycle without it, by one search each."""
+    out = []
+    for cut in edges:
+        near = [[b for a, b in edges if a == v and (a, b) != cut] for v in range(n)]
+        found = Counter(scc.search(near))
+        out.append(n - sum(size for size in found.values() if size > 1))
+    return out
+
+
+def test_every_cut_of_random_components():
+    rng = random.Random(8)
+    for _ in range(250):
+        n = rng.randrange(2, 24)
+        order = rng.sample(range(n), n)
+        edges = {(order[k], order[k - 1]) for k in range(n)} if n > 1 else set()
+        for _ in range(rng.randrange(0, min(2 * n, 60 - n))):
+            a, b = rng.randrange(n), rng.randrange(n)
+            edges |= {(a, b)} if a != b else set()
+        edges = sorted(edges)
+        assert cuts.freed(n, *np.array(edges).T).tolist() == frees_by_search(n, edges)
+    for _ in range(60):  # several loops that share nodes
+        n, edges = 1, set()
+        while len(edges) < 50:
+            size, at = rng.randrange(1, 6), rng.randrange(n)
+            ring = [at, *range(n, n + size)]
+            edges |= {(ring[k - 1], ring[k]) for k in range(len(ring))}
+            n += size
+        edges = sorted(edges)
+        assert cuts.freed(n, *np.array(edges).T).tolist() == frees_by_search(n, edges)
+
+
+def test_cuts_of_large_components(spark):
+    ring = make(spark, [(f"n{k:03}", f"n{(k + 1) % 401:03}") for k in range(401)] + [("x", "y"), ("y", "x"), ("x", "z"), ("z", "x")])
+    out = {r["scc"]: tuple(r)[1:] for r in scc.best_cuts(ring.edges).collect()}
+    assert out == {"n000": (401, "n000", "n001", 401), "x": (3, "x", "y", 1)}
+    fix = {r["subject"]: r["fix"] for r in doctor.diagnose(ring).filter("kind = 'cycle'").collect()}
+    assert fix["n000"] == "Cutting n000 -> n001 takes 401 nodes out of it."
+    within = scc.inside(ring.edges)
+    assert {r["scc"] for r in scc.too_large(within, 400).collect()} == {"n000"}
+    assert {r["scc"] for r in scc.best_cuts(ring.edges, within=within, limit=400).collect()} == {"x"}
+
+
 def test_doctor_ranks_cycles_first(spark):
     found = doctor.diagnose(make(spark, "a>b b>a w>x x>y y>z")).collect()
     assert [r["kind"] for r in found] == ["cycle", "orphan"]

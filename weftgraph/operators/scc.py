@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators import cuts
 from weftgraph.operators.traverse import reachable
 from weftgraph.plans import bounded
 from weftgraph.plans.iterate import fingerprint, materialise
 
+#: edges of a component that is searched for its best cut
+CUT_LIMIT = 1 << 20
+
 
 def search(following: list[list[int]]) -> list[int]:
     """Component number of every node, by one depth-first search that keeps its own stack."""
@@ -168,32 +172,27 @@ def tangled(edges: DataFrame) -> DataFrame:
     return strongly_connected(edges).agg(F.count(F.lit(1)).alias("tangled"))
 
 
-def _best_cut(table: pa.Table) -> pa.Table:
-    """The edge of one component (scc, src, dst) whose removal frees most nodes, if any frees some."""
-    ids, (src, dst) = bounded.coded(table, "src", "dst")
-    best, most = None, 0
-    for k in np.lexsort((dst, src)).tolist():  # ties: the least edge
-        kept = np.arange(len(src)) != k
-        sizes = np.bincount(search(bounded.neighbours(len(ids), src[kept], dst[kept])))
-        frees = int(len(ids) - sizes[sizes > 1].sum())
-        if frees > most:
-            best, most = k, frees
-    rows = [] if best is None else [(table["scc"][0].as_py(), len(ids), ids[src[best]], ids[dst[best]], most)]
-    kind = table.schema.field("src").type
-    types = (kind, pa.int64(), kind, kind, pa.int64())
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(("scc", "size", "src", "dst", "frees"), columns, types, strict=True)})
+def inside(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(scc, src, dst): distinct edges with both ends in one component.  ``members``: the components, if known."""
+    edges = edges.select("src", "dst").filter("src <> dst").distinct()
+    members = strongly_connected(edges) if members is None else members
+    ends = edges.join(members.select(F.col("id").alias("src"), "scc"), "src").join(members.select(F.col("id").alias("dst"), F.col("scc").alias("other")), "dst")
+    return materialise(ends.filter("scc = other").select("scc", "src", "dst"))
 
 
-def best_cuts(edges: DataFrame, limit: int = 400, members: DataFrame | None = None) -> DataFrame:
+def too_large(within: DataFrame, limit: int = CUT_LIMIT) -> DataFrame:
+    """(scc) of the components of more than ``limit`` edges ``within`` (scc, src, dst)."""
+    return within.groupBy("scc").agg(F.count(F.lit(1)).alias("edges")).filter(F.col("edges") > limit).select("scc")
+
+
+def best_cuts(edges: DataFrame, members: DataFrame | None = None, within: DataFrame | None = None, limit: int = CUT_LIMIT) -> DataFrame:
     """(scc, size, src, dst, frees): of each component, the edge whose removal frees most nodes
-    (ties: least src, dst).  Components of more than ``limit`` edges, and those that no single
-    edge breaks, have none.  A component within the limit is one task's group: at most
-    ``limit`` searches of ``limit`` edges.  ``members``: the components, if known."""
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    members = strongly_connected(edges) if members is None else members
-    inside = edges.join(members.select(F.col("id").alias("src"), "scc"), "src").join(members.select(F.col("id").alias("dst"), F.col("scc").alias("other")), "dst")
-    inside = materialise(inside.filter("scc = other").select("scc", "src", "dst"))
-    few = inside.groupBy("scc").agg(F.count(F.lit(1)).alias("edges")).filter(F.col("edges") <= limit).select("scc")
-    kind = inside.schema["src"].dataType.simpleString()
-    return inside.join(few, "scc").groupBy("scc").applyInArrow(_best_cut, f"scc {kind}, size long, src {kind}, dst {kind}, frees long")
+    (ties: least src, dst); a component that no single edge breaks has none.
+
+    All edges of a component are judged at once (``cuts``), in one task and in memory of a few
+    hundred bytes an edge; components ``too_large`` for that are not searched.  ``members``,
+    ``within``: the components and the edges inside them, if known."""
+    within = inside(edges, members) if within is None else within
+    kind = within.schema["src"].dataType.simpleString()
+    searched = within.join(too_large(within, limit), "scc", "left_anti")
+    return searched.groupBy("scc").applyInArrow(cuts.best_cut, f"scc {kind}, size long, src {kind}, dst {kind}, frees long")

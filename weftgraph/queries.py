@@ -269,7 +269,7 @@ def scc_trade(s, d):
 
 
 _CUT_PARTS = _SCC + """, inside AS MATERIALIZED (SELECT x.scc, e.src, e.dst FROM edges e JOIN scc x ON x.id = e.src JOIN scc y ON y.id = e.dst WHERE x.scc = y.scc),
- few AS (SELECT scc FROM inside GROUP BY scc HAVING count(*) <= 400),
+ few AS (SELECT DISTINCT scc FROM inside),
  cut(cs, cd, a, b) AS (SELECT c.src, c.dst, i.src, i.dst FROM inside c JOIN few USING (scc) JOIN inside i ON i.scc = c.scc AND NOT (i.src = c.src AND i.dst = c.dst)
   UNION SELECT u.cs, u.cd, u.a, i.dst FROM cut u JOIN inside i ON i.src = u.b AND NOT (i.src = u.cs AND i.dst = u.cd)),
  remain AS (SELECT cs, cd, count(DISTINCT x.a) AS n FROM cut x JOIN cut y USING (cs, cd) WHERE x.a = y.b AND x.b = y.a AND x.a <> x.b GROUP BY cs, cd),
