@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftgraph.llm import centroids, spelling, substring_dedup
@@ -145,6 +146,22 @@ def test_substring_dedup_returns_spans_and_text(spark):
     assert rows_of(substring_dedup.digests(frame(spark, [])), "doc_id") == []
 
 
+def test_words_of_bytes():
+    texts = ["", "one", "two three", " four", "", "é\u00a0\u2003x\x0by\x1cz", "w" * 63, "w" * 64, "w" * 65, "w" * 200 + " " + "w" * 201, "tail "]
+    column = pa.array(["cut off", *texts]).slice(1)
+    for size in (1, 40, 1 << 19):
+        seen, hashes = [], {}
+        for a, b, words in substring_dedup.word_slices(column, size):
+            ends = np.cumsum(words.counts)
+            for k, end in enumerate(ends.tolist()):
+                own = [words.piece(i, i + 1).decode() for i in range(end - int(words.counts[k]), end)]
+                seen.append(own)
+                for i, w in zip(range(end - len(own), end), own, strict=True):
+                    assert hashes.setdefault(w, int(words.hashes[i])) == int(words.hashes[i])
+            assert b - a == len(words.counts)
+        assert seen == [re.findall("[^ \t-\r]+", t) for t in texts] and len(set(hashes.values())) == len(hashes)
+
+
 def test_automaton_gives_least_owners():
     rng = random.Random(2)
     texts = [[rng.randrange(3) for _ in range(rng.randrange(5, 40))] for _ in range(12)]
@@ -155,7 +172,7 @@ def test_automaton_gives_least_owners():
     held.settle()
     inside = lambda part, text: any(text[i : i + len(part)] == part for i in range(len(text)))
     for text in [*texts, [rng.randrange(4) for _ in range(60)]]:
-        for end, (matched, owner) in enumerate(held.statistics(text, 6), 1):
+        for end, (matched, owner) in enumerate(zip(*held.statistics(text, 6), strict=True), 1):
             longest = max(n for n in range(7) if n <= end and (n == 0 or any(inside(text[end - n : end], t) for t in texts)))
             assert matched == longest
             if matched:

@@ -25,7 +25,6 @@ ignored.  Words are compared as they stand, spans by a 128-bit digest of their w
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.bpe import slices
 from weftgraph.llm.common import marked
-from weftgraph.llm.hashing import mix, run_hashes
+from weftgraph.llm.hashing import mix
 from weftgraph.plans.iterate import Versions
 
 WINDOW, RUN = 13, 5
@@ -44,16 +42,63 @@ WINDOW, RUN = 13, 5
 SHARD, COMMON = 4096, 512
 #: the bitmap of repeated runs has 2**WORD_BITS words of 64 bits
 WORD_BITS = 21
-WORD = re.compile("[^ \t-\r]+")
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and the number of words of each."""
-    cps = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = (cps != 32) & ((cps < 9) | (cps > 13))
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return run_hashes(cps[inside], ends - starts), np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+#: bytes of a word that are hashed by their places, and their random numbers
+PIECE = 64
+DRAWN = np.random.default_rng(12).integers(0, 1 << 64, PIECE << 8, np.uint64)
+
+
+class Words:
+    """The words of several texts that lie one after another in UTF-8 bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        inside = (data != 32) & ((data < 9) | (data > 13))
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        full = offsets[:-1][np.diff(offsets) > 0]  # a text begins or ends a word, whatever its neighbour holds
+        first[full] |= inside[full]
+        last[full[1:] - 1] |= inside[full[1:] - 1]
+        self.raw, self.starts, self.ends = data.tobytes(), np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.counts = np.diff(np.searchsorted(self.starts, offsets))
+        self.hashes = byte_hashes(data[inside], self.ends - self.starts)
+        gaps = (self.starts[1:] - self.ends[:-1] != 1) | (data[np.minimum(self.ends[:-1], len(data) - 1)] != 32) if len(self.starts) else np.zeros(0, bool)
+        self.odd = np.concatenate([[0], np.cumsum(gaps)])
+
+    def piece(self, a: int, b: int) -> bytes:
+        """Words ``a`` to ``b`` - 1, joined by one space."""
+        if self.odd[a] == self.odd[b - 1]:
+            return self.raw[self.starts[a] : self.ends[b - 1]]
+        return b" ".join(self.raw[x:y] for x, y in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True))
+
+
+def byte_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each of the consecutive runs that tile ``data`` (``sizes`` bytes each, none empty).
+
+    Every pair of place and byte has a number drawn at random; sums over pieces of a word are scattered, and so
+    are their sums, so that no pattern of letters cancels."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(first, sizes)
+    drawn = DRAWN[(place % PIECE) << 8 | data]
+    if sizes.max() <= PIECE:
+        return mix(np.add.reduceat(drawn, first))
+    begins = np.flatnonzero(place % PIECE == 0)
+    pieces = mix(np.add.reduceat(drawn, begins) + (place[begins] // PIECE).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(pieces, np.searchsorted(begins, first)))
+
+
+def word_slices(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, Words]]:
+    """(first text, text after the last, their words) of consecutive texts of about ``size`` bytes together."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        a = b
 
 
 def spans(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +120,8 @@ def spans(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, run: int
     return text[first], first - (np.cumsum(counts) - counts)[text[first]], np.diff(begins, append=len(whole)), least[first].view(np.int64)
 
 
-def digest(span: str) -> bytes:
-    return hashlib.sha256(span.encode("utf-8", "surrogatepass")).digest()[:16]
+def digest(span: bytes) -> bytes:
+    return hashlib.sha256(span).digest()[:16]
 
 
 def _bitmap(runs: DataFrame) -> np.ndarray:
@@ -102,20 +147,16 @@ def _found(docs: DataFrame, wanted: Broadcast | None, what: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                own, start, number, runs = spans(*word_hashes(texts[a:b]))
+            for a, _, words in word_slices(batch.column(2)):
+                own, start, number, runs = spans(words.hashes, words.counts)
                 if wanted is not None:
                     kept = np.flatnonzero(_marked(wanted.value, runs))
                     own, start, number, runs = own[kept], start[kept], number[kept], runs[kept]
                 columns = [batch.column(0).take(pa.array(own + a)), batch.column(1).take(pa.array(own + a)), pa.array(runs)]
                 names = ["doc_id", "hash", "run"]
                 if what != "run":
-                    words, held, pieces = [], -1, []
-                    for text, s, n in zip(own.tolist(), start.tolist(), number.tolist(), strict=True):
-                        if text != held:
-                            words, held = WORD.findall(texts[a + text]), text
-                        pieces.append(" ".join(words[s : s + n + WINDOW - 1]))
+                    first = (np.cumsum(words.counts) - words.counts)[own] + start
+                    pieces = [words.piece(x, y) for x, y in zip(first.tolist(), (first + number + WINDOW - 1).tolist(), strict=True)]
                     columns += [pa.array(pieces, pa.string())] if what == "text" else [pa.array(start.astype(np.int32)), pa.array([digest(p) for p in pieces], pa.binary())]
                     names += ["span"] if what == "text" else ["start", "key"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -173,19 +214,25 @@ class Automaton:
             if self.least[state] < self.least[up]:
                 self.least[up] = self.least[state]
 
-    def statistics(self, symbols: list[int], most: int) -> Iterator[tuple[int, int]]:
+    def statistics(self, symbols: list[int], most: int) -> tuple[list[int], list[int]]:
         """After each symbol: length of the longest match that ends there, ``most`` at most, and the least owner of it."""
+        following, link, length, least = self.following, self.link, self.length, self.least
         state = matched = 0
+        lengths, owners = [], []
         for symbol in symbols:
-            while state and symbol not in self.following[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            if symbol in self.following[state]:
-                state, matched = self.following[state][symbol], matched + 1
-                while self.length[self.link[state]] >= most:
-                    state = self.link[state]
-                matched = min(matched, most)
-            yield matched, self.least[state]
+            while state and symbol not in following[state]:
+                state = link[state]
+                matched = length[state]
+            if symbol in following[state]:
+                state = following[state][symbol]
+                matched += 1
+                if matched > most:
+                    while length[link[state]] >= most:
+                        state = link[state]
+                    matched = most
+            lengths.append(matched)
+            owners.append(least[state])
+        return lengths, owners
 
 
 def shard_statistics(table: pa.Table) -> pa.Table:
@@ -202,10 +249,10 @@ def shard_statistics(table: pa.Table) -> pa.Table:
     automaton.settle()
     keys, cut, found = [], [], []
     for text, sequence, greatest, windows in zip(texts, sequences, table["greatest"].to_pylist(), table["cut"].to_pylist(), strict=True):
-        owners = (order[owner] for matched, owner in automaton.statistics(sequence, WINDOW) if matched == WINDOW)
-        held = [{"at": at, "least": owner} for at, owner in enumerate(owners) if owner < greatest]
+        owners = automaton.statistics(sequence, WINDOW)[1][WINDOW - 1 :]  # a window of the reference is always found
+        held = [{"at": at, "least": order[owner]} for at, owner in enumerate(owners) if order[owner] < greatest]
         if held:
-            keys.append(digest(text))
+            keys.append(digest(text.encode()))
             cut.append(windows)
             found.append(held)
     kind = pa.list_(pa.struct([("at", pa.int32()), ("least", table.schema.field("least").type)]))
@@ -257,7 +304,7 @@ def _kept(rows: DataFrame) -> DataFrame:
                 part = batch.slice(a, 256)
                 kept, count, gone = [], [], []
                 for text, windows in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = WORD.findall(text or "")
+                    words = (text or "").encode().split()  # of bytes, at ASCII white space
                     edges: list[list[int]] = []
                     for first in sorted(w["start"] + k for w in windows or () for k in range(w["mask"].bit_length()) if w["mask"] >> k & 1):
                         if edges and first <= edges[-1][1]:
@@ -265,7 +312,7 @@ def _kept(rows: DataFrame) -> DataFrame:
                         else:
                             edges.append([first, first + WINDOW])
                     parts = [words[x:y] for x, y in zip([0, *(stop for _, stop in edges)], [*(start for start, _ in edges), len(words)], strict=True)]
-                    kept.append(" ".join(w for p in parts for w in p))
+                    kept.append(b" ".join(w for p in parts for w in p) if edges else b" ".join(words))
                     count.append(len(words))
                     gone.append([{"start": start, "stop": stop} for start, stop in edges])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(gone, removed)], names=["doc_id", "kept", "n_words", "removed"])
