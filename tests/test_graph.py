@@ -264,11 +264,53 @@ def test_communities(spark):
     assert found[0].count() == 2 and found[1].isEmpty() and {r["rank"] for r in found[0].collect()} == {1}
     for g in (two, one, split):
         assert communities.best_merge(g, communities.louvain(g)).first()[0] <= 1e-9
-    by_joins = communities.louvain(two, limit=0)
-    assert relational.modularity(two, by_joins).first()[0] > 0.3
     assert communities.coarsen(two).count() == 1 and communities.coarsen(two).first()["w"] == 1
 
 
+def test_communities_are_the_same_by_joins_and_in_one_task(spark):
+    rng = random.Random(4)
+    planted = {(f"v{6 * rng.randrange(15) + g:03}", f"v{6 * rng.randrange(15) + g:03}") for g in range(6) for _ in range(60)}
+    planted |= {(f"v{rng.randrange(90):03}", f"v{rng.randrange(90):03}") for _ in range(60)}
+    shapes = [sorted(p for p in planted if p[0] != p[1]), [("hub", f"l{k:02}") for k in range(40)], [(f"r{k:02}", f"r{(k + 1) % 40:02}") for k in range(40)]]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for links in shapes:
+        g = make(spark, links)
+        member = rows(communities.louvain(g))
+        assert rows(communities.louvain(g, limit=0)) == member
+        assert rows(communities.coarsen(g)) == rows(communities.coarsen(g, limit=0))
+        parts = {m: {i for i, c in member if c == m} for _, m in member}
+        for m, own in parts.items():  # each is connected
+            seen, more = {m}, [m]
+            while more:
+                at = more.pop()
+                found = {y for x, y in links + [(y, x) for x, y in links] if x == at and y in own} - seen
+                seen |= found
+                more += found
+            assert seen == own
+    assert len({c for _, c in rows(communities.louvain(make(spark, shapes[0])))}) == 6
+
+
+def test_every_step_raises_modularity():
+    rng = np.random.default_rng(1)
+    for n in (12, 40, 200):
+        a, b = rng.integers(0, n, (2, 4 * n))
+        a, b = np.append(a[a != b], np.zeros(n - 1, int)), np.append(b[a != b], np.arange(1, n))  # and a hub
+        w = rng.integers(1, 5, len(a))
+        u, v, both = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(w, 2)
+        k = np.bincount(u, both).astype(int)
+        quality = lambda c: int(both[c[u] == c[v]].sum()) * int(k.sum()) - int((np.bincount(c, k) ** 2).sum())  # noqa: B023, E731
+        community, best = np.arange(n), None
+        for _ in range(30):
+            following = communities._step(u, v, both, k, community, rng.integers(-(1 << 63), (1 << 63) - 1, n))
+            if following is None:
+                break
+            assert quality(following) > quality(community)
+            community, best = following, quality(following)
+        else:
+            raise AssertionError("still moving")
+        assert best is not None
+
+
 def test_history(spark):
     base, head = make(spark, "a>b a>c"), make(spark, "a>b a>d")
     edges = lambda g: PropertyGraph(g.nodes, g.edges.withColumn("id", F.concat_ws("->", "src", "dst")))

@@ -23,9 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    """Cuts lineage with a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the size that was estimated for its plan, and joins multiply estimates: after
+    some rounds the number alone fills the driver's memory.  The rows are taken up without it."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut, session = df.checkpoint(eager=True)._jdf, df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(cut.queryExecution().toRdd(), cut.schema(), False), session)
 
 
 class Versions:
