@@ -7,8 +7,9 @@ one of the three first of each, its places at most one apart.  Only these three
 joined.  The edit lies behind the shared bigram, and all before it is equal in both
 words, or before it, and all behind is equal: a join key is therefore the whole head up
 to the bigram's end, or the whole tail from its start, with the length of the longer
-word, which implies the limit of positions and parts groups of common bigrams.  Pairs
-are verified by edit distance inside the join, so no candidate leaves it.
+word, which implies the limit of positions and parts groups of common bigrams.  Within the
+join, pairs are told apart by the parities of their letters first, which are 64 bits of a word, and then verified
+by edit distance, so no candidate leaves it.
 
 Native: no Python worker.  The table of bigrams has a row for each pair of letters; it
 is joined, never collected.  Large groups of a key are split by skew joins.
@@ -55,18 +56,25 @@ def rarest(words: DataFrame, kept: int = 3) -> DataFrame:
     return placed.join(common, "gram").groupBy("word").agg(F.slice(order, 1, kept).alias("first")).select("word", F.transform("first", lambda x: x["at"]).alias("at"))
 
 
+def _parities() -> Column:
+    """64 bits: of the code points with each remainder by 64, are there an odd number?  One edit turns two bits at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, other) both ways: words of 4 letters or more, given once each, that differ by exactly
     one inserted, deleted or replaced code point."""
-    placed = rarest(words.select("word")).select("word", F.char_length("word").alias("length"), F.explode("at").alias("at"))
+    placed = rarest(words.select("word")).select("word", _parities().alias("odd"), F.char_length("word").alias("length"), F.explode("at").alias("at"))
     head = F.struct(F.lit("head").alias("kind"), F.substring(F.col("word"), F.lit(1), F.col("at") + 2).alias("part"))
     tail = F.struct(F.lit("tail").alias("kind"), F.substring(F.col("word"), F.col("at") + 1, F.col("length")).alias("part"))
-    parts = placed.select("word", "length", F.explode(F.array(head, tail)).alias("part"))
+    parts = placed.select("word", "odd", "length", F.explode(F.array(head, tail)).alias("part"))
     key = lambda length: F.xxhash64("part.kind", "part.part", length).alias("key")
-    own = parts.select(key(F.col("length")), "word", F.col("length").alias("longer"))
-    others = parts.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("more"), "*").select(key(F.col("length") + F.col("more")), F.col("word").alias("other"), (F.col("length") + F.col("more")).alias("longer"), "more")
-    near = ((F.col("more") == 1) | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1)
-    found = own.join(others, (own["key"] == others["key"]) & (own["longer"] == others["longer"]) & near).select("word", "other").distinct()
+    own = parts.select(key(F.col("length")), "word", "odd")
+    others = parts.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("more"), "*").select(key(F.col("length") + F.col("more")), F.col("word").alias("other"), F.col("odd").alias("other_odd"), "more")
+    alike = F.bit_count(F.col("odd").bitwiseXOR(F.col("other_odd"))) <= 2
+    near = alike & ((F.col("more") == 1) | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1)
+    found = own.join(others, (own["key"] == others["key"]) & near).select("word", "other").distinct()
     return found.unionByName(found.select(F.col("other").alias("word"), F.col("word").alias("other")))
 
 
