@@ -111,6 +111,28 @@ def test_cycles_by_joins_where_parts_exceed_the_limit(spark, limit):
     assert rows(scc.strongly_connected(table, limit)) == rows(scc.strongly_connected(table))
 
 
+def test_passes_of_pivots_settle_what_they_share(spark):
+    rng = random.Random(12)
+    rings = [(f"r{k:02}", size) for k, size in enumerate([2, 3, 5, 9, 4, 2, 7])]
+    edges = {(f"{p}_{i}", f"{p}_{(i + 1) % n}") for p, n in rings for i in range(n)}
+    edges |= {(f"{p}_{rng.randrange(n)}", f"{p}_{rng.randrange(n)}") for p, n in rings for _ in range(n)}
+    order = [p for p, _ in rings]
+    edges |= {(f"{a}_{rng.randrange(dict(rings)[a])}", f"{b}_{rng.randrange(dict(rings)[b])}") for k, a in enumerate(order) for b in order[k + 1 :]}  # forwards only
+    edges = sorted(e for e in edges if e[0] != e[1])
+    table = spark.createDataFrame([(*e, 0) for e in edges], "src string, dst string, part long")
+    settled, rest = scc._pass(table)
+    assert {frozenset(v) for v in groups(settled).values()} == {frozenset(f"{p}_{i}" for i in range(n)) for p, n in rings}
+    assert rest.isEmpty()
+    few = scc.PIVOTS
+    try:
+        scc.PIVOTS = 1
+        settled, rest = scc._pass(table)
+        assert len(groups(settled)) == 1 and 0 < rest.count() < len(edges)
+        assert {frozenset(v) for v in groups(scc.strongly_connected(table, limit=0)).values()} == {frozenset(f"{p}_{i}" for i in range(n)) for p, n in rings}
+    finally:
+        scc.PIVOTS = few
+
+
 def test_orphans(spark):
     paths = (
         "src/main.ts src/index.tsx src/App.tsx lib/lonely.ts app/page.tsx app/route.ts app/not-found.tsx vitest.config.ts playwright/auth.setup.ts env.d.ts "

@@ -50,6 +50,7 @@ def coreness(graph: PropertyGraph, limit: int = bounded.LIMIT) -> DataFrame:
     kind = once.schema["a"].dataType.simpleString()
     found, rest = bounded.settle(once, _peeled, f"id {kind}, core long", limit, "a", "b")
     if rest is not None:
+        rest = rest.drop("component")
         near = materialise(rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))))
 
         def step(state: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ within it, are decomposed by one depth-first search each, in one task each.  Wha
 left is worked on by joins.  Trimming drops edges at nodes without in- or out-edges.
 Chains of nodes with one in- and one out-edge are contracted by pointer doubling, in
 as many rounds as the logarithm of their length; a ring of nothing else is a component
-as it stands.  Then nodes are coloured: the greatest of the nodes that reach a node, in
-an order drawn by hash (with pointer jumping), then backwards from each colour's root
-within the colour.  Every pass settles one component a colour and drops the edges between
-colours, so that parts soon fall below the limit.
+as it stands.  Then passes follow.  Of each weak component, up to 64 pivots are drawn by hash,
+and every node learns, as the bits of two words, which of them reach it and which it
+reaches.  Nodes that share a pivot both ways are its component; the others are split by
+their two words, as no component lies across two different pairs, and the edges between the parts are dropped.
+A pass settles the largest component almost surely and leaves parts with pivots of their own, so
+that their number grows from pass to pass.  A round of a pass sends only words that have changed; rounds
+follow the longest of the shortest paths from a pivot.
 
 A component is named by its least id; single nodes are not components, with or
 without a self-loop.
@@ -18,13 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import cuts
-from weftgraph.operators.traverse import reachable
 from weftgraph.plans import bounded
-from weftgraph.plans.iterate import fingerprint, materialise
+from weftgraph.plans.iterate import materialise
 
 #: edges of a component that is searched for its best cut
 CUT_LIMIT = 1 << 20
@@ -112,18 +114,41 @@ def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialise(rest), materialise(opened.select("id", "last").join(starts, "last")), rings
 
 
-def _colour(edges: DataFrame) -> DataFrame:
-    """(id, colour): the node that is greatest by hash among those that reach each node."""
-    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    labels, before = ids.withColumn("best", F.struct(F.xxhash64("id").alias("draw"), F.col("id").alias("colour"))), None
-    while True:
-        sent = edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "best")
-        jumped = labels.select("id", F.col("best.colour").alias("via")).join(labels.select(F.col("id").alias("via"), "best"), "via").select("id", "best")
-        labels = materialise(labels.unionByName(sent).unionByName(jumped).groupBy("id").agg(F.max("best").alias("best")))
-        now = fingerprint(labels, "id", "best")
-        if now == before:
-            return labels.select("id", F.col("best.colour").alias("colour"))
-        before = now
+PIVOTS = 64
+
+
+def _signatures(edges: DataFrame) -> DataFrame:
+    """(id, part, ahead, back, pivot): for the nodes of edges (src, dst, part), which pivots of their part reach them and
+    which they reach, as bits, and the number of the pivot that a node is."""
+    ids = edges.select(F.col("src").alias("id"), "part").unionByName(edges.select(F.col("dst").alias("id"), "part")).distinct()
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("id"), "id"))
+    pivots = ids.withColumn("pivot", place - 1).filter(F.col("pivot") < PIVOTS)  # a bounded rank is cut before the shuffle
+    state = ids.join(pivots.select("id", "pivot"), "id", "left")
+    own = F.coalesce(F.expr("shiftleft(1L, pivot)"), F.lit(0).cast("long"))
+    state = materialise(state.select("id", "part", "pivot", own.alias("ahead"), own.alias("back"), F.col("pivot").isNotNull().alias("changed")))
+    none = F.lit(0).cast("long")
+    while not (news := state.filter("changed").select("id", "ahead", "back")).isEmpty():
+        ahead = edges.join(news, edges["src"] == news["id"]).select(F.col("dst").alias("id"), "ahead", none.alias("back"))
+        back = edges.join(news, edges["dst"] == news["id"]).select(F.col("src").alias("id"), none.alias("ahead"), "back")
+        sent = ahead.unionByName(back).groupBy("id").agg(F.bit_or("ahead").alias("a"), F.bit_or("back").alias("b"))
+        now = [F.col(c).bitwiseOR(F.coalesce(x, none)).alias(c) for c, x in (("ahead", "a"), ("back", "b"))]
+        more = F.coalesce((F.col("a").bitwiseAND(F.bitwise_not("ahead")) != 0) | (F.col("b").bitwiseAND(F.bitwise_not("back")) != 0), F.lit(False))
+        state = materialise(state.join(sent, "id", "left").select("id", "part", "pivot", *now, more.alias("changed")))
+    return state.drop("changed")
+
+
+def _pass(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components (id, scc) that the pivots of edges (src, dst, part) lie in, edges (src, dst) that may lie in others)."""
+    known = _signatures(edges)
+    both = F.col("ahead").bitwiseAND(F.col("back"))
+    least = F.bit_count(F.bitwise_not(both).bitwiseAND(both - 1))  # place of the lowest bit
+    found = known.filter(both != 0).select("id", "part", least.alias("pivot"))
+    roots = known.filter("pivot is not null").select("part", "pivot", F.col("id").alias("scc"))
+    settled = materialise(found.join(roots, ["part", "pivot"]).select("id", "scc"))
+    left = materialise(known.filter(both == 0).select("id", F.xxhash64("part", "ahead", "back").alias("part")))
+    ends = edges.join(left.select(F.col("id").alias("src"), F.col("part").alias("ps")), "src").join(left.select(F.col("id").alias("dst"), F.col("part").alias("pd")), "dst")
+    sizes = settled.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return settled.join(sizes, "scc").select("id", "scc"), ends.filter("ps = pd").select("src", "dst")
 
 
 def strongly_connected(edges: DataFrame, limit: int = bounded.LIMIT) -> DataFrame:
@@ -142,17 +167,9 @@ def strongly_connected(edges: DataFrame, limit: int = bounded.LIMIT) -> DataFram
         found = materialise(found.unionByName(settled))
         if rest is None:
             break
+        settled, rest = _pass(materialise(rest.withColumnRenamed("component", "part")))
+        found = materialise(found.unionByName(settled))
         rest = materialise(rest)
-        colours = _colour(rest)
-        within = rest.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
-        within = materialise(within.filter("cs = cd").select("src", "dst", "cs"))
-        roots = colours.filter("id = colour").select("id")
-        back = reachable(within.select(F.col("dst").alias("a"), F.col("src").alias("b")), roots)  # stays within a colour
-        settled = materialise(back.select("id", F.col("root").alias("scc")))
-        sizes = settled.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        found = materialise(found.unionByName(settled.join(sizes, "scc").select("id", "scc")))
-        done = settled.select("id")
-        rest = materialise(within.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
     # chains between two nodes of one component, or from a node back to itself, belong to it
     tagged = chains.join(found.select(F.col("id").alias("start"), F.col("scc").alias("s1")), "start", "left").join(found.select(F.col("id").alias("end"), F.col("scc").alias("s2")), "end", "left")
     tagged = tagged.filter("start = end or s1 = s2").select("id", "start", F.coalesce("s1", "start").alias("scc"))

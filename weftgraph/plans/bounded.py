@@ -33,15 +33,18 @@ def whole(links: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
 
 
 def settle(links: DataFrame, kernel: Kernel, schema: str, limit: int = LIMIT, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame | None]:
-    """(results of the kernel on all parts within the limit, links of the other parts if there are any)."""
-    if links.count() <= limit:
+    """(results of the kernel on all parts within the limit; if there are any, links of the other parts with their ``component``)."""
+    count = links.count()
+    if count <= limit:
         return materialise(whole(links, kernel, schema)), None
     part = connected_components(links, src, dst).withColumnRenamed("id", src)
     dealt = materialise(links.join(part, src))
     sizes = materialise(dealt.groupBy("component").agg(F.count(F.lit(1)).alias("links")))
     few, many = (sizes.filter(c).select("component") for c in (F.col("links") <= limit, F.col("links") > limit))
-    done = materialise(dealt.join(few, "component").groupBy("component").applyInArrow(lambda table: kernel(table.drop_columns(["component"])), schema))
-    return done, None if many.isEmpty() else dealt.join(many, "component", "left_semi").select(links.columns)
+    # small parts share tasks: about half the limit each, and one part at least
+    task = F.pmod(F.xxhash64("component"), F.lit(2 * count // max(limit, 1) + 1)).alias("task")
+    done = materialise(dealt.join(few, "component").select(task, *links.columns).groupBy("task").applyInArrow(lambda table: kernel(table.drop_columns(["task"])), schema))
+    return done, None if many.isEmpty() else dealt.join(many, "component", "left_semi").select(*links.columns, "component")
 
 
 def coded(table: pa.Table, *columns: str) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -258,6 +258,12 @@ def strongly(s, d):
     return scc.strongly_connected(G2(s, d, 1).edges)
 
 
+@query("scc_joins", _with("suppliers", 1, _SCC, True) + "SELECT id, scc FROM scc")
+def scc_joins(s, d):
+    """Without the work in one task that small graphs get."""
+    return scc.strongly_connected(G2(s, d, 1).edges, limit=0)
+
+
 @query("tangled", _with("suppliers", 1, _SCC, True) + "SELECT count(*) AS tangled FROM scc")
 def tangled(s, d):
     return scc.tangled(G2(s, d, 1).edges)
@@ -341,11 +347,20 @@ def health(s, d):
 _CORE = "h(k, id, core) AS (SELECT 0, a, count(*) FROM both_ways GROUP BY a UNION ALL SELECT k + 1, a, max(least(core, r)) FROM (SELECT h.k, w.a, h.core, row_number() OVER (PARTITION BY h.k, w.a ORDER BY h.core DESC) AS r FROM h JOIN both_ways w ON w.b = h.id WHERE h.k < 30) GROUP BY k, a)"
 
 
-@query("coreness", _with("suppliers", 2, _BOTH + ", " + _CORE, True) + "SELECT n.id, coalesce(h.core, 0) AS core FROM nodes n LEFT JOIN h ON h.id = n.id AND h.k = 30")
+_CORENESS = _with("suppliers", 2, _BOTH + ", " + _CORE, True) + "SELECT n.id, coalesce(h.core, 0) AS core FROM nodes n LEFT JOIN h ON h.id = n.id AND h.k = 30"
+
+
+@query("coreness", _CORENESS)
 def coreness(s, d):
     return cores.coreness(G2(s, d))
 
 
+@query("coreness_joins", _CORENESS)
+def coreness_joins(s, d):
+    """Without the work in one task that small graphs get."""
+    return cores.coreness(G2(s, d), limit=0)
+
+
 _SKELETON = ", ".join((
     _TRAFFIC, "calm AS (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM traffic))",
     "both_ways AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst) WHERE a IN (FROM calm) AND b IN (FROM calm))",
