@@ -247,6 +247,38 @@ def test_traversal(spark):
     assert groups(components.connected_components(make(spark, "a>b c>b x>y").edges), "component") == {"a": {"a", "b", "c"}, "x": {"x", "y"}}
 
 
+def test_reach_counts_by_words(spark):
+    rng = random.Random(21)
+    names = [f"v{k:03}" for k in range(150)]
+    edges = {(names[a], names[b]) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(170)) if a < b or rng.random() < 0.15} | {(names[k], names[k + 1]) for k in range(8)}
+    g = make(spark, sorted(e for e in edges if e[0] != e[1]), [*names, "alone"])
+    back = defaultdict(set)
+    for a, b in edges:
+        back[b].add(a)
+
+    def dependents(v):
+        seen, more = {v}, [v]
+        while more:
+            fresh = back[more.pop()] - seen
+            seen |= fresh
+            more += fresh
+        return len(seen) - 1
+
+    want = {v: dependents(v) for v in [*names, "alone"]}
+    assert {r["id"]: r["reached"] for r in traverse.impact_counts(g).collect()} == want
+    few = spark.createDataFrame([(names[3],), (names[140],), ("alone",), ("missing",)], "id string")
+    assert {r["id"]: r["reached"] for r in traverse.impact_counts(g, few).collect()} == {v: want[v] for v in (names[3], names[140], "alone")}
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    score = {v: round(-3 * abs(len(near[v]) / 151 - 0.3) + want[v] / 151, 9) for v in want}
+    best = min(score, key=lambda v: (-score[v], v))
+    assert tuple(traverse.subject(g, batch=4).first()) == (best, score[best])
+    assert traverse.impact_counts(make(spark, "", [])).isEmpty() and traverse.subject(make(spark, "", [])).isEmpty()
+
+
 def test_components_of_a_long_path(spark):
     path = spark.range(300).select(F.format_string("n%04d", "id").alias("src"), F.format_string("n%04d", F.col("id") + 1).alias("dst"))
     assert components.connected_components(path).select("component").distinct().count() == 1

@@ -5,11 +5,13 @@ the number of rounds is the depth reached."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.relational import both_ways, traffic
-from weftgraph.plans.iterate import materialise
+from weftgraph.plans.iterate import drop_folder, folders_in, materialise, shared_folder
 from weftgraph.schema import PropertyGraph
 
 NO_ID = "id string, depth int"
@@ -49,23 +51,76 @@ def impact(graph: PropertyGraph, node: str) -> DataFrame:
     return reachable(importers(graph), start).select("id", "depth")
 
 
+def levels(parts: DataFrame, steps: DataFrame) -> tuple[DataFrame, int]:
+    """((part, level) of the parts of an acyclic graph: no step (a, b) leads to the same or a lower level; number of levels).
+
+    A round takes out the steps from parts that no other step leads to."""
+    left, rounds = steps.select("a", "b"), []
+    while not left.isEmpty():
+        ends = left.select(F.col("b").alias("a")).distinct().withColumn("held", F.lit(True))
+        split = materialise(left.join(ends, "a", "left"))
+        rounds.append(split.filter("held is null").select("a", "b", F.lit(len(rounds)).alias("level")))
+        left = split.filter("held").select("a", "b")
+    known = parts.select("part", F.lit(0).alias("level"))
+    for taken in rounds:  # of materialised rounds
+        known = known.unionByName(taken.select(F.col("b").alias("part"), (F.col("level") + 1).alias("level")))
+    return materialise(known.groupBy("part").agg(F.max("level").alias("level"))), len(rounds) + 1
+
+
+def _reached(parts: DataFrame, steps: DataFrame, asked: DataFrame) -> DataFrame:
+    """(part, reached): size of all that each asked part (part, number) reaches, itself included.  ``parts`` (part, size),
+    ``steps`` (a, b) without cycles.
+
+    64 numbers make a block.  A part's row of a block is one word: which of the block's parts reach it.  Words go
+    along the levels of the graph; what is sent waits, as Parquet by the level it is meant for, so that every word is
+    written once, and a level adds up 64 sums a block."""
+    spark = parts.sparkSession
+    placed, depth = levels(parts, steps)
+    placed = materialise(placed.join(parts, "part"))
+    onward = materialise(steps.join(placed.select(F.col("part").alias("b"), F.col("level").alias("to")), "b").select("a", "b", "to"))
+    own = materialise(
+        asked.join(placed, "part").select("part", "level", F.shiftright("number", 6).alias("block"), F.expr("shiftleft(1L, cast(number & 63 as int))").alias("word"))
+    )
+    folder, shape, counts = f"{shared_folder(spark)}/reach-{uuid.uuid4().hex}", "part long, block long, word long", None
+    for level in range(depth):
+        words = own.filter(F.col("level") == level).select("part", "block", "word")
+        if level in (waiting := {int(n.rpartition("=")[2]) for n in folders_in(spark, f"{folder}/sent")}):
+            words = words.unionByName(spark.read.schema(shape).parquet(f"{folder}/sent/to={level}"))
+        elif words.isEmpty():
+            continue
+        words = words.groupBy("part", "block").agg(F.bit_or("word").alias("word"))  # read twice, a word for each step that led here
+        sent = words.join(onward, words["part"] == onward["a"]).groupBy(F.col("b").alias("part"), "block", "to").agg(F.bit_or("word").alias("word"))
+        sent.write.partitionBy("to").mode("append").parquet(f"{folder}/sent")
+        sums = [F.sum(F.when(F.expr(f"word & shiftleft(1L, {k}) <> 0"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(64)]
+        here = words.join(placed.select("part", "size"), "part").groupBy("block").agg(*sums).select("block", F.array(*(f"s{k}" for k in range(64))).alias("sums"))
+        here = materialise(here)
+        counts = here if counts is None else counts.unionByName(here)
+        if level in waiting:
+            drop_folder(spark, f"{folder}/sent/to={level}")
+    if counts is None:
+        return asked.select("part", F.lit(0).cast("long").alias("reached")).limit(0)
+    each = counts.select("block", F.posexplode("sums").alias("bit", "n")).groupBy((F.col("block") * 64 + F.col("bit")).alias("number")).agg(F.sum("n").alias("reached"))
+    return materialise(asked.join(each, "number").select("part", "reached"))
+
+
 def impact_counts(graph: PropertyGraph, roots: DataFrame | None = None) -> DataFrame:
     """(id, reached): exact number of dependents of every node, or of the nodes asked for (id).
 
-    Nodes of one cycle reach the same, so components are searched and their sizes added up.
-    The state holds the (root, component) pairs reached: ask for roots where that is too much."""
+    Nodes of one cycle reach the same, so components are searched and their sizes added up.  The state is
+    a word for every component and every 64 components asked for that reach it; rounds follow the longest path."""
     from weftgraph.operators.scc import strongly_connected  # which uses this module
 
     graph = graph.sound()
-    part = graph.nodes.select("id").distinct().join(strongly_connected(graph.edges), "id", "left").select("id", F.coalesce("scc", "id").alias("part"))
-    part = materialise(part)
-    sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    part = graph.nodes.select("id").distinct().join(strongly_connected(graph.edges), "id", "left").select("id", F.coalesce("scc", "id").alias("name"))
+    named = part.groupBy("name").agg(F.count(F.lit(1)).alias("size"))
+    named = materialise(named.withColumn("part", F.monotonically_increasing_id()))
+    part = materialise(part.join(named, "name").select("id", "part"))
     steps = importers(graph).join(part.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(part.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
-    steps = steps.filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    asked = part if roots is None else part.join(roots.select("id").distinct(), "id", "left_semi")
-    seen = reachable(steps, asked.select(F.col("part").alias("id")).distinct())
-    counts = seen.join(sizes, seen["id"] == sizes["part"]).groupBy("root").agg((F.sum("size") - 1).alias("reached"))
-    return asked.join(counts, asked["part"] == counts["root"]).select("id", "reached")
+    steps = materialise(steps.filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+    wanted = part if roots is None else materialise(part.join(roots.select("id").distinct(), "id", "left_semi"))
+    asked = materialise(wanted.select("part").distinct().withColumn("number", F.monotonically_increasing_id()))
+    reached = _reached(named.select("part", "size"), steps, asked)
+    return wanted.join(reached, "part").select("id", (F.col("reached") - 1).alias("reached"))
 
 
 def shortest_path(graph: PropertyGraph, source: str, target: str) -> DataFrame:
@@ -114,12 +169,23 @@ def farthest(graph: PropertyGraph, node: str) -> DataFrame:
     return seen.select("id", "depth").orderBy(F.desc("depth"), "id").limit(1)
 
 
-def subject(graph: PropertyGraph) -> DataFrame:
+def subject(graph: PropertyGraph, batch: int = 1024) -> DataFrame:
     """(id, score): the node whose neighbourhood is closest to 0.3 of the graph and whose
-    reach is largest: -3 * |neighbours / n - 0.3| + dependents / n."""
-    n = F.lit(max(graph.nodes.count(), 1)).cast("double")
+    reach is largest: -3 * |neighbours / n - 0.3| + dependents / n.
+
+    The first term is known of all nodes, the second is below 1: dependents are counted for the best by the
+    first term, ``batch`` nodes and then twice as many each time, until no other node can win."""
+    count = graph.nodes.count()
+    n = F.lit(max(count, 1)).cast("double")
     near = both_ways(graph.edges).distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("near"))
-    scored = impact_counts(graph).join(near, "id", "left").select(
-        "id", F.round(-3 * F.abs(F.coalesce("near", F.lit(0)) / n - 0.3) + F.col("reached") / n, 9).alias("score")
-    )
-    return scored.orderBy(F.desc("score"), "id").limit(1)
+    first = (-3 * F.abs(F.coalesce("near", F.lit(0)) / n - 0.3)).alias("first")
+    open_ = materialise(graph.nodes.select("id").distinct().join(near, "id", "left").select("id", first))
+    best = open_.sparkSession.createDataFrame([], "id string, score double")
+    while not open_.isEmpty():
+        tried = materialise(open_.orderBy(F.desc("first"), "id").limit(batch))
+        scored = impact_counts(graph, tried).join(tried, "id").select("id", F.round(F.col("first") + F.col("reached") / n, 9).alias("score"))
+        best = materialise(best.unionByName(scored).orderBy(F.desc("score"), "id").limit(1))
+        least = best.first()["score"]
+        open_ = materialise(open_.join(tried, "id", "left_anti").filter(F.round(F.col("first") + 1, 9) >= least))
+        batch *= 2
+    return best

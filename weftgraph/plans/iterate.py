@@ -54,6 +54,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in one of ours; none if it is missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()] if store.exists(at) else []
+
+
 def fingerprint(df: DataFrame, *columns: str) -> tuple:
     """Row count and order-free hash sum: equal for equal multisets of rows."""
     total = F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))
