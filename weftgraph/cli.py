@@ -9,13 +9,13 @@ import argparse
 import sys
 import tempfile
 import time
-from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import communities, doctor, history, relational, rules, scc
+from weftgraph.operators import communities, doctor, history, relational, replay, rules, scc
 from weftgraph.plans.build import build_graph
+from weftgraph.plans.frames import Frames, violations_of
 from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
@@ -45,33 +45,33 @@ def _rendered(graph: PropertyGraph, form: str, config: list[rules.Rule]) -> str:
     return diagrams.markdown(graph, rules.evaluate(graph, config), walks, relational.orphans(graph))
 
 
-def _history(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Replay: a timeline of frames as JSON lines.  Blame: since when each cycle and shared target is there."""
+def _history(spark: SparkSession, args: argparse.Namespace, config: list[rules.Rule] | None = None, exclude: tuple[str, ...] = ()) -> int:
+    """Replay: a timeline of frames as JSON lines, and all frames as Parquet beside it.  Blame: since when each cycle and
+    violation is there (without a configuration: each shared target).  Packages and aliases are those of the tree as it is."""
     commits = files.list_commits(spark, args.src, args.since)
     n = commits.count()
-
-    def edges_of(ordinals: list[int]):
-        rows = files.files_at(commits.filter(F.col("ord").isin(ordinals)), args.src)
-        graphs = [(k, build_graph(rows.filter(F.col("ord") == k).select("path", "text"))) for k in ordinals]
-        each = [g.edges.select(F.lit(k).cast("long").alias("ord"), "src", "dst") for k, g in graphs]
-        return reduce(lambda a, b: a.unionByName(b), each)
-
     if not n:
         print("no commits", file=sys.stderr)
         return 0
+    pruned = (*files.EXCLUDED, *exclude)
+    frames = Frames(commits, args.src, pruned, files.package_folders(args.src, pruned), files.path_aliases(args.src))
+    links = lambda edges: edges.select(F.col("frame").alias("ord"), "src", "dst")
     if args.command == "replay":
-        kept = history.pick_evenly(n, max(2, args.max_frames))
-        edges = materialise(edges_of(kept))
-        frames = history.timeline(edges, commits).orderBy("ord")
+        nodes, edges = frames.graphs(history.pick_evenly(n, max(2, args.max_frames)))
+        broken = violations_of(nodes, edges, config) if config else None
+        found = history.timeline(links(edges), commits, nodes=nodes.select(F.col("frame").alias("ord"), "id"), broken=broken)
+        found = materialise(found.join(commits.select("ord", "author"), "ord", "left"))
         with open(args.out or "timeline.jsonl", "w", encoding="utf-8") as f:
-            for row in frames.toJSON().toLocalIterator():
+            for row in found.orderBy("ord").toJSON().toLocalIterator():
                 f.write(row + "\n")
-        changes = history.deltas(edges, ["src", "dst"])
         if args.out:
-            changes.write.mode("overwrite").partitionBy("ord").parquet(args.out + ".changes")
+            replay.make(found, *(whole.withColumnRenamed("frame", "ord") for whole in (nodes, edges))).write(args.out + ".replay")
         return 0
+    lasting = [r for r in config or [] if r.type != "no-cycles"]  # cycles are blamed by their members in any case
     shas = {r["ord"]: (r["sha"][:8], r["date"], r["subject"]) for r in commits.collect()}  # a row a commit
-    for r in history.blame(edges_of([n - 1]), edges_of, n).orderBy("what", "subject").collect():
+    edges_of = lambda ordinals: links(frames.graphs(ordinals)[1])
+    broken_of = (lambda ordinals: violations_of(*frames.graphs(ordinals), lasting)) if config else None
+    for r in history.blame(edges_of([n - 1]), edges_of, n, broken_of=broken_of).orderBy("what", "subject").collect():
         print(r["what"], r["subject"], r["size"], *(shas[r["first_ord"]] if r["first_ord"] is not None else ("older than the history read",)))
     return 0
 
@@ -97,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("weftgraph").config("spark.ui.enabled", "false").getOrCreate()
     began = time.time()
     if args.command in ("replay", "blame"):
-        return _history(spark, args)
+        return _history(spark, args, config, exclude)
     graph = parse(spark, args.src, exclude)
     if args.command == "diff":
         if not args.base:

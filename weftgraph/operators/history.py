@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,23 +60,55 @@ def deltas(snapshots: DataFrame, key: list[str], values: list[str] | None = None
     return kept.join(F.broadcast(ranks), "frame").select("ord", "change", *key, *(F.coalesce(F.col("new"), F.col("old"))[v].alias(v) for v in values))
 
 
-def frame_at(changes: DataFrame, ord_: int, key: list[str]) -> DataFrame:
-    """Rows of a frame, rebuilt from deltas: each key's last change up to it, unless a removal."""
-    recent = Window.partitionBy(*key).orderBy(F.desc("ord"))
-    last = changes.filter(F.col("ord") <= ord_).withColumn("_r", F.row_number().over(recent)).filter("_r = 1 and change <> 'removed'")
-    return last.drop("_r", "ord", "change")
+def skip_log(changes: DataFrame, ords: DataFrame, key: list[str], values: list[str] | None = None) -> DataFrame:
+    """(level, span, change, *key, *values): ``deltas`` merged over spans of 2**level frames, so that any frame is
+    put together from the first and as many spans as its number has bits.
 
-
-def frames(snapshots: DataFrame) -> DataFrame:
+    ``ords`` (ord) has every frame, those without a change too.  Level -1 holds the first frame whole; span i of level j leads
+    from frame i * 2**j to frame (i + 1) * 2**j and has the last change of each row in between."""
+    values = values or []
+    ranks = ords.select("ord").distinct().withColumn("frame", F.row_number().over(Window.orderBy("ord")).cast("int") - 1)  # one row a frame
+    rows = changes.join(F.broadcast(ranks), "ord")
+    first = rows.filter("frame = 0").select(F.lit(-1).alias("level"), F.lit(0).alias("span"), "change", *key, *values)
+    most = ranks.agg(F.greatest(F.max("frame") - 1, F.lit(0)).alias("most"))  # one row
+    placed = rows.filter("frame > 0").join(F.broadcast(most)).select("*", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("most") + 1)).cast("int"))).alias("level"))
+    placed = placed.withColumn("span", F.expr("shiftright(frame - 1, level)"))
+    last = placed.groupBy("level", "span", *key).agg(F.max_by(F.struct("change", *values), "frame").alias("last"))
+    return first.unionByName(last.select("level", "span", "last.change", *key, *(F.col("last")[v].alias(v) for v in values)))
+
+
+def spans_to(frame: int) -> list[tuple[int, int]]:
+    """(level, span) of the spans that lead from the first frame to ``frame``, in order."""
+    found, at = [], 0
+    for level in range(frame.bit_length() - 1, -1, -1):
+        if frame >> level & 1:
+            found.append((level, at >> level))
+            at += 1 << level
+    return found
+
+
+def frame_at(log: DataFrame, frame: int, key: list[str]) -> DataFrame:
+    """Rows of frame 0, 1, ... from a ``skip_log``: each key's last change on the way to it, unless a removal."""
+    way = [(-1, 0), *spans_to(frame)]
+    place = F.when(F.lit(False), 0)
+    for k, (level, span) in enumerate(way):
+        place = place.when((F.col("level") == level) & (F.col("span") == span), k)
+    wanted = reduce(lambda a, b: a | b, ((F.col("level") == level) & (F.col("span") == span) for level, span in way))
+    others = [c for c in log.columns if c not in ("level", "span", *key)]
+    last = log.filter(wanted).groupBy(*key).agg(F.max_by(F.struct(*others), place).alias("last")).filter("last.change <> 'removed'")
+    return last.select(*key, *(F.col("last")[c].alias(c) for c in others if c != "change"))
+
+
+def frames(snapshots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(ord, nodes, edges, added, removed): sizes of each frame (ord, src, dst), and how many
-    nodes came and went."""
+    nodes came and went.  ``nodes`` (ord, id): the nodes, where they are more than the ends of edges."""
     edges = snapshots.select("ord", "src", "dst").distinct()
-    nodes = edges.select("ord", F.col("src").alias("id")).unionByName(edges.select("ord", F.col("dst").alias("id"))).distinct()
+    nodes = nodes.select("ord", "id").distinct() if nodes is not None else edges.select("ord", F.col("src").alias("id")).unionByName(edges.select("ord", F.col("dst").alias("id"))).distinct()
     moved = deltas(nodes, ["id"]).groupBy("ord").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"))
     first = nodes.agg(F.min("ord").alias("first"))  # the first frame is whole: nothing is added in it
-    out = nodes.groupBy("ord").agg(F.count(F.lit(1)).alias("nodes")).join(edges.groupBy("ord").agg(F.count(F.lit(1)).alias("edges")), "ord").join(moved, "ord", "left")
+    out = nodes.groupBy("ord").agg(F.count(F.lit(1)).alias("nodes")).join(edges.groupBy("ord").agg(F.count(F.lit(1)).alias("edges")), "ord", "left").join(moved, "ord", "left")
     whole = F.col("ord") == F.col("first")
-    return out.join(F.broadcast(first)).select("ord", "nodes", "edges", *(F.when(whole, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("added", "removed")))
+    return out.join(F.broadcast(first)).select("ord", "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), *(F.when(whole, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("added", "removed")))
 
 
 def pick_evenly(n: int, budget: int) -> list[int]:
@@ -132,33 +165,42 @@ def frame_components(edges: DataFrame) -> DataFrame:
     return strongly_connected(_tagged(edges)).select(part("id", 0).cast("long").alias("ord"), part("id", 1).alias("id"), part("scc", 1).alias("scc"))
 
 
-def timeline(edges: DataFrame, commits: DataFrame, shared: int = 1) -> DataFrame:
+def timeline(edges: DataFrame, commits: DataFrame, shared: int = 1, nodes: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
     """(ord, sha, date, subject, nodes, edges, added, removed, cycles, violations) of every frame (ord, src, dst).
 
-    ``commits`` (ord, sha, date, subject) gives names, shas cut to 8 characters; ``violations`` counts
-    the targets of more than ``shared`` edges."""
+    ``commits`` (ord, sha, date, subject) gives names, shas cut to 8 characters.  ``nodes`` (ord, id): as for ``frames``.
+    ``violations`` counts the rows of ``broken`` (ord), or else the targets of more than ``shared`` edges."""
     cycles = frame_components(edges).groupBy("ord").agg(F.count_distinct("scc").alias("cycles"))
-    callers = edges.select("ord", "src", "dst").distinct().groupBy("ord", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared)
-    broken = callers.groupBy("ord").agg(F.count(F.lit(1)).alias("violations"))
+    if broken is None:
+        broken = edges.select("ord", "src", "dst").distinct().groupBy("ord", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared)
+    broken = broken.groupBy("ord").agg(F.count(F.lit(1)).alias("violations"))
     named = commits.select("ord", F.substr("sha", F.lit(1), F.lit(8)).alias("sha"), "date", "subject")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    found = frames(edges).join(named, "ord", "left").join(cycles, "ord", "left").join(broken, "ord", "left")
+    found = frames(edges, nodes).join(named, "ord", "left").join(cycles, "ord", "left").join(broken, "ord", "left")
     return found.select("ord", "sha", "date", "subject", "nodes", "edges", "added", "removed", none("cycles"), none("violations"))
 
 
-def blame(today: DataFrame, edges_of: Callable[[list[int]], DataFrame], n: int, shared: int = 1) -> DataFrame:
+def blame(today: DataFrame, edges_of: Callable[[list[int]], DataFrame], n: int, shared: int = 1, broken_of: Callable[[list[int]], DataFrame] | None = None) -> DataFrame:
     """(what, subject, size, first_ord): of today's cycles, and of today's targets of more than ``shared``
     edges, the first of frames 0 to n - 1 in which all members lie in one cycle, or the target has as
     many; null if that is the first frame, or never.
 
+    ``broken_of`` ordinals gives (ord, what, subject, size) of the violations of those frames; with it, these are
+    blamed instead of shared targets, each since the first frame from which on it holds.
+
     Bisection, for all findings at once: a round asks for the frames (``edges_of`` ordinals gives ord,
     src, dst) that any finding needs next, and decomposes them together; rounds grow with log n."""
     today = today.select("src", "dst").distinct()
     members = materialise(strongly_connected(today))
     kind = members.schema["id"].dataType.simpleString()
-    callers = today.groupBy("dst").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > shared)
     cycles = members.groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
-    found = cycles.select(F.lit("cycle").alias("what"), F.col("scc").alias("subject"), "size").unionByName(callers.select(F.lit("shared").alias("what"), F.col("dst").alias("subject"), "size"))
+    if broken_of is None:
+        others = today.groupBy(F.col("dst").alias("subject")).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > shared).withColumn("what", F.lit("shared"))
+    elif n:
+        others = broken_of([n - 1])
+    else:
+        others = today.sparkSession.createDataFrame([], "what string, subject string, size long")
+    found = cycles.select(F.lit("cycle").alias("what"), F.col("scc").alias("subject"), "size").unionByName(others.select("what", "subject", "size"))
     if n == 0:
         return found.withColumn("first_ord", F.lit(None).cast("long"))
     # low: last frame known not to hold it (-1: none), high: first known to
@@ -168,8 +210,12 @@ def blame(today: DataFrame, edges_of: Callable[[list[int]], DataFrame], n: int,
         seen = frame_components(edges).select("ord", "id", F.col("scc").alias("then"))
         held = members.join(seen, "id").groupBy("ord", "scc", "then").agg(F.count(F.lit(1)).alias("n")).join(cycles, "scc").filter("n = size")
         facts = held.select(F.lit("cycle").alias("what"), F.col("scc").alias("subject"), "ord")
-        many = edges.groupBy("ord", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared)
-        facts = facts.unionByName(many.select(F.lit("shared").alias("what"), F.col("dst").alias("subject"), "ord")).withColumn("holds", F.lit(True))
+        if broken_of is None:
+            many = edges.groupBy("ord", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared)
+            many = many.select(F.lit("shared").alias("what"), F.col("dst").alias("subject"), "ord")
+        else:
+            many = broken_of(wanted).select("what", "subject", "ord").distinct()
+        facts = facts.unionByName(many).withColumn("holds", F.lit(True))
         asked = state.join(facts.withColumnRenamed("ord", "ask"), ["what", "subject", "ask"], "left").withColumn("holds", F.coalesce("holds", F.lit(False)))
         moved = asked.select(
             "what", "subject", "size", "ask",

@@ -90,6 +90,44 @@ def evaluate(graph: PropertyGraph, rules: list[Rule]) -> DataFrame:
     return out
 
 
+def violations(graph: PropertyGraph, rules: list[Rule], members: DataFrame | None = None) -> DataFrame:
+    """(place, rule, subject, size): a row each, in which nothing is gathered.  ``place``: the rule's place in the
+    list; ``subject``: the shared target, the edge's ends, or the least id of a cycle; ``size``: edges to the target, 2, or members.
+    ``members`` (id, scc): the components, if known."""
+    out = graph.nodes.sparkSession.createDataFrame([], "place int, rule string, subject string, size long")
+    for place, rule in enumerate(rules):
+        named = (F.lit(place).alias("place"), F.lit(rule.type).alias("rule"))
+        if rule.type == "no-cycles":
+            members = strongly_connected(graph.edges) if members is None else members
+            found = members.groupBy(F.col("scc").alias("subject")).agg(F.count(F.lit(1)).alias("size"))
+        else:
+            edges = matching(graph, rule.match).select("src", "dst")
+            if rule.type == "unique-caller":
+                found = edges.groupBy(F.col("dst").alias("subject")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            else:
+                found = edges.distinct().select(F.concat("src", F.lit(" → "), "dst").alias("subject"), F.lit(2).cast("long").alias("size"))
+        out = out.unionByName(found.select(*named, "subject", "size"))
+    return out
+
+
+def parties(graph: PropertyGraph, rules: list[Rule], members: DataFrame | None = None) -> DataFrame:
+    """(place, subject, role, id): who takes part in each of the ``violations``, a row each: the ``target`` and every
+    ``caller``, the ``source`` and ``target`` of an edge, every ``member`` of a cycle."""
+    out = graph.nodes.sparkSession.createDataFrame([], "place int, subject string, role string, id string")
+    for place, rule in enumerate(rules):
+        row = lambda df, subject, role, c: df.select(F.lit(place).alias("place"), subject.alias("subject"), F.lit(role).alias("role"), F.col(c).alias("id")).distinct()  # noqa: B023, E731
+        if rule.type == "no-cycles":
+            members = strongly_connected(graph.edges) if members is None else members
+            out = out.unionByName(row(members, F.col("scc"), "member", "id"))
+            continue
+        edges, subject, source = matching(graph, rule.match).select("src", "dst"), F.concat("src", F.lit(" → "), "dst"), "source"
+        if rule.type == "unique-caller":
+            shared = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("dst")
+            edges, subject, source = edges.join(shared, "dst", "left_semi"), F.col("dst"), "caller"
+        out = out.unionByName(row(edges, subject, source, "src")).unionByName(row(edges, subject, "target", "dst"))
+    return out
+
+
 def parse_rule(value: dict) -> Rule:
     match = value.get("match") or {}
     return Rule(value["type"], value["message"], Match(match.get("edgeType"), match.get("sourceType"), match.get("targetType")))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
+import warnings
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,24 +76,54 @@ def package_folders(root: str, exclude: tuple[str, ...] = EXCLUDED) -> list[str]
     return sorted(found)
 
 
+def read_jsonc(path: str) -> dict:
+    """A JSON file that may hold comments and commas before a closing bracket."""
+    text = open(path, encoding="utf-8-sig").read()
+    text = re.sub(r'("(?:[^"\\\\]|\\\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    return json.loads(re.sub(r'("(?:[^"\\\\]|\\\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", text))
+
+
+def compiler_options(path: str, seen: tuple[str, ...] = ()) -> dict:
+    """compilerOptions of a tsconfig file and of those that it extends, the nearer first; the folder that
+    baseUrl and paths are relative to is that of the file that has them (``pathsFolder``).  Packages are looked for
+    in node_modules of the folders above; one that is missing, or that extends itself, adds nothing."""
+    folder, value = os.path.dirname(path), read_jsonc(path)
+    options, bases = {}, value.get("extends", [])
+    for base in [bases] if isinstance(bases, str) else bases:  # later ones win
+        places = [os.path.join(folder, base)] if base.startswith((".", "/")) else []
+        above = folder
+        while not base.startswith((".", "/")):
+            places.append(os.path.join(above, "node_modules", base))
+            if above == os.path.dirname(above):
+                break
+            above = os.path.dirname(above)
+        tries = [os.path.normpath(p + e) for p in places for e in ("", ".json", "/tsconfig.json")]
+        if place := next((p for p in tries if os.path.isfile(p) and p not in seen), None):
+            options |= compiler_options(place, (*seen, path))
+    own = value.get("compilerOptions", {})
+    if "baseUrl" in own:
+        own = own | {"baseUrl": os.path.join(folder, own["baseUrl"])}
+    if "paths" in own:
+        own = own | {"pathsFolder": folder}
+    return options | own
+
+
 def path_aliases(root: str) -> dict[str, str]:
     """Prefixes of compilerOptions.paths of the nearest tsconfig.json at or above a root, with
-    the folder each stands for, relative to the root."""
+    the folder each stands for, relative to the root.  A file that cannot be read gives none, and a warning."""
     folder = os.path.abspath(root)
-    while True:
-        at = os.path.join(folder, "tsconfig.json")
-        if os.path.exists(at):
-            try:
-                options = json.loads(open(at, encoding="utf-8").read()).get("compilerOptions", {})
-            except ValueError:
-                return {}
-            base = os.path.join(folder, options.get("baseUrl", "."))
-            pairs = {k.rstrip("*"): v[0].rstrip("*") for k, v in options.get("paths", {}).items() if v}
-            return {k: os.path.relpath(os.path.join(base, v), root).rstrip("/") + "/" * k.endswith("/") for k, v in pairs.items()}
-        parent = os.path.dirname(folder)
-        if parent == folder:
+    while not os.path.exists(at := os.path.join(folder, "tsconfig.json")):
+        if folder == os.path.dirname(folder):
             return {}
-        folder = parent
+        folder = os.path.dirname(folder)
+    try:
+        options = compiler_options(at)
+    except ValueError as e:
+        warnings.warn(f"{at} is not read: {e}", stacklevel=2)
+        return {}
+    base = options.get("baseUrl", options.get("pathsFolder", folder))
+    pairs = {k.rstrip("*"): v[0].rstrip("*") for k, v in options.get("paths", {}).items() if v}
+    return {k: os.path.relpath(os.path.join(base, v), os.path.abspath(root)).rstrip("/") + "/" * k.endswith("/") for k, v in pairs.items()}
 
 
 def workspace_warning(root: str) -> str | None:
@@ -127,26 +161,43 @@ def read_config(path: str) -> tuple[list[Rule], tuple[str, ...]]:
 
 def list_commits(spark: SparkSession, repository: str, since: str = "1 year ago") -> DataFrame:
     """(ord, sha, date, subject, author), oldest first."""
-    form = "%x1f".join(("%H", "%cI", "%s", "%an"))
-    out = subprocess.run(["git", "-C", repository, "log", "--reverse", f"--since={since}", f"--format={form}"], capture_output=True, text=True, check=True).stdout
-    rows = [(i, *line.split(COMMIT_SEPARATOR)) for i, line in enumerate(out.splitlines())]
-    return spark.createDataFrame(rows, "ord long, sha string, date string, subject string, author string")
+    form = "%x1f".join(("%H", "%cI", "%an", "%s"))
+    out = subprocess.run(["git", "-C", repository, "log", "-z", "--reverse", f"--since={since}", f"--format={form}"], capture_output=True, check=True).stdout
+    rows = [line.decode("utf-8", "replace").split(COMMIT_SEPARATOR, 3) for line in out.split(b"\0") if line]  # a subject may hold any separator but NUL
+    return spark.createDataFrame([(i, sha, date, subject, author) for i, (sha, date, author, subject) in enumerate(rows)], "ord long, sha string, date string, subject string, author string")
+
+
+def listed_at(commits: DataFrame, repository: str, exclude: Iterable[str] = EXCLUDED) -> DataFrame:
+    """(frame, path, blob): where the scripts of each commit (ord, sha) lie below the folder ``repository`` and which content
+    they have; one process a commit, and no content is read.  A commit that cannot be read yields
+    nothing.  The repository must be at the same path for every executor."""
+    exclude = tuple(exclude)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame, sha in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                done = subprocess.run(["git", "-C", repository, "ls-tree", "-r", "-z", sha], capture_output=True, check=False)
+                entries = [e.split(b"\t", 1) for e in done.stdout.split(b"\0") if e] if done.returncode == 0 else []
+                found = [(path.decode("utf-8", "replace"), about.split()) for about, path in entries]
+                kept = [(path, about[2].decode()) for path, about in found if about[1] == b"blob" and path.endswith((".ts", ".tsx")) and not path.endswith(".d.ts") and not any(x in path for x in exclude)]
+                columns = [pa.array([frame] * len(kept), pa.int64()), pa.array([p for p, _ in kept], pa.string()), pa.array([b for _, b in kept], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["frame", "path", "blob"])
+
+    return commits.select("ord", "sha").repartition(max(1, min(commits.count(), 1000)), "ord").mapInArrow(run, "frame long, path string, blob string")
 
 
-def files_at(commits: DataFrame, repository: str) -> DataFrame:
-    """(ord, path, text) of the scripts of each commit, one task a commit; a commit that cannot
-    be read yields nothing.  The repository must be at the same path for every executor."""
-    import pandas as pd
+def blob_texts(blobs: DataFrame, repository: str) -> DataFrame:
+    """(blob, text) of distinct contents (blob), through one process a batch."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                git = lambda *a: subprocess.run(["git", "-C", repository, *a], capture_output=True, check=True).stdout  # noqa: B023, E731
-                try:
-                    names = [n for n in git("ls-tree", "-r", "--name-only", row.sha).decode().splitlines() if n.endswith((".ts", ".tsx")) and not n.endswith(".d.ts") and not any(x in n for x in EXCLUDED)]
-                    texts = [git("show", f"{row.sha}:{n}").decode("utf-8", "replace") for n in names]
-                except (subprocess.CalledProcessError, OSError):
-                    continue
-                yield pd.DataFrame({"ord": row.ord, "path": names, "text": texts})
-
-    return commits.select("ord", "sha").repartition(max(1, commits.count()), "ord").mapInPandas(run, "ord long, path string, text string")
+            names = batch.column(0).to_pylist()
+            with subprocess.Popen(["git", "-C", repository, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+                for name in names:  # one at a time: neither side waits with a full pipe
+                    git.stdin.write(f"{name}\n".encode())
+                    git.stdin.flush()
+                    about = git.stdout.readline().split()
+                    text = git.stdout.read(int(about[2]) + 1)[:-1].decode("utf-8", "replace") if len(about) == 3 else ""
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([text], pa.string())], names=["blob", "text"])
+
+    return blobs.select("blob").repartition("blob").mapInArrow(run, "blob string, text string")

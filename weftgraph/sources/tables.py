@@ -74,6 +74,12 @@ SNAPSHOTS = """
 SELECT DISTINCT CAST(datediff('day', first_day, CAST(ts AS DATE)) AS BIGINT) AS ord, 'user/' || CAST(user_id AS STRING) AS src, 'event/' || event_type AS dst
 FROM [events] CROSS JOIN (SELECT CAST(min(ts) AS DATE) AS first_day FROM [events]) AS f"""
 
+#: users of each type of event and quarter of the users, a frame a day
+DAILY_TYPES = """
+SELECT CAST(datediff('day', first_day, CAST(ts AS DATE)) AS BIGINT) AS ord, 'event/' || event_type || '/' || CAST(user_id % 4 AS STRING) AS id, count(DISTINCT user_id) AS n
+FROM [events] CROSS JOIN (SELECT CAST(min(ts) AS DATE) AS first_day FROM [events]) AS f
+GROUP BY datediff('day', first_day, CAST(ts AS DATE)), event_type, user_id % 4"""
+
 #: today's supplier graph with [k] followers, each edge in every month from the first in which it was seen
 SUPPLIER_HISTORY = f"""
 SELECT CAST(m.ord AS BIGINT) AS ord, e.src, e.dst
