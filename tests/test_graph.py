@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from weftgraph import cli
 from weftgraph.functions import lexer
 from weftgraph.functions import text as fx
-from weftgraph.operators import communities, components, cores, cuts, doctor, history, lens, naming, relational, rules, scc, traverse
+from weftgraph.operators import communities, components, cores, cuts, doctor, history, lens, naming, relational, replay, rules, scc, traverse
 from weftgraph.plans.build import build_graph
+from weftgraph.plans.frames import Frames
+from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import files
@@ -281,7 +283,12 @@ def test_reach_counts_by_words(spark):
 
 def test_components_of_a_long_path(spark):
     path = spark.range(300).select(F.format_string("n%04d", "id").alias("src"), F.format_string("n%04d", F.col("id") + 1).alias("dst"))
-    assert components.connected_components(path).select("component").distinct().count() == 1
+    for limit in (0, 1000):
+        assert [r["component"] for r in components.connected_components(path, limit=limit).select("component").distinct().collect()] == ["n0000"]
+    rng = random.Random(2)
+    some = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(7, 7), (None, 3), (500, 500)], "src long, dst long")
+    rows = lambda limit: sorted(map(tuple, components.connected_components(some, limit=limit).collect()))
+    assert rows(0) == rows(1000) and (500, 500) in rows(0)
 
 
 def test_cores_and_skeleton(spark):
@@ -375,8 +382,9 @@ def test_history(spark):
     rows = [(0, "a", 1), (0, "b", 1), (1, "a", 2), (1, "b", 1), (1, "c", 1), (5, "b", 1), (5, "c", 1)]
     changes = history.deltas(spark.createDataFrame(rows, "ord long, id string, line int"), ["id"], ["line"])
     assert {tuple(r) for r in changes.collect()} == {(0, "added", "a", 1), (0, "added", "b", 1), (1, "changed", "a", 2), (1, "added", "c", 1), (5, "removed", "a", 2)}
-    for ord_ in (0, 1, 5):
-        assert {tuple(r) for r in history.frame_at(changes, ord_, ["id"]).collect()} == {(i, n) for o, i, n in rows if o == ord_}
+    log = history.skip_log(changes, spark.createDataFrame(rows, "ord long, id string, line int"), ["id"], ["line"])
+    for frame, ord_ in enumerate((0, 1, 5)):
+        assert {tuple(r) for r in history.frame_at(log, frame, ["id"]).collect()} == {(i, n) for o, i, n in rows if o == ord_}
 
 
 def test_even_sample():
@@ -538,22 +546,135 @@ def test_watch_follows_a_real_tree(spark, tmp_path):
     assert now()[0] == {"a.ts", "c.ts", "d.ts"}
 
 
-def test_replay_and_blame_of_a_repository(spark, tmp_path, capsys):
-    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=n", "-c", "user.email=e@example.org", *a], check=True, capture_output=True)
-    (tmp_path / "r").mkdir()
+def test_any_frame_from_few_spans(spark):
+    rng = random.Random(6)
+    held, rows = {}, []
+    for frame in range(21):
+        if frame not in (7, 8):  # nothing happens
+            for key in rng.sample("abcdefghij", 3):
+                held[key] = rng.randrange(3)
+            for key in rng.sample(sorted(held), min(2, len(held) - 1)):
+                del held[key]
+        rows.append(dict(held))
+    table = spark.createDataFrame([(10 * f, k, v) for f, held in enumerate(rows) for k, v in held.items()], "ord long, id string, n int")
+    log = materialise(history.skip_log(history.deltas(table, ["id"], ["n"]), table, ["id"], ["n"]))
+    for frame in range(21):
+        way = history.spans_to(frame)
+        assert len(way) == bin(frame).count("1") and [i << j for j, i in way] + [frame] == [0, *((i + 1) << j for j, i in way)]
+        assert {r["id"]: r["n"] for r in history.frame_at(log, frame, ["id"]).collect()} == rows[frame]
+    assert log.groupBy("level", "span", "id").count().filter("count > 1").isEmpty()
+
+
+def repository(path, states):
+    """A repository with a commit for each state (name to text)."""
+    git = lambda *a: subprocess.run(["git", "-C", str(path), "-c", "user.name=n", "-c", "user.email=e@example.org", *a], check=True, capture_output=True)
+    path.mkdir()
     git("init", "-q")
-    for text in ("", "import './a'\n"):
-        (tmp_path / "r/a.ts").write_text("import './b'\n")
-        (tmp_path / "r/b.ts").write_text(text)
-        git("add", ".")
-        git("commit", "-q", "-m", f"b is {len(text)} long")
-    args = cli.argparse.Namespace(src=str(tmp_path / "r"), since="1 year ago", max_frames=40, command="replay", out=str(tmp_path / "t.jsonl"))
+    for k, (subject, state) in enumerate(states):
+        for old in path.glob("*.ts*"):
+            old.unlink()
+        for name, text in state.items():
+            (path / name).write_text(text)
+        (path / "count.txt").write_text(str(k))
+        git("add", "-A", ".")
+        git("commit", "-q", "-m", subject)
+    return str(path)
+
+
+def test_replay_and_blame_of_a_repository(spark, tmp_path, capsys):
+    base = {"a.ts": "import './b'\n", "useStore.ts": "export const s = 1\n", "x.d.ts": "export {}\n"}
+    states = [
+        ("b is empty", base | {"b.ts": ""}),
+        ("b imports\u2028a", base | {"b.ts": "import './a'\n"}),
+        ("c uses the store", base | {"b.ts": "import './a'\n", "c.ts": "import './useStore'\n"}),
+        ("d, too", base | {"b.ts": "import './a'\n", "c.ts": "import './useStore'\n", "d.ts": "import './useStore'\n"}),
+    ]
+    root = repository(tmp_path / "r", states)
+    assert [r["subject"] for r in files.list_commits(spark, root).orderBy("ord").collect()] == [s for s, _ in states]
+    args = cli.argparse.Namespace(src=root, since="1 year ago", max_frames=40, command="replay", out=str(tmp_path / "t.jsonl"))
+    config = [rules.Rule("unique-caller", "one"), rules.Rule("no-direct-import", "no hooks", rules.Match(target_type="hook")), rules.Rule("no-cycles", "loop")]
     assert cli._history(spark, args) == 0
     rows = [json.loads(line) for line in open(args.out)]
-    assert [(r["cycles"], r["subject"]) for r in rows] == [(0, "b is 0 long"), (1, "b is 13 long")]
+    assert [(r["cycles"], r["violations"], r["nodes"], r["subject"]) for r in rows] == [(0, 0, 3, states[0][0]), (1, 0, 3, states[1][0]), (1, 0, 4, states[2][0]), (1, 1, 5, states[3][0])]
+    assert cli._history(spark, args, config) == 0
+    assert [json.loads(line)["violations"] for line in open(args.out)] == [0, 1, 2, 4]
+    held = replay.read(spark, args.out + ".replay")
+    for frame, (_, state) in enumerate(states):
+        g = held.at(frame)
+        assert ids(g.nodes) == {n for n in state if not n.endswith(".d.ts")} and g.meta["nodeCount"] == str(g.nodes.count()) and g.edges.count() == int(g.meta["edgeCount"])
+    assert held.at(4) is None and held.at(-1) is None and held.span()[0] <= held.span()[1]
     args.command = "blame"
     assert cli._history(spark, args) == 0
     assert "cycle a.ts 2" in capsys.readouterr().out
+    assert cli._history(spark, args, config) == 0
+    since = {tuple(line.split(" 20")[0].split()[:-2]): line for line in capsys.readouterr().out.strip().split("\n")}
+    assert [states[k][0] in line for line, k in zip(sorted(since.values()), (1, 2, 3, 3), strict=True)] == [True] * 4
+    assert [line.split()[0] for line in sorted(since.values())] == ["cycle", "no-direct-import", "no-direct-import", "unique-caller"]
+
+
+def test_each_content_is_read_once(spark, tmp_path):
+    states = [(f"change {k}", {"a.ts": "import './b'\n", "b.ts": f"export const b = {k // 4}\n", "same.ts": f"export const b = {k // 4}\n"}) for k in range(12)]
+    root = repository(tmp_path / "r", states)
+    frames = Frames(files.list_commits(spark, root), root)
+    nodes, edges = frames.graphs(list(range(12)))
+    assert frames.reads == 4  # a.ts, and three contents that two names share
+    assert nodes.count() == 36 and edges.count() == 12
+    frames.graphs([3, 5])
+    assert frames.reads == 4
+    assert Frames(files.list_commits(spark, root), root, (*files.EXCLUDED, "same")).graphs([0])[0].count() == 2
+
+
+def test_replay_files(spark, tmp_path):
+    node = lambda i, line=1: {"id": i, "label": i, "type": "module", "file": i, "line": line, "cluster": "src"}
+    edge = lambda a, b: {"id": f"{a}->{b}", "source": a, "target": b, "type": "import"}
+    about = {"sha": "0" * 8, "date": "2024-01-01", "subject": "s", "author": "n", "violations": 0, "cycles": 0, "added": [], "removed": []}
+    first = {**about, "nodeCount": 2, "edgeCount": 1, "graph": {"nodes": [node("a"), node("b")], "edges": [edge("a", "b")]}}
+    none = {"addedNodes": [], "changedNodes": [], "removedNodes": [], "addedEdges": [], "changedEdges": [], "removedEdges": []}
+    second = {**about, "nodeCount": 2, "edgeCount": 0, "delta": none | {"addedNodes": [node("c")], "changedNodes": [node("a", 7)], "removedNodes": ["b"], "removedEdges": ["a->b"]}}
+    third = {**about, "date": "2024-02-01", "nodeCount": 2, "edgeCount": 1, "delta": none | {"addedEdges": [edge("c", "a")]}}
+    (tmp_path / "new.json").write_text(json.dumps({"meta": {"project": "p"}, "frames": [first, second, third]}))
+    held = replay.read_file(spark, str(tmp_path / "new.json"))
+    lines = lambda g: {r["id"]: r["line"] for r in g.nodes.collect()}
+    assert [lines(held.at(k)) for k in range(3)] == [{"a": 1, "b": 1}, {"a": 7, "c": 1}, {"a": 7, "c": 1}]
+    assert [{(r["src"], r["dst"]) for r in held.at(k).edges.collect()} for k in range(3)] == [{("a", "b")}, set(), {("c", "a")}]
+    assert held.at(3) is None and held.span() == ("2024-01-01", "2024-02-01") and held.at(2).meta["nodeCount"] == "2"
+    old = {**about, "nodeCount": 1, "edgeCount": 0, "graph": {"nodes": [node("b", 3)], "edges": []}}
+    (tmp_path / "old.json").write_text(json.dumps({"frames": [first, old]}))
+    held = replay.read_file(spark, str(tmp_path / "old.json"))
+    assert [lines(held.at(k)) for k in range(2)] == [{"a": 1, "b": 1}, {"b": 3}]
+    (tmp_path / "none.json").write_text(json.dumps({"frames": [{**about, "nodeCount": 0, "edgeCount": 0}]}))
+    assert replay.read_file(spark, str(tmp_path / "none.json")).at(0) is None
+    (tmp_path / "bad.json").write_text("[]")
+    with pytest.raises(ValueError, match="holds no replay"):
+        replay.read_file(spark, str(tmp_path / "bad.json"))
+
+
+def test_compiler_options_with_comments_and_bases(tmp_path):
+    (tmp_path / "node_modules/shared").mkdir(parents=True)
+    (tmp_path / "node_modules/shared/tsconfig.json").write_text('{"compilerOptions": {"paths": {"~lib/*": ["./lib/*"]}}}')
+    (tmp_path / "base.json").write_text('{\n  // where sources lie\n  "compilerOptions": {"baseUrl": "./src", /* not "//" */ "paths": {"@/*": ["./*"], "url": ["http://x//y"],},},\n}')
+    (tmp_path / "app").mkdir()
+    place = tmp_path / "app/tsconfig.json"
+    place.write_text('{"extends": "../base", "compilerOptions": {"strict": true}, }')
+    assert files.path_aliases(str(tmp_path / "app")) == {"@/": "../src/", "url": "../src/http:/x/y"}
+    place.write_text('{"extends": ["../base.json", "shared"]}')
+    assert files.path_aliases(str(tmp_path / "app"))["~lib/"] == "../src/lib/"
+    place.write_text('{"extends": "./tsconfig.json", "compilerOptions": {"paths": {"#/*": ["./own/*"]}}}')
+    assert files.path_aliases(str(tmp_path / "app")) == {"#/": "own/"}
+    place.write_text('{"compilerOptions": ')
+    with pytest.warns(UserWarning, match="is not read"):
+        assert files.path_aliases(str(tmp_path / "app")) == {}
+
+
+def test_violations_as_rows(spark):
+    g = make(spark, "a>t b>t c>t a>b b>a", kind=lambda i: "store" if i == "t" else "module")
+    config = [rules.Rule("unique-caller", "one"), rules.Rule("no-direct-import", "no", rules.Match(target_type="store")), rules.Rule("no-cycles", "loop")]
+    out = {(r["place"], r["subject"], r["size"]) for r in rules.violations(g, config).collect()}
+    assert out == {(0, "t", 3), (1, "a → t", 2), (1, "b → t", 2), (1, "c → t", 2), (2, "a", 2)}
+    assert len(out) == rules.evaluate(g, config).count()
+    who = {(r["place"], r["subject"], r["role"], r["id"]) for r in rules.parties(g, config).collect()}
+    assert {w[2:] for w in who if w[0] == 0} == {("target", "t"), ("caller", "a"), ("caller", "b"), ("caller", "c")}
+    assert {w[2:] for w in who if w[:2] == (1, "b → t")} == {("source", "b"), ("target", "t")} and {w[3] for w in who if w[0] == 2} == {"a", "b"}
 
 
 def test_diagram_ids_of_names_that_clash(spark):

@@ -248,11 +248,20 @@ def subject(s, d):
 
 
 # -- components and cycles -------------------------------------------------------------
-@query("components", _with("suppliers", 1, _BOTH + ", tree(a, b) AS (SELECT a, b FROM both_ways UNION SELECT t.a, w.b FROM tree t JOIN both_ways w ON t.b = w.a)", True) + "SELECT a AS id, min(b) AS component FROM tree GROUP BY a")
+_COMPONENTS = _with("suppliers", 1, _BOTH + ", tree(a, b) AS (SELECT a, b FROM both_ways UNION SELECT t.a, w.b FROM tree t JOIN both_ways w ON t.b = w.a)", True) + "SELECT a AS id, min(b) AS component FROM tree GROUP BY a"
+
+
+@query("components", _COMPONENTS)
 def connected(s, d):
     return components.connected_components(G2(s, d, 1).edges)
 
 
+@query("components_joins", _COMPONENTS)
+def components_joins(s, d):
+    """Without the work in one task that few links get."""
+    return components.connected_components(G2(s, d, 1).edges, limit=0)
+
+
 @query("scc", _with("suppliers", 1, _SCC, True) + "SELECT id, scc FROM scc")
 def strongly(s, d):
     return scc.strongly_connected(G2(s, d, 1).edges)
@@ -562,7 +571,26 @@ def frame_deltas(s, d):
 
 @query("frame_at", f"WITH {_SNAP} SELECT src, dst FROM snap WHERE ord = 12")
 def frame_at(s, d):
-    return history.frame_at(history.deltas(tables.snapshots(s, d), ["src", "dst"]), 12, ["src", "dst"])
+    days = tables.snapshots(s, d)
+    frame = days.filter("ord < 12").select("ord").distinct().count()
+    return history.frame_at(history.skip_log(history.deltas(days, ["src", "dst"]), days, ["src", "dst"]), frame, ["src", "dst"])
+
+
+_DAILY = f"daily AS MATERIALIZED ({tables.for_sql(tables.DAILY_TYPES)})"
+
+
+@query("frame_changes", f"""WITH {_DAILY}, ords AS (SELECT ord, row_number() OVER (ORDER BY ord) AS r FROM (SELECT DISTINCT ord FROM daily)), d AS (SELECT d.*, r FROM daily d JOIN ords USING (ord))
+SELECT o.ord, CASE WHEN p.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(c.id, p.id) AS id, CASE WHEN c.id IS NULL THEN p.n ELSE c.n END AS n
+FROM d c FULL JOIN d p ON p.id = c.id AND p.r + 1 = c.r JOIN ords o ON o.r = coalesce(c.r, p.r + 1) WHERE p.id IS NULL OR c.id IS NULL OR p.n <> c.n""")
+def frame_changes(s, d):
+    """Rows with a value: users of each type of event, day by day."""
+    return history.deltas(tables.projected(s, d, tables.DAILY_TYPES), ["id"], ["n"])
+
+
+@query("frame_at_value", f"WITH {_DAILY}, ords AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS r FROM (SELECT DISTINCT ord FROM daily)) SELECT id, n FROM daily JOIN ords USING (ord) WHERE r = 13")
+def frame_at_value(s, d):
+    days = tables.projected(s, d, tables.DAILY_TYPES)
+    return history.frame_at(history.skip_log(history.deltas(days, ["id"], ["n"]), days, ["id"], ["n"]), 13, ["id"])
 
 
 @query("frames", f"""WITH {_SNAP}, n AS (SELECT DISTINCT ord, id FROM (SELECT ord, src AS id FROM snap UNION ALL SELECT ord, dst FROM snap)), o AS (SELECT ord, lag(ord) OVER (ORDER BY ord) AS p, lead(ord) OVER (ORDER BY ord) AS q FROM (SELECT DISTINCT ord FROM snap))
