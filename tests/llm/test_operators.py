@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftgraph.llm import bpe, exact_dedup, langid, lm_score, ngram_join, ogg, packing, quality, secret_scan, sharding
@@ -735,3 +736,18 @@ def test_lm_score_query_learns_rare_words_and_longer_contexts(spark, tmp_path):
     spark.createDataFrame([(i, line(["of the house", "by the river"])) for i in range(20)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     score = {r["doc_id"]: r["score"] for r in QUERIES["op10_lm_score"](spark, str(tmp_path)).collect()}
     assert max(score[100 + i] for i in range(20)) < min(score[200 + i] for i in range(20)) < min(score[i] for i in range(40))
+
+
+def test_samples_stay_bounded_with_null_and_repeated_ids(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3000)]
+    learn = F.lit(True)
+    for ids, own in (([None] * 3000, texts), ([5] * 3000, texts), ([5] * 3000, texts[:1] * 3000), (range(3000), texts)):
+        docs = spark.createDataFrame(list(zip(ids, own, ["en"] * 3000, strict=True)), "doc_id long, text string, lang string")
+        drawn, totals, share = langid.sample_rows(docs, learn, 10_000)
+        assert totals == [("en", 3000)] and 1 <= drawn.count() <= 3 * share // 200
+        assert 1 <= sum(map(len, langid.sample(docs, learn, 10_000)[0][1])) <= share
+    repeated = spark.createDataFrame([(5, t, 1) for t in texts] + [(6, "six", 1), (None, "none", 1)], "doc_id long, text string, p int")
+    marked = spark.createDataFrame([(5, 1), (5, 1), (5, 0), (6, 0)], "doc_id long, p int")
+    out = sorted(map(tuple, quality.chosen_rows(repeated, marked).collect()))
+    assert out == [(5, 0, min(texts)), (5, 1, min(texts)), (6, 0, "six")]

@@ -193,35 +193,45 @@ def _parser(key: str, samples: Broadcast) -> CrossParser:
     return _PARSERS[key]
 
 
-def sample(docs: DataFrame, learn: Column, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> list[tuple[str, list[str]]]:
-    """[(language, texts)], the language with most learning rows first."""
+def sample_rows(docs: DataFrame, learn: Column, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> tuple[DataFrame, list[tuple[str, int]], int]:
+    """((lang, draw, text) of about twice the wanted share of each language, [(language, rows)], share in characters).
+
+    The draw is a hash of id and text, so that rows with null or equal ids are drawn apart; rows that repeat both are
+    drawn once."""
     text = F.col("text").cast("string")
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", text.alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("draw")
+        "lang", text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("draw")
     )
     rows = rows.filter(F.char_length("text") > 0)
     languages = rows.agg(F.count_distinct("lang")).first()[0]
-    if not languages:
-        return []
-    share = max(1, min(sample_chars, total_chars // languages))
+    share = max(1, min(sample_chars, total_chars // max(languages, 1)))
     begin = F.pmod("draw", F.greatest(F.char_length("text") - share, F.lit(0)) + 1).cast("int")
     sized = rows.withColumn("text", F.when(F.char_length("text") > share, F.substr("text", begin + 1, F.lit(share))).otherwise(F.col("text")))
     totals = sized.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"), F.min("draw").alias("least")).collect()  # a row a language
-    # twice the wanted share by hash and the least hash, then in order of the hash until the bound is met
+    if not totals:
+        return sized.select("lang", "draw", "text").limit(0), [], share
+    # twice the wanted share by hash, and the least hash
     rate = F.create_map(*(x for r in totals for x in (F.lit(r["lang"]), F.struct(F.lit(min(1.0, 2 * share / r["chars"])).alias("rate"), F.lit(r["least"]).alias("least")))))
     own = rate[F.col("lang")]
     place = F.pmod("draw", F.lit(1 << 40)) / float(1 << 40)
-    picked: dict[str, list] = {r["lang"]: [] for r in totals}
-    for r in sized.filter((place < own["rate"]) | (F.col("draw") == own["least"])).collect():
+    drawn = sized.filter((place < own["rate"]) | (F.col("draw") == own["least"])).select("lang", "draw", "text").distinct()
+    return drawn, [(r["lang"], r["n"]) for r in totals], share
+
+
+def sample(docs: DataFrame, learn: Column, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> list[tuple[str, list[str]]]:
+    """[(language, texts)], the language with most learning rows first; in order of the draw until the share is met."""
+    drawn, totals, share = sample_rows(docs, learn, sample_chars, total_chars)
+    picked: dict[str, list] = {language: [] for language, _ in totals}
+    for r in drawn.collect() if totals else ():
         picked[r["lang"]].append((r["draw"], r["text"]))
     out = []
-    for r in sorted(totals, key=lambda r: (-r["n"], r["lang"])):
+    for language, _ in sorted(totals, key=lambda x: (-x[1], x[0])):
         texts, left = [], share
-        for _, own_text in sorted(picked[r["lang"]]):
+        for _, own_text in sorted(picked[language]):
             if len(own_text) <= left:
                 texts.append(own_text)
                 left -= len(own_text)
-        out.append((r["lang"], texts))
+        out.append((language, texts))
     return out
 
 

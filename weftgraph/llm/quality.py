@@ -202,13 +202,19 @@ def _drawn(df: DataFrame, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("draw")), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30)))
 
 
+def chosen_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc_id, p, text): a row for each of the drawn ids ``marked`` (doc_id, p); of rows with one id, the least text."""
+    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(marked.select("doc_id", "p").distinct()), "doc_id")
+    return rows.groupBy("doc_id", "p").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fits on the positive labels of learning rows and on the texts of learning rows."""
     known = labels.filter(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     positive = _drawn(known.filter("quality = 1").select("doc_id"), sample_rows)
     free = _drawn(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id"), sample_rows)
     marked = positive.withColumn("p", F.lit(1)).unionByName(free.withColumn("p", F.lit(0)))  # bounded by the draw
-    chosen = docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id", "p").distinct()), "doc_id")
+    chosen = chosen_rows(docs, marked)
     xs = {1: [], 0: []}
     found = vectors(chosen.select(F.concat_ws(":", "p", F.col("doc_id").cast("string")).alias("doc_id"), "text"))
     for r in found.collect():
