@@ -25,12 +25,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def degrees(graph: PropertyGraph) -> DataFrame:
-    """(id, imports, used_by, neighbours): out-edges, in-edges, distinct other ends."""
-    out = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("imports"))
-    into = graph.edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("used_by"))
-    near = both_ways(graph.edges).distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"))
-    found = graph.nodes.select("id").join(out, "id", "left").join(into, "id", "left").join(near, "id", "left")
-    return found.select("id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("imports", "used_by", "neighbours")))
+    """(id, imports, used_by, neighbours): out-edges, in-edges, distinct other ends.
+
+    The edges are read once and become a row a pair first; both ends of a pair then say which ways it goes, so that a
+    pair of opposite edges is one neighbour."""
+    pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.explode(F.array(*(F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(out).alias("out")) for a, b, out in (("src", "dst", True), ("dst", "src", False)))))
+    ways = pairs.select("n", ends.alias("e")).select("e.*", "n").groupBy("id", "other").agg(*(F.sum(F.when(F.col("out") == out, F.col("n")).otherwise(0)).alias(c) for c, out in (("imports", True), ("used_by", False))))
+    near = F.sum(F.when(F.col("id") != F.col("other"), 1).otherwise(0))
+    found = ways.groupBy("id").agg(F.sum("imports").alias("imports"), F.sum("used_by").alias("used_by"), near.alias("neighbours"))
+    joined = graph.nodes.select("id").join(found, "id", "left")
+    return joined.select("id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("imports", "used_by", "neighbours")))
 
 
 def filter_edges(graph: PropertyGraph, *kinds: str) -> DataFrame:
@@ -70,7 +75,8 @@ def orphans(graph: PropertyGraph) -> DataFrame:
     base = base_name(F.col("id"))
     silent = ~F.col("type").isin("page", *SYNTHETIC) & ~F.col("file").rlike(RUN_FROM_OUTSIDE)
     silent = silent & ~base.rlike(ENTRY_NAMES) & ~base.rlike(ROUTER_NAMES) & ~base.rlike(TOOL_SUFFIX)
-    return graph.nodes.filter(silent).join(graph.edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id")
+    reached = graph.edges.select(F.col("dst").alias("id")).distinct()  # combined before the shuffle, so that a hub is one row a task
+    return graph.nodes.filter(silent).join(reached, "id", "left_anti").select("id")
 
 
 def induced(graph: PropertyGraph, ids: DataFrame, without: str | None = None) -> PropertyGraph:
@@ -107,7 +113,7 @@ def traffic(graph: PropertyGraph, share: float = 0.03, least: int = 20) -> DataF
     """(id, degree): nodes with so many edges that paths through them say nothing:
     max(``least``, round half up of ``share`` of the nodes)."""
     bound = graph.nodes.agg(F.greatest(F.lit(least).cast("double"), F.floor(F.count(F.lit(1)) * share + 0.5).cast("double")).alias("bound"))
-    ends = graph.edges.select(F.col("src").alias("id")).unionByName(graph.edges.select(F.col("dst").alias("id")))
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).filter("id is not null")
     counted = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).join(graph.nodes.select("id"), "id", "left_semi")
     return counted.join(F.broadcast(bound), F.col("degree") >= F.col("bound")).select("id", "degree")  # the bound is one row
 
