@@ -189,7 +189,8 @@ def _blocks(members: DataFrame, near: DataFrame, banded: DataFrame) -> tuple[Dat
     parts = clustered.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts"))
     placed = clustered.join(parts, "cluster").withColumn("block", F.xxhash64("component", "cluster", F.pmod(F.xxhash64("rep"), F.col("parts"))))
     placed = materialise(placed.select(*members.columns, "block"))
-    held = materialise(banded.join(placed.select("rep", "block"), "rep").select("band", "block").distinct())
+    own_bands = sifted(banded.withColumn("fp", F.xxhash64("rep")), placed.select(F.xxhash64("rep").alias("fp")))
+    held = materialise(own_bands.join(placed.select("rep", "block"), "rep").select("band", "block").distinct())
     meet = held.join(held.select("band", F.col("block").alias("other")), "band").filter("block < other").select(F.col("block").alias("bi"), F.col("other").alias("bj")).distinct()
     own = placed.select(F.col("block").alias("bi"), F.col("block").alias("bj")).distinct()
     meet = materialise(meet.unionByName(own))
@@ -216,6 +217,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "hub")
     near = banded.join(buckets, "band").filter("rep <> hub").select(F.col("rep").alias("src"), F.col("hub").alias("dst")).distinct()
+    near = materialise(near)
     component = materialise(connected_components(near).select(F.col("id").alias("rep"), "component"))
     members = component.join(reps.select("rep", "doc_id", "d0", "d1", "n", "weight"), "rep")
     placed, pairs = _blocks(members, near, banded)
@@ -223,7 +225,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     texts = sifted(docs.withColumn("fp", F.xxhash64("doc_id")), wanted.select(F.xxhash64("doc_id").alias("fp")))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["doc_id"], "text")
     sets = gram_sets(texts, size).dropDuplicates(["d0", "d1"]).select("d0", "d1", "grams")
-    meets = placed.join(sets, ["d0", "d1"]).join(pairs, "block").select("component", "bi", "bj", "block", "rep", "weight", "grams")
+    meets = placed.join(pairs, "block").join(sets, ["d0", "d1"]).select("component", "bi", "bj", "block", "rep", "weight", "grams")
     found = materialise(
         meets.groupBy("component", "bi", "bj").applyInArrow(lambda table: block_links(table, threshold), "rep long, other long, links long")
     )
