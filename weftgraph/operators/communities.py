@@ -91,7 +91,7 @@ def _level(links: DataFrame, steps: int) -> DataFrame:
         moved = _moves(links, asking, two_m).withColumnRenamed("community", "to")
         state = materialise(state.join(moved, "id", "left").select("id", "k", F.coalesce("to", "community").alias("community")))
     ends = links.join(state.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(state.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-    parts = connected_components(ends.filter("ca = cb"), "a", "b")
+    parts = connected_components(ends.filter("ca = cb"), "a", "b", 0)
     return state.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
 

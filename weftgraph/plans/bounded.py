@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.components import connected_components
 from weftgraph.plans.iterate import materialise
 
 LIMIT = 1 << 17
@@ -34,10 +33,12 @@ def whole(links: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
 
 def settle(links: DataFrame, kernel: Kernel, schema: str, limit: int = LIMIT, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame | None]:
     """(results of the kernel on all parts within the limit; if there are any, links of the other parts with their ``component``)."""
+    from weftgraph.operators.components import connected_components  # which uses this module
+
     count = links.count()
     if count <= limit:
         return materialise(whole(links, kernel, schema)), None
-    part = connected_components(links, src, dst).withColumnRenamed("id", src)
+    part = connected_components(links, src, dst, min(limit, LIMIT)).withColumnRenamed("id", src)
     dealt = materialise(links.join(part, src))
     sizes = materialise(dealt.groupBy("component").agg(F.count(F.lit(1)).alias("links")))
     few, many = (sizes.filter(c).select("component") for c in (F.col("links") <= limit, F.col("links") > limit))

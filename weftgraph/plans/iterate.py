@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,9 +31,24 @@ def materialise(df: DataFrame) -> DataFrame:
     some rounds the number alone fills the driver's memory.  The rows are taken up without it."""
     shared_folder(df.sparkSession)
     cut, session = df.checkpoint(eager=True)._jdf, df.sparkSession
+    release(session)
     return DataFrame(session._jsparkSession.internalCreateDataFrame(cut.queryExecution().toRdd(), cut.schema(), False), session)
 
 
+_CUTS = itertools.count(1)
+#: lineage cuts after which the driver's memory is cleared of what is not referred to any more
+CLEARED = 5
+
+
+def release(spark: SparkSession) -> None:
+    """Now and then lets the driver collect its garbage: the shuffle files, and with
+    spark.cleaner.referenceTracking.cleanCheckpoints the checkpoints, of tables that nothing refers to are
+    removed only then, and many rounds would otherwise keep all of theirs on disk."""
+    if next(_CUTS) % CLEARED == 0:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 class Versions:
     """Versions of one table, as Parquet in the shared folder: where a round rewrites wide rows, which
     Parquet compresses.  Writing a version removes the one before it, from which it was made."""
