@@ -438,6 +438,23 @@ def test_names(spark):
     assert {(r["folder"], r["share"]) for r in naming.cohesion(points).collect()} == {("left", 1.0), ("right", 1.0)}
 
 
+def test_order_statistics_are_exact(spark):
+    rng = random.Random(3)
+    shapes = {
+        "one": [5.0], "same": [2.5] * 40, "two": [1.0, 2.0] * 9, "spread": [rng.gauss(0, 1) for _ in range(700)], "steep": [2.0 ** rng.randrange(-1000, 1000) * rng.choice([1, -1]) for _ in range(300)],
+        "ends": [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324, 1e-323], "near": [1.0 + k * 2.0**-52 for k in range(50)] * 3,
+    }
+    rows = [(g, v) for g, vs in shapes.items() for v in vs] + [("spread", None), ("spread", float("nan")), ("none", None)]
+    table = spark.createDataFrame(rows, "folder string, d double")
+    for share in (0.0, 0.5, 0.9, 1.0):
+        out = {r["folder"]: r["value"] for r in naming.order_statistic(table, ["folder"], "d", share).collect()}
+        assert out == {g: sorted(vs)[min(int(len(vs) * share), len(vs) - 1)] for g, vs in shapes.items()}
+    every = sorted(v for vs in shapes.values() for v in vs)
+    assert [tuple(r) for r in naming.order_statistic(table, [], "d", 0.5).collect()] == [(every[len(every) // 2],)]
+    assert naming.order_statistic(table.limit(0), ["folder"], "d", 0.5).isEmpty()
+    assert tuple(naming.reach(spark.createDataFrame([], "x double, y double, z double")).first()) == (0.0, 0.0, 0.0, 60.0)
+
+
 def test_labels_and_kinds(spark):
     paths = {"src/theme.ts": "theme", "src/Button/index.tsx": "Button", "app/page.tsx": "app/page", "app/layout.tsx": "app/layout", "app/about/page.tsx": "about/page"}
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", fx.label_for(F.col("p")).alias("l")).collect()

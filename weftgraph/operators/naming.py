@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 
 
@@ -55,10 +56,46 @@ def cohesion(points: DataFrame, sample: int = 40) -> DataFrame:
     return found.groupBy("folder").agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg((F.col("folder") == F.col("of")).cast("double")), 9).alias("share"))
 
 
-def upper_median(values: Column, accuracy: int = 10_000) -> Column:
-    """Order statistic at index floor(n / 2), in bounded memory: the lower median of the
-    negated values; off by a rank of n / ``accuracy`` at most."""
-    return -F.percentile_approx(-values, 0.5, accuracy)
+BINS = 1024
+
+
+def order_statistic(values: DataFrame, by: list[str], column: str, share: float) -> DataFrame:
+    """(*by, value): of each group, the value at index floor(n * share) of its values in order (the last at most); exact.
+
+    Selection by rounds of histograms: a round counts the values between the bounds of each group in equal bins, and takes the
+    bounds of the bin that holds the place sought as the next ones, until they are one value.  A round keeps
+    ``BINS`` rows a group at most and sorts nothing; nulls and NaN are left out."""
+    rows = values.select(*by, F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)").withColumn("_one", F.lit(0))
+    keys = [*by, "_one"]  # a column even where there are no groups
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    at = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    goal, done = materialise(whole.select(*keys, at.alias("at"), "low", "high")), None
+    while True:
+        found = goal.filter("low = high").select(*by, F.col("low").alias("value"))
+        done = found if done is None else done.unionByName(found)
+        wide = goal.filter("low < high")
+        if wide.isEmpty():
+            return done
+        inside = rows.join(F.broadcast(wide) if not by else wide, keys).filter("v between low and high")
+        width = F.col("high") / BINS - F.col("low") / BINS  # neither can leave the range of doubles
+        place = F.when(F.col("v") == F.col("high"), BINS - 1).when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("v") / BINS - F.col("low") / BINS) / width * BINS))).otherwise(0)
+        # where bins would be too narrow to tell values apart, the least value is told from the others
+        place = F.when(F.col("v") == F.col("low"), -1).otherwise(place.cast("int"))
+        counted = inside.withColumn("bin", place).groupBy(*keys, "bin").agg(F.first("at").alias("at"), F.count(F.lit(1)).alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # BINS rows a group
+        chosen = counted.withColumn("before", before).filter("before <= at and at < before + m")
+        goal = materialise(chosen.select(*keys, (F.col("at") - F.col("before")).alias("at"), "low", "high"))
+
+
+def spreads(points: DataFrame) -> DataFrame:
+    """(folder, n, mean, median, p90, furthest): distances of a folder's points (folder, x, y, z) from their mean."""
+    means = points.groupBy("folder").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    d = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"))
+    gaps = materialise(points.join(means, "folder").select("folder", d.alias("d")))
+    out = gaps.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.max("d").alias("furthest"))
+    for name, share in (("median", 0.5), ("p90", 0.9)):
+        out = out.join(order_statistic(gaps, ["folder"], "d", share).withColumnRenamed("value", name), "folder", "left")
+    return out.select("folder", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "furthest")))
 
 
 def folder_anchors(points: DataFrame, least_share: float = 0.5, lift: float = 3.5) -> DataFrame:
@@ -69,7 +106,8 @@ def folder_anchors(points: DataFrame, least_share: float = 0.5, lift: float = 3.
     d = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"))
     gaps = points.join(means.filter("n > 1"), "folder").withColumn("d", d)
     firm = cohesion(points.select("id", "folder", F.array(*"xyz").alias("position"))).filter(F.col("share") >= least_share).select("folder")
-    found = gaps.groupBy("folder").agg(F.min(F.struct("d", "id")).alias("a"), upper_median(F.col("d")).alias("median"))
+    gaps = materialise(gaps.select("folder", "id", "d"))
+    found = gaps.groupBy("folder").agg(F.min(F.struct("d", "id")).alias("a")).join(order_statistic(gaps, ["folder"], "d", 0.5).withColumnRenamed("value", "median"), "folder")
     return found.join(firm, "folder", "left_semi").select("folder", F.col("a.id").alias("anchor"), F.round(F.col("median") + lift, 9).alias("height"))
 
 
@@ -78,8 +116,8 @@ def reach(points: DataFrame) -> DataFrame:
     the distances from it; the origin and 60 without points."""
     centre = points.agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     d = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"))
-    gaps = points.crossJoin(F.broadcast(centre)).select(d.alias("d"))  # the centre is one row
-    spread = gaps.agg(F.max("d").alias("far"), upper_median(F.col("d"), 1_000_000).alias("mid"))
+    gaps = materialise(points.crossJoin(F.broadcast(centre)).select(d.alias("d")))  # the centre is one row
+    spread = gaps.agg(F.max("d").alias("far")).crossJoin(F.broadcast(order_statistic(gaps, [], "d", 0.5).agg(F.max("value").alias("mid"))))  # one row each
     size = F.when(F.col("far").isNull(), 60.0).otherwise(F.greatest(F.lit(40.0), F.least("far", F.col("mid") * 2.5)))
     return centre.crossJoin(F.broadcast(spread)).select(*(F.coalesce(f"m{c}", F.lit(0.0)).alias(c) for c in "xyz"), size.alias("spread"))
 

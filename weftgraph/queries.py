@@ -450,6 +450,21 @@ def reach(s, d):
     return naming.reach(tables.table(s, d, "embeddings").select(axes)).select(*(F.round(c, 6).alias(c) for c in ("x", "y", "z", "spread")))
 
 
+_PLACES = "p AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS folder, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+_GAPS = _PLACES + ", c AS (SELECT folder, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY folder), g AS (SELECT p.*, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS d FROM p JOIN c USING (folder))"
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    axes = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")]
+    return tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("folder"), *axes)
+
+
+@query("folder_spread", f"""WITH {_GAPS}, l AS (SELECT folder, count(*) AS n, avg(d) AS mean, list_sort(list(d)) AS d FROM g GROUP BY folder)
+SELECT folder, n, round(mean, 6) AS mean, round(d[least(n // 2, n - 1) + 1], 6) AS median, round(d[least(CAST(floor(n * 0.9) AS BIGINT), n - 1) + 1], 6) AS p90, round(d[-1], 6) AS furthest FROM l""")
+def folder_spread(s, d):
+    return naming.spreads(_places(s, d))
+
+
 _MODULARITY = """, total AS (SELECT count(*) AS m FROM edges WHERE src <> dst),
  ends AS (SELECT x.community AS cs, y.community AS cd FROM edges JOIN member x ON x.id = src JOIN member y ON y.id = dst WHERE src <> dst),
  sums AS (SELECT community, sum(t) AS t, sum(i) AS i FROM (SELECT cs AS community, 1 AS t, CASE WHEN cs = cd THEN 1 ELSE 0 END AS i FROM ends UNION ALL SELECT cd, 1, 0 FROM ends) GROUP BY community)
