@@ -2,6 +2,7 @@
 
 import json
 import random
+import struct
 import subprocess
 import time
 from collections import Counter, defaultdict
@@ -20,7 +21,7 @@ from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import files
-from weftgraph.streaming import watch
+from weftgraph.streaming import attributes, watch
 
 
 def make(spark, links, nodes=(), kind="module", cluster="src"):
@@ -438,6 +439,30 @@ def test_names(spark):
     assert {(r["folder"], r["share"]) for r in naming.cohesion(points).collect()} == {("left", 1.0), ("right", 1.0)}
 
 
+def test_attributes_survive_versions_but_no_deletion(spark):
+    present = {0: "abc", 1: "abd", 2: "abcd", 5: "acd"}
+    changes = [(0, "a", 1.0, True), (0, "c", 2.0, True), (0, "b", 3.0, True), (1, "a", 4.0, False), (2, "d", 5.0, True), (2, "x", 6.0, True), (5, "d", None, None)]
+    table = spark.createDataFrame([(v, i) for v, found in present.items() for i in found], "version long, id string")
+    out = attributes.carried(spark.createDataFrame(changes, "version long, id string, x double, pinned boolean"), table, ["x", "pinned"])
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 4.0, False), ("c", None, None, None), ("d", 5, None, None)]
+    assert attributes.carried(out.select(F.lit(1).alias("version"), "id", "x").limit(0), table.limit(0), ["x"]).isEmpty()
+
+
+def test_long_calls_and_units_of_hashes(spark):
+    wide = "fetch('/long', { body: [" + "'x, y', (1), " * 200_000 + "], method: 'PUT' })\nfetch('/open'"
+    assert lexer.calls(wide) == [("api", 1, "'/long'", "PUT")]
+    names = ["src/a.ts", "é", "𝄞 clef", ""]
+
+    def slot(text):
+        h = 0
+        for unit in struct.unpack(f">{len(text.encode('utf-16-be')) // 2}H", text.encode("utf-16-be")):
+            h = (h * 31 + unit) & 0xFFFFFFFF
+        return h % 24
+
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", fx.arrival_slot(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in rows} == {n: slot(n) for n in names}
+
+
 def test_order_statistics_are_exact(spark):
     rng = random.Random(3)
     shapes = {

@@ -14,6 +14,7 @@ _TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])
 _FROM = re.compile(r"""(?<![\w.$])(?:import|export)\s*(?:type\s+)?(?:[\w$*\s{},]*?\bfrom\s*)?(['"])([^'"\n]+)\1""")
 _CALL = re.compile(r"(?<![\w$.])(fetch|(?:%s)(?:\.(?:%s))?|%s)\s*(?:<[^<>()]*>)?\s*\(" % ("|".join(HTTP_CLIENTS), "|".join(HTTP_METHODS), "|".join(QUERY_HOOKS)))
 _OPEN, _CLOSE = "([{", ")]}"
+_MARK = re.compile(r"""[()\[\]{},'"`]""")
 
 
 def without_comments(text: str) -> str:
@@ -21,13 +22,14 @@ def without_comments(text: str) -> str:
     return _TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][:2] in ("//", "/*") else m[0], text)
 
 
-def split_arguments(text: str, at: int, limit: int = 1 << 20) -> list[str]:
-    """Arguments of a call whose bracket opens before ``at``."""
+def split_arguments(text: str, at: int) -> list[str]:
+    """Arguments of a call whose bracket opens before ``at``; none if it never closes."""
     parts, depth, start, i = [], 0, at, at
-    while i < len(text) and i < at + limit:
-        c = text[i]
-        if c in "'\"`" and (m := _TOKEN.match(text, i)):
-            i = m.end()
+    while m := _MARK.search(text, i):
+        i, c = m.start(), m[0]
+        if c in "'\"`":
+            held = _TOKEN.match(text, i)
+            i = held.end() if held else i + 1
             continue
         if c in _OPEN:
             depth += 1

@@ -75,8 +75,10 @@ def share_piece(text: Column) -> Column:
 
 
 def arrival_slot(identifier: Column, slots: int = 24) -> Column:
-    """Hash of the code points with multiplier 31 in 32 bits, modulo the number of slots."""
-    codes = F.transform(F.filter(F.split(identifier, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """Hash of the UTF-16 units with multiplier 31 in 32 bits, modulo the number of slots."""
+    units = F.hex(F.encode(identifier, "UTF-16BE"))  # four digits each
+    places = F.filter(F.sequence(F.lit(0), (F.char_length(units) / 4).cast("int")), lambda i: i * 4 < F.char_length(units))
+    codes = F.transform(places, lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit((1 << 32) - 1)), lambda h: F.pmod(h, F.lit(slots)))
 
 

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as fx
 from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, rules, scc, traverse
+from weftgraph.plans.build import build_graph
 from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import tables
+from weftgraph.streaming import attributes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -709,6 +711,35 @@ def query_key_extract(s, d):
     return keys.groupBy("event_type", fx.collapsed(F.col("k")).alias("query_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# what a scan of the scripts must find, said from the pages themselves
+_PAGE_CALLS = """p AS (SELECT page_id, url, 'data/p' || page_id || '.ts' AS src, 'lib/p' || (page_id - page_id % 4) || '.ts' AS lib, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END || ' ' || url || '/:param' AS call, '["pages", ' || page_id % 7 || ']' AS query_key FROM pages WHERE page_id % 4 > 0)"""
+
+
+@query("parsed_edges", f"""WITH {_PAGE_CALLS} SELECT src || '->' || dst AS id, src, dst, type FROM (SELECT src, lib AS dst, 'api-call' AS type FROM p WHERE page_id - page_id % 4 IN (SELECT page_id FROM pages)
+ UNION SELECT src, 'api:' || call, 'api-call' FROM p UNION SELECT src, 'qk:' || query_key, 'query-key' FROM p)""")
+def parsed_edges(s, d):
+    """The graph of a tree of scripts that Spark derives from the pages."""
+    return build_graph(tables.projected(s, d, tables.SCRIPTS)).edges
+
+
+@query("parsed_nodes", f"""WITH {_PAGE_CALLS}, used AS (SELECT 'api:' || call AS id, call AS label, 'api' AS type, src AS file, 3 AS line, 'api' AS cluster FROM p UNION ALL SELECT 'qk:' || query_key, query_key, 'query-key', src, 4, 'queries' FROM p)
+SELECT id, any_value(label) AS label, any_value(type) AS type, min(file) AS file, CAST(any_value(line) AS INTEGER) AS line, any_value(cluster) AS cluster FROM used GROUP BY id
+UNION ALL SELECT src, 'p' || page_id, 'api', src, 1, 'data' FROM p
+UNION ALL SELECT 'lib/p' || page_id || '.ts', 'p' || page_id, 'api', 'lib/p' || page_id || '.ts', 2, 'lib' FROM pages WHERE page_id % 4 = 0""")
+def parsed_nodes(s, d):
+    return build_graph(tables.projected(s, d, tables.SCRIPTS)).nodes
+
+
+@query("carried_attributes", f"""WITH {_DAILY}, last AS (SELECT max(ord) AS l FROM daily), days AS (SELECT DISTINCT ord FROM daily), alive AS (SELECT id FROM daily, last WHERE ord = l),
+ gone AS (SELECT a.id, max(x.ord) AS ord FROM alive a CROSS JOIN days x LEFT JOIN daily y ON y.id = a.id AND y.ord = x.ord WHERE y.id IS NULL GROUP BY a.id),
+ said AS (SELECT d.id, d.ord, d.n FROM daily d JOIN alive USING (id) LEFT JOIN gone g ON g.id = d.id WHERE d.n % 4 = 0 AND d.ord > coalesce(g.ord, -1))
+SELECT id, max(s.ord) AS since, arg_max(s.n, s.ord) AS n FROM alive LEFT JOIN said s USING (id) GROUP BY id""")
+def carried_attributes(s, d):
+    """Of the types of events of the last day: the number that was last pinned while they were there."""
+    days = tables.projected(s, d, tables.DAILY_TYPES).withColumnRenamed("ord", "version")
+    return attributes.carried(days.filter("n % 4 = 0"), days, ["n"])
+
+
 _DEEP = f"""WITH n AS (SELECT {_PATH} AS id, {_BASE} AS label, string_split(regexp_replace({_PATH}, '\\.[jt]sx?$', ''), '/') AS p FROM (SELECT DISTINCT url FROM pages)), clash AS (SELECT label, count(*) AS b, max(len(p)) AS m FROM n GROUP BY label HAVING count(*) > 1),
  named AS (SELECT id, n.label, b, d, array_to_string(p[greatest(len(p) - d + 1, 1):], '/') AS name FROM n JOIN clash USING (label), range(1, 40) t(d) WHERE d <= m),
  best AS (SELECT label, min(d) AS d FROM (SELECT label, d FROM named GROUP BY label, d, b HAVING count(DISTINCT name) = b) GROUP BY label)

@@ -80,6 +80,17 @@ SELECT CAST(datediff('day', first_day, CAST(ts AS DATE)) AS BIGINT) AS ord, 'eve
 FROM [events] CROSS JOIN (SELECT CAST(min(ts) AS DATE) AS first_day FROM [events]) AS f
 GROUP BY datediff('day', first_day, CAST(ts AS DATE)), event_type, user_id % 4"""
 
+#: a tree of scripts: every fourth page is a library file, the others import the one before them, fetch their own address
+#: and use a query key; chr() stands for braces and the dollar sign, which are marks of substitution
+SCRIPTS = """
+SELECT CASE WHEN page_id % 4 = 0 THEN 'lib/p' ELSE 'data/p' END || CAST(page_id AS STRING) || '.ts' AS path,
+       CASE WHEN page_id % 4 = 0 THEN '// fetch(' || chr(39) || url || chr(39) || ')' || chr(10) || 'export const a = ' || CAST(page_id AS STRING) || chr(10)
+            ELSE 'import ' || chr(123) || ' a ' || chr(125) || ' from "../lib/p' || CAST(page_id - page_id % 4 AS STRING) || '"' || chr(10) || '/* import "./none" */' || chr(10)
+                 || 'const r = fetch(' || chr(96) || url || '/' || chr(36) || chr(123) || 'a' || chr(125) || chr(96)
+                 || CASE WHEN page_id % 3 = 0 THEN ', ' || chr(123) || ' body: "), method", method: "post" ' || chr(125) ELSE '' END || ')' || chr(10)
+                 || 'useQuery(' || chr(123) || ' queryKey: ["pages",   ' || CAST(page_id % 7 AS STRING) || '], retry: (n) => n < 3 ' || chr(125) || ')' || chr(10) END AS text
+FROM [pages]"""
+
 #: today's supplier graph with [k] followers, each edge in every month from the first in which it was seen
 SUPPLIER_HISTORY = f"""
 SELECT CAST(m.ord AS BIGINT) AS ord, e.src, e.dst
