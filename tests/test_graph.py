@@ -565,7 +565,9 @@ def test_watch_follows_a_real_tree(spark, tmp_path):
     (root / "b.ts").write_text("export const b = 1\n")
     (root / "t.d.ts").write_text("")
     build = lambda f: (lambda g: (g.nodes, g.edges))(build_graph(f))
-    look = lambda: watch.tree_step(spark, str(root), out, build)
+    config = [rules.Rule("unique-caller", "one")]
+    measure = lambda n, e: rules.violations(PropertyGraph(n, e), config).count()
+    look = lambda: watch.tree_step(spark, str(root), out, build, None, measure)
     now = lambda: (lambda g: (ids(g[0]), {(r["src"], r["dst"]) for r in g[1].collect()}))(watch.last_good(spark, out))
     assert look() == 0 and now() == ({"a.ts", "b.ts"}, {("a.ts", "b.ts")})
     assert look() is None
@@ -576,6 +578,8 @@ def test_watch_follows_a_real_tree(spark, tmp_path):
     (root / "node_modules/x/j.ts").write_text("")
     assert look() == 2 and now() == ({"a.ts", "c.ts"}, {("a.ts", "c.ts")})
     assert look() is None
+    steps = lambda: {r["version"]: tuple(r)[1:] for r in watch.version_steps(spark.read.parquet(out + "/versions")).collect()}
+    assert steps() == {0: (2, None, 0, None), 1: (3, 1, 0, 0), 2: (2, -1, 0, 0)}
     (root / "d.ts").write_text("")
     stream = watch.watch_tree(spark, str(root), out, build, out + "/ticks", interval="1 second")
     try:
@@ -586,6 +590,12 @@ def test_watch_follows_a_real_tree(spark, tmp_path):
     finally:
         stream.stop()
     assert now()[0] == {"a.ts", "c.ts", "d.ts"}
+    (root / "d.ts").write_text("import './c'\n")  # renamed, and a second caller
+    (root / "d.ts").rename(root / "e.ts")
+    assert look() == 4 and now() == ({"a.ts", "c.ts", "e.ts"}, {("a.ts", "c.ts"), ("e.ts", "c.ts")})
+    assert steps()[4] == (3, 0, 1, None) and steps()[3][2] is None  # the stream did not measure
+    assert {n.name for n in (tmp_path / "out/nodes").iterdir() if n.is_dir()} == {f"version={k}" for k in (2, 3, 4)}
+    assert {n.name for n in (tmp_path / "out/looks").iterdir() if n.is_dir()} == {f"version={k}" for k in (2, 3, 4)}
 
 
 def test_any_frame_from_few_spans(spark):

@@ -131,7 +131,8 @@ def main(argv: list[str] | None = None) -> int:
         folder = args.out or tempfile.mkdtemp(prefix="graph-")
         packages, aliases = files.package_folders(args.src, (*files.EXCLUDED, *exclude)), files.path_aliases(args.src)
         build = lambda rows: (lambda g: (g.nodes, g.edges))(build_graph(rows, packages, aliases))
-        watch_tree(spark, args.src, folder, build, f"{folder}/checkpoint", (*files.EXCLUDED, *exclude)).awaitTermination()
+        measure = lambda nodes, edges: rules.violations(PropertyGraph(nodes, edges), config).count()
+        watch_tree(spark, args.src, folder, build, f"{folder}/checkpoint", (*files.EXCLUDED, *exclude), measure=measure).awaitTermination()
         return 0
     out = args.out or {"json": "graph.json", "mermaid": "graph.mmd", "dot": "graph.dot", "markdown": "graph.md"}[args.format]
     if args.format == "json":

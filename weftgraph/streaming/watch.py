@@ -10,13 +10,19 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weftgraph.plans.iterate import drop_folder, folders_in
 from weftgraph.sources import files
 
-VERSION = "version long, nodes long, edges long, error string"
+VERSION = "version long, nodes long, edges long, violations long, error string"
+#: good versions, and looks at a tree, that stay
+KEPT = 3
+Build = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+#: number of violations of a graph's nodes and edges
+Measure = Callable[[DataFrame, DataFrame], int]
 
 
 def latest_files(store: DataFrame) -> DataFrame:
@@ -25,20 +31,34 @@ def latest_files(store: DataFrame) -> DataFrame:
     return newest.filter("text is not null")
 
 
-def publish(spark: SparkSession, rows: DataFrame, folder: str, version: int, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> None:
-    """Writes the graph of some files (path, text) as a version, or the error that kept it from being built."""
-    error, counts = None, (None, None)
+def publish(spark: SparkSession, rows: DataFrame, folder: str, version: int, build: Build, measure: Measure | None = None) -> None:
+    """Writes the graph of some files (path, text) as a version, or the error that kept it from being built.
+    Of the good versions the last ``KEPT`` stay, so that a reader of the last one is not cut off."""
+    error, counts = None, (None, None, None)
     try:
         nodes, edges = build(rows)
         nodes.write.mode("overwrite").parquet(f"{folder}/nodes/version={version}")
         edges.write.mode("overwrite").parquet(f"{folder}/edges/version={version}")
-        counts = tuple(spark.read.parquet(f"{folder}/{part}/version={version}").count() for part in ("nodes", "edges"))
+        nodes, edges = (spark.read.parquet(f"{folder}/{part}/version={version}") for part in ("nodes", "edges"))
+        counts = (nodes.count(), edges.count(), measure(nodes, edges) if measure else None)
     except Exception as e:  # a half-written file must not end the watch
         error = str(e)[:500]
     spark.createDataFrame([(version, *counts, error)], VERSION).write.mode("overwrite").parquet(f"{folder}/versions/batch={version}")
+    if error is None:
+        good = [r["version"] for r in spark.read.parquet(f"{folder}/versions").filter("error is null").select("version").collect()]  # a row a version
+        for part in ("nodes", "edges"):
+            drop_before(spark, f"{folder}/{part}", sorted(good)[-KEPT:][0])
 
 
-def watch(changes: DataFrame, folder: str, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, interval: str | None = "2.5 seconds") -> StreamingQuery:
+def drop_before(spark: SparkSession, folder: str, version: int) -> None:
+    """Removes the versions of a table that are older than one."""
+    for name in folders_in(spark, folder):
+        kind, _, number = name.partition("=")
+        if kind == "version" and int(number) < version:
+            drop_folder(spark, f"{folder}/{name}")
+
+
+def watch(changes: DataFrame, folder: str, build: Build, checkpoint: str, interval: str | None = "2.5 seconds", measure: Measure | None = None) -> StreamingQuery:
     """Applies a stream of files (path, text) and writes ``folder``/{files,nodes,edges,versions}.
 
     ``build`` turns the files of a version into nodes and edges.  ``interval`` None: what is
@@ -47,7 +67,7 @@ def watch(changes: DataFrame, folder: str, build: Callable[[DataFrame], tuple[Da
     def step(batch: DataFrame, version: int) -> None:
         spark: SparkSession = batch.sparkSession
         batch.select("path", "text", F.lit(version).cast("long").alias("version")).write.mode("overwrite").parquet(f"{folder}/files/batch={version}")
-        publish(spark, latest_files(spark.read.parquet(f"{folder}/files")), folder, version, build)
+        publish(spark, latest_files(spark.read.parquet(f"{folder}/files")), folder, version, build, measure)
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -72,7 +92,7 @@ def listing(root: str, exclude: Iterable[str] | None = None) -> list[tuple[str,
     return found
 
 
-def tree_step(spark: SparkSession, root: str, folder: str, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], exclude: Iterable[str] | None = None) -> int | None:
+def tree_step(spark: SparkSession, root: str, folder: str, build: Build, exclude: Iterable[str] | None = None, measure: Measure | None = None) -> int | None:
     """One look at a source tree: a new version under ``folder`` if a script was added, changed or
     deleted since the last look, else None.  Only what changed is read again; the files of a version
     are written whole, so that no look reads more than one version."""
@@ -91,15 +111,16 @@ def tree_step(spark: SparkSession, root: str, folder: str, build: Callable[[Data
     fresh = now.join(held.select("path"), "path", "left_anti")
     texts = files.source_files(spark, files.pruned_folders(root, exclude), root, exclude).join(fresh, "path").select("path", "modified", "size", "text")
     held.unionByName(texts).write.mode("overwrite").parquet(f"{folder}/looks/version={version}")
-    publish(spark, spark.read.parquet(f"{folder}/looks/version={version}").select("path", "text"), folder, version, build)
+    drop_before(spark, f"{folder}/looks", version - KEPT + 1)
+    publish(spark, spark.read.parquet(f"{folder}/looks/version={version}").select("path", "text"), folder, version, build, measure)
     return version
 
 
-def watch_tree(spark: SparkSession, root: str, folder: str, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, exclude: Iterable[str] | None = None, interval: str = "2.5 seconds") -> StreamingQuery:
+def watch_tree(spark: SparkSession, root: str, folder: str, build: Build, checkpoint: str, exclude: Iterable[str] | None = None, interval: str = "2.5 seconds", measure: Measure | None = None) -> StreamingQuery:
     """Looks at a tree at every tick of a stream, one look after another.  A file source would see a
     path once only; comparing listings also sees edits and deletions."""
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-    writer = ticks.writeStream.foreachBatch(lambda batch, _: tree_step(batch.sparkSession, root, folder, build, exclude)).option("checkpointLocation", checkpoint)
+    writer = ticks.writeStream.foreachBatch(lambda batch, _: tree_step(batch.sparkSession, root, folder, build, exclude, measure)).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=interval).start()
 
 
@@ -112,8 +133,8 @@ def last_good(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, i
 
 
 def version_steps(versions: DataFrame) -> DataFrame:
-    """(version, nodes, node_change): the change of size from each good version to the next."""
-    from pyspark.sql import Window
-
-    before = F.lag("nodes").over(Window.orderBy("version"))  # one row a version
-    return versions.filter("error is null").select("version", "nodes", (F.col("nodes") - before).alias("node_change"))
+    """(version, nodes, node_change, violations, violation_change): what each good version has, and the change
+    from the one before."""
+    before = Window.orderBy("version")  # one row a version
+    change = lambda c, name: (F.col(c) - F.lag(c).over(before)).alias(name)
+    return versions.filter("error is null").select("version", "nodes", change("nodes", "node_change"), "violations", change("violations", "violation_change"))
