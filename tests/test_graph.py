@@ -463,6 +463,32 @@ def test_long_calls_and_units_of_hashes(spark):
     assert {r["n"]: r["s"] for r in rows} == {n: slot(n) for n in names}
 
 
+@pytest.mark.parametrize("shape", ["groups", "ball", "same", "few"])
+def test_nearest_points_without_all_pairs(spark, shape):
+    rng = np.random.default_rng(5)
+    if shape == "groups":
+        x = rng.normal(size=(30, 3))[rng.integers(0, 30, 1500)] * 50 + rng.normal(size=(1500, 3))
+    elif shape == "ball":
+        x = rng.normal(size=(400, 8))
+    elif shape == "same":
+        x = np.round(rng.normal(size=(200, 2)))
+    else:
+        x = np.array([[0.0, 1.0], [0.0, 1.0], [5.0, 5.0]])
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(9999, None), (9998, [None] * x.shape[1])], "id long, position array<double>")
+    asked = list(range(0, len(x), 7))
+    d = ((x[asked][:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    d[np.arange(len(asked)), asked] = np.inf
+    queries = points.filter(F.col("id").isin(asked))
+    out = {r["id"]: r["nearest"] for r in naming.nearest(points, queries).collect()}
+    if shape == "ball":
+        assert out == {i: int(row.argmin()) for i, row in zip(asked, d, strict=True)}
+    else:  # ties go to the least id
+        assert out == {i: int(np.flatnonzero(row <= row.min() * (1 + 1e-12)).min()) for i, row in zip(asked, d, strict=True)}
+    if shape == "groups":
+        own, others = naming.nearest_pairs(points, queries)
+        assert own.count() + others.count() < len(asked) * len(x) / 10
+
+
 def test_order_statistics_are_exact(spark):
     rng = random.Random(3)
     shapes = {

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +36,60 @@ def disambiguate(graph: PropertyGraph) -> DataFrame:
     return nodes.join(chosen, "id", "left").join(whole, "id", "left").select("id", F.coalesce("name", "whole", "label").alias("name"))
 
 
-def nearest(points: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
-    """(id, nearest): of each query point (id, group, position array) the nearest other point.
-
-    Queries are a stated set against all points: both are dealt into blocks, a block of
-    queries meets every block of points once, and the least distance is combined before
-    the shuffle."""
-    distance = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    n_blocks = max(1, -(-points.count() // block))
-    left = queries.select(F.col("id"), F.col("position").alias("p")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = points.select(F.col("id").alias("other"), F.col("position").alias("q")).withColumn("block", F.pmod(F.xxhash64("other"), F.lit(n_blocks)).cast("int"))
-    pairs = left.join(right, "block").filter("id <> other").select("id", F.struct(distance.alias("d"), "other").alias("best"))
-    return pairs.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.other").alias("nearest"), F.col("best.d").alias("d2"))
+MOST_PIVOTS = 256
+#: allowance for the rounding of distances where the triangle inequality rules a point out
+SLACK = 1e-9
+
+
+def _around(points: DataFrame, pivots: np.ndarray, every: bool) -> DataFrame:
+    """(id, position, cell: the nearest pivot, r: the distance to it) of points, and with ``every`` the distances to all pivots."""
+    kind = points.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for at in range(0, len(x), 1024):
+                d = np.sqrt(((x[at : at + 1024, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+                part = batch.slice(at, len(d))
+                columns = [*part.columns, pa.array(d.argmin(axis=1), pa.int32()), pa.array(d.min(axis=1))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(list(d))] if every else [])], names=["id", "position", "cell", "r", "all"][: 4 + every])
+
+    return points.select("id", "position").mapInArrow(run, f"id {kind}, position array<double>, cell int, r double" + ", all array<double>" * every)
+
+
+def nearest_pairs(points: DataFrame, queries: DataFrame, most_pivots: int = MOST_PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Two tables (id, d2, other) of the pairs that are compared: those within the query's own cell, and those of other
+    cells that may be as near as the best of the first.
+
+    Cells are those of about as many pivots as the root of the number of points, ``most_pivots`` at most, drawn by hash.  By the
+    triangle inequality, a cell holds nothing nearer than the distance of its pivot less its radius, and a point of it nothing
+    nearer than the difference of its own distance to the pivot and the query's."""
+    whole = lambda df: df.select("id", F.transform("position", lambda x: x.cast("double")).alias("position")).filter(F.forall("position", lambda x: x.isNotNull()))
+    points, queries = whole(points), whole(queries)
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(max(1, min(most_pivots, math.isqrt(points.count())))).collect()  # MOST_PIVOTS rows
+    pivots = np.array([r["position"] for r in drawn], np.float64).reshape(len(drawn), -1)
+    held = materialise(_around(points, pivots, False).withColumnsRenamed({"id": "other", "position": "q"}))
+    asked = materialise(_around(queries, pivots, True).withColumnRenamed("position", "p"))
+    d2 = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d2")
+    own = asked.join(held.drop("r"), "cell").filter("id <> other").select("id", d2, "other")
+    first = own.groupBy("id").agg(F.min(F.struct("d2", "other")).alias("b"))
+    bound = F.coalesce(F.sqrt("b.d2") * (1 + SLACK), F.lit(float("inf"))).alias("bound")
+    radius = {r["cell"]: r["radius"] for r in held.groupBy("cell").agg(F.max("r").alias("radius")).collect()}  # a row a pivot
+    radii = F.array(*(F.lit(float(radius.get(c, -1.0))) for c in range(len(pivots))))
+    open_ = asked.join(first, "id", "left").select("id", "p", F.col("cell").alias("home"), bound, F.posexplode("all").alias("cell", "far")).withColumn("radius", radii[F.col("cell")])
+    open_ = open_.filter((F.col("cell") != F.col("home")) & (F.col("radius") >= 0) & (F.col("far") * (1 - SLACK) - F.col("radius") <= F.col("bound")))
+    others = open_.join(held, "cell").filter((F.col("id") != F.col("other")) & (F.abs(F.col("far") - F.col("r")) - SLACK * F.col("far") <= F.col("bound"))).select("id", d2, "other")
+    return own, others
+
+
+def nearest(points: DataFrame, queries: DataFrame, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """(id, nearest, d2): of each query point (id, position array) the nearest other point (ties: the least id);
+    exact.  Points without a position, or with a null in it, are near to none; all positions have one length."""
+    own, others = nearest_pairs(points, queries, most_pivots)
+    best = own.unionByName(others).groupBy("id").agg(F.min(F.struct("d2", "other")).alias("best"))
+    return best.select("id", F.col("best.other").alias("nearest"), F.col("best.d2").alias("d2"))
 
 
 def cohesion(points: DataFrame, sample: int = 40) -> DataFrame:
