@@ -177,6 +177,28 @@ def no_direct_import(s, d):
     return rules.no_direct_import(G2(s, d), rule).select("rule", "message", F.col("edge_ids")[0].alias("edge"))
 
 
+_RULES = [
+    rules.Rule("unique-caller", "one caller only"),
+    rules.Rule("no-direct-import", "pages keep off stores", rules.Match(source_type="page", target_type="store")),
+    rules.Rule("no-cycles", "no loops"),
+]
+_BARRED = "barred AS (SELECT DISTINCT src, dst FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.type = 'page' AND b.type = 'store'), shared AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst HAVING count(*) > 1)"
+
+
+@query("violations", _with("suppliers", 1, _SCC + ", " + _BARRED, True) + """SELECT CAST(0 AS INTEGER) AS place, 'unique-caller' AS rule, dst AS subject, n AS size FROM shared
+ UNION ALL SELECT 1, 'no-direct-import', src || ' → ' || dst, 2 FROM barred UNION ALL SELECT 2, 'no-cycles', scc, count(*) FROM scc GROUP BY scc""")
+def violations(s, d):
+    """All rules of a configuration at once, nothing gathered in a row."""
+    return rules.violations(G2(s, d, 1), _RULES)
+
+
+@query("violation_parties", _with("suppliers", 1, _SCC + ", " + _BARRED, True) + """SELECT CAST(0 AS INTEGER) AS place, dst AS subject, 'target' AS role, dst AS id FROM shared
+ UNION SELECT 0, dst, 'caller', src FROM edges WHERE dst IN (SELECT dst FROM shared) UNION SELECT 1, src || ' → ' || dst, 'source', src FROM barred
+ UNION SELECT 1, src || ' → ' || dst, 'target', dst FROM barred UNION SELECT 2, scc, 'member', id FROM scc""")
+def violation_parties(s, d):
+    return rules.parties(G2(s, d, 1), _RULES)
+
+
 @query("no_cycles", _with("suppliers", 1, _SCC, True) + """SELECT 'no-cycles' AS rule, 'no loops (' || string_agg(n.label, ' → ' ORDER BY n.id) || ' → ' || first(n.label ORDER BY n.id) || ')' AS message, scc AS first, count(*) AS size
  FROM scc JOIN nodes n ON n.id = scc.id GROUP BY scc""")
 def no_cycles(s, d):
@@ -571,6 +593,18 @@ def diff_counts(s, d):
     return history.diff_counts(history.diff_graphs(_day(s, d, 3), _day(s, d, 9)))
 
 
+def _kind_counts(day: int) -> str:
+    return f"(SELECT cluster, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, cluster) - 1 AS r FROM (SELECT split_part(id, '/', 1) AS cluster FROM (SELECT DISTINCT src AS id FROM snap WHERE ord = {day} UNION SELECT dst FROM snap WHERE ord = {day})) GROUP BY cluster)"
+
+
+@query("diff_clusters", f"""WITH {_SNAP}, n AS ({_diff_sql('nodes')}), b AS {_kind_counts(3)}, h AS {_kind_counts(9)}
+SELECT k.cluster, k.size, coalesce({_COLOUR_SQL}[1 + b.r % 8], {_COLOUR_SQL}[1 + h.r % 8], '{history.GHOST_COLOUR}') AS colour
+FROM (SELECT split_part(id, '/', 1) AS cluster, count(*) AS size FROM n GROUP BY 1) k LEFT JOIN b ON b.cluster = k.cluster LEFT JOIN h ON h.cluster = k.cluster""")
+def diff_clusters(s, d):
+    base, head = (_day(s, d, day) for day in (3, 9))
+    return history.diff_clusters(base, head, relational.clusters(base), relational.clusters(head))
+
+
 @query("changed_scope", f"WITH {_SNAP}, n AS ({_diff_sql('nodes')}), c AS (SELECT id FROM n WHERE diff <> 'same'), e AS (SELECT src, dst FROM snap WHERE ord IN (3, 9)) " + "SELECT id FROM c UNION SELECT dst FROM e WHERE src IN (FROM c) UNION SELECT src FROM e WHERE dst IN (FROM c)")
 def changed_scope(s, d):
     return relational.changed_scope(history.diff_graphs(_day(s, d, 3), _day(s, d, 9)))
