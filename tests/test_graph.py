@@ -15,7 +15,7 @@ from weftgraph import cli
 from weftgraph.functions import lexer
 from weftgraph.functions import text as fx
 from weftgraph.operators import communities, components, cores, cuts, doctor, history, lens, naming, relational, replay, rules, scc, traverse
-from weftgraph.plans.build import build_graph
+from weftgraph.plans.build import Staged, build_graph
 from weftgraph.plans.frames import Frames
 from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
@@ -643,6 +643,38 @@ def test_any_frame_from_few_spans(spark):
     assert log.groupBy("level", "span", "id").count().filter("count > 1").isEmpty()
 
 
+def test_watch_scans_changed_files_only(spark, tmp_path):
+    root, out = tmp_path / "tree", str(tmp_path / "out")
+    root.mkdir()
+    seen = []
+
+    class Counted(Staged):
+        def scan(self, rows):
+            seen.append(sorted(r["path"] for r in rows.collect()))
+            return super().scan(rows)
+
+    build = Counted()
+
+    def look():
+        version = watch.tree_step(spark, str(root), out, build)
+        g = build_graph(files.source_files(spark, files.pruned_folders(str(root)), str(root)))
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        nodes, edges, good = watch.last_good(spark, out)
+        assert good == version and rows(nodes.select(g.nodes.columns)) == rows(g.nodes) and rows(edges.select(g.edges.columns)) == rows(g.edges)
+
+    (root / "a.ts").write_text("import './b'\nfetch('/x')\nuseQuery({ queryKey: ['k', 1] })\n")
+    (root / "useC.ts").write_text("import './a'\nfetch('/x')\n")
+    look()
+    (root / "b.ts").write_text("export const b = 1\n")  # an import that led nowhere finds it
+    look()
+    (root / "a.ts").write_text("\nimport './b'\nfetch('/y', { method: 'post' })\n")
+    look()
+    (root / "useC.ts").rename(root / "useD.ts")
+    (root / "b.ts").unlink()
+    look()
+    assert seen == [["a.ts", "useC.ts"], ["b.ts"], ["a.ts"], ["useD.ts"]]
+
+
 def repository(path, states):
     """A repository with a commit for each state (name to text)."""
     git = lambda *a: subprocess.run(["git", "-C", str(path), "-c", "user.name=n", "-c", "user.email=e@example.org", *a], check=True, capture_output=True)

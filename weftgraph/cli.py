@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import communities, doctor, history, relational, replay, rules, scc
-from weftgraph.plans.build import build_graph
+from weftgraph.plans.build import Staged, build_graph
 from weftgraph.plans.frames import Frames, violations_of
 from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
@@ -129,8 +129,7 @@ def main(argv: list[str] | None = None) -> int:
         from weftgraph.streaming.watch import watch_tree
 
         folder = args.out or tempfile.mkdtemp(prefix="graph-")
-        packages, aliases = files.package_folders(args.src, (*files.EXCLUDED, *exclude)), files.path_aliases(args.src)
-        build = lambda rows: (lambda g: (g.nodes, g.edges))(build_graph(rows, packages, aliases))
+        build = Staged(files.package_folders(args.src, (*files.EXCLUDED, *exclude)), files.path_aliases(args.src))
         measure = lambda nodes, edges: rules.violations(PropertyGraph(nodes, edges), config).count()
         watch_tree(spark, args.src, folder, build, f"{folder}/checkpoint", (*files.EXCLUDED, *exclude), measure=measure).awaitTermination()
         return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,6 +103,31 @@ def build_graph(files: DataFrame, packages: list[str] | None = None, aliases: di
     return PropertyGraph(*_assembled(nodes, materialise(scanned(files)), files, aliases), {"project": project})
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Building a graph in two steps: what is found in each file, which only a change of that file can change, and the
+    graph of all files, from what was found."""
+
+    packages: list[str] = field(default_factory=list)
+    aliases: dict[str, str] = field(default_factory=dict)
+
+    def scan(self, files: DataFrame) -> DataFrame:
+        """(path, label, type, file, line, cluster, found) of files (path, text); a row a file, without its text."""
+        own = files.join(package_of(files, self.packages), "path", "left")
+        known = own.select("path", *_attributes(own))
+        found = scanned(files).groupBy("path").agg(F.collect_list(F.struct("kind", "ord", F.col("line").alias("at"), "value", "extra")).alias("found"))  # of one file
+        return known.join(found, "path", "left")
+
+    def assemble(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of the rows of ``scan``."""
+        nodes = rows.select(F.col("path").alias("id"), "label", "type", "file", "line", "cluster")
+        found = rows.select("path", F.inline("found")).withColumnRenamed("at", "line")
+        return _assembled(nodes, found, rows.select("path"), self.aliases)
+
+    def __call__(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return self.assemble(self.scan(files))
+
+
 def build_frames(listing: DataFrame, texts: DataFrame, found: DataFrame, packages: list[str] | None = None, aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes (frame, id, ...), edges (frame, id, ...)) of many states of a tree at once.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weftgraph.plans.build import Staged
 from weftgraph.plans.iterate import drop_folder, folders_in
 from weftgraph.sources import files
 
@@ -94,8 +95,10 @@ def listing(root: str, exclude: Iterable[str] | None = None) -> list[tuple[str,
 
 def tree_step(spark: SparkSession, root: str, folder: str, build: Build, exclude: Iterable[str] | None = None, measure: Measure | None = None) -> int | None:
     """One look at a source tree: a new version under ``folder`` if a script was added, changed or
-    deleted since the last look, else None.  Only what changed is read again; the files of a version
-    are written whole, so that no look reads more than one version."""
+    deleted since the last look, else None.  Only what changed is read again, and with a ``Staged`` build only that is
+    scanned, and what was found is kept instead of the texts; a version has a row for every file, so that no look
+    reads more than one version."""
+    staged = isinstance(build, Staged)
     exclude = files.EXCLUDED if exclude is None else tuple(exclude)
     numbers = sorted(int(n.partition("=")[2]) for n in os.listdir(f"{folder}/looks")) if os.path.isdir(f"{folder}/looks") else []
     version = numbers[-1] + 1 if numbers else 0
@@ -107,12 +110,14 @@ def tree_step(spark: SparkSession, root: str, folder: str, build: Build, exclude
             return None
         held = before.join(kept, "path", "left_semi")
     else:
-        held = spark.createDataFrame([], LISTING + ", text string")
-    fresh = now.join(held.select("path"), "path", "left_anti")
-    texts = files.source_files(spark, files.pruned_folders(root, exclude), root, exclude).join(fresh, "path").select("path", "modified", "size", "text")
-    held.unionByName(texts).write.mode("overwrite").parquet(f"{folder}/looks/version={version}")
+        held = None
+    fresh = now if held is None else now.join(held.select("path"), "path", "left_anti")
+    texts = files.source_files(spark, files.pruned_folders(root, exclude), root, exclude).join(fresh.select("path"), "path", "left_semi").select("path", "text")
+    rows = fresh.join(build.scan(texts) if staged else texts, "path")
+    (rows if held is None else held.unionByName(rows)).write.mode("overwrite").parquet(f"{folder}/looks/version={version}")
     drop_before(spark, f"{folder}/looks", version - KEPT + 1)
-    publish(spark, spark.read.parquet(f"{folder}/looks/version={version}").select("path", "text"), folder, version, build, measure)
+    rows = spark.read.parquet(f"{folder}/looks/version={version}").drop("modified", "size")
+    publish(spark, rows, folder, version, build.assemble if staged else build, measure)
     return version
 
 
