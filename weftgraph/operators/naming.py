@@ -103,6 +103,12 @@ def cohesion(points: DataFrame, sample: int = 40) -> DataFrame:
     return found.groupBy("folder").agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg((F.col("folder") == F.col("of")).cast("double")), 9).alias("share"))
 
 
+def upper_median(values: Column, accuracy: int = 10_000) -> Column:
+    """Order statistic at index floor(n / 2) as an aggregate, in one pass and bounded memory: the lower median of
+    the negated values; off by a rank of n / ``accuracy`` at most.  ``order_statistic`` is exact."""
+    return -F.percentile_approx(-values, 0.5, accuracy)
+
+
 BINS = 1024
 
 
