@@ -21,7 +21,7 @@ from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import files
-from weftgraph.streaming import attributes, watch
+from weftgraph.streaming import attributes, live, watch
 
 
 def make(spark, links, nodes=(), kind="module", cluster="src"):
@@ -691,6 +691,33 @@ def repository(path, states):
     return str(path)
 
 
+def test_live_counts_equal_a_rebuild_after_every_batch(spark, tmp_path, monkeypatch):
+    """Edits, deletions, nodes that come back, targets that come later, rows out of order and sent twice, null ids, null
+    and repeated links, and steps merged in between."""
+    monkeypatch.setattr(live, "MERGED", 2)
+    rnd, names, told, late = random.Random(4), [f"n{i}" for i in range(10)], {}, []
+    (tmp_path / "in").mkdir()
+    out = str(tmp_path / "out")
+    before = (0, 0, 0)
+    for version in range(3):
+        rows = [{"id": i, "version": version, "silent": i != "n0", "links": None if rnd.random() < 0.25 else [*rnd.choices(names, k=3), None]} for i in rnd.sample(names, 6)]
+        told.update({r["id"]: r for r in rows})
+        text = "\n".join(map(json.dumps, [*rows, *late, rows[-1], {"id": None, "version": version, "links": ["n1"]}, {"id": "n1", "version": None, "links": ["n2"]}]))
+        (tmp_path / f"in/{version}.json").write_text(text)
+        late = rows
+        changes = spark.readStream.schema("id string, version long, silent boolean, links array<string>").json(str(tmp_path / "in"))
+        live.watch_links(changes, out, out + "/checkpoint", None, 2).awaitTermination()
+        there = {i: {x for x in r["links"] if x} for i, r in told.items() if r["links"] is not None}
+        callers = {i: sum(i in links for links in there.values()) for i in there}
+        want = {i: (n, n == 0 and i != "n0", n > 1) for i, n in callers.items()}
+        assert {r["id"]: tuple(r)[1:] for r in live.present(spark, out).collect()} == want
+        now = (len(want), sum(w[1] for w in want.values()), sum(w[2] for w in want.values()))
+        row = spark.read.parquet(out + "/versions").filter(F.col("version") == version).drop("batch").first()
+        assert tuple(row) == (version, *(x for a, b in zip(now, before) for x in (a, a - b)))
+        before = now
+    assert spark.conf.get(live.PARTITIONS) == "4"
+
+
 def test_replay_and_blame_of_a_repository(spark, tmp_path, capsys):
     base = {"a.ts": "import './b'\n", "useStore.ts": "export const s = 1\n", "x.d.ts": "export {}\n"}
     states = [
@@ -747,6 +774,11 @@ def test_replay_files(spark, tmp_path):
     lines = lambda g: {r["id"]: r["line"] for r in g.nodes.collect()}
     assert [lines(held.at(k)) for k in range(3)] == [{"a": 1, "b": 1}, {"a": 7, "c": 1}, {"a": 7, "c": 1}]
     assert [{(r["src"], r["dst"]) for r in held.at(k).edges.collect()} for k in range(3)] == [{("a", "b")}, set(), {("c", "a")}]
+    held = replay.Replay(*map(materialise, (held.frames, held.nodes, held.edges)))
+    view = replay.View(make(spark, "p>q")).enter(held)
+    marks = lambda v: {r["id"]: r["state"] for r in v.marks().collect()}
+    assert view.frame == 0 and view.show(3) is view and view.leave().show(1).frame is None
+    assert marks(view.show(1)) == {"a": "rest", "c": "added", "b": "removed"} and marks(view.enter(held).leave()) == {"p": "rest", "q": "rest"}
     assert held.at(3) is None and held.span() == ("2024-01-01", "2024-02-01") and held.at(2).meta["nodeCount"] == "2"
     old = {**about, "nodeCount": 1, "edgeCount": 0, "graph": {"nodes": [node("b", 3)], "edges": []}}
     (tmp_path / "old.json").write_text(json.dumps({"frames": [first, old]}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,10 @@ class Replay:
         meta = {"frame": str(frame), "sha": row["sha"], "nodeCount": str(row["nodes"]), "edgeCount": str(row["edges"])}
         return PropertyGraph(frame_at(self.nodes, frame, ["id"]), frame_at(self.edges, frame, ["id"]), meta)
 
+    def moved(self, frame: int) -> DataFrame:
+        """(id, change): the nodes that came (``added``) and went (``removed``) with a frame; none with the first, which is whole."""
+        return self.nodes.filter(F.col("level") == 0).filter((F.col("span") == frame - 1) & F.col("change").isin("added", "removed")).select("id", "change")
+
     def span(self) -> tuple[str, str]:
         """Dates of the first and the last frame; empty without frames."""
         row = self.frames.agg(F.min_by("date", "frame"), F.max_by("date", "frame")).first()
@@ -43,6 +47,40 @@ class Replay:
             getattr(self, part).write.mode("overwrite").partitionBy("level", "span").parquet(f"{folder}/{part}")
 
 
+@dataclass(frozen=True)
+class View:
+    """What is looked at: the present, or a frame of a replay while the present is parked.  Views do not change; each step
+    gives another."""
+
+    graph: PropertyGraph
+    replay: Replay | None = None
+    frame: int | None = None
+    present: PropertyGraph | None = None
+
+    def enter(self, replay: Replay) -> View:
+        """Parks the present and goes to the first frame.  From within a replay, what was parked stays parked; a replay
+        without a first frame is entered, but shows what was there."""
+        return replace(self, replay=replay, frame=None, present=self.present or self.graph).show(0)
+
+    def show(self, frame: int) -> View:
+        """To a frame; outside a replay, and for frames that are not there, the view stays as it is."""
+        graph = self.replay.at(frame) if self.replay else None
+        return replace(self, graph=graph, frame=frame) if graph else self
+
+    def leave(self) -> View:
+        """Back to the present, without marks."""
+        return View(self.present or self.graph)
+
+    def marks(self) -> DataFrame:
+        """(id, state): ``added`` and ``rest`` of the nodes shown, and ``removed`` for those that went with this frame."""
+        ids = self.graph.nodes.select("id")
+        if self.frame is None:
+            return ids.withColumn("state", F.lit("rest"))
+        moved = self.replay.moved(self.frame)
+        shown = ids.join(moved.filter("change = 'added'"), "id", "left").select("id", F.coalesce("change", F.lit("rest")).alias("state"))
+        return shown.unionByName(moved.filter("change = 'removed'").withColumnRenamed("change", "state"))
+
+
 def make(timeline: DataFrame, nodes: DataFrame, edges: DataFrame) -> Replay:
     """Of a timeline (ord, sha, ...), nodes (ord, id, ...) and edges (ord, id, ...) of every frame whole."""
     from pyspark.sql import Window
@@ -97,7 +135,8 @@ def read_file(spark: SparkSession, path: str) -> Replay:
         first = rows(each, f"f.graph.{part.lower()}")
         if whole.isEmpty():
             gone = each.select("ord", F.explode(f"f.delta.removed{part}").alias("id")).withColumn("change", F.lit("removed"))
-            changes = rows(each.filter("ord > 0"), f"f.delta.added{part}").unionByName(rows(each.filter("ord > 0"), f"f.delta.changed{part}")).withColumn("change", F.lit("changed"))
+            later = [rows(each.filter("ord > 0"), f"f.delta.{kind}{part}").withColumn("change", F.lit(kind)) for kind in ("added", "changed")]
+            changes = later[0].unionByName(later[1])
             changes = first.filter("ord = 0").withColumn("change", F.lit("added")).unionByName(changes).unionByName(gone.filter("ord > 0"), allowMissingColumns=True)
         else:
             changes = deltas(first, ["id"], values)

@@ -7,19 +7,20 @@ links, and embeddings as positions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as fx
-from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, rules, scc, traverse
+from weftgraph.operators import communities, components, cores, doctor, history, lens, naming, relational, replay, rules, scc, traverse
 from weftgraph.plans.build import build_graph
-from weftgraph.plans.iterate import materialise
+from weftgraph.plans.iterate import materialise, shared_folder
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
 from weftgraph.sources import tables
-from weftgraph.streaming import attributes
+from weftgraph.streaming import attributes, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -627,6 +628,26 @@ def frame_at(s, d):
     return history.frame_at(history.skip_log(history.deltas(days, ["src", "dst"]), days, ["src", "dst"]), frame, ["src", "dst"])
 
 
+@query("live_callers", f"""WITH {_SNAP}, last AS (SELECT src, dst FROM snap WHERE ord = (SELECT max(ord) FROM snap))
+ SELECT DISTINCT src AS id, CAST(0 AS BIGINT) AS callers, false AS orphan, false AS shared FROM last
+ UNION ALL SELECT k.dst, count(l.src), count(l.src) = 0, count(l.src) > 1 FROM (SELECT DISTINCT dst FROM snap) k LEFT JOIN last l ON l.dst = k.dst GROUP BY k.dst""")
+def live_callers(s, d):
+    """What each user did, day by day, as a stream in two batches; at its end the counts are those of the last day."""
+    snap = materialise(tables.snapshots(s, d))
+    days = snap.groupBy("ord", F.col("src").alias("id")).agg(F.collect_set("dst").alias("links"))  # kinds of events of a user's day
+    kinds = snap.select(F.col("dst").alias("id")).distinct().select("id", F.lit(0).cast("long").alias("version"), F.lit(True).alias("silent"), F.array().cast("array<string>").alias("links"))
+    ranks = snap.select("ord").distinct().withColumn("version", F.row_number().over(Window.orderBy("ord")).cast("long"))  # one row a day
+    told = days.join(F.broadcast(ranks), "ord").select("id", "version", F.lit(False).alias("silent"), "links")
+    later = told.select("id", F.col("version") + 1, F.lit(False), F.lit(None).cast("array<string>")).toDF(*told.columns)
+    gone = later.join(F.broadcast(ranks.select("version")), "version", "left_semi").join(told, ["id", "version"], "left_anti").select(told.columns)
+    folder = f"{shared_folder(s)}/live-{uuid.uuid4().hex}"
+    parts = max(2, s.sparkContext.defaultParallelism // 2)  # a task of state feeds three Python workers
+    told.unionByName(gone).unionByName(kinds).repartitionByRange(parts, "version").write.parquet(f"{folder}/in")
+    stream = s.readStream.schema(told.schema).option("maxFilesPerTrigger", -(-parts // 2)).parquet(f"{folder}/in")
+    live.watch_links(stream, folder, f"{folder}/checkpoint", None, parts).awaitTermination()
+    return live.present(s, folder)
+
+
 _DAILY = f"daily AS MATERIALIZED ({tables.for_sql(tables.DAILY_TYPES)})"
 
 
@@ -652,6 +673,19 @@ def frames(s, d):
     return history.frames(tables.snapshots(s, d))
 
 
+@query("shown_frame", f"""WITH {_SNAP}, ends AS (SELECT DISTINCT ord, id FROM (SELECT ord, src AS id FROM snap UNION ALL SELECT ord, dst FROM snap)),
+ ranks AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS f FROM (SELECT DISTINCT ord FROM snap)), now AS (SELECT id FROM ends JOIN ranks USING (ord) WHERE f = 11), was AS (SELECT id FROM ends JOIN ranks USING (ord) WHERE f = 10)
+ SELECT coalesce(now.id, was.id) AS id, CASE WHEN was.id IS NULL THEN 'added' WHEN now.id IS NULL THEN 'removed' ELSE 'rest' END AS state FROM now FULL JOIN was ON now.id = was.id""")
+def shown_frame(s, d):
+    """Into a replay of days, and to its twelfth."""
+    days = materialise(tables.snapshots(s, d))
+    ends = days.select("ord", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    sizes = history.frames(days).withColumn("sha", F.md5(F.col("ord").cast("string")))
+    held = replay.make(sizes, ends, days.select("ord", F.concat_ws("->", "src", "dst").alias("id"), "src", "dst"))
+    held = replay.Replay(held.frames, materialise(held.nodes), materialise(held.edges))
+    return replay.View(_day(s, d, 0)).enter(held).show(11).marks()
+
+
 @query("sample_even", f"WITH {_SNAP}, c AS (SELECT DISTINCT ord FROM snap), n AS (SELECT count(*) AS n FROM c) SELECT ord FROM c WHERE ord IN (SELECT CAST(floor(i * (n - 1) / 6.0 + 0.5) AS BIGINT) FROM n, range(7) t(i))")
 def sample_even(s, d):
     return history.sample_even(tables.snapshots(s, d).select("ord").distinct(), 7)
