@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph import cli
+from weftgraph import cli, queries
 from weftgraph.functions import lexer
 from weftgraph.functions import text as fx
 from weftgraph.operators import communities, components, cores, cuts, doctor, history, lens, naming, relational, replay, rules, scc, traverse
@@ -136,6 +136,15 @@ def test_passes_of_pivots_settle_what_they_share(spark):
         scc.PIVOTS = few
 
 
+def test_a_component_that_shares_the_last_pivot_alone(spark):
+    few = spark.createDataFrame([(f"v{k:02}",) for k in range(scc.PIVOTS + 6)], "id string")
+    names = [r["id"] for r in few.orderBy(F.xxhash64("id"), "id").collect()]
+    hub, mate = names[scc.PIVOTS - 1], names[-1]
+    edges = [(hub, mate), (mate, hub)] + [(hub, v) for v in names if v not in (hub, mate)]
+    settled, rest = scc._pass(spark.createDataFrame([(*e, 0) for e in edges], "src string, dst string, part long"))
+    assert set(groups(settled)) == {hub} and groups(settled)[hub] == {hub, mate} and rest.isEmpty()
+
+
 def test_orphans(spark):
     paths = (
         "src/main.ts src/index.tsx src/App.tsx lib/lonely.ts app/page.tsx app/route.ts app/not-found.tsx vitest.config.ts playwright/auth.setup.ts env.d.ts "
@@ -439,6 +448,13 @@ def test_names(spark):
     assert {(r["folder"], r["share"]) for r in naming.cohesion(points).collect()} == {("left", 1.0), ("right", 1.0)}
 
 
+def test_a_path_under_two_schemes_is_named_twice(spark, tmp_path):
+    urls = ["http://a.org/x/1", "https://a.org/x/1", "http://b.org/x/2", "http://c.org/x/3", "http://d.org/y/3"]
+    spark.createDataFrame([(k, u, "") for k, u in enumerate([*urls, urls[0]])], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(map(tuple, queries.disambiguate(spark, str(tmp_path)).collect()))
+    assert found == [("a.org/x/1", "a.org/x/1"), ("a.org/x/1", "a.org/x/1"), ("b.org/x/2", "2"), ("c.org/x/3", "x/3"), ("d.org/y/3", "y/3")]
+
+
 def test_attributes_survive_versions_but_no_deletion(spark):
     present = {0: "abc", 1: "abd", 2: "abcd", 5: "acd"}
     changes = [(0, "a", 1.0, True), (0, "c", 2.0, True), (0, "b", 3.0, True), (1, "a", 4.0, False), (2, "d", 5.0, True), (2, "x", 6.0, True), (5, "d", None, None)]
