@@ -186,6 +186,27 @@ def test_best_cut_and_dead_weight(spark):
     assert weight("widow>a a>b b>a", "widow") == set()
 
 
+def test_dead_weight_of_random_graphs(spark):
+    """Starts may be imported themselves; edges may repeat and lead back."""
+    rng = random.Random(5)
+    names = [f"v{k:02}" for k in range(60)]
+    links = [(names[a], names[b]) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(62)) if a <= b or rng.random() < 0.2]
+    links += links[:5]
+    starts = {v for v in names if all(b != v for _, b in links)} | {names[30], names[31]}
+    into = defaultdict(set)
+    for a, b in links:
+        into[b].add(a)
+    want = set()
+    for s in starts:
+        gone, size = {s}, 0
+        while size < len(gone):
+            size = len(gone)
+            gone |= {v for v in names if into[v] and into[v] <= gone}
+        want |= {(s, v) for v in gone if v != s}
+    found = doctor.dead_weight(make(spark, links, names), spark.createDataFrame([(s,) for s in starts], "id string"))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > len(starts) / 2
+
+
 def frees_by_search(n, edges):
     """Of every edge: nodes on no cycle without it, by one search each."""
     out = []
@@ -291,6 +312,29 @@ def test_reach_counts_by_words(spark):
     assert traverse.impact_counts(make(spark, "", [])).isEmpty() and traverse.subject(make(spark, "", [])).isEmpty()
 
 
+def test_the_supplier_graph_is_counted_once():
+    read = []
+    once = lambda *args, **more: read.append(args) or PropertyGraph("nodes", "edges")
+    kept, cut = queries.tables.graph, queries.materialise
+    try:
+        queries.tables.graph, queries.materialise = once, lambda df: f"{df}, cut"
+        assert queries.G2(None, "folder", 1).edges == "edges, cut" and len(read) == 1
+    finally:
+        queries.tables.graph, queries.materialise = kept, cut
+
+
+def test_reach_counts_of_trees_take_few_jobs(spark):
+    """Sums go up a chain of 60 in rounds of its logarithm; trees under a part of several callers are folded."""
+    chain = [(f"c{k:02}", f"c{k + 1:02}") for k in range(60)]
+    g = make(spark, chain + [(f"leaf{k}", "c30") for k in range(5)])
+    found, jobs = jobs_of(spark, lambda: {r["id"]: r["reached"] for r in traverse.impact_counts(g).collect()})
+    assert found == {f"c{k:02}": k + 5 * (k >= 30) for k in range(61)} | {f"leaf{k}": 0 for k in range(5)}
+    assert jobs < 100
+    assert tuple(traverse.subject(g).first()) == ("c59", round(-3 * abs(2 / 66 - 0.3) + 64 / 66, 9))
+    forked = make(spark, "x>b x>a b>t a>t t>top y>x z>x z>side w>b")
+    assert {r["id"]: r["reached"] for r in traverse.impact_counts(forked).collect()} == {"y": 0, "z": 0, "w": 0, "x": 2, "side": 1, "a": 3, "b": 4, "t": 6, "top": 7}
+
+
 def test_components_of_a_long_path(spark):
     path = spark.range(300).select(F.format_string("n%04d", "id").alias("src"), F.format_string("n%04d", F.col("id") + 1).alias("dst"))
     for limit in (0, 1000):
