@@ -20,7 +20,7 @@ from weftgraph.plans.frames import Frames
 from weftgraph.plans.iterate import materialise
 from weftgraph.schema import PropertyGraph
 from weftgraph.sinks import diagrams
-from weftgraph.sources import files
+from weftgraph.sources import files, tables
 from weftgraph.streaming import attributes, live, watch
 
 
@@ -937,3 +937,28 @@ def test_the_median_is_the_upper_one(spark):
     assert naming.reach(empty).first()["spread"] == 60.0
     far = spark.createDataFrame([(float(x), 0.0, 0.0) for x in (0, 0, 0, 1000)], "x double, y double, z double")
     assert naming.reach(far).first()["spread"] == 625.0
+
+
+def test_degrees_of_opposite_edges_loops_and_missing_ends(spark):
+    g = make(spark, [("a", "b"), ("a", "b"), ("b", "a"), ("c", "c"), ("c", "a"), ("d", ""), ("", "d")], nodes=["a", "b", "c", "d", "e"])
+    some = lambda c: F.nullif(c, F.lit("")).alias(c)
+    g = PropertyGraph(g.nodes.filter("id <> ''"), g.edges.select("id", some("src"), some("dst"), "type"), g.meta, 3)
+    want = {"a": (2, 2, 2), "b": (1, 2, 1), "c": (2, 1, 1), "d": (1, 1, 0), "e": (0, 0, 0)}
+    for graph in (g, PropertyGraph(g.nodes, g.edges)):
+        assert {r["id"]: (r["imports"], r["used_by"], r["neighbours"]) for r in relational.degrees(graph).collect()} == want
+
+
+def exchanges(df):
+    """Lines of the plan that deal rows out, before it adapts itself."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+@pytest.mark.parametrize("name", ["degree"])
+def test_lines_are_dealt_in_bounded_parts_before_they_are_grouped(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "PART", 400, raising=False)
+    folder = "/root/testdata/sf0.001"
+    parts = -(-tables.table(spark, folder, "lineitem").count() // 400)
+    dealt = [x for x in exchanges(queries.QUERIES[name](spark, folder)) if "REPARTITION_BY_NUM" in x and f", {parts})" in x]
+    assert len([x for x in dealt if "l_orderkey" in x]) == 2 and any("o_orderkey" in x for x in dealt)
+    assert name == "traffic" or any("hashpartitioning(a#" in x for x in dealt)
