@@ -954,7 +954,7 @@ def exchanges(df):
     return [line for line in plan.splitlines() if "Exchange" in line]
 
 
-@pytest.mark.parametrize("name", ["degree"])
+@pytest.mark.parametrize("name", ["degree", "traffic"])
 def test_lines_are_dealt_in_bounded_parts_before_they_are_grouped(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "PART", 400, raising=False)
     folder = "/root/testdata/sf0.001"
