@@ -962,3 +962,18 @@ def test_lines_are_dealt_in_bounded_parts_before_they_are_grouped(spark, monkeyp
     dealt = [x for x in exchanges(queries.QUERIES[name](spark, folder)) if "REPARTITION_BY_NUM" in x and f", {parts})" in x]
     assert len([x for x in dealt if "l_orderkey" in x]) == 2 and any("o_orderkey" in x for x in dealt)
     assert name == "traffic" or any("hashpartitioning(a#" in x for x in dealt)
+
+
+def test_hops_and_pairs_of_suppliers_are_dealt_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART", 400, raising=False)
+    folder = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()))
+    pairs = Counter((a[3], b[3]) for a, b in zip(want, want[1:], strict=False) if a[0] == b[0] and a[3] != b[3])
+    first = {}
+    for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0][1])):
+        first.setdefault(a, b)
+    months = queries._months(spark, folder)
+    parts = -(-len(want) // 400)
+    dealt = [x for x in exchanges(months) if "REPARTITION_BY_NUM" in x and f", {parts})" in x]
+    assert any("l_orderkey" in x for x in dealt) and any("hashpartitioning(s#" in x for x in dealt)
+    assert {(r["src"], r["dst"]) for r in months.select("src", "dst").distinct().collect()} == {(f"supplier/{a}", f"supplier/{b}") for a, b in first.items()}
