@@ -977,3 +977,13 @@ def test_hops_and_pairs_of_suppliers_are_dealt_in_bounded_parts(spark, monkeypat
     dealt = [x for x in exchanges(months) if "REPARTITION_BY_NUM" in x and f", {parts})" in x]
     assert any("l_orderkey" in x for x in dealt) and any("hashpartitioning(s#" in x for x in dealt)
     assert {(r["src"], r["dst"]) for r in months.select("src", "dst").distinct().collect()} == {(f"supplier/{a}", f"supplier/{b}") for a, b in first.items()}
+
+
+def test_folder_rollup_merges_nodes_and_counts_a_hub_before_it_is_looked_up(spark):
+    links = [(f"x{k}", "hub") for k in range(50)] + [(f"y{k}", "hub") for k in range(30)] + [("hub", "x1"), ("x1", "x2"), ("x3", "none")]
+    g = make(spark, links, cluster=lambda i: i[0])
+    g = PropertyGraph(g.nodes.filter("id <> 'none'"), g.edges)
+    found = relational.folder_rollup(g)
+    assert sorted(map(tuple, found.collect())) == [("h", "x", 1), ("x", "h", 50), ("y", "h", 30)]
+    assert not any("Broadcast" in x for x in exchanges(found))
+    assert any("hashpartitioning(src_cluster" in x and "dst#" in x for x in exchanges(found))
