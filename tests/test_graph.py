@@ -987,3 +987,10 @@ def test_folder_rollup_merges_nodes_and_counts_a_hub_before_it_is_looked_up(spar
     assert sorted(map(tuple, found.collect())) == [("h", "x", 1), ("x", "h", 50), ("y", "h", 30)]
     assert not any("Broadcast" in x for x in exchanges(found))
     assert any("hashpartitioning(src_cluster" in x and "dst#" in x for x in exchanges(found))
+
+
+def test_link_radii_follow_the_merged_roll_up(spark):
+    found = queries.QUERIES["link_radius"](spark, "/root/testdata/sf0.001")
+    weights = {(r["src_cluster"], r["dst_cluster"]): r["weight"] for r in relational.folder_rollup(queries.G1(spark, "/root/testdata/sf0.001")).collect()}
+    assert not any("Broadcast" in x for x in exchanges(found))
+    assert {(r["src_cluster"], r["dst_cluster"]): r["radius"] for r in found.collect()} == {k: pytest.approx(min(0.12 + 0.14 * np.log2(w + 1), 0.85)) for k, w in weights.items()}
