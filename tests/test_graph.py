@@ -7,6 +7,7 @@ import subprocess
 import time
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -326,6 +327,35 @@ def test_the_supplier_graph_is_counted_once():
         queries.tables.graph, queries.materialise = kept, cut
 
 
+def test_reach_counts_over_all_followers(spark, tmp_path):
+    """Orders whose suppliers follow each other twice along a chain, and once to a side branch that one follower each would drop."""
+    orders = [(1, 2), (1, 2), (2, 3), (2, 3), (1, 4), (4, 5), (4, 5), (4, 2), (3, 6), (6, 7, 6), (8, 8), (9,)]
+    lines = [(o, n, 1, s) for o, order in enumerate(orders) for n, s in enumerate(order, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"s{k}", k % 2) for k in range(1, 10)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "n0", 0), (1, "n1", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    back = defaultdict(set)
+    for order in orders:
+        for a, b in zip(order, order[1:], strict=False):
+            if a != b:
+                back[b].add(a)
+    want = {}
+    for v in range(1, 10):
+        seen, more = set(), [v]
+        while more:
+            fresh = back[more.pop()] - seen
+            seen |= fresh
+            more += fresh
+        want[f"supplier/{v}"] = len(seen - {v})
+    found = {r["id"]: r["reached"] for r in queries.QUERIES["impact_counts_all"](spark, str(tmp_path)).collect()}
+    assert found == want == {f"supplier/{k + 1}": n for k, n in enumerate((0, 2, 3, 1, 2, 5, 5, 0, 0))}
+    with duckdb.connect() as c:
+        for name in ("lineitem", "supplier", "nation"):
+            c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        assert dict(c.execute(queries.ORACLE_SQL["impact_counts_all"]).fetchall()) == want
+    assert {r["id"]: r["reached"] for r in queries.QUERIES["impact_counts"](spark, str(tmp_path)).collect()} != want
+
+
 def test_reach_counts_of_trees_take_few_jobs(spark):
     """Sums go up a chain of 60 in rounds of its logarithm; trees under a part of several callers are folded."""
     chain = [(f"c{k:02}", f"c{k + 1:02}") for k in range(60)]
