@@ -16,6 +16,7 @@ from weftgraph import cli, queries
 from weftgraph.functions import lexer
 from weftgraph.functions import text as fx
 from weftgraph.operators import communities, components, cores, cuts, doctor, history, lens, naming, relational, replay, rules, scc, traverse
+from weftgraph.plans import bounded
 from weftgraph.plans.build import Staged, build_graph
 from weftgraph.plans.frames import Frames
 from weftgraph.plans.iterate import materialise
@@ -1009,6 +1010,16 @@ def test_hops_and_pairs_of_suppliers_are_dealt_in_bounded_parts(spark, monkeypat
     assert {(r["src"], r["dst"]) for r in months.select("src", "dst").distinct().collect()} == {(f"supplier/{a}", f"supplier/{b}") for a, b in first.items()}
 
 
+def test_links_of_a_large_component_do_not_meet_in_one_task(spark):
+    rings = {"a": 300, "b": 4, "c": 5, "d": 60}
+    links = materialise(spark.createDataFrame([(f"{r}{k:03}", f"{r}{(k + 1) % n:03}") for r, n in rings.items() for k in range(n)], "src string, dst string"))
+    for limit, small in ((50, "bc"), (80, "bcd"), (0, "")):
+        done, rest = bounded.settle(links, scc._members, "id string, scc string", limit)
+        assert Counter(r["scc"] for r in done.collect()) == {f"{r}000": rings[r] for r in small}
+        assert Counter(r["component"] for r in rest.collect()) == {f"{r}000": n for r, n in rings.items() if r not in small}
+        assert rest.columns == ["src", "dst", "component"] and not any("component" in x for x in exchanges(rest))
+
+
 def test_folder_rollup_merges_nodes_and_counts_a_hub_before_it_is_looked_up(spark):
     links = [(f"x{k}", "hub") for k in range(50)] + [(f"y{k}", "hub") for k in range(30)] + [("hub", "x1"), ("x1", "x2"), ("x3", "none")]
     g = make(spark, links, cluster=lambda i: i[0])
